@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from .bpe import op1_bpe
+from .simhash import op10_simhash
+from .token_files import op2_token_files
 
-QUERIES = {"op1_bpe": op1_bpe}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_files, op10_simhash)}
 
 ORACLES: dict[str, str] = {}
