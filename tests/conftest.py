@@ -13,7 +13,7 @@ os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 def spark():
     from loomgraph.session import session
 
-    s = session("local[8]", "tests")
+    s = session(os.environ.get("TEST_MASTER", "local[8]"), "tests")
     yield s
     s.stop()
 
