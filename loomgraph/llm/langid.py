@@ -150,8 +150,9 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, most_langs: int = MOST_LANGS,
     sample = usable.join(F.broadcast(share), "lang").where(draw < F.col("share")).select("doc_id", "text", "lang", draw.alias("draw"))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat([pd.DataFrame(columns=["doc_id", "text", "lang", "draw"]), *batches]).sort_values(["draw", "doc_id", "text", "lang"], ignore_index=True)
-        if len(rows):
+        given = list(batches)
+        if sum(map(len, given)):
+            rows = pd.concat(given).sort_values(["draw", "doc_id", "text", "lang"], ignore_index=True)
             fold = np.arange(len(rows)) % 5 == 0
             names, weights, bias, temperature = train(rows["text"].tolist(), rows["lang"].tolist(), fold)
             yield pd.DataFrame({"names": [names], "weights": [weights.tobytes()], "bias": [bias.tobytes()], "temperature": [temperature]})

@@ -7,11 +7,12 @@ from .fingerprints import op4_fingerprints
 from .langid import op6_language_id
 from .mixing import op5_mixing
 from .pii import op7_pii
+from .quality import op3_quality
 from .simhash import op10_simhash
 from .substrings import op9_substrings
 from .token_files import op2_token_files
 from .topk import op8_topk
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_files, op4_fingerprints, op5_mixing, op6_language_id, op7_pii, op8_topk, op9_substrings, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_files, op3_quality, op4_fingerprints, op5_mixing, op6_language_id, op7_pii, op8_topk, op9_substrings, op10_simhash)}
 
 ORACLES: dict[str, str] = {}
