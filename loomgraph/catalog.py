@@ -5,7 +5,711 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import ids
+from .operators import activation, intents, merge, org, reads, search, semantic, traverse
+from .sources import tables
+from .sources.tables import SQL, graph, table
+from .streaming import watch
 
 FLAGSHIP = "callees_3hop"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its name; the SQL may use the graph's tables."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql if sql.lstrip().upper().startswith("WITH") else f"{SQL}\n{sql}"
+        return f
+
+    return add
+
+
+def plain(sql: str):
+    """Register a query whose SQL reads the driver's tables only."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+NODE_COLUMNS = "id, project_id, type, label, canonical_id"
+NODE = NODE_COLUMNS.split(", ")
+
+
+# -- reads ------------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT id, project_id, type, label, canonical_id, source_file, kind, exported, line_start, line_end FROM nodes WHERE id IN (SELECT source_id FROM edges WHERE type = 'calls')")
+def node_by_id(spark, sf):
+    g = graph(spark, sf)
+    return reads.by_id(g, g.edges.where("type = 'calls'").select(F.col("source_id").alias("id"))).drop("source_class")
+
+
+@query("SELECT project_id, canonical_id, min(id) AS id FROM nodes WHERE type = 'namespace' GROUP BY ALL")
+def node_by_canonical(spark, sf):
+    g = graph(spark, sf)
+    return reads.by_canonical(g, g.nodes.where("type = 'namespace'"))
+
+
+@query(f"SELECT {NODE_COLUMNS} FROM nodes WHERE project_id = 'p1' AND type = 'symbol'")
+def nodes_by_type(spark, sf):
+    return reads.nodes_of(graph(spark, sf), "p1", "symbol").select(*NODE)
+
+
+@query(f"SELECT {NODE_COLUMNS} FROM nodes WHERE project_id = 'p2' AND canonical_id ILIKE 'PARTS/%'")
+def nodes_prefix(spark, sf):
+    return reads.prefixed(graph(spark, sf), "p2", "PARTS/").select(*NODE)
+
+
+@query(f"SELECT {NODE_COLUMNS} FROM nodes WHERE source_file IS NOT NULL AND type <> 'file'")
+def nodes_for_file(spark, sf):
+    return reads.of_source_file(graph(spark, sf)).select(*NODE)
+
+
+@query(f"SELECT {NODE_COLUMNS} FROM nodes WHERE project_id = 'p0' AND canonical_id ILIKE '%supplier1%' ORDER BY length(canonical_id), id LIMIT 20")
+def nodes_contains(spark, sf):
+    return reads.containing(graph(spark, sf), "p0", "Supplier1", 20).select(*NODE)
+
+
+@query(f"SELECT {NODE_COLUMNS} FROM nodes WHERE project_id = 'p3' AND type = 'concept' AND (canonical_id ILIKE '%build%' OR label ILIKE '%build%')")
+def concepts_filter(spark, sf):
+    return reads.concepts(graph(spark, sf), "p3", "Build").select(*NODE)
+
+
+@query("""SELECT project_id, id, activation, rank FROM (SELECT n.project_id, n.id, activation, row_number() OVER (PARTITION BY n.project_id ORDER BY activation DESC, n.id) AS rank
+FROM nodes n JOIN acts a ON n.id = a.node_id) WHERE rank <= 30""")
+def topk_activated(spark, sf):
+    return reads.top_activated(graph(spark, sf), activation.TOP).select("project_id", "id", "activation", "rank")
+
+
+W = "SELECT e.id, e.source_id, e.target_id, e.type, coalesce(w.weight, 1.0) AS weight FROM edges e LEFT JOIN weights w ON e.id = w.edge_id"
+EDGE = ["id", "source_id", "target_id", "type", "weight"]
+
+
+@query(f"SELECT * FROM ({W}) WHERE source_id IN (SELECT id FROM nodes WHERE type = 'file')")
+def edges_from(spark, sf):
+    g = graph(spark, sf)
+    return reads.edges_from(g, g.nodes.where("type = 'file'")).select(*EDGE)
+
+
+@query(f"SELECT * FROM ({W}) WHERE target_id IN (SELECT id FROM nodes WHERE type = 'concept')")
+def edges_to(spark, sf):
+    g = graph(spark, sf)
+    return reads.edges_to(g, g.nodes.where("type = 'concept'")).select(*EDGE)
+
+
+@query(f"SELECT * FROM ({W}) e WHERE EXISTS (SELECT 1 FROM edges p WHERE p.type = 'calls' AND ((p.source_id = e.target_id AND p.target_id = e.source_id) OR (p.source_id = e.source_id AND p.target_id = e.target_id)))")
+def edges_between(spark, sf):
+    g = graph(spark, sf)
+    return reads.edges_between(g, g.edges.where("type = 'calls'").select(F.col("target_id").alias("a"), F.col("source_id").alias("b"))).select(*EDGE)
+
+
+@query("SELECT e.id, e.source_id, e.target_id, e.type, w.weight FROM edges e JOIN weights w ON e.id = w.edge_id JOIN acts a ON a.node_id = e.source_id WHERE a.activation > 0.5")
+def activated_edges(spark, sf):
+    return reads.activated_edges(graph(spark, sf), 0.5).select(*EDGE)
+
+
+@query("""SELECT anchor, edge_type, id, activation, rank FROM (SELECT e.target_id AS anchor, e.type AS edge_type, e.source_id AS id, coalesce(a.activation, 0.0) AS activation,
+row_number() OVER (PARTITION BY e.target_id ORDER BY coalesce(a.activation, 0.0) DESC, e.source_id, e.type) AS rank
+FROM edges e JOIN weights w ON e.id = w.edge_id JOIN nodes n ON n.id = e.target_id AND n.type = 'concept' LEFT JOIN acts a ON a.node_id = e.source_id WHERE weight > 0.05) WHERE rank <= 100""")
+def references(spark, sf):
+    return reads.references(graph(spark, sf), "concept").select("anchor", "edge_type", "id", "activation", "rank")
+
+
+@query("""SELECT anchor, edge_type, n, shown, coalesce(nullif(list_position(['implements','extends','imports','references','calls'], edge_type), 0), 6) AS place FROM (
+SELECT e.target_id AS anchor, e.type AS edge_type, count(*) AS n, array_to_string(list_sort(list(s.canonical_id))[1:10], ',') AS shown
+FROM edges e JOIN weights w ON e.id = w.edge_id JOIN nodes n ON n.id = e.target_id AND n.type = 'namespace' JOIN nodes s ON s.id = e.source_id WHERE weight > 0.05 GROUP BY ALL)""")
+def references_grouped(spark, sf):
+    return reads.grouped_references(reads.neighbours(graph(spark, sf), None, reverse=True, source_type="namespace"))
+
+
+NEIGHBOURS = """SELECT e.{a} AS anchor, e.type AS edge_type, e.{b} AS id, w.weight, m.canonical_id FROM edges e JOIN weights w ON e.id = w.edge_id JOIN nodes m ON m.id = e.{b} JOIN nodes n ON n.id = e.{a}
+WHERE weight > 0.05 AND """
+SEEN = ["anchor", "edge_type", "id", "weight", "canonical_id"]
+
+
+@query(NEIGHBOURS.format(a="target_id", b="source_id") + "n.type = 'concept' AND e.type IN ('implements', 'annotates')")
+def concept_implementors(spark, sf):
+    return reads.neighbours(graph(spark, sf), ["implements", "annotates"], reverse=True, source_type="concept").select(*SEEN)
+
+
+@query(NEIGHBOURS.format(a="source_id", b="target_id") + "n.type = 'file' AND e.type = 'imports'")
+def file_imports(spark, sf):
+    return reads.neighbours(graph(spark, sf), ["imports"], source_type="file").select(*SEEN)
+
+
+MEMBERS = """members AS (SELECT * FROM (SELECT e.source_id AS anchor, e.target_id AS id, m.type, m.label, m.kind, row_number() OVER (PARTITION BY e.source_id ORDER BY m.type, m.label, m.id) AS rank
+FROM edges e JOIN weights w ON e.id = w.edge_id JOIN nodes n ON n.id = e.source_id JOIN nodes m ON m.id = e.target_id WHERE weight > 0.05 AND e.type IN ('contains', 'defines') AND n.type = '{t}') WHERE rank <= 500)"""
+
+
+@query(f"{SQL}, {MEMBERS.format(t='namespace')} SELECT anchor, id, type, label, rank FROM members")
+def namespace_members(spark, sf):
+    return reads.members(graph(spark, sf), "namespace").select("anchor", "id", "type", "label", "rank")
+
+
+@query(f"{SQL}, {MEMBERS.format(t='file')} SELECT anchor, type, count(*) AS n, min(label) AS first, max(label) AS last FROM members GROUP BY ALL")
+def file_context(spark, sf):
+    return reads.member_groups(reads.members(graph(spark, sf), "file"))
+
+
+@query(f"""{SQL}, {MEMBERS.format(t='namespace')} SELECT anchor, CASE WHEN kind = 'interface' THEN 'interface' WHEN type = 'symbol' AND regexp_matches(label, '^[A-Z]') THEN 'exported' WHEN type = 'symbol' THEN 'internal' ELSE type END AS category, count(*) AS n
+FROM members GROUP BY ALL""")
+def namespace_summary(spark, sf):
+    return reads.namespace_summary(reads.members(graph(spark, sf), "namespace"))
+
+
+@query(NEIGHBOURS.format(a="source_id", b="target_id") + "n.type = 'namespace' AND m.type = 'namespace' AND e.type = 'imports'")
+def namespace_dependencies(spark, sf):
+    return reads.neighbours(graph(spark, sf), ["imports"], source_type="namespace", node_type="namespace").select(*SEEN)
+
+
+@query(NEIGHBOURS.format(a="target_id", b="source_id") + "n.type = 'namespace' AND m.type = 'namespace' AND e.type = 'imports'")
+def namespace_dependents(spark, sf):
+    return reads.neighbours(graph(spark, sf), ["imports"], reverse=True, source_type="namespace", node_type="namespace").select(*SEEN)
+
+
+@query("SELECT project_id, nodes, edges FROM (SELECT project_id, count(*) AS nodes FROM nodes GROUP BY 1) JOIN (SELECT project_id, count(*) AS edges FROM edges GROUP BY 1) USING (project_id)")
+def project_status(spark, sf):
+    return reads.status(graph(spark, sf))
+
+
+# -- traversal and activation -----------------------------------------------------------------------------------------------
+
+ORDERS = "kind = 'interface' AND source_file IS NOT NULL"
+REACH = """c AS (SELECT DISTINCT {a} AS node, {b} AS next FROM edges JOIN weights ON id = edge_id WHERE type = 'calls' AND weight > 0.05),
+h1 AS (SELECT DISTINCT s.id AS seed, next AS id FROM nodes s JOIN c ON s.id = c.node WHERE {seeds}),
+h2 AS (SELECT DISTINCT seed, next AS id FROM h1 JOIN c ON h1.id = c.node), h3 AS (SELECT DISTINCT seed, next AS id FROM h2 JOIN c ON h2.id = c.node),
+found AS (SELECT seed, id, min(hops) AS hops FROM (SELECT *, 1 AS hops FROM h1 UNION ALL SELECT *, 2 FROM h2 UNION ALL SELECT *, 3 FROM h3) GROUP BY ALL)"""
+REACHED = """SELECT seed, id, hops, activation, rank FROM (SELECT f.*, coalesce(a.activation, 0.0) AS activation, row_number() OVER (PARTITION BY seed ORDER BY coalesce(a.activation, 0.0) DESC, id) AS rank
+FROM found f LEFT JOIN acts a ON a.node_id = f.id) WHERE rank <= 50"""
+
+
+@query(f"{SQL}, {REACH.format(a='source_id', b='target_id', seeds=ORDERS)} {REACHED}")
+def callees_3hop(spark, sf):
+    g = graph(spark, sf)
+    return traverse.reached_nodes(g, g.nodes.where(ORDERS)).select("seed", "id", "hops", "activation", "rank")
+
+
+@query(f"""{SQL}, {REACH.format(a='target_id', b='source_id', seeds="canonical_id LIKE 'suppliers:%'")} {REACHED}""")
+def callers_3hop(spark, sf):
+    g = graph(spark, sf)
+    return traverse.reached_nodes(g, g.nodes.where("canonical_id LIKE 'suppliers:%'"), reverse=True).select("seed", "id", "hops", "activation", "rank")
+
+
+@query(f"""{SQL}, {REACH.format(a='source_id', b='target_id', seeds=ORDERS)} SELECT substr(sha256(seed||':calls:'||id),1,32) AS id, seed AS source_id, id AS target_id, 'speculative' AS source_class FROM found
+WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.type = 'calls' AND e.source_id = seed AND e.target_id = found.id)""")
+def callgraph_propose_edges(spark, sf):
+    g = graph(spark, sf)
+    return traverse.proposed_calls(g, g.nodes.where(ORDERS))
+
+
+SPREAD = """seeds AS (SELECT node_id AS set, node_id AS id, 1.0::DOUBLE AS activation FROM acts),
+ew AS (SELECT source_id, target_id, CASE WHEN w <= 0 THEN 0.5 ELSE w END AS w FROM (SELECT e.*, coalesce(weight, 1.0) AS w FROM edges e LEFT JOIN weights ON id = edge_id)),
+s1 AS (SELECT set, target_id AS id, max(activation * 0.6 * w) AS activation FROM seeds JOIN ew ON id = source_id WHERE activation * 0.6 * w >= 0.1 GROUP BY ALL),
+s2 AS (SELECT set, target_id AS id, max(activation * 0.6 * w) AS activation FROM s1 JOIN ew ON id = source_id WHERE activation * 0.6 * w >= 0.1 GROUP BY ALL),
+s3 AS (SELECT set, target_id AS id, max(activation * 0.6 * w) AS activation FROM s2 JOIN ew ON id = source_id WHERE activation * 0.6 * w >= 0.1 GROUP BY ALL),
+s4 AS (SELECT set, target_id AS id, max(activation * 0.6 * w) AS activation FROM s3 JOIN ew ON id = source_id WHERE activation * 0.6 * w >= 0.1 GROUP BY ALL),
+spread AS (SELECT set, id, max(activation) AS activation FROM (SELECT * FROM seeds UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3 UNION ALL SELECT * FROM s4) GROUP BY ALL)"""
+
+
+def _spread(spark, sf):
+    g = graph(spark, sf)
+    return activation.spread(g, g.activation.select(F.col("node_id").alias("set"), F.col("node_id").alias("id"), F.lit(1.0).alias("activation")))
+
+
+@query(f'{SQL}, {SPREAD} SELECT "set", id, round(activation, 9) AS activation FROM spread')
+def spread_activation(spark, sf):
+    return _spread(spark, sf).select("set", "id", F.round("activation", 9).alias("activation"))
+
+
+@query(f"""{SQL}, {SPREAD} SELECT id, n, round(best, 9) AS best, CASE WHEN best >= 0.8 THEN 'high' WHEN best >= 0.56 THEN 'medium' ELSE 'low' END AS confidence
+FROM (SELECT id, count(*) AS n, max(activation) AS best FROM spread GROUP BY ALL)""")
+def activation_reach(spark, sf):
+    found = _spread(spark, sf).groupBy("id").agg(F.count("*").alias("n"), F.max("activation").alias("best"))
+    return found.select("id", "n", F.round("best", 9).alias("best"), ids.activation_confidence(F.col("best")).alias("confidence"))
+
+
+HEBB = """a AS (SELECT node_id AS id, activation FROM acts UNION ALL SELECT id, 0.7 FROM nodes WHERE type IN ('concept', 'file') OR canonical_id LIKE 'parts/%:%'),
+hit AS (SELECT e.id AS edge_id, greatest(0.01, least(1.0, coalesce(w.weight, 1.0) + 0.1 * s.activation * t.activation)) AS weight FROM edges e JOIN a s ON s.id = e.source_id JOIN a t ON t.id = e.target_id LEFT JOIN weights w ON w.edge_id = e.id)"""
+
+
+@query(f"""{SQL}, {HEBB} SELECT edge_id, round(weight, 9) AS weight, 1 AS co_activations FROM hit UNION ALL
+SELECT edge_id, round(greatest(0.01, weight * 0.99), 9), 0 FROM weights WHERE edge_id NOT IN (SELECT edge_id FROM hit)""")
+def hebbian_update(spark, sf):
+    g = graph(spark, sf)
+    other = g.nodes.where("type in ('concept', 'file') or canonical_id like 'parts/%:%'").select("id", F.lit(0.7).alias("activation"))
+    anchors = g.activation.select(F.col("node_id").alias("id"), "activation").unionByName(other)
+    return activation.hebbian(g, anchors).select("edge_id", F.round("weight", 9).alias("weight"), "co_activations")
+
+
+@query("SELECT edge_id, round(greatest(0.01, weight * 0.99), 9) AS weight FROM weights")
+def weight_decay(spark, sf):
+    return activation.fade(graph(spark, sf).weights).select("edge_id", F.round("weight", 9).alias("weight"))
+
+
+@query("SELECT node_id, 0.0::DOUBLE AS activation, activation AS peak FROM acts")
+def activation_reset(spark, sf):
+    return activation.reset(graph(spark, sf).activation)
+
+
+@query("SELECT node_id, round(activation * 0.5, 9) AS activation, activation AS peak FROM acts")
+def activation_merge(spark, sf):
+    a = graph(spark, sf).activation
+    return activation.merge_activation(a, a.withColumn("activation", F.round(F.col("activation") * 0.5, 9)))
+
+
+@query("""SELECT 'p'||p AS project_id, anchor, id, activation FROM (
+SELECT 1 AS p, 'concept:building' AS anchor, id, 0.7::DOUBLE AS activation FROM nodes WHERE project_id = 'p1' AND type = 'concept' AND (canonical_id ILIKE '%building%' OR label ILIKE '%building%')
+UNION ALL SELECT 2, 'symbol:suppliers:Supplier1', id, 1.0 FROM nodes WHERE project_id = 'p2' AND type = 'symbol' AND canonical_id = 'suppliers:Supplier1'
+UNION ALL (SELECT 0, 'symbol:Dispat', id, 0.4 FROM nodes WHERE project_id = 'p0' AND type = 'symbol' AND canonical_id ILIKE '%Dispat%' ORDER BY length(canonical_id), id LIMIT 5)
+UNION ALL (SELECT 3, 'namespace:parts/', id, 1.0 FROM nodes WHERE project_id = 'p3' AND type = 'namespace' AND canonical_id ILIKE 'parts/%' ORDER BY canonical_id, id LIMIT 20))""")
+def resolve_anchors(spark, sf):
+    rows = [("p1", "concept", "building", "medium"), ("p2", "symbol", "suppliers:Supplier1", "high"), ("p0", "symbol", "Dispat", "low"), ("p3", "namespace", "parts/", "high")]
+    return activation.resolve_anchors(graph(spark, sf), spark.createDataFrame(rows, "project_id string, kind string, ref string, confidence string"))
+
+
+# -- search -----------------------------------------------------------------------------------------------------------------
+
+SEARCHES = {"Supplier1 part1": ["supplier1", "part1"], "dispatch Order1": ["dispatch", "order1"]}
+
+
+def _search_sql() -> str:
+    low, can, fil = "lower(label)", "lower(canonical_id)", "lower(coalesce(source_file, ''))"
+    parts = []
+    for q, tokens in SEARCHES.items():
+        hit = " OR ".join(f"contains({c}, '{t}')" for t in tokens for c in (can, low, fil))
+        ladder = " + ".join(f"CASE WHEN {low} = '{t}' THEN 90 WHEN contains({low}, '{t}') THEN 45 ELSE 0 END + CASE WHEN {can} = '{t}' THEN 80 WHEN ends_with({can}, '{t}') THEN 55 WHEN contains({can}, '{t}') THEN 35 ELSE 0 END + CASE WHEN contains({fil}, '{t}') THEN 20 ELSE 0 END" for t in tokens)
+        score = f"{ladder} + CASE WHEN type = 'symbol' THEN 8 ELSE 0 END + CASE WHEN source_file IS NOT NULL THEN 5 ELSE 0 END + CASE WHEN line_start > 0 THEN 3 ELSE 0 END"
+        parts.append(f"SELECT '{q}' AS query, project_id, id, canonical_id, {score} AS score, row_number() OVER (PARTITION BY project_id ORDER BY length(canonical_id), id) AS cut FROM nodes WHERE {hit}")
+    return f"""SELECT query, project_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query, project_id ORDER BY score DESC, strlen(canonical_id), length(canonical_id), id) AS rank
+FROM ({" UNION ALL ".join(parts)}) WHERE cut <= 120) WHERE rank <= 10"""
+
+
+@query(_search_sql())
+def search_ranked(spark, sf):
+    queries = spark.createDataFrame([(q,) for q in SEARCHES], "query string")
+    return search.search(graph(spark, sf), queries).select("query", "project_id", "id", "score", "rank")
+
+
+def _related_sql() -> str:
+    hay = "lower(canonical_id||' '||label||' '||coalesce(source_file, ''))"
+    case = " ".join(f"WHEN contains({hay}, '{p}') THEN {k}" for k, p in enumerate(search.PATTERNS["entrypoints"], 1))
+    return f"""SELECT project_id, id, pattern, rank FROM (SELECT project_id, id, {search.PATTERNS["entrypoints"]!r}[place] AS pattern, row_number() OVER (PARTITION BY project_id ORDER BY place, length(canonical_id), id) AS rank
+FROM (SELECT *, CASE {case} END AS place FROM nodes) WHERE place IS NOT NULL) WHERE rank <= 10"""
+
+
+@query(_related_sql())
+def related_by_pattern(spark, sf):
+    return search.related(graph(spark, sf), search.PATTERNS["entrypoints"]).select("project_id", "id", "pattern", "rank")
+
+
+@plain("""SELECT doc_id AS id, line, lines[line] AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS lines, unnest(range(greatest(1, doc_id % 7 + 1 - 2), least(doc_id % 7 + 4 + 2, len(string_split(text, chr(10))), greatest(1, doc_id % 7 - 1) + 80) + 1)) AS line FROM documents)""")
+def source_ranges(spark, sf):
+    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return search.source_ranges(texts, F.col("id") % 7 + 1, F.col("id") % 7 + 4)
+
+
+# -- organisation -----------------------------------------------------------------------------------------------------------
+
+LIFT = "lifted AS (SELECT * FROM nodes WHERE type IN ('namespace', 'concept') OR (type = 'symbol' AND (exported OR kind = 'interface')))"
+
+
+@query(f"{SQL}, {LIFT} SELECT {NODE_COLUMNS} FROM lifted")
+def org_lift_nodes(spark, sf):
+    return org.lifted_nodes(graph(spark, sf)).select(*NODE)
+
+
+@query(f"{SQL}, {LIFT} SELECT id, source_id, target_id, type FROM edges WHERE type IN ('imports','implements','extends','concept_of','depends_on') AND source_id IN (SELECT id FROM lifted) AND target_id IN (SELECT id FROM lifted)")
+def org_lift_edges(spark, sf):
+    return org.lifted_edges(graph(spark, sf)).select("id", "source_id", "target_id", "type")
+
+
+SHARED = """im AS (SELECT e.project_id AS p, e.source_id AS s, t.canonical_id AS via FROM edges e JOIN nodes t ON t.id = e.target_id JOIN nodes s ON s.id = e.source_id AND s.type = 'namespace' WHERE e.type = 'imports')"""
+
+
+@query(f"""{SQL}, {SHARED} SELECT 'x-'||substr(sha256(a.s||':shares_dependency:'||b.s||':'||a.via),1,32) AS id, a.s AS source_node, a.p AS source_project, b.s AS target_node, b.p AS target_project, a.via FROM im a JOIN im b ON a.via = b.via AND a.p <> b.p""")
+def shared_dependencies(spark, sf):
+    return org.shared_dependencies(graph(spark, sf)).drop("weight", "source_class")
+
+
+@query("""SELECT label, source_node, target_node, rank FROM (SELECT i.label, i.id AS source_node, n.id AS target_node, row_number() OVER (PARTITION BY i.id ORDER BY n.id) AS rank
+FROM nodes i JOIN nodes n ON i.label = n.label AND n.type = 'symbol' AND i.project_id <> n.project_id WHERE i.canonical_id LIKE 'parts/%:%') WHERE rank <= 20""")
+def mirror_interfaces(spark, sf):
+    g = graph(spark, sf)
+    # parts are the symbols that other projects have too, so they stand for interfaces here
+    nodes = g.nodes.withColumn("kind", F.when(F.col("canonical_id").like("parts/%:%"), "interface").otherwise("function"))
+    return org.mirrors(tables.Graph(nodes, g.edges, g.weights, g.activation)).select("label", "source_node", "target_node", "rank")
+
+
+@query(f"""{SQL}, {LIFT}, want AS (SELECT DISTINCT canonical_id AS ref FROM lifted WHERE canonical_id LIKE 'suppliers:%' OR type = 'namespace' UNION SELECT DISTINCT label FROM lifted WHERE canonical_id LIKE 'parts/%:%'),
+m AS (SELECT ref, id, max(s) AS similarity FROM (SELECT ref, id, 1.0::DOUBLE AS s FROM want JOIN lifted ON canonical_id = ref UNION ALL SELECT ref, id, 0.8 FROM want JOIN lifted ON ref = split_part(canonical_id, ':', 2) AND contains(canonical_id, ':') WHERE NOT contains(ref, ':')) GROUP BY ALL)
+SELECT ref, id, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY similarity DESC, id) AS rank FROM m) WHERE rank <= 20""")
+def org_find_similar(spark, sf):
+    lifted = org.lifted_nodes(graph(spark, sf))
+    want = lifted.where("canonical_id LIKE 'suppliers:%' or type = 'namespace'").select(F.col("canonical_id").alias("ref"))
+    want = want.unionByName(lifted.where("canonical_id LIKE 'parts/%:%'").select(F.col("label").alias("ref"))).distinct()
+    return org.similar(lifted, want).select("ref", "id", "similarity", "rank")
+
+
+@query("SELECT 'seed-'||substr(sha256('project:'||label),1,32) AS id, 'project' AS scope, label AS term, max('about '||label) AS definition, 1::BIGINT AS created_at FROM nodes WHERE type = 'concept' GROUP BY label")
+def concept_seeding(spark, sf):
+    c = graph(spark, sf).nodes.where("type = 'concept'").select(F.lit("project").alias("scope"), "label").distinct()
+    old = c.select("scope", F.col("label").alias("term"), F.lit("old").alias("definition"), F.lit(1).cast("long").alias("created_at"))
+    new = c.select("scope", F.concat(F.lit("  "), F.upper("label"), F.lit(" ")).alias("term"), F.concat(F.lit("about "), "label").alias("definition"), F.lit(2).cast("long").alias("created_at"))
+    return org.seed_concepts(old, new)
+
+
+# -- merging and reconciliation ---------------------------------------------------------------------------------------------
+
+
+@query("""SELECT e.id, u.missing FROM edges e, unnest([e.source_id, e.target_id]) AS u(missing) WHERE u.missing NOT IN (SELECT id FROM nodes WHERE type <> 'concept')""")
+def missing_endpoints(spark, sf):
+    g = graph(spark, sf)
+    return reads.missing_endpoints(g.edges, g.nodes.where("type = 'file'"), g.nodes.where("type in ('namespace', 'symbol')"))
+
+
+@query("SELECT target_id AS id, min(id) AS first_edge, 'unresolved' AS type FROM edges WHERE target_id IN (SELECT id FROM nodes WHERE type = 'concept') GROUP BY target_id")
+def unresolved_endpoints(spark, sf):
+    g = graph(spark, sf)
+    return reads.unresolved_nodes(g.edges, g.nodes.where("type <> 'concept'"))
+
+
+def _listings(spark, sf):
+    d = table(spark, sf, "documents").select(F.concat(F.lit("doc/"), "doc_id").alias("rel_path"), "doc_id", F.sha2("text", 256).alias("hash"))
+    old = d.where("doc_id % 10 <> 2").select("rel_path", "hash")
+    new = d.where("doc_id % 10 <> 1").select("rel_path", F.when(F.col("doc_id") % 10 == 0, F.sha2(F.concat("hash", F.lit("!")), 256)).otherwise(F.col("hash")).alias("hash"))
+    return old, new
+
+
+@plain("SELECT 'doc/'||doc_id AS rel_path, CASE doc_id % 10 WHEN 0 THEN 'process' WHEN 1 THEN 'delete' WHEN 2 THEN 'process' ELSE 'skip' END AS action FROM documents")
+def incremental_file_diff(spark, sf):
+    old, new = _listings(spark, sf)
+    return merge.file_diff(new, old)
+
+
+def _reconciled(spark, sf, scope):
+    """Live: each order owned by its customer's file. Staged: files of even customers seen again, without their line-less orders.
+
+    The file list has customers 0 to 5 of every ten: of these, even ones were indexed again, and 3 was deleted.
+    """
+    g = graph(spark, sf)
+    o = g.nodes.where("source_file is not null and type = 'symbol'")
+    number = F.regexp_extract("rel_path", r"(\d+)$", 1).cast("long") % 10
+    owners = o.select(F.col("source_file").alias("rel_path"), "id", F.lit("r0").alias("run")).withColumn("k", number)
+    hashes = owners.select("rel_path", "k").distinct().withColumn("hash", F.sha2("rel_path", 256))
+    files = hashes.where("k <= 5").select("rel_path", F.when(F.col("k") % 2 == 0, "indexed").when(F.col("k") == 3, "deleted").otherwise("walked").alias("status"))
+    again = owners.where("k <= 5 and k % 2 = 0").join(o.where("kind = 'interface'").select("id"), "id", "left_semi").withColumn("run", F.lit("r1"))
+    nodes = o.select("id", "label")
+    edges = g.edges.where("type = 'calls'").join(nodes.select(F.col("id").alias("source_id")), "source_id", "left_semi").select("id", "source_id", "target_id")
+    live = merge.State(nodes, edges, owners.select("rel_path", "id", "run"), hashes.select("rel_path", "hash"))
+    staged = merge.State(nodes.join(again.select("id"), "id", "left_semi").withColumn("label", F.concat(F.lit("new "), "label")), edges.limit(0), again.select("rel_path", "id", "run"), files.where("status = 'indexed'").select("rel_path", F.lit("h1").alias("hash")))
+    out = merge.reconcile(live, staged, files, "r1", scope, check=False)
+    return (
+        out.nodes.select(F.lit("node").alias("what"), F.col("id").alias("key"), F.col("label").alias("value"))
+        .unionByName(out.edges.select(F.lit("edge").alias("what"), F.col("id").alias("key"), F.col("source_id").alias("value")))
+        .unionByName(out.owners.select(F.lit("owner").alias("what"), F.concat_ws("|", "rel_path", "id").alias("key"), F.col("run").alias("value")))
+        .unionByName(out.hashes.select(F.lit("hash").alias("what"), F.col("rel_path").alias("key"), F.col("hash").alias("value")))
+    )
+
+
+def _reconcile_sql(gone: str, kept: str) -> str:
+    return f"""{SQL}, o AS (SELECT id, label, kind, source_file AS f, regexp_extract(source_file, '([0-9]+)$', 1)::BIGINT % 10 AS k FROM nodes WHERE source_file IS NOT NULL AND type = 'symbol'),
+s AS (SELECT *, k <= 5 AND k % 2 = 0 AND kind = 'interface' AS again FROM o), l AS (SELECT * FROM s WHERE again OR NOT ({gone}))
+SELECT 'node' AS what, id AS key, CASE WHEN again THEN 'new '||label ELSE label END AS value FROM l
+UNION ALL SELECT 'edge', id, source_id FROM edges WHERE type = 'calls' AND source_id IN (SELECT id FROM l)
+UNION ALL SELECT 'owner', f||'|'||id, CASE WHEN again THEN 'r1' ELSE 'r0' END FROM l
+UNION ALL SELECT DISTINCT 'hash', f, CASE WHEN k <= 5 AND k % 2 = 0 THEN 'h1' ELSE sha256(f) END FROM o WHERE {kept}"""
+
+
+@query(_reconcile_sql("true", "k <= 5 AND k % 2 = 0"))
+def reconcile_full(spark, sf):
+    return _reconciled(spark, sf, "full")
+
+
+@query(_reconcile_sql("k > 5 OR k % 2 = 0", "k <= 5"))
+def reconcile_incremental(spark, sf):
+    return _reconciled(spark, sf, "incremental")
+
+
+@query(_reconcile_sql("k <= 5 AND (k % 2 = 0 OR k = 3)", "k <> 3"))
+def reconcile_paths(spark, sf):
+    return _reconciled(spark, sf, "paths")
+
+
+@query("SELECT 'node' AS what, id FROM nodes WHERE NOT (source_file IS NOT NULL AND type NOT IN ('namespace','concept') AND coalesce(kind,'') <> 'interface') UNION ALL SELECT 'edge', e.id FROM edges e WHERE NOT EXISTS (SELECT 1 FROM nodes n WHERE n.id IN (e.source_id, e.target_id) AND source_file IS NOT NULL AND type NOT IN ('namespace','concept') AND coalesce(kind,'') <> 'interface')")
+def prune_file_nodes(spark, sf):
+    g = graph(spark, sf)
+    nodes, edges = merge.prune_file(g.nodes, g.edges, g.nodes.where("kind = 'interface'"), g.nodes.where("source_file is not null"))
+    return nodes.select(F.lit("node").alias("what"), "id").unionByName(edges.select(F.lit("edge").alias("what"), "id"))
+
+
+def _writes(spark, sf):
+    e = table(spark, sf, "events")
+    op = F.element_at(F.lit(["node", "weight", "enrichment", "activation", "edge"]), (F.col("event_id") % 5 + 1).cast("int"))
+    return e.select(op.alias("op"), F.concat(F.lit("p"), F.col("user_id") % 5).alias("project_id"), F.concat(F.lit("u"), F.col("user_id")).alias("entity"), F.col("event_type").alias("payload"), F.col("event_id").alias("seq"), (F.col("event_id") % 3).alias("delta"))
+
+
+@plain("""WITH w AS (SELECT ['node','weight','enrichment','activation','edge'][event_id % 5 + 1] AS op, 'p'||(user_id % 5) AS project_id, 'u'||user_id AS entity, event_type AS payload, event_id AS seq, event_id % 3 AS delta FROM events)
+SELECT op, project_id, entity, arg_max(payload, seq) AS payload, max(seq) AS seq, sum(CASE WHEN op = 'weight' THEN delta ELSE 0 END)::BIGINT AS delta, list_position(['node','edge','iir','activation','weight','concept','plan','enrichment'], op) AS place FROM w WHERE op <> 'enrichment' GROUP BY op, project_id, entity
+UNION ALL SELECT op, project_id, entity, payload, seq, 0, 8 FROM w WHERE op = 'enrichment'""")
+def pending_dedup(spark, sf):
+    return merge.pending(_writes(spark, sf))
+
+
+@query("SELECT id, CASE WHEN type = 'file' THEN 'new '||label ELSE label END AS label, CASE WHEN type = 'concept' THEN 2 ELSE 1 END::BIGINT AS created_at FROM nodes")
+def upsert_nodes(spark, sf):
+    n = graph(spark, sf).nodes
+    old = n.where("type <> 'concept'").select("id", "label", F.lit(1).cast("long").alias("created_at"))
+    new = n.where("type in ('file', 'concept')").select("id", F.when(F.col("type") == "file", F.concat(F.lit("new "), "label")).otherwise(F.col("label")).alias("label"), F.lit(2).cast("long").alias("created_at"))
+    return merge.upsert(old, new, ["id"])
+
+
+@query("SELECT canonical_id, CASE WHEN count(DISTINCT coalesce(kind,'')) > 1 THEN 'kind' ELSE '' END || CASE WHEN count(DISTINCT project_id) > 1 THEN CASE WHEN count(DISTINCT coalesce(kind,'')) > 1 THEN ',' ELSE '' END || 'project_id' ELSE '' END AS columns FROM nodes GROUP BY canonical_id HAVING count(DISTINCT project_id) > 1 OR count(DISTINCT coalesce(kind,'')) > 1")
+def contribution_conflicts(spark, sf):
+    return merge.conflicts(graph(spark, sf).nodes, "canonical_id", ["kind", "project_id"])
+
+
+@plain("SELECT user_id AS unit, max(event_id) AS revision, arg_max(event_type, event_id) AS state FROM events GROUP BY user_id")
+def latest_revision(spark, sf):
+    e = table(spark, sf, "events").select(F.col("user_id").alias("unit"), F.col("event_id").alias("revision"), F.col("event_type").alias("state"))
+    return merge.latest(e, ["unit"], ["revision"])
+
+
+# -- intents ----------------------------------------------------------------------------------------------------------------
+
+
+def _sides(spark, sf):
+    """Per order what lines 1 to 3 declare and lines 2 on show: inputs, effects, failures."""
+    x = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("node_id"), "l_linenumber", F.concat(F.lit("a"), F.col("l_partkey") % 50).alias("name"), F.when(F.col("l_quantity") > 25, "int").otherwise("str").alias("type"), "l_linestatus", "l_returnflag")
+    first = x.groupBy("node_id", "name").agg(F.min_by("type", "l_linenumber").alias("t1"), F.min("l_linenumber").alias("lo"), F.max("l_linenumber").alias("hi"), F.max_by("type", "l_linenumber").alias("t2"))
+    a = first.where("lo <= 3").groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("name", F.col("t1").alias("type")))).alias("inputs_a"))
+    b = first.where("hi >= 2").groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("name", F.col("t2").alias("type")))).alias("inputs_b"))
+    basis = F.when(F.col("l_linestatus") == "F", "resolved").otherwise("heuristic")
+    sets = x.groupBy("node_id").agg(
+        F.array_sort(F.collect_set(F.when(F.col("l_linenumber") <= 1, F.struct(F.col("l_linestatus").alias("name"), basis.alias("basis"))))).alias("effects_a"),
+        F.array_sort(F.collect_set(F.when(F.col("l_linenumber") >= 2, F.struct(F.col("l_linestatus").alias("name"), basis.alias("basis"))))).alias("effects_b"),
+        F.array_sort(F.collect_set(F.when(F.col("l_linenumber") <= 3, F.col("l_returnflag")))).alias("failures_a"),
+        F.array_sort(F.collect_set(F.when(F.col("l_linenumber") >= 2, F.col("l_returnflag")))).alias("failures_b"),
+    )
+    return a.join(b, "node_id").join(sets, "node_id")
+
+
+def _listed(found: DataFrame) -> DataFrame:
+    return found.select("node_id", F.inline("f")).select("node_id", "kind", "severity", "path", "expected", "actual")
+
+
+SIDES = """WITH x AS (SELECT l_orderkey AS node_id, l_linenumber AS k, 'a'||(l_partkey % 50) AS name, CASE WHEN l_quantity > 25 THEN 'int' ELSE 'str' END AS t, l_linestatus AS e, l_returnflag AS r FROM lineitem),
+f AS (SELECT node_id, name, arg_min(t, k) AS t1, arg_max(t, k) AS t2, min(k) AS lo, max(k) AS hi FROM x GROUP BY ALL),
+ok AS (SELECT node_id FROM f GROUP BY node_id HAVING max(hi) >= 2 AND min(lo) <= 3),
+ef AS (SELECT node_id, e, max((k <= 1)::INT) AS a, max((k >= 2)::INT) AS b FROM x WHERE node_id IN (SELECT node_id FROM ok) GROUP BY ALL),
+fa AS (SELECT node_id, r, max((k <= 3)::INT) AS a, max((k >= 2)::INT) AS b FROM x WHERE node_id IN (SELECT node_id FROM ok) GROUP BY ALL),
+inp AS (SELECT node_id, 'missing_input' AS kind, 'error' AS severity, name AS path, name AS expected, NULL AS actual FROM f JOIN ok USING (node_id) WHERE lo <= 3 AND hi < 2
+ UNION ALL SELECT node_id, 'extra_input', 'error', name, NULL, name FROM f JOIN ok USING (node_id) WHERE lo > 3
+ UNION ALL SELECT node_id, 'input_type', 'error', name, t1, t2 FROM f JOIN ok USING (node_id) WHERE lo <= 3 AND hi >= 2 AND t1 <> t2),
+eff AS (SELECT node_id, 'undeclared_effect' AS kind, CASE WHEN e = 'F' THEN 'error' ELSE 'warning' END AS severity, e AS path, NULL AS expected, e AS actual FROM ef WHERE a = 0 AND b = 1
+ UNION ALL SELECT node_id, 'undetected_effect', 'error', e, e, NULL FROM ef WHERE a = 1 AND b = 0),
+fcount AS (SELECT node_id, sum((a = 0 AND b = 1)::INT) AS extra FROM fa GROUP BY 1),
+fail AS (SELECT node_id, 'undeclared_failure' AS kind, 'error' AS severity, r AS path, NULL AS expected, r AS actual FROM fa WHERE a = 0 AND b = 1
+ UNION ALL SELECT node_id, CASE WHEN extra > 0 THEN 'undetected_failure' ELSE 'unsupported_comparison' END, CASE WHEN extra > 0 THEN 'error' ELSE 'info' END, r, r, NULL FROM fa JOIN fcount USING (node_id) WHERE a = 1 AND b = 0)
+"""
+
+
+def _inputs(df):
+    return intents.compare_inputs(F.struct(F.col("inputs_a").alias("inputs")), F.struct(F.col("inputs_b").alias("inputs")), F.lit("python"))
+
+
+@plain(SIDES + "SELECT * FROM inp")
+def intent_compare_inputs(spark, sf):
+    df = _sides(spark, sf)
+    return _listed(df.withColumn("f", _inputs(df)))
+
+
+@plain(SIDES + "SELECT * FROM eff")
+def intent_compare_effects(spark, sf):
+    return _listed(_sides(spark, sf).withColumn("f", intents.compare_effects(F.col("effects_a"), F.col("effects_b"))))
+
+
+@plain(SIDES + "SELECT * FROM fail")
+def intent_compare_failures(spark, sf):
+    return _listed(_sides(spark, sf).withColumn("f", intents.compare_failures(F.col("failures_a"), F.col("failures_b"))))
+
+
+@plain(SIDES + """, every AS (SELECT * FROM inp UNION ALL SELECT * FROM eff UNION ALL SELECT * FROM fail)
+SELECT node_id, CASE WHEN count_if(severity = 'error') > 0 THEN 'failed' WHEN count_if(kind = 'unsupported_comparison') > 0 THEN 'inconclusive' ELSE 'passed' END AS verdict, count(kind) AS findings FROM ok LEFT JOIN every USING (node_id) GROUP BY node_id""")
+def intent_verdict(spark, sf):
+    df = _sides(spark, sf)
+    found = F.concat(_inputs(df), intents.compare_effects(F.col("effects_a"), F.col("effects_b")), intents.compare_failures(F.col("failures_a"), F.col("failures_b")))
+    return df.withColumn("f", found).select("node_id", intents.verdict(F.col("f")).alias("verdict"), F.size("f").cast("long").alias("findings"))
+
+
+@plain("""WITH o AS (SELECT o_orderkey AS node_id, o_orderstatus <> 'P' AS public, o_orderstatus = 'F' AS fails, o_orderkey % 3 = 0 AS explicit, o_orderkey % 4 <> 0 AS effects, o_orderkey % 2 = 0 AS result FROM orders)
+SELECT node_id, 'explicit-return' AS rule, CASE WHEN NOT public THEN 'skipped' WHEN explicit THEN 'passed' ELSE 'warned' END AS status FROM o
+UNION ALL SELECT node_id, 'effects-declared', CASE WHEN NOT public THEN 'skipped' WHEN effects THEN 'passed' ELSE 'failed' END FROM o
+UNION ALL SELECT node_id, 'failures-as-result', CASE WHEN NOT fails THEN 'skipped' WHEN result THEN 'passed' ELSE 'failed' END FROM o""")
+def rule_evaluation(spark, sf):
+    k = F.col("o_orderkey")
+    o = table(spark, sf, "orders").select(
+        k.alias("node_id"), F.when(F.col("o_orderstatus") != "P", "public").otherwise("private").alias("visibility"),
+        F.when(F.col("o_orderstatus") == "F", F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("failures"),
+        F.struct((k % 3 == 0).alias("explicit"), F.when(k % 2 == 0, "Result<int>").otherwise("int").alias("type")).alias("returns"),
+        F.when(k % 4 != 0, F.array().cast("array<string>")).alias("effects"),
+    )
+    return intents.evaluate_rules(o)
+
+
+@plain("SELECT l_orderkey, l_linenumber, l_quantity > 25 AND l_returnflag = 'A' AS fits FROM lineitem")
+def condition_shape_match(spark, sf):
+    x = table(spark, sf, "lineitem")
+    node = lambda i, p, op, text: F.struct(F.lit(i).alias("id"), F.lit(p).alias("parent"), op.alias("op"), text.alias("text"))
+    nodes = F.array(node(0, -1, F.lit("and"), F.lit("")), node(1, 0, F.when(F.col("l_quantity") > 25, "==").otherwise("<"), F.lit("")), node(2, 1, F.lit("literal"), F.when(F.col("l_returnflag") == "A", "null").otherwise("1")))
+    return x.select("l_orderkey", "l_linenumber", intents.has_shape(nodes, ["==", "!="], "null").alias("fits"))
+
+
+@plain("""SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'any' WHEN 1 THEN replace(p_brand, ' ', '')||'[]' ELSE 'list['||replace(p_brand, ' ', '')||']|None' END AS name FROM part""")
+def canonical_types(spark, sf):
+    p, k = table(spark, sf, "part"), F.col("p_size") % 3
+    language = F.when(k == 0, "go").when(k == 1, "typescript").otherwise("python")
+    name = F.when(k == 0, F.lit("interface {}")).when(k == 1, F.concat(F.lit("Array< "), "p_brand", F.lit(">"))).otherwise(F.concat(F.lit("Optional[List["), "p_brand", F.lit("]]")))
+    return p.select("p_partkey", ids.canonical_type(language, name).alias("name"))
+
+
+@plain("""WITH e AS (SELECT event_id, event_type||'.'||(['http','saveQuery','readFile','logger','noop','storeItem'])[event_id % 6 + 1] AS name FROM events),
+k AS (SELECT *, lower(name) AS l FROM e), c AS (SELECT event_id, name, l, CASE WHEN regexp_matches(l, 'http|fetch|request|socket|grpc|publish|send') THEN 'network' WHEN regexp_matches(l, 'sql|query|insert|update|delete|repo|db\\.') THEN 'db' WHEN regexp_matches(l, 'file|write|read|open|print') THEN 'io' WHEN regexp_matches(l, 'log|logger|console') THEN 'log' END AS effect FROM k)
+SELECT event_id, name, effect, CASE WHEN effect IS NOT NULL THEN 'resolved' WHEN regexp_matches(l, 'save|create|set|put|add|remove|store|emit') THEN 'heuristic' ELSE 'unclassified' END AS basis FROM c""")
+def effect_classify(spark, sf):
+    calls = ["http", "saveQuery", "readFile", "logger", "noop", "storeItem"]
+    e = table(spark, sf, "events").select("event_id", F.concat_ws(".", "event_type", F.element_at(F.lit(calls), (F.col("event_id") % 6 + 1).cast("int"))).alias("name"))
+    return e.select("event_id", "name", ids.effect_kind(F.col("name")).alias("effect"), ids.effect_basis(F.col("name")).alias("basis"))
+
+
+# -- semantic records -------------------------------------------------------------------------------------------------------
+
+CANDIDATES = """want AS (SELECT DISTINCT canonical_id AS q FROM nodes WHERE type = 'namespace' UNION SELECT DISTINCT label FROM nodes WHERE type = 'concept' UNION SELECT 'nothing at all'),
+named AS (SELECT q, id FROM want JOIN nodes ON lower(q) = lower(label)),
+cand AS (SELECT q AS query, id, max(s) AS score FROM (SELECT q, id, 1.0::DOUBLE AS s FROM want JOIN nodes ON q = canonical_id UNION ALL SELECT q, source_id, 0.85 FROM named JOIN edges ON named.id = target_id UNION ALL SELECT q, id, 0.6 FROM named) GROUP BY ALL)"""
+
+
+def _wanted(spark, g):
+    a = g.nodes.where("type = 'namespace'").select(F.col("canonical_id").alias("query")).unionByName(g.nodes.where("type = 'concept'").select(F.col("label").alias("query")))
+    return a.unionByName(spark.createDataFrame([("nothing at all",)], "query string")).distinct()
+
+
+@query(f"{SQL}, {CANDIDATES} SELECT * FROM cand")
+def resolve_candidates(spark, sf):
+    g = graph(spark, sf)
+    return semantic.resolution_candidates(g, _wanted(spark, g))
+
+
+@query(f"""{SQL}, {CANDIDATES}, best AS (SELECT query, max(score) AS score FROM cand GROUP BY 1), top AS (SELECT query, score, count(*) AS n, min(id) AS id FROM cand JOIN best USING (query, score) GROUP BY ALL)
+SELECT q AS query, CASE WHEN score IS NULL THEN 'missing' WHEN score < 0.8 THEN 'incompatible' WHEN n > 1 THEN 'ambiguous' ELSE 'resolved' END AS outcome, CASE WHEN n = 1 AND score >= 0.8 THEN id END AS id FROM want LEFT JOIN top ON q = query""")
+def resolve_outcomes(spark, sf):
+    g = graph(spark, sf)
+    wanted = _wanted(spark, g)
+    return semantic.resolve(semantic.resolution_candidates(g, wanted), wanted)
+
+
+@query("""SELECT DISTINCT source_id AS node, 'dependency:'||target_id AS claim FROM edges WHERE type IN ('calls','imports') UNION SELECT target_id, 'caller:'||source_id FROM edges WHERE type = 'calls'
+UNION SELECT id, 'boundary.'||b FROM (SELECT id, CASE WHEN regexp_matches(lower(canonical_id), 'repo|store|parts/') THEN 'repository' WHEN regexp_matches(lower(canonical_id), 'publish|dispatch|event') THEN 'publisher' WHEN regexp_matches(lower(canonical_id), 'provider|client|supplier') THEN 'provider' END AS b FROM nodes) WHERE b IS NOT NULL""")
+def enrich_claims(spark, sf):
+    return semantic.claims(graph(spark, sf))
+
+
+POLICIES = [("pol-a", 1, 5, None, ["O"], []), ("pol-b", 1, 2, "l0", [], ["F"]), ("pol-c", 0, 9, None, [], ["F", "O"]), ("pol-d", 2, 1, "l1", ["P"], [])]
+
+
+@plain("""WITH u AS (SELECT o_custkey AS unit, 'l'||(o_custkey % 2) AS language, max((o_orderstatus='O')::INT) AS o, max((o_orderstatus='F')::INT) AS f, max((o_orderstatus='P')::INT) AS p FROM orders GROUP BY ALL),
+m AS (SELECT unit, 'pol-a' AS id, 1 AS phase, 5 AS priority FROM u WHERE o = 1 UNION ALL SELECT unit, 'pol-b', 1, 2 FROM u WHERE language = 'l0' AND f = 1 UNION ALL SELECT unit, 'pol-c', 0, 9 FROM u WHERE f = 1 AND o = 1 UNION ALL SELECT unit, 'pol-d', 2, 1 FROM u WHERE language = 'l1' AND p = 1)
+SELECT unit, id, row_number() OVER (PARTITION BY unit ORDER BY phase, priority, id) AS place FROM m""")
+def policy_selection(spark, sf):
+    units = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("unit")).agg(F.collect_set("o_orderstatus").alias("kinds")).withColumn("language", F.concat(F.lit("l"), F.col("unit") % 2))
+    return semantic.select_policies(units, spark.createDataFrame(POLICIES, "id string, phase int, priority int, language string, any_of array<string>, all_of array<string>"))
+
+
+@plain("SELECT doc_id, CASE doc_id % 10 WHEN 0 THEN 'changed' WHEN 1 THEN 'removed' ELSE 'added' END AS change FROM documents WHERE doc_id % 10 < 3")
+def semantic_diff(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("v"))
+    b = d.where("doc_id % 10 <> 1").withColumn("v", F.when(F.col("doc_id") % 10 == 0, F.concat("v", F.lit("!"))).otherwise(F.col("v")))
+    return semantic.record_diff(d.where("doc_id % 10 <> 2"), b, ["doc_id"], "v")
+
+
+@plain("""WITH r AS (SELECT l_orderkey AS unit, l_returnflag AS name FROM lineitem WHERE l_linenumber <= 2), h AS (SELECT DISTINCT l_orderkey AS unit, l_returnflag AS name FROM lineitem WHERE l_linenumber >= 2),
+c AS (SELECT unit, count_if(h.name IS NULL) AS missing FROM r LEFT JOIN h USING (unit, name) GROUP BY unit)
+SELECT unit, missing, CASE WHEN missing > 0 AND o_orderstatus <> 'F' THEN 'inconclusive' WHEN missing > 0 THEN 'failed' ELSE 'passed' END AS status FROM c JOIN orders ON o_orderkey = unit""")
+def semantic_verify(spark, sf):
+    x = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("unit"), F.lit("effect").alias("kind"), F.col("l_returnflag").alias("name"), "l_linenumber")
+    cover = table(spark, sf, "orders").select(F.col("o_orderkey").alias("unit"), F.when(F.col("o_orderstatus") == "F", "modeled").otherwise("partial").alias("coverage"))
+    return semantic.verify_required(x.where("l_linenumber <= 2"), x.where("l_linenumber >= 2"), cover)
+
+
+@plain("SELECT l_orderkey AS node_id, 'branch:'||l_linenumber AS target, true AS covered FROM lineitem UNION ALL SELECT DISTINCT l_orderkey, 'effect:'||l_linestatus, false FROM lineitem UNION ALL SELECT DISTINCT l_orderkey, 'failure:'||l_returnflag, true FROM lineitem")
+def test_plan_coverage(spark, sf):
+    x = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("node_id")).agg(F.collect_list(F.col("l_linenumber").cast("string")).alias("behavior"), F.collect_set("l_linestatus").alias("effects"), F.collect_set("l_returnflag").alias("failures"))
+    return semantic.test_plan(x)
+
+
+@plain("SELECT user_id AS unit, 'q1' AS question FROM (SELECT user_id, max(event_id) AS m FROM events GROUP BY 1) UNION ALL SELECT user_id, 'q2' FROM (SELECT user_id, max(event_id) AS m FROM events GROUP BY 1) WHERE m % 2 = 0")
+def unresolved_questions(spark, sf):
+    e = table(spark, sf, "events")
+    second = F.when(F.col("event_id") % 2 == 0, F.lit(None).cast("string")).otherwise(F.lit("yes"))
+    q = F.to_json(F.array(F.struct(F.lit("q1").alias("id"), F.lit(None).cast("string").alias("answer")), F.struct(F.lit("q2").alias("id"), second.alias("answer"))))
+    return semantic.open_questions(e.select(F.col("user_id").alias("unit"), F.col("event_id").alias("revision"), q.alias("questions")))
+
+
+# -- streams and logs -------------------------------------------------------------------------------------------------------
+
+
+@plain("""WITH c AS (SELECT 'p'||(user_id % 5) AS project, 'user-'||user_id AS path, ts FROM events), g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS new FROM c WINDOW w AS (PARTITION BY project ORDER BY ts)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY project ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT project, min(ts) AS start, max(ts) + INTERVAL 10 MINUTE AS "end", count(*) AS n, count(DISTINCT path) AS paths FROM s GROUP BY project, k""")
+def debounce_sessions(spark, sf):
+    found = watch.debounce(watch.changes(table(spark, sf, "events")), "10 minutes")
+    return found.select("project", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n", F.col("paths").cast("long").alias("paths"))
+
+
+@plain("""SELECT 'p'||(user_id % 5) AS project, 'user-'||user_id AS path, CASE arg_max(event_type, (ts, event_id)) WHEN 'click' THEN 'write' WHEN 'view' THEN 'write' WHEN 'signup' THEN 'create' WHEN 'purchase' THEN 'rename' WHEN 'error' THEN 'remove' END AS kind, max(ts) AS ts FROM events GROUP BY user_id""")
+def file_event_latest(spark, sf):
+    return watch.last_changes(watch.changes(table(spark, sf, "events"))).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@plain("SELECT conv_id, count(*) AS turns, max(turn) AS last_turn, arg_max(role, turn) AS last_role FROM conversations GROUP BY conv_id")
+def session_turns(spark, sf):
+    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.max("turn").alias("last_turn"), F.max_by("role", "turn").alias("last_role"))
+
+
+@plain("SELECT event_id, user_id, event_type FROM events WHERE ts BETWEEN (SELECT min(ts) FROM events) + INTERVAL 1 DAY AND (SELECT min(ts) FROM events) + INTERVAL 20 DAY")
+def audit_range(spark, sf):
+    e = table(spark, sf, "events")
+    first = e.agg(F.min("ts")).first()[0]
+    at = lambda days: F.lit(first).cast("timestamp_ntz") + F.expr(f"INTERVAL {days} DAY")
+    return semantic.audit_range(e, at(1), at(20)).select("event_id", "user_id", "event_type")
+
+
+@plain("SELECT conv_id AS session, sum(strlen(text) // 4 + 1)::BIGINT AS tokens, (sum(strlen(text) // 4 + 1) * 3)::BIGINT AS cost, round(sum(strlen(text) // 4 + 1) / 1000.0, 9)::DOUBLE AS share, sum(strlen(text) // 4 + 1) >= 850 AS stop FROM conversations GROUP BY conv_id")
+def budget_rollup(spark, sf):
+    turns = table(spark, sf, "conversations").select(F.col("conv_id").alias("session"), ids.token_estimate(F.col("text")).alias("tokens"))
+    return semantic.budget(turns, 3, 1000).withColumn("share", F.round("share", 9))
+
+
+@plain("SELECT event_type AS phase, count(*) AS n, sum(event_id % 1000)::BIGINT AS total, min(event_id % 1000) AS least, max(event_id % 1000) AS most FROM events GROUP BY 1")
+def phase_profile(spark, sf):
+    return semantic.phase_profile(table(spark, sf, "events"), "event_type", F.col("event_id") % 1000)
+
+
+@query("SELECT type AS kind, count(*) AS expected, count_if(exported IS NOT FALSE) AS matched, round(100.0 * count_if(exported IS NOT FALSE) / count(*), 6)::DOUBLE AS percent FROM nodes GROUP BY type")
+def extraction_coverage(spark, sf):
+    n = graph(spark, sf).nodes.select(F.col("type").alias("kind"), F.col("id").alias("key"), "exported")
+    return semantic.extraction_coverage(n.drop("exported"), n.where("exported is null or exported").drop("exported"))
+
+
+@query("SELECT project_id, canonical_id, CASE WHEN type = 'file' THEN 'removed' ELSE 'added' END AS change FROM nodes WHERE type IN ('file', 'concept')")
+def extraction_diff(spark, sf):
+    n = graph(spark, sf).nodes
+    return semantic.record_diff(n.where("type <> 'concept'"), n.where("type <> 'file'"), ["project_id", "canonical_id"], "label")
