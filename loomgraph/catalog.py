@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import ids
-from .operators import activation, intents, merge, org, reads, search, semantic, traverse
-from .sources import tables
+from .operators import activation, analyzers, intents, merge, org, reads, search, semantic, traverse
+from .sources import extract, tables
 from .sources.tables import SQL, graph, table
 from .streaming import watch
 
@@ -226,34 +226,34 @@ def _spread(spark, sf):
     return activation.spread(g, g.activation.select(F.col("node_id").alias("set"), F.col("node_id").alias("id"), F.lit(1.0).alias("activation")))
 
 
-@query(f'{SQL}, {SPREAD} SELECT "set", id, round(activation, 9) AS activation FROM spread')
+@query(f'{SQL}, {SPREAD} SELECT "set", id, activation FROM spread')
 def spread_activation(spark, sf):
-    return _spread(spark, sf).select("set", "id", F.round("activation", 9).alias("activation"))
+    return _spread(spark, sf)
 
 
-@query(f"""{SQL}, {SPREAD} SELECT id, n, round(best, 9) AS best, CASE WHEN best >= 0.8 THEN 'high' WHEN best >= 0.56 THEN 'medium' ELSE 'low' END AS confidence
+@query(f"""{SQL}, {SPREAD} SELECT id, n, best, CASE WHEN best >= 0.8 THEN 'high' WHEN best >= 0.56 THEN 'medium' ELSE 'low' END AS confidence
 FROM (SELECT id, count(*) AS n, max(activation) AS best FROM spread GROUP BY ALL)""")
 def activation_reach(spark, sf):
     found = _spread(spark, sf).groupBy("id").agg(F.count("*").alias("n"), F.max("activation").alias("best"))
-    return found.select("id", "n", F.round("best", 9).alias("best"), ids.activation_confidence(F.col("best")).alias("confidence"))
+    return found.select("id", "n", "best", ids.activation_confidence(F.col("best")).alias("confidence"))
 
 
 HEBB = """a AS (SELECT node_id AS id, activation FROM acts UNION ALL SELECT id, 0.7 FROM nodes WHERE type IN ('concept', 'file') OR canonical_id LIKE 'parts/%:%'),
 hit AS (SELECT e.id AS edge_id, greatest(0.01, least(1.0, coalesce(w.weight, 1.0) + 0.1 * s.activation * t.activation)) AS weight FROM edges e JOIN a s ON s.id = e.source_id JOIN a t ON t.id = e.target_id LEFT JOIN weights w ON w.edge_id = e.id)"""
 
 
-@query(f"""{SQL}, {HEBB} SELECT edge_id, round(weight, 9) AS weight, 1 AS co_activations FROM hit UNION ALL
-SELECT edge_id, round(greatest(0.01, weight * 0.99), 9), 0 FROM weights WHERE edge_id NOT IN (SELECT edge_id FROM hit)""")
+@query(f"""{SQL}, {HEBB} SELECT edge_id, weight, 1 AS co_activations FROM hit UNION ALL
+SELECT edge_id, greatest(0.01, weight * 0.99), 0 FROM weights WHERE edge_id NOT IN (SELECT edge_id FROM hit)""")
 def hebbian_update(spark, sf):
     g = graph(spark, sf)
     other = g.nodes.where("type in ('concept', 'file') or canonical_id like 'parts/%:%'").select("id", F.lit(0.7).alias("activation"))
     anchors = g.activation.select(F.col("node_id").alias("id"), "activation").unionByName(other)
-    return activation.hebbian(g, anchors).select("edge_id", F.round("weight", 9).alias("weight"), "co_activations")
+    return activation.hebbian(g, anchors).select("edge_id", "weight", "co_activations")
 
 
-@query("SELECT edge_id, round(greatest(0.01, weight * 0.99), 9) AS weight FROM weights")
+@query("SELECT edge_id, greatest(0.01, weight * 0.99) AS weight FROM weights")
 def weight_decay(spark, sf):
-    return activation.fade(graph(spark, sf).weights).select("edge_id", F.round("weight", 9).alias("weight"))
+    return activation.fade(graph(spark, sf).weights).select("edge_id", "weight")
 
 
 @query("SELECT node_id, 0.0::DOUBLE AS activation, activation AS peak FROM acts")
@@ -261,10 +261,10 @@ def activation_reset(spark, sf):
     return activation.reset(graph(spark, sf).activation)
 
 
-@query("SELECT node_id, round(activation * 0.5, 9) AS activation, activation AS peak FROM acts")
+@query("SELECT node_id, activation * 0.5 AS activation, activation AS peak FROM acts")
 def activation_merge(spark, sf):
     a = graph(spark, sf).activation
-    return activation.merge_activation(a, a.withColumn("activation", F.round(F.col("activation") * 0.5, 9)))
+    return activation.merge_activation(a, a.withColumn("activation", F.col("activation") * 0.5))
 
 
 @query("""SELECT 'p'||p AS project_id, anchor, id, activation FROM (
@@ -713,3 +713,82 @@ def extraction_coverage(spark, sf):
 def extraction_diff(spark, sf):
     n = graph(spark, sf).nodes
     return semantic.record_diff(n.where("type <> 'concept'"), n.where("type <> 'file'"), ["project_id", "canonical_id"], "label")
+
+
+# -- extraction -------------------------------------------------------------------------------------------------------------
+
+
+def _sources(spark, sf) -> DataFrame:
+    """One Python module per part: a function that raises, branches and returns."""
+    p = table(spark, sf, "part")
+    lines = ["import os.path", "from .shared import helper", "LIMIT = 1", "", "def part_{k}(size: int, name) -> str:", "    if size > {n}:", "        raise ValueError('too_big')", "    elif size == 0:", "        return 'none'", "    else:", "        logger.info(name)", "    return '{b}'", "", "class Part{k}(Base):", "    def _hidden(self):", "        raise"]
+    text = F.lit("\n".join(lines))
+    for mark, col in (("{k}", "p_partkey"), ("{n}", "p_size"), ("{b}", "p_brand")):
+        text = F.replace(text, F.lit(mark), F.col(col).cast("string"))
+    return p.select(F.concat(F.lit("parts/m"), "p_partkey", F.lit(".py")).alias("rel_path"), F.lit("python").alias("language"), text.alias("content"))
+
+
+@plain("""SELECT 'parts/m'||p_partkey||'.py' AS rel_path, type, replace(replace(canonical, '@', 'parts.m'||p_partkey), '#', p_partkey::VARCHAR) AS canonical_id, kind, exported, line_start FROM part,
+(VALUES ('namespace', '@', 'module', NULL::BOOLEAN, NULL::INT), ('namespace', 'os.path', 'import', NULL, 1), ('namespace', 'parts.shared', 'relative', NULL, 2), ('symbol', '@:LIMIT', 'constant', true, 3), ('symbol', '@:part_#', 'function', true, 5), ('symbol', '@:Part#', 'class', true, 14), ('symbol', '@:Part#._hidden', 'method', false, 15)) v(type, canonical, kind, exported, line_start)""")
+def extract_python(spark, sf):
+    return extract.python_symbols(_sources(spark, sf)).where("type <> 'file'").select("rel_path", "type", "canonical_id", "kind", "exported", "line_start")
+
+
+@plain("""SELECT 'part_'||p_partkey AS name, 'public' AS visibility, 'size:int,name:unknown' AS inputs, 'str' AS returns, 'size > '||p_size||'=>throw|size == 0=>return|else=>' AS behavior, 'logger.info:resolved' AS effects, 'too_big:constructed' AS failures FROM part
+UNION ALL SELECT '_hidden', 'private', '', '', '', '', 'propagated:propagated' FROM part""")
+def lift_python(spark, sf):
+    pairs = lambda c, a, b: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x[a], x[b])), ",")
+    behavior = F.array_join(F.transform("behavior", lambda x: F.concat(x["when"], F.lit("=>"), F.coalesce(x["then_op"], F.lit("")))), "|")
+    return extract.python_intents(_sources(spark, sf)).select("name", "visibility", pairs("inputs", "name", "type").alias("inputs"), F.col("returns.type").alias("returns"), behavior.alias("behavior"), pairs("effects", "name", "basis").alias("effects"), pairs("failures", "code", "kind").alias("failures"))
+
+
+@plain("""SELECT l_orderkey AS node_id, kind, path FROM (SELECT l_orderkey, count(*) AS n, count_if(l_linenumber <= 3) AS a FROM lineitem GROUP BY 1) JOIN lineitem USING (l_orderkey),
+(VALUES ('behavior', '')) v(kind, x), (SELECT 'behavior/0' AS path) WHERE l_linenumber = 1 AND l_quantity > 25""")
+def intent_behavior(spark, sf):
+    x = table(spark, sf, "lineitem").where("l_linenumber = 1")
+    branch = lambda when: F.array(F.struct(when.alias("when_expr"), F.lit("return").alias("then_op"), F.lit("1").alias("then_value")))
+    a, b = branch(F.lit("q")), branch(F.when(F.col("l_quantity") > 25, "r").otherwise("q"))
+    return x.select(F.col("l_orderkey").alias("node_id"), F.inline(intents.compare_behaviour(a, b))).select("node_id", "kind", "path")
+
+
+IMPLEMENTS = """WITH m AS (SELECT DISTINCT 'p'||(l_orderkey % 100) AS package, 'S'||l_suppkey AS owner, 'm'||(l_partkey % 10) AS method FROM lineitem), i AS (SELECT DISTINCT 'p'||(o_orderkey % 100) AS package, 'I'||(o_orderkey % 7) AS interface, 'm'||(o_custkey % 10) AS method FROM orders),
+z AS (SELECT package, interface, count(*) AS wanted FROM i GROUP BY ALL)"""
+
+
+@plain(IMPLEMENTS + " SELECT package, owner AS type, interface, CASE WHEN count(*) = any_value(wanted) THEN 'structural' ELSE 'speculative' END AS source_class FROM m JOIN i USING (package, method) JOIN z USING (package, interface) GROUP BY ALL")
+def method_set_implements(spark, sf):
+    name = lambda p, c: F.concat(F.lit(p), c)
+    m = table(spark, sf, "lineitem").select(name("p", F.col("l_orderkey") % 100).alias("package"), name("S", F.col("l_suppkey")).alias("owner"), name("m", F.col("l_partkey") % 10).alias("method"))
+    i = table(spark, sf, "orders").select(name("p", F.col("o_orderkey") % 100).alias("package"), name("I", F.col("o_orderkey") % 7).alias("interface"), name("m", F.col("o_custkey") % 10).alias("method"))
+    return analyzers.implementations(m, i)
+
+
+@plain("""WITH f AS (SELECT 'a/d'||(p_partkey % 5)||'/f'||p_partkey||CASE p_partkey % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '/index.ts' ELSE '.js' END AS rel_path FROM part), i AS (SELECT 'a/x/g'||l_orderkey||'.ts' AS from_path, '../d'||(l_partkey % 5)||'/f'||l_partkey AS spec FROM lineitem)
+SELECT DISTINCT from_path, spec, rel_path AS to_path FROM i JOIN f ON rel_path IN ('a/'||substr(spec, 4)||'.ts', 'a/'||substr(spec, 4)||'/index.ts', 'a/'||substr(spec, 4)||'.js')""")
+def relative_import_resolution(spark, sf):
+    k = F.col("p_partkey")
+    files = table(spark, sf, "part").select(F.concat(F.lit("a/d"), k % 5, F.lit("/f"), k, F.when(k % 3 == 0, ".ts").when(k % 3 == 1, "/index.ts").otherwise(".js")).alias("rel_path"))
+    x = table(spark, sf, "lineitem").select(F.concat(F.lit("a/x/g"), "l_orderkey", F.lit(".ts")).alias("from_path"), F.concat(F.lit("../d"), F.col("l_partkey") % 5, F.lit("/f"), F.col("l_partkey")).alias("spec"))
+    return analyzers.relative_imports(x.distinct(), files)
+
+
+@plain("""SELECT DISTINCT 'pkg'||(o_custkey % 50) AS from_package, 'host.org/lib'||(l_partkey % 30) AS "to" FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey % 2 = 0""")
+def package_dependencies(spark, sf):
+    path = lambda c: F.concat(F.lit("f"), F.col(c)).alias("rel_path")
+    packages = table(spark, sf, "orders").select(path("o_orderkey"), F.concat(F.lit("pkg"), F.col("o_custkey") % 50).alias("label"))
+    k = F.col("l_partkey")
+    imports = table(spark, sf, "lineitem").select(path("l_orderkey"), F.concat(F.when(k % 2 == 0, "host.org/lib").otherwise("std/lib"), k % 30).alias("label"))
+    return analyzers.package_imports(packages, imports)
+
+
+@plain("""WITH c AS (SELECT s_suppkey AS id, 'C'||(s_suppkey % 40) AS label, s_suppkey AS ord, s_nationkey FROM supplier), k AS (SELECT label, arg_max(id, ord) AS base_id FROM c GROUP BY 1)
+SELECT id, 'pkg.C'||s_nationkey AS base, base_id FROM c JOIN k ON k.label = 'C'||s_nationkey WHERE id <> base_id""")
+def class_hierarchy(spark, sf):
+    k = F.col("s_suppkey")
+    return analyzers.class_hierarchy(table(spark, sf, "supplier").select(k.alias("id"), F.concat(F.lit("C"), k % 40).alias("label"), F.array(F.concat(F.lit("pkg.C"), "s_nationkey")).alias("bases"), k.alias("ord")))
+
+
+@plain("""SELECT 'e'||(user_id) AS edge_id, arg_max(value, event_id) AS weight, arg_max(event_type, event_id) AS source_class, (count(*) + 1)::BIGINT AS co_activations FROM events WHERE value IS NOT NULL GROUP BY user_id""")
+def weight_accumulation(spark, sf):
+    e = table(spark, sf, "events").where("value is not null").select(F.concat(F.lit("e"), "user_id").alias("edge_id"), F.col("value").alias("weight"), F.col("event_type").alias("source_class"), F.lit(1).cast("long").alias("co_activations"), F.col("event_id").alias("seq"))
+    return merge.accumulate_weights(e.groupBy("edge_id").agg(F.lit(0.5).alias("weight"), F.lit("structural").alias("source_class"), F.lit(1).cast("long").alias("co_activations")), e)
