@@ -15,4 +15,16 @@ from .topk import op8_topk
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_files, op3_quality, op4_fingerprints, op5_mixing, op6_language_id, op7_pii, op8_topk, op9_substrings, op10_simhash)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_topk": """WITH v AS (SELECT vec_id, min(list_transform(embedding, lambda x: floor(256 * x::DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id),
+s AS (SELECT q.vec_id AS query_id, d.vec_id, list_dot_product(q.e, d.e)::BIGINT AS score FROM v q JOIN v d ON q.vec_id <> d.vec_id AND len(q.e) = len(d.e) WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+    "op9_substrings": r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+g AS (SELECT doc_id, t.i, array_to_string(w[t.i:t.i + 12], ' ') AS g FROM d, unnest(range(1, len(w) - 11)) AS t(i)),
+m AS (SELECT g, min(doc_id) AS first FROM g GROUP BY g),
+gone AS (SELECT DISTINCT g.doc_id, g.i + r.k AS i FROM g JOIN m USING (g), range(0, 13) AS r(k) WHERE m.first < g.doc_id),
+x AS (SELECT doc_id, t.i, w[t.i] AS word FROM d, unnest(range(1, len(w) + 1)) AS t(i)),
+k AS (SELECT x.doc_id, string_agg(x.word, ' ' ORDER BY x.i) AS kept, count(*) AS n FROM x LEFT JOIN gone USING (doc_id, i) WHERE gone.i IS NULL GROUP BY x.doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, len(d.w) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
+}
