@@ -107,7 +107,7 @@ def edges_to(spark, sf):
     return reads.edges_to(g, g.nodes.where("type = 'concept'")).select(*EDGE)
 
 
-@query(f"SELECT * FROM ({W}) e WHERE EXISTS (SELECT 1 FROM edges p WHERE p.type = 'calls' AND ((p.source_id = e.target_id AND p.target_id = e.source_id) OR (p.source_id = e.source_id AND p.target_id = e.target_id)))")
+@query(f"SELECT * FROM ({W}) e WHERE least(source_id, target_id)||greatest(source_id, target_id) IN (SELECT least(source_id, target_id)||greatest(source_id, target_id) FROM edges WHERE type = 'calls')")
 def edges_between(spark, sf):
     g = graph(spark, sf)
     return reads.edges_between(g, g.edges.where("type = 'calls'").select(F.col("target_id").alias("a"), F.col("source_id").alias("b"))).select(*EDGE)
@@ -490,7 +490,7 @@ def latest_revision(spark, sf):
 def _sides(spark, sf):
     """Per order what lines 1 to 3 declare and lines 2 on show: inputs, effects, failures."""
     x = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("node_id"), "l_linenumber", F.concat(F.lit("a"), F.col("l_partkey") % 50).alias("name"), F.when(F.col("l_quantity") > 25, "int").otherwise("str").alias("type"), "l_linestatus", "l_returnflag")
-    first = x.groupBy("node_id", "name").agg(F.min_by("type", "l_linenumber").alias("t1"), F.min("l_linenumber").alias("lo"), F.max("l_linenumber").alias("hi"), F.max_by("type", "l_linenumber").alias("t2"))
+    first = x.groupBy("node_id", "name").agg(F.min_by("type", F.struct("l_linenumber", "type")).alias("t1"), F.min("l_linenumber").alias("lo"), F.max("l_linenumber").alias("hi"), F.max_by("type", F.struct("l_linenumber", "type")).alias("t2"))
     a = first.where("lo <= 3").groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("name", F.col("t1").alias("type")))).alias("inputs_a"))
     b = first.where("hi >= 2").groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("name", F.col("t2").alias("type")))).alias("inputs_b"))
     basis = F.when(F.col("l_linestatus") == "F", "resolved").otherwise("heuristic")
@@ -508,7 +508,7 @@ def _listed(found: DataFrame) -> DataFrame:
 
 
 SIDES = """WITH x AS (SELECT l_orderkey AS node_id, l_linenumber AS k, 'a'||(l_partkey % 50) AS name, CASE WHEN l_quantity > 25 THEN 'int' ELSE 'str' END AS t, l_linestatus AS e, l_returnflag AS r FROM lineitem),
-f AS (SELECT node_id, name, arg_min(t, k) AS t1, arg_max(t, k) AS t2, min(k) AS lo, max(k) AS hi FROM x GROUP BY ALL),
+f AS (SELECT node_id, name, arg_min(t, k * 2 + (t = 'str')::INT) AS t1, arg_max(t, k * 2 + (t = 'str')::INT) AS t2, min(k) AS lo, max(k) AS hi FROM x GROUP BY ALL),
 ok AS (SELECT node_id FROM f GROUP BY node_id HAVING max(hi) >= 2 AND min(lo) <= 3),
 ef AS (SELECT node_id, e, max((k <= 1)::INT) AS a, max((k >= 2)::INT) AS b FROM x WHERE node_id IN (SELECT node_id FROM ok) GROUP BY ALL),
 fa AS (SELECT node_id, r, max((k <= 3)::INT) AS a, max((k >= 2)::INT) AS b FROM x WHERE node_id IN (SELECT node_id FROM ok) GROUP BY ALL),
@@ -764,7 +764,7 @@ def method_set_implements(spark, sf):
 
 
 @plain("""WITH f AS (SELECT 'a/d'||(p_partkey % 5)||'/f'||p_partkey||CASE p_partkey % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '/index.ts' ELSE '.js' END AS rel_path FROM part), i AS (SELECT 'a/x/g'||l_orderkey||'.ts' AS from_path, '../d'||(l_partkey % 5)||'/f'||l_partkey AS spec FROM lineitem)
-SELECT DISTINCT from_path, spec, rel_path AS to_path FROM i JOIN f ON rel_path IN ('a/'||substr(spec, 4)||'.ts', 'a/'||substr(spec, 4)||'/index.ts', 'a/'||substr(spec, 4)||'.js')""")
+SELECT from_path, spec, rel_path AS to_path FROM (SELECT DISTINCT from_path, spec, 'a/'||substr(spec, 4)||unnest(['.ts', '/index.ts', '.js']) AS rel_path FROM i) JOIN f USING (rel_path)""")
 def relative_import_resolution(spark, sf):
     k = F.col("p_partkey")
     files = table(spark, sf, "part").select(F.concat(F.lit("a/d"), k % 5, F.lit("/f"), k, F.when(k % 3 == 0, ".ts").when(k % 3 == 1, "/index.ts").otherwise(".js")).alias("rel_path"))
