@@ -404,7 +404,7 @@ def _reconciled(spark, sf, scope):
     g = graph(spark, sf)
     o = g.nodes.where("source_file is not null and type = 'symbol'")
     number = F.regexp_extract("rel_path", r"(\d+)$", 1).cast("long") % 10
-    owners = o.select(F.col("source_file").alias("rel_path"), "id", F.lit("r0").alias("run")).withColumn("k", number)
+    owners = traverse.settle(o.select(F.col("source_file").alias("rel_path"), "id", F.lit("r0").alias("run")).withColumn("k", number), "owned")
     hashes = owners.select("rel_path", "k").distinct().withColumn("hash", F.sha2("rel_path", 256))
     files = hashes.where("k <= 5").select("rel_path", F.when(F.col("k") % 2 == 0, "indexed").when(F.col("k") == 3, "deleted").otherwise("walked").alias("status"))
     again = owners.where("k <= 5 and k % 2 = 0").join(o.where("kind = 'interface'").select("id"), "id", "left_semi").withColumn("run", F.lit("r1"))

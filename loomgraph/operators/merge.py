@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .reads import missing_endpoints
+from .traverse import settle
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], keep: tuple[str, ...] = ("created_at",)) -> DataFrame:
@@ -98,14 +99,15 @@ def reconcile(live: State, staged: State, files: DataFrame, run: str, scope: str
         raise BrokenEdges(run)
     indexed = files.where("status = 'indexed'").select("rel_path")
     seen = staged.owners.select("rel_path", "id").join(indexed, "rel_path", "left_semi").distinct().withColumn("run", F.lit(run))
-    owners = insert_new(seen, live.owners.select("rel_path", "id", "run"), ["rel_path", "id"])
+    # each of the tables returned is computed from these, so they are computed once
+    owners = settle(insert_new(seen, live.owners.select("rel_path", "id", "run"), ["rel_path", "id"]), "owners")
     gone = live.hashes.select("rel_path").join(files.select("rel_path"), "rel_path", "left_anti")
     touched = {"full": None, "incremental": indexed.unionByName(gone), "paths": files.where("status in ('indexed', 'deleted')").select("rel_path")}[scope]
     stale = owners.where(F.col("run") != run)
     if touched is not None:
         stale = stale.join(touched.distinct(), "rel_path", "left_semi")
-    left = owners.join(stale.select("rel_path", "id"), ["rel_path", "id"], "left_anti")
-    dead = stale.select("id").distinct().join(left.select("id"), "id", "left_anti")
+    left = settle(owners.join(stale.select("rel_path", "id"), ["rel_path", "id"], "left_anti"), "left")
+    dead = settle(stale.select("id").distinct().join(left.select("id"), "id", "left_anti"), "dead")
     nodes = nodes.join(dead, "id", "left_anti")
     edges = cascade(edges.join(dead, "id", "left_anti"), dead)
     kept = {"full": None, "incremental": live.hashes.join(gone, "rel_path", "left_anti"), "paths": live.hashes.join(files.where("status = 'deleted'"), "rel_path", "left_anti")}[scope]
