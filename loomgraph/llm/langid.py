@@ -68,14 +68,17 @@ def train(texts: list[str], langs: list[str], fold: np.ndarray) -> tuple[list[st
     """Languages, weights with IDF (buckets x languages), biases, temperature. fold: rows for the temperature."""
     names = sorted(set(langs))
     y = np.array([names.index(x) for x in langs])
-    s, starts = symbols(texts)
-    grams = [buckets(s, starts, k) for k in ORDERS]
     rows = []
-    for a, b in zip(starts, starts[1:], strict=False):
-        f, n = np.unique(np.concatenate([g[a:b] for g in grams]), return_counts=True)
-        rows.append((f, n / max(b - a, 1)))
+    for group in grouped(texts, 500_000):  # the n-grams of a few texts at a time
+        s, starts = symbols(group)
+        grams = [buckets(s, starts, k).astype(np.int32) for k in ORDERS]
+        for a, b in zip(starts, starts[1:], strict=False):
+            f, n = np.unique(np.concatenate([g[a:b] for g in grams]), return_counts=True)
+            rows.append((f, (n / max(b - a, 1)).astype(np.float32)))
     size = len(ORDERS) << BITS
-    df = np.bincount(np.concatenate([f for f, _ in rows]), minlength=size)
+    df = np.zeros(size, dtype=np.int64)
+    for f, _ in rows:
+        df[f] += 1
     idf = np.log((1 + len(rows)) / (1 + df)) + 1
     z, n2 = np.zeros((size + 1, len(names))), np.zeros((size + 1, len(names)))
 
@@ -86,7 +89,7 @@ def train(texts: list[str], langs: list[str], fold: np.ndarray) -> tuple[list[st
         e = np.exp(v - v.max(axis=-1, keepdims=True))
         return e / e.sum(axis=-1, keepdims=True)
 
-    rows = [(np.append(f, size), np.append(SCALE * tf * idf[f], 1.0)) for f, tf in rows]
+    rows = [(np.append(f, np.int32(size)), np.append(SCALE * tf * idf[f], 1.0).astype(np.float32)) for f, tf in rows]
     learn, rng = np.flatnonzero(~fold), np.random.default_rng(SEED)
     for _ in range(EPOCHS):
         for i in rng.permutation(learn):
