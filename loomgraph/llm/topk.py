@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import common
 
 K, EVERY, SCALE = 5, 50, 256
-BLOCK_ROWS, MOST_BLOCKS, LEAF, FAN = 4096, 1024, 64, 16
+BLOCK_ROWS, MOST_BLOCKS, LEAF, FAN = 4096, 1024, 128, 16
 RESULT = "query_id long, vec_id long, score double"
 
 
@@ -79,6 +79,12 @@ def search(queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, data:
             found = queries[m] @ data[d.members].T
             who = np.broadcast_to(ids[d.members], found.shape)
             found = np.where((who == query_ids[m][:, None]) | (found < floor[m][:, None]), -np.inf, found)
+            good = found >= worst[m][:, None]  # equal scores may have smaller ids
+            rows = np.flatnonzero(good.any(axis=1))
+            if not len(rows):
+                continue
+            columns, m = np.flatnonzero(good[rows].any(axis=0)), m[rows]
+            found, who = found[np.ix_(rows, columns)], who[np.ix_(rows, columns)]
             s, i = np.concatenate([score[m], found], axis=1), np.concatenate([best[m], who], axis=1)
             pick = np.lexsort((i, -s), axis=1)[:, :k]
             score[m], best[m] = np.take_along_axis(s, pick, axis=1), np.take_along_axis(i, pick, axis=1)
