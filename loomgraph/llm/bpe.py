@@ -143,18 +143,6 @@ class PairIndex:
         return [out[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
-class Chunks(dict):
-    """From a chunk without its leading space to its ids; notes the chunks that it lacks."""
-
-    def __init__(self):
-        self.missing: list[str] = []
-
-    def __missing__(self, key: str) -> bytes:
-        self.missing.append(key)
-        self[key] = b""
-        return b""
-
-
 class Encoder:
     """Encodes texts by chunks: pieces that begin at a lone space, which no pre-token crosses.
 
@@ -167,11 +155,16 @@ class Encoder:
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.runs = re.compile(f"([{SPACE}]{{2,}})")
         self.tokens_of = regex.compile(PRE_TOKEN).findall
-        self.is_word = re.compile(r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+").fullmatch
-        self.bare, self.spaced = Chunks(), Chunks()  # chunks at a text's start, and those after a space
+        letter = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ"
+        self.is_word = re.compile(f"[{letter}]+").fullmatch
+        # for chunks of Latin letters and visible ASCII the same pattern without Unicode classes
+        self.is_latin = re.compile(rf"[\x21-\x7e{letter}]+").fullmatch
+        self.latin_tokens_of = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[0-9]+| ?[^\s{letter}0-9]+").findall
+        self.bare: dict[str, bytes] = {}  # chunks without a space before them
+        self.spaced: dict[str, bytes] = {}  # chunks after a space, which the key leaves out
         self.tokens: dict[str, bytes] = {}
 
-    def _pieces(self, text: str) -> Iterator[tuple[Chunks, list[str]]]:
+    def _pieces(self, text: str) -> Iterator[tuple[dict | None, list[str] | str]]:
         """The chunks of a text in order, each list with the table that it belongs to."""
         for part in self.at_special.split(text) if self.at_special else [text]:
             if part in self.special:
@@ -203,30 +196,24 @@ class Encoder:
         if len(self.tokens) > self.kept:
             self.tokens.clear()
         plans = [list(self._pieces(t)) for t in texts]
+        bare, spaced = set(), set()
         for plan in plans:
             for table, words in plan:
-                if table is not None:
-                    for _ in map(table.__getitem__, words):
-                        pass
-        self._learn()
-        return [b"".join(b"".join(map(table.__getitem__, words)) if table is not None else self.special[words] for table, words in plan) for plan in plans]
-
-    def _learn(self) -> None:
-        split, known = [], self.tokens
-        new: dict[str, None] = {}
-        for table, lead in ((self.bare, ""), (self.spaced, " ")):
-            for chunk in table.missing:
-                whole = lead + chunk
-                tokens = [whole] if self.is_word(chunk) else self.tokens_of(whole)
-                split.append((table, chunk, tokens))
-                for t in tokens:
-                    if t not in known:
-                        new[t] = None
-            table.missing = []
-        fresh = list(new)
+                if table is self.spaced:
+                    spaced.update(words)
+                elif table is not None:
+                    bare.update(words)
+        self._learn(self.bare, list(bare.difference(self.bare)), "")
+        self._learn(self.spaced, list(spaced.difference(self.spaced)), " ")
+        return [b"".join([b"".join(map(table.__getitem__, words)) if table is not None else self.special[words] for table, words in plan]) for plan in plans]
+
+    def _learn(self, table: dict[str, bytes], chunks: list[str], lead: str) -> None:
+        """Add chunks to their table, asking once for each pre-token not known yet."""
+        known, is_word, is_latin = self.tokens, self.is_word, self.is_latin
+        split = [[lead + c] if is_word(c) else self.latin_tokens_of(lead + c) if is_latin(c) else self.tokens_of(lead + c) for c in chunks]
+        fresh = list({t for tokens in split for t in tokens}.difference(known))
         known.update(zip(fresh, self.encode_tokens([t.encode() for t in fresh]), strict=True))
-        for table, chunk, tokens in split:
-            table[chunk] = known[tokens[0]] if len(tokens) == 1 else b"".join([known[t] for t in tokens])
+        table.update(zip(chunks, [known[t[0]] if len(t) == 1 else b"".join([known[x] for x in t]) for t in split], strict=True))
 
 
 _ENCODERS: dict[tuple, tuple] = {}

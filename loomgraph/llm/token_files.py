@@ -24,8 +24,10 @@ from . import common
 from .bpe import Encoder, byte_chars, default_vocabulary, grouped
 
 BLOCK, PERCENTILE = 128, 90
+#: Chunks and pre-tokens that a worker keeps; asking the library again is what costs most here.
+KEPT = 1_000_000
 #: A page is closed once it holds so many ids.
-PAGE_IDS = 1 << 16
+PAGE_IDS = 1 << 18
 HEAD = np.dtype([("base", "<u4"), ("width", "u1"), ("count", "u1"), ("exceptions", "u1"), ("spare", "u1")])
 PAGE = "shard int, page int, first long, n_ids long, doc_ids array<bigint>, sizes array<bigint>, starts binary, payload binary"
 
@@ -49,10 +51,12 @@ def pack(ids: np.ndarray) -> tuple[bytes, bytes]:
     head = np.zeros(blocks, dtype=HEAD)
     head["base"], head["width"], head["exceptions"], head["count"] = base, width, exceptions, BLOCK
     head["count"][-1] = n - (blocks - 1) * BLOCK
-    size = HEAD.itemsize + width * (BLOCK // 8) + exceptions * 5
+    # blocks start at multiples of eight bytes
+    size = HEAD.itemsize + width * (BLOCK // 8) + -(-exceptions * 5 // 8) * 8
     starts = np.concatenate([[0], np.cumsum(size)])
     out = np.zeros(starts[-1], dtype=np.uint8)
-    out[starts[:-1, None] + np.arange(HEAD.itemsize)] = head.view(np.uint8).reshape(blocks, -1)
+    out32, first = out.view("<u4"), starts[:-1] // 4
+    out32[first[:, None] + np.arange(2)] = head.view("<u4").reshape(blocks, 2)
     for w in np.unique(width).tolist():
         mine = np.flatnonzero(width == w)
         if w:
@@ -64,8 +68,7 @@ def pack(ids: np.ndarray) -> tuple[bytes, bytes]:
                 words[:, at] |= moved & np.uint64(0xFFFFFFFF)
                 if shift + w > 32:
                     words[:, at + 1] |= moved >> np.uint64(32)
-            packed = np.ascontiguousarray(words[:, : BLOCK * w // 32].astype("<u4")).view(np.uint8).reshape(len(mine), -1)
-            out[starts[mine, None] + HEAD.itemsize + np.arange(packed.shape[1])] = packed
+            out32[first[mine, None] + 2 + np.arange(BLOCK * w // 32)] = words[:, : BLOCK * w // 32]
     rows, places = np.nonzero(over)
     if len(rows):
         nth = np.arange(len(rows)) - (np.cumsum(exceptions) - exceptions)[rows]
@@ -81,8 +84,8 @@ def unpack(starts: bytes, payload: bytes) -> np.ndarray:
     at = np.frombuffer(starts, dtype="<u4").astype(np.int64)
     if not len(at):
         return np.empty(0, dtype=np.uint32)
-    raw = np.frombuffer(payload, dtype=np.uint8)
-    head = np.ascontiguousarray(raw[at[:, None] + np.arange(HEAD.itemsize)]).view(HEAD).reshape(-1)
+    raw, raw32 = np.frombuffer(payload, dtype=np.uint8), np.frombuffer(payload, dtype="<u4")
+    head = raw32[at[:, None] // 4 + np.arange(2)].view(HEAD).reshape(-1)
     width, exceptions = head["width"].astype(np.int64), head["exceptions"].astype(np.int64)
     deltas = np.zeros((len(at), BLOCK), dtype=np.uint32)
     for w in np.unique(width).tolist():
@@ -90,7 +93,7 @@ def unpack(starts: bytes, payload: bytes) -> np.ndarray:
             continue
         mine = np.flatnonzero(width == w)
         words = np.zeros((BLOCK * w // 32 + 1, len(mine)), dtype=np.uint64)
-        words[:-1] = np.ascontiguousarray(raw[(at[mine] + HEAD.itemsize)[:, None] + np.arange(BLOCK * w // 8)]).view("<u4").T
+        words[:-1] = raw32[at[mine, None] // 4 + 2 + np.arange(BLOCK * w // 32)].T
         mask = np.uint64((1 << w) - 1)
         got = np.empty((BLOCK, len(mine)), dtype=np.uint32)
         for k in range(BLOCK):
@@ -128,7 +131,7 @@ def library_encoder(path: str) -> Encoder:
             ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found)))]) * 4
             return [flat[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
 
-        _LIBRARY[path] = Encoder(encode_tokens, special)
+        _LIBRARY[path] = Encoder(encode_tokens, special, KEPT)
     return _LIBRARY[path]
 
 
