@@ -2,7 +2,7 @@
 
 The encoder gathers the distinct pre-tokens that a batch of texts brings, lays their symbols out in one array and maps each
 mergeable pair to all its positions. Active ranks are applied in ascending order; each merge updates the position lists of the
-pairs that it creates. Encodings of chunks are kept between batches in a bounded table of each Python worker.
+pairs that it creates. Encodings of chunks are kept between the batches of a task in a bounded table.
 
 Nulls are encoded as the empty text (no ids). Repeated rows give repeated results. Empty tables give empty results.
 """
@@ -26,8 +26,8 @@ from . import common
 #: The pre-token pattern of byte-level BPE, and Unicode's white space.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Chunks and pre-tokens that a worker keeps; beyond it the tables start anew.
-KEPT = 500_000
+#: Chunks and pre-tokens that a task keeps; beyond it the tables start anew, and a task's end frees them for the next stage.
+KEPT = 400_000
 #: Texts are encoded in groups of at least so many characters.
 GROUP_CHARS = 4_000_000
 
@@ -188,6 +188,11 @@ class Encoder:
                     if len(words) > 1:
                         yield self.spaced, words[1:]
 
+    def forget(self) -> None:
+        """Free what is kept between calls."""
+        for table in (self.bare, self.spaced, self.tokens):
+            table.clear()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         if len(self.bare) + len(self.spaced) > self.kept:
@@ -261,6 +266,7 @@ def encode_column(df: DataFrame, path: str, text: str = "text") -> DataFrame:
                     [*(rows.column(c) for c in kept), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array([decode(x, v.bytes) for x in ids], pa.string())],
                     names=[*kept, "ids", "decoded"],
                 )
+        encoder.forget()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in kept)
     return df.select(*kept, text).mapInArrow(work, f"{fields}{', ' if fields else ''}ids array<int>, decoded string")
@@ -284,6 +290,7 @@ def digests(df: DataFrame, path: str) -> DataFrame:
                     b.append(sha(b"".join(map(v.bytes.__getitem__, ids)).decode("utf-8", "replace").encode()).hexdigest())
                 yield pa.RecordBatch.from_arrays([doc.slice(at, len(group)), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
                 at += len(group)
+        encoder.forget()
 
     return df.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
