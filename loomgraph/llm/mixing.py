@@ -101,7 +101,7 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED, shard_words: int
     return lain.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
-def repeat_documents(docs: DataFrame, block: int = 4096, seed: int = SEED) -> DataFrame:
+def repeat_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """docs with each document as often as the mix takes its words; a seeded draw decides about parts of a document."""
     taken = mix(docs, block, seed).where("taken > 0 and size > 0").select("doc_id", (F.col("taken") / F.col("size")).alias("_times"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(1 << 30)) / (1 << 30)

@@ -65,3 +65,16 @@ def test_highest_quotients():
         for _ in range(seats if sizes.sum() else 0):
             want[np.argmax(sizes / (2 * want + 1))] += 1
         assert mixing.highest_quotients(sizes, seats, np.full(len(sizes), 10**9)).tolist() == want.tolist()
+
+
+def test_repeated_documents_keep_small_sources(spark):
+    small = [*(f"s{k}" for k in range(40)), None]
+    rows = [(d, "w " * 500, "large") for d in range(100)] + [(1000 + 10 * k + i, "w " * 50, s) for k, s in enumerate(small) for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    target = brute_targets({"large": 50_000} | dict.fromkeys(small, 500))
+    words = defaultdict(int)
+    for r in mixing.repeat_documents(df).collect():
+        words[r.source] += len(r.text.split())
+    size = defaultdict(lambda: 50, large=500)
+    # each of a source's documents is rounded to whole copies by a draw of its own
+    assert all(abs(words[s] - t) <= 4 * 0.5 * size[s] * (100 if s == "large" else 10) ** 0.5 + 2 * mixing.BLOCK for s, t in target.items())
