@@ -1,10 +1,15 @@
-"""Personal data by patterns, and information-theoretic sanitisation of the terms around it.
+"""Personal data by patterns, and information-theoretic sanitisation of the terms that go with it.
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers. A protected entity is the value of a base span.
-Terms are words within REACH characters of one. Over the corpus, a term t discloses an entity e as far as the pointwise mutual
-information of being in one document, log(c(e, t) N / (c(t) c(e))), comes near all there is to know, log(N / c(e)), where c
-counts documents and N is their number. From GENERALISE of it on a term is generalised, from REMOVE on it is removed, both only
-next to that entity and only if they meet in LEAST_DOCS documents. Documents without a base span are left as they are.
+Terms are all words outside the base spans, wherever they are in a document. Over the corpus, a term t discloses an entity e as
+far as the pointwise mutual information of being in one document, log(P(e | t) / P(e)), comes near all there is to know,
+-log(P(e)), where P(e) = c(e) / N, c counts whole documents and N is their number. P(e | t) is smoothed towards P(e) by PRIOR
+documents, (c(e, t) + PRIOR P(e)) / (c(t) + PRIOR), so that an entity in a single document is scored too, and a term met once
+weighs less than one that is always met. From GENERALISE of it on a term is generalised, from REMOVE on it is removed, both
+only in the documents of that entity. Documents without a base span are left as they are.
+
+Entities in the same documents have equal scores with every term, as have terms that are in equally many documents and in the
+same ones with base spans; pairs are counted for such classes, so a list of names and addresses is one pair, not their product.
 
 All of it is SQL expressions. Starts are counted in code points: a text is split by the same pattern that gives the matches,
 and the lengths of gaps and matches are summed up in blocks of about the square root of their number.
@@ -30,7 +35,9 @@ PATTERNS = {
 #: What a text must hold for a kind to be sought.
 HINTS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 TERM = r"[\p{L}\p{N}][\p{L}\p{N}'_-]{2,63}"
-REACH, LEAST_DOCS, GENERALISE, REMOVE = 48, 5, 0.9, 0.98
+#: Pieces of a text that end where no term goes on.
+PIECE = r"(?s).{1,1000}(?![\p{L}\p{N}'_-])|.[\p{L}\p{N}'_-]*+"
+PRIOR, GENERALISE, REMOVE = 0.5, 0.9, 0.98
 TERM_KINDS = ("generalised", "removed")
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "generalised": "[TERM]", "removed": ""}
 SPAN = "struct<kind:string,start:int,end:int,value:string>"
@@ -87,45 +94,60 @@ def base_spans(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("base", F.concat(*map(checked, PATTERNS)).cast(f"array<{SPAN}>")).drop(*[f"_{k}" for k in PATTERNS])
 
 
-def _terms_near(base: DataFrame) -> DataFrame:
-    """row, doc, entity, term, start, end for each term within REACH characters of a base span; rows(row, doc_id, text, base)."""
-    spans = base.where(F.size("base") > 0).select("row", "text", F.explode("base").alias("s"))
-    spans = spans.select("row", "text", F.lower("s.value").alias("entity"), F.col("s.start").alias("s"), F.col("s.end").alias("e"))
-    first = F.greatest(F.col("s") - REACH, F.lit(0))
-    # words that the window's edge cuts are left out
-    before = F.when(first == 0, F.substring(F.col("text"), F.lit(1), F.col("s"))).otherwise(F.regexp_replace(F.substring(F.col("text"), first + 1, F.col("s") - first), r"^\S*", ""))
-    after_all = F.substring(F.col("text"), F.col("e") + 1, F.lit(REACH))
-    after = F.when(F.length(after_all) < REACH, after_all).otherwise(F.regexp_replace(after_all, r"\S*$", ""))
-    sides = F.array(F.struct((F.col("s") - F.length(before)).alias("at"), before.alias("side")), F.struct(F.col("e").alias("at"), after.alias("side")))
-    near = spans.select("row", "entity", F.inline(sides))
-    near = with_matches(near, "side", "found", TERM, F.lit(True))
-    return near.select("row", "entity", "at", F.explode("found").alias("f")).select("row", "entity", F.lower("f.value").alias("term"), (F.col("at") + F.col("f.start")).alias("start"), (F.col("at") + F.col("f.end")).alias("end"))
-
-
-def disclosing(docs: DataFrame, near: DataFrame, base: DataFrame) -> DataFrame:
-    """entity, term, kind: terms that tell so much about an entity that they are generalised or removed."""
-    met = near.select("row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= LEAST_DOCS)
-    met = common.settle(met, "met")
-    entities = base.select("row", F.explode(F.transform("base", lambda s: F.lower(s["value"]))).alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
-    # every word of every document is counted: map-side sums leave a row per word and task to shuffle, whatever terms are asked for
-    words = docs.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.col("text"), F.lit(TERM), F.lit(0)), lambda w: F.lower(w)))).alias("term"))
-    counts = words.groupBy("term").agg(F.count("*").alias("with_term"))
-    n = docs.count()
-    scored = met.join(counts, "term").join(entities, "entity").where(F.col("with_entity") < n)
-    told = F.log(F.col("both") * F.lit(float(n)) / (F.col("with_term").cast("double") * F.col("with_entity"))) / F.log(F.lit(float(n)) / F.col("with_entity"))
-    return scored.withColumn("told", told).where(F.col("told") >= GENERALISE).select("entity", "term", F.when(F.col("told") >= REMOVE, TERM_KINDS[1]).otherwise(TERM_KINDS[0]).alias("kind"))
+def outside(text: Column, base: Column) -> Column:
+    """text with blanks for its base spans, so that all else keeps its place."""
+    return F.aggregate(base, text, lambda t, s: F.overlay(t, F.repeat(F.lit(" "), s["end"] - s["start"]), s["start"] + 1, s["end"] - s["start"]))
+
+
+def _words(kept: DataFrame, *columns: Column | str) -> DataFrame:
+    """The columns and term for each different word outside the base spans of rows(text, base)."""
+    found = F.regexp_extract_all(outside(F.col("text"), F.col("base")), F.lit(TERM), F.lit(0))
+    return kept.select(*columns, F.explode(F.array_distinct(F.transform(found, lambda w: F.lower(w)))).alias("term"))
+
+
+def disclosing(kept: DataFrame) -> DataFrame:
+    """row, term, kind: terms that tell so much about an entity of the row that they are generalised or removed; kept(row, text, base) is settled."""
+    n = float(kept.count())
+    base, slack = kept.where(F.size("base") > 0), 1 - GENERALISE
+    entities = base.select("row", F.explode(F.array_distinct(F.transform("base", lambda s: F.lower(s["value"])))).alias("entity"))
+    classes = entities.groupBy("entity").agg(F.count("*").alias("with_entity"), F.bit_xor(F.xxhash64("row")).alias("mark")).where(F.col("with_entity") < n)
+    classes = common.settle(classes.select("entity", "with_entity", F.xxhash64("with_entity", "mark").alias("e_class")), "entities")
+    held = common.settle(common.join_small(entities, classes, ["entity"]).select("row", "e_class", "with_entity").distinct(), "held")
+    p = F.col("with_entity") / F.lit(n)
+    # a term in more documents cannot reach GENERALISE with the entity; the bound grows with the entity's documents
+    bound = (F.col("with_entity") + PRIOR * p) / F.pow(p, F.lit(slack)) - PRIOR + 1e-6
+    most = held.agg(F.max(bound)).first()[0] or 0.0
+    # every word of every document is counted: map-side sums leave a row per word and task to shuffle
+    counts = _words(kept, F.when(F.size("base") > 0, F.xxhash64("row")).alias("mark")).groupBy("term").agg(F.count("*").alias("with_term"), F.count("mark").alias("with_base"), F.bit_xor("mark").alias("mark"))
+    able = (F.col("with_base") > 0) & (F.col("with_term") <= most) & ((F.col("with_base") + PRIOR) / (F.col("with_term") + PRIOR) >= (n or 1) ** -slack - 1e-9)
+    terms = common.settle(counts.where(able).select("term", "with_term", F.xxhash64("with_term", "with_base", "mark").alias("t_class")), "terms")
+    limits = held.groupBy("row").agg(F.max(bound).alias("limit"))
+    near = common.join_small(_words(base, "row"), terms, ["term"]).join(limits, "row").where("with_term <= limit").drop("limit")
+    near = common.settle(near.select("row", "term", "t_class", "with_term"), "near-terms")
+    pairs = near.select("row", "t_class", "with_term").distinct().join(held, "row").where(F.col("with_term") <= bound)
+    pairs = common.settle(pairs, "pairs")
+    met = pairs.groupBy("t_class", "e_class", "with_term", "with_entity").agg(F.count("*").alias("both"))
+    told = 1 + F.log((F.col("both") + PRIOR * p) / (F.col("with_term") + PRIOR)) / -F.log(p)
+    scored = met.withColumn("told", told).where(F.col("told") >= GENERALISE).select("t_class", "e_class", F.when(F.col("told") >= REMOVE, TERM_KINDS[1]).otherwise(TERM_KINDS[0]).alias("kind"))
+    scored = common.settle(scored, "disclosing")
+    # removal outweighs
+    best = common.join_small(pairs.select("row", "t_class", "e_class"), scored, ["t_class", "e_class"]).groupBy("row", "t_class").agg(F.max("kind").alias("kind"))
+    return near.select("row", "term", "t_class").join(best, ["row", "t_class"]).select("row", "term", "kind")
 
 
 def find(docs: DataFrame, carried: tuple = ()) -> DataFrame:
-    """doc_id, base and extra spans of each row of docs(doc_id, text), with the carried columns."""
+    """doc_id, text (empty if null), base and extra spans of each row of docs(doc_id, text), with the carried columns."""
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), *carried)
-    spans = base_spans(texts)
-    kept = common.settle(spans.select("row", "doc_id", "base", F.when(F.size("base") > 0, F.col("text")).alias("text"), *carried), "base-spans")
-    near = common.settle(_terms_near(kept), "near-terms")
-    told = common.settle(disclosing(docs.select("text"), near, kept), "disclosing")
-    extra = common.join_small(near, told, ["entity", "term"]).select("row", F.struct("kind", "start", "end", F.col("term").alias("value")).alias("s"))
-    # a term in reach of two entities is one span; removal outweighs
-    extra = extra.groupBy("row", "s.start", "s.end").agg(F.max("s").alias("s")).groupBy("row").agg(F.array_sort(F.collect_list("s")).alias("extra"))
+    kept = common.settle(base_spans(texts).select("row", "doc_id", "base", "text", *carried), "base-spans")
+    told = common.settle(disclosing(kept.select("row", "text", "base")), "told")
+    rows = kept.select("row", "text", "base").join(told.select("row").distinct(), "row").select("row", outside(F.col("text"), F.col("base")).alias("rest"))
+    # sums over short pieces, which no term crosses, keep the work in proportion to the text
+    pieces = rows.select("row", F.regexp_extract_all("rest", F.lit(PIECE), F.lit(0)).alias("pieces"))
+    pieces = pieces.select("row", F.explode(F.zip_with(running_sums(F.transform("pieces", lambda x: F.length(x))), "pieces", lambda at, x: F.struct(at.alias("at"), x.alias("piece")))).alias("p"))
+    found = with_matches(pieces.select("row", "p.at", "p.piece"), "piece", "found", TERM, F.lit(True)).select("row", "at", F.explode("found").alias("f"))
+    words = found.select("row", F.lower("f.value").alias("term"), (F.col("at") + F.col("f.start")).alias("start"), (F.col("at") + F.col("f.end")).alias("end"))
+    extra = words.join(told, ["row", "term"]).select("row", F.struct("kind", "start", "end", F.col("term").alias("value")).alias("s"))
+    extra = extra.groupBy("row").agg(F.array_sort(F.collect_list("s")).alias("extra"))
     return kept.join(extra, "row", "left").withColumn("extra", F.coalesce(F.col("extra"), F.array().cast(f"array<{SPAN}>")))
 
 
@@ -149,8 +171,8 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """
     # other columns are carried under names of their own
     others = [c for c in docs.columns if c not in {"doc_id", "text"}]
-    renamed = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(others)], F.col("text").alias("_text"))
-    found = find(renamed, (*[f"_c{k}" for k in range(len(others))], "_text"))
+    renamed = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(others)], F.isnull("text").alias("_null"))
+    found = find(renamed, (*[f"_c{k}" for k in range(len(others))], "_null"))
     spans = F.array_sort(F.transform(F.concat("base", "extra"), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), s["kind"].alias("kind"))))
     none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
 
@@ -165,10 +187,10 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
     def piece(m: Column, i: Column) -> Column:
         end = F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("merged"), i - 1)["end"])
-        return F.concat(F.substring(F.col("_text"), end + 1, m["start"] - end), F.element_at(label, m["kind"]))
+        return F.concat(F.substring(F.col("text"), end + 1, m["start"] - end), F.element_at(label, m["kind"]))
 
-    tail = F.expr("substring(_text, element_at(merged, -1).end + 1)")
-    text = F.when(F.size("merged") == 0, F.col("_text")).otherwise(F.concat(F.array_join(F.transform("merged", piece), ""), tail))
+    tail = F.expr("substring(text, element_at(merged, -1).end + 1)")
+    text = F.when(F.col("_null"), F.lit(None)).when(F.size("merged") == 0, F.col("text")).otherwise(F.concat(F.array_join(F.transform("merged", piece), ""), tail))
     names = {c: F.col(f"_c{k}") for k, c in enumerate(others)} | {"doc_id": F.col("doc_id"), "text": text}
     return found.select(*[names[c].alias(c) for c in docs.columns])
 

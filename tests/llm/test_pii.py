@@ -1,5 +1,8 @@
+import random
 import re
+from collections import Counter
 from hashlib import sha256
+from math import log
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -73,3 +76,36 @@ def test_disclosing_terms(spark):
     assert all(got[d] == [""] for d in range(100, 400))
     clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
     assert clean[3] == "Write to   at [EMAIL] about item 3 of the list" and clean[200] == dict(rows)[200]
+
+
+def test_rare_entities_and_far_terms(spark):
+    far = "the list of the rest and the words about to write " * 4
+    rows = [(0, f"Quillfeather has {far} one@mail.org"), (1, f"+1 (743) 555-3824 {far} Marmaduke"), (2, f"MARMADUKE {far} +1 (743) 555-3824"), (3, f"10.0.0.1 and {far} Commonly")]
+    rows += [(d, f"commonly has {far}" if d % 2 else far) for d in range(100, 400)]
+    got = {r.doc_id: r.spans.split(",") for r in pii.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    ends = {d: len(t) for d, t in rows}
+    assert got[0] == [f"email:{ends[0] - 12}:{ends[0]}", "generalised:0:12"]  # one document
+    assert got[1] == ["phone:0:17", f"generalised:{ends[1] - 9}:{ends[1]}"]  # two documents
+    assert got[2] == [f"phone:{ends[2] - 17}:{ends[2]}", "generalised:0:9"]
+    assert got[3] == ["ip:0:8"] and all(got[d] == [""] for d in range(100, 400))
+
+
+def brute_told(rows):
+    docs = [({t[a:b].lower() for _, a, b in brute(t)}, {w.lower() for w in re.findall(r"[^\W_][\w'-]{2,63}", "".join(" " if any(a <= i < b for _, a, b in brute(t)) else c for i, c in enumerate(t)))}) for t in rows]
+    n, told = len(rows), []
+    ce, ct, both = Counter(e for es, _ in docs for e in es), Counter(w for _, ws in docs for w in ws), Counter((e, w) for es, ws in docs for e in es for w in ws)
+    for es, ws in docs:
+        score = {w: max((1 + log((both[e, w] + 0.5 * ce[e] / n) / (ct[w] + 0.5)) / log(n / ce[e]) for e in es if ce[e] < n), default=0) for w in ws}
+        told.append({w: "removed" if x >= 0.98 else "generalised" for w, x in score.items() if x >= 0.9})
+    return told
+
+
+def test_disclosing_against_brute_force(spark):
+    rng = random.Random(3)
+    rows = [" ".join(rng.choices([f"w{rng.randrange(rng.choice([9, 99, 999]))}x" for _ in range(6)] + [f"u{rng.randrange(rng.choice([3, 40]))}@h.org"] * (k % 3), k=9)) for k in range(300)]
+    rows += ["ada lovelace z1@h.org z2@h.org"] * 40
+    got = {r.doc_id: r.spans for r in pii.digest(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    for d, want in enumerate(brute_told(rows)):
+        seen = {rows[d][int(a) : int(b)].lower(): k for k, a, b in (x.split(":") for x in got[d].split(",") if x) if k in pii.TERM_KINDS}
+        assert seen == want
+    assert brute_told(rows)[-1] == {"ada": "removed", "lovelace": "removed"}
