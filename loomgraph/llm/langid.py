@@ -3,8 +3,9 @@
 Texts become lower-case letters with one blank symbol for everything else; n-grams of one to three symbols are hashed into
 buckets. A feature is an n-gram's share of the text times its inverse document frequency. The weights are learnt by
 follow-the-regularised-leader with elastic-net penalties, and a temperature is fitted on rows kept out of that. Prediction
-sees nothing but the text. Training takes a bounded sample (documented parameters: PER_LANG labelled documents of each of the
-MOST_LANGS most frequent languages, of at most MOST_CHARS characters); every whole text is predicted.
+sees nothing but the text. Every labelled language is learnt, from a bounded sample (documented parameters: PER_LANG labelled
+documents of each, or an equal part of MOST_ROWS where there are more languages, of at most MOST_CHARS characters); every whole
+text is predicted. The number of labels is the bound of the model, which takes about 1.5 MB a label while it is learnt.
 
 A null text or one without a letter is `und` with score 0, as is every text where no labelled row is left to learn from.
 Null doc_ids are neither held out nor learnt from. Repeated rows and extra columns change nothing else.
@@ -27,7 +28,7 @@ from . import common
 from .bpe import grouped
 
 ORDERS, BITS = (1, 2, 3), 15
-PER_LANG, MOST_LANGS, MOST_CHARS = 1500, 64, 100_000
+PER_LANG, MOST_ROWS, MOST_CHARS = 1500, 96_000, 100_000
 SCALE, ALPHA, BETA, L1, L2, EPOCHS, SEED = 10.0, 0.3, 1.0, 0.02, 0.1, 3, 6
 NONE = "und"
 
@@ -67,7 +68,8 @@ def buckets(s: np.ndarray, starts: np.ndarray, order: int) -> np.ndarray:
 def train(texts: list[str], langs: list[str], fold: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, float]:
     """Languages, weights with IDF (buckets x languages), biases, temperature. fold: rows for the temperature."""
     names = sorted(set(langs))
-    y = np.array([names.index(x) for x in langs])
+    place = {x: k for k, x in enumerate(names)}
+    y = np.array([place[x] for x in langs])
     rows = []
     for group in grouped(texts, 500_000):  # the n-grams of a few texts at a time
         s, starts = symbols(group)
@@ -138,18 +140,19 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, per_lang: int = PER_LANG, most_langs: int = MOST_LANGS, most_chars: int = MOST_CHARS) -> tuple | None:
+def fit(docs: DataFrame, per_lang: int = PER_LANG, most_rows: int = MOST_ROWS, most_chars: int = MOST_CHARS) -> tuple | None:
     """The model, learnt from docs(doc_id, text, lang) that are not held out; None without labelled rows."""
     spark = docs.sparkSession
     labelled = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.col("lang") != NONE) & ~held_out())
     usable = labelled.where(F.length("text").between(1, most_chars))
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()
+    counts = usable.groupBy("lang").count().collect()  # a row per label
     if not counts:
         return None
-    # the share of each language that gives about per_lang rows, so no more than that is ever gathered
+    # the share of each language that gives about so many rows, so no more than that is ever gathered
+    per_lang = min(per_lang, most_rows / len(counts))
     share = spark.createDataFrame([(r["lang"], min(1.0, per_lang / r["count"])) for r in counts], "lang string, share double")
     draw = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 40)) / (1 << 40)
-    # at most most_langs rows are broadcast
+    # one row per label is broadcast
     sample = usable.join(F.broadcast(share), "lang").where(draw < F.col("share")).select("doc_id", "text", "lang", draw.alias("draw"))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -31,3 +31,14 @@ def test_edges(spark):
     assert langid.identify(df.limit(0), None).count() == 0
     clash = df.selectExpr("*", "0.5 as score", "'q' as lang_pred")
     assert langid.accepted(clash).columns == clash.columns
+
+
+def test_every_labelled_language_is_learnt(spark):
+    langs = [f"l{k:02}" for k in range(70)]
+    rows = [(100 * k + i, f"{chr(0x4E00 + k) * 3} " * (i % 5 + 2), lang) for k, lang in enumerate(langs) for i in range(12 if k < 64 else 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    assert model[0] == langs
+    assert langid.predict([chr(0x4E00 + k) * 3 for k in range(70)], model)[0] == langs
+    few = langid.fit(df, most_rows=350)  # about five rows each
+    assert len(few[0]) > 64
