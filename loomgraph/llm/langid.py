@@ -185,8 +185,13 @@ def identify(docs: DataFrame, model: tuple | None) -> DataFrame:
 
 
 def accepted(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """docs without those whose text has no letter or whose language gets a probability under `least`."""
+    """docs without those whose text has no letter or whose language gets a probability under `least`.
+
+    Where no labelled row is left to learn from, nothing is recognised as foreign and every text with a letter stays.
+    """
     model = fit(docs)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     good = identify(docs, model).where((F.col("lang_pred") != NONE) & (F.col("score") >= least)).select("doc_id").distinct()
     return docs.join(good, docs["doc_id"].eqNullSafe(good["doc_id"]), "left_semi")
 

@@ -42,3 +42,8 @@ def test_every_labelled_language_is_learnt(spark):
     assert langid.predict([chr(0x4E00 + k) * 3 for k in range(70)], model)[0] == langs
     few = langid.fit(df, most_rows=350)  # about five rows each
     assert len(few[0]) > 64
+
+
+def test_unlabelled_documents_with_letters_are_accepted(spark):
+    df = spark.createDataFrame([(1, "abc", None), (2, "été", "und"), (3, "12 !", None), (4, None, None), (None, "x", None)], "doc_id long, text string, lang string")
+    assert sorted(r.text for r in langid.accepted(df).collect()) == ["abc", "x", "été"]
