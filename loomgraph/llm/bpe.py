@@ -26,6 +26,8 @@ from . import common
 #: The pre-token pattern of byte-level BPE, and Unicode's white space.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Latin letters, all of them in Unicode's class L.
+LATIN = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 #: Chunks and pre-tokens that a task keeps; beyond it the tables start anew, and a task's end frees them for the next stage.
 KEPT = 400_000
 #: Texts are encoded in groups of at least so many characters.
@@ -39,6 +41,21 @@ def byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def checked_settings(data: dict) -> dict[str, int]:
+    """The special tokens of a vocabulary file; files that ask for anything but plain byte-level BPE are refused."""
+    pre, model = data.get("pre_tokenizer") or {}, data["model"]
+    odd = [k for k in ("normalizer", "post_processor") if data.get(k)]
+    odd += [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+    odd += [f"added token {t['content']}" for t in data["added_tokens"] if t.get("single_word") or t.get("lstrip") or t.get("rstrip")]
+    if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space", True) or not pre.get("use_regex", True):
+        odd.append("pre_tokenizer")
+    if (data.get("decoder") or {}).get("type") != "ByteLevel":
+        odd.append("decoder")
+    if odd:
+        raise ValueError(f"not a plain byte-level BPE: {', '.join(odd)}")
+    return {t["content"]: t["id"] for t in data["added_tokens"]}
+
+
 class Vocabulary:
     """What the vocabulary file says: token bytes, merge ranks and special tokens."""
 
@@ -48,7 +65,7 @@ class Vocabulary:
         model = data["model"]
         to_byte = {c: b for b, c in byte_chars().items()}
         ids = model["vocab"]
-        self.special = {x["content"]: x["id"] for x in data["added_tokens"]}
+        self.special = checked_settings(data)
         self.bytes = [b""] * (1 + max(*ids.values(), *self.special.values(), 0))
         for token, i in ids.items():
             self.bytes[i] = bytes(to_byte[c] for c in token)
@@ -155,11 +172,10 @@ class Encoder:
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.runs = re.compile(f"([{SPACE}]{{2,}})")
         self.tokens_of = regex.compile(PRE_TOKEN).findall
-        letter = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ"
-        self.is_word = re.compile(f"[{letter}]+").fullmatch
+        self.is_word = re.compile(f"[{LATIN}]+").fullmatch
         # for chunks of Latin letters and visible ASCII the same pattern without Unicode classes
-        self.is_latin = re.compile(rf"[\x21-\x7e{letter}]+").fullmatch
-        self.latin_tokens_of = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[0-9]+| ?[^\s{letter}0-9]+").findall
+        self.is_latin = re.compile(rf"[\x21-\x7e{LATIN}]+").fullmatch
+        self.latin_tokens_of = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[0-9]+| ?[^\s{LATIN}0-9]+").findall
         self.bare: dict[str, bytes] = {}  # chunks without a space before them
         self.spaced: dict[str, bytes] = {}  # chunks after a space, which the key leaves out
         self.tokens: dict[str, bytes] = {}

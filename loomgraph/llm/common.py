@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space of the contracts, `[\x20\x09-\x0D]`; bytes.split() splits on exactly these.
@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
         return at.rstrip("/")
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         own = tempfile.mkdtemp(prefix="loomgraph-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         sc.setCheckpointDir(f"file://{own}")
@@ -41,11 +43,32 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def partitions_for(df: DataFrame, part_bytes: int = 128 << 20) -> int:
+    """Partitions of at most about part_bytes each by the optimizer's estimate, and at least as many as the session's setting."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # an unknown size is estimated beyond all measure
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-size // part_bytes), 1 << 20) if size < 1 << 60 else 0)
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The documents table, pruned to the columns named."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
 
 
+def quoted(name: str) -> Column:
+    """The column of that very name, whatever characters are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, or a longer one if df has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def join_small(df: DataFrame, side: DataFrame, on: list[str], how: str = "inner", salts: int = 16, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join a settled side with one row per key to df, whose keys may be skewed and null-free.
 

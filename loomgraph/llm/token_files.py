@@ -7,25 +7,33 @@ lets a reader open any block. Shards are the parts of one range partitioning by
 shard's start (sums over one row per shard) plus its place in the shard.
 
 Null texts are encoded as empty ones, null doc_ids come first, repeated doc_ids stay next to each other, an empty table gives
-no pages. The tokenizers library does the encoding: its BPE model is asked once per distinct pre-token and worker.
+no pages. The tokenizers library does the encoding. Vocabulary files with settings that this way of asking it doesn't keep to are refused.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .bpe import Encoder, byte_chars, default_vocabulary, grouped
+from .bpe import LATIN, SPACE, byte_chars, checked_settings, default_vocabulary
 
 BLOCK, PERCENTILE = 128, 90
-#: Chunks and pre-tokens that a worker keeps; asking the library again is what costs most here.
-KEPT = 1_000_000
+#: Chunks that a worker keeps in each of two generations; asking the library again is what costs most here.
+KEPT = 500_000
+#: Texts are encoded in runs of about so many bytes.
+GROUP_BYTES = 8_000_000
+#: The white space of bpe.SPACE as the characters themselves, which is what Arrow's patterns take.
+RUN_SPACE = SPACE.encode().decode("unicode_escape")
 #: A page is closed once it holds so many ids.
 PAGE_IDS = 1 << 18
 HEAD = np.dtype([("base", "<u4"), ("width", "u1"), ("count", "u1"), ("exceptions", "u1"), ("spare", "u1")])
@@ -113,33 +121,115 @@ def unpack(starts: bytes, payload: bytes) -> np.ndarray:
     return ids[: (len(at) - 1) * BLOCK + int(head["count"][-1])]
 
 
-_LIBRARY: dict[str, Encoder] = {}
+class Chunks(dict):
+    """Ids of words after `lead`, asked of the library once; the generation before the current one is kept too.
 
+    words has the ids of what has no lead. Words with marks after them are put together and not kept.
+    """
 
-def library_encoder(path: str) -> Encoder:
-    """This worker's encoder over the tokenizers library's model."""
-    if path not in _LIBRARY:
+    def __init__(self, library: Library, lead: str, words: Chunks | None = None):
+        self.library, self.lead, self.words = library, lead, self if words is None else words
+        self.mark, self.old = lead.translate(library.chars), {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        found, library = self.old.get(chunk), self.library
+        if found is None:
+            if chunk[:1] == "\n" and self.lead and chunk != "\n":
+                return self["\n"] + self.words[chunk[1:]]
+            parts = library.parts(chunk)
+            if parts is None:
+                found = library.whole("\n" if chunk == "\n" else self.lead + chunk)
+            elif parts[2]:
+                return self[parts[1]] + self.words[parts[2]]
+            else:
+                word = chunk if chunk.isascii() else chunk.encode().decode("latin1").translate(library.chars)
+                found = array("I", [t.id for t in library.model.tokenize(self.mark + word)]).tobytes()
+        if len(self) >= library.kept:
+            self.old = dict(self)
+            self.clear()
+        self[chunk] = found
+        return found
+
+
+class Library:
+    """This worker's encoder over the tokenizers library.
+
+    Texts are cut at lone spaces and line ends, where pre-tokens begin; Arrow finds a batch's different words, and the library is
+    asked for those that are not known yet. Texts with runs of white space or with special tokens go to the library whole.
+    """
+
+    def __init__(self, path: str, kept: int = KEPT):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        model, table = tokenizer.model, byte_chars()
-        special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
+        with open(path, encoding="utf-8") as f:
+            self.special = [t for t in checked_settings(json.load(f)) if t]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.model, self.chars, self.kept = self.tokenizer.model, byte_chars(), kept
+        # letters that are one pre-token with the space before them, and visible ASCII marks, another one, after them
+        self.parts = re.compile(rf"([{LATIN}]+)([!-/:-@\[-`{{-~]*)").fullmatch
+        self.bare = Chunks(self, "")
+        self.spaced = Chunks(self, " ", self.bare)
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-        def encode_tokens(tokens: list[bytes]) -> list[bytes]:
-            found = [[t.id for t in model.tokenize(x.decode("latin1").translate(table))] for x in tokens]
-            flat = np.fromiter((i for x in found for i in x), dtype="<u4").tobytes()
-            ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found)))]) * 4
-            return [flat[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each followed by end_id, and how many each has; texts without nulls."""
+        hard = pc.match_substring_regex(texts, f"[{RUN_SPACE}]{{2}}")
+        for t in self.special:
+            hard = pc.or_(hard, pc.match_substring(texts, t))
+        # a line end between words is a pre-token of its own; it goes to the word after it
+        words = pc.split_pattern(pc.replace_substring(pc.if_else(hard, "", texts), "\n", " \n"), " ")
+        cuts = words.offsets.to_numpy().astype(np.int64)
+        # the first word of a text has no space before it; a text that is not cut counts as one
+        first = words.flatten().take(pa.array(cuts[:-1])).to_pylist()
+        for i in np.flatnonzero(hard.to_numpy(zero_copy_only=False)).tolist():
+            first[i] = self.whole(texts[i].as_py())
+        coded = words.flatten().dictionary_encode()
+        known = list(map(self.spaced.__getitem__, coded.dictionary.to_pylist()))
+        n = len(known)
+        known += [x if isinstance(x, bytes) else self.bare[x] if x else b"" for x in first]
+        known.append(np.array([end_id], dtype="<u4").tobytes())
+        codes = coded.indices.to_numpy().copy()
+        codes[cuts[:-1]] = n + np.arange(len(first))
+        codes = np.insert(codes, cuts[1:], np.int32(len(known) - 1))
+        size = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
+        at, ids = np.cumsum(size) - size, np.frombuffer(b"".join(known), dtype="<u4")
+        size, at = size[codes], at[codes]
+        ends = np.cumsum(size)
+        at -= ends
+        at += size
+        place = np.repeat(at, size)
+        place += np.arange(len(place))
+        return ids[place], np.diff(ends[cuts[1:] + np.arange(len(first))], prepend=0)
 
-        _LIBRARY[path] = Encoder(encode_tokens, special, KEPT)
+
+_LIBRARY: dict[str, Library] = {}
+
+
+def library_encoder(path: str) -> Library:
+    if path not in _LIBRARY:
+        _LIBRARY[path] = Library(path)
     return _LIBRARY[path]
 
 
+def slices(texts: pa.Array, most_bytes: int = GROUP_BYTES) -> Iterator[tuple[int, int]]:
+    """Where to cut texts into runs of at most about so many bytes."""
+    sizes = np.cumsum(pc.binary_length(texts).to_numpy())
+    at = 0
+    while at < len(texts):
+        before = sizes[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(sizes, before + most_bytes, side="right")))
+        yield at, to
+        at = to
+
+
 def write_files(df: DataFrame, path: str, out: str, end_id: int = 2, shards: int | None = None) -> None:
     """Write the ids of df(doc_id, text) and an end_id for each document, in ascending doc_id order, to the folder out."""
-    spark = df.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    end = np.array([end_id], dtype="<u4").tobytes()
+    texts = df.select(F.col("doc_id").cast("long"), "text")
+    shards = shards or common.partitions_for(texts)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -149,22 +239,27 @@ def write_files(df: DataFrame, path: str, out: str, end_id: int = 2, shards: int
         docs, sizes, held = [], [], []
 
         def closed() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(held), dtype="<u4")
-            row = {"shard": shard, "page": page, "first": first, "n_ids": len(ids), "doc_ids": list(docs), "sizes": list(sizes)}
+            ids = np.concatenate(held)
+            row = {"shard": shard, "page": page, "first": first, "n_ids": len(ids), "doc_ids": docs, "sizes": sizes}
             row["starts"], row["payload"] = pack(ids)
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
         schema = pa.schema([("shard", pa.int32()), ("page", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("starts", pa.binary()), ("payload", pa.binary())])
         pending = 0
         for batch in batches:
-            doc_ids, at = batch.column("doc_id").to_pylist(), 0
-            for group in grouped(batch.column("text").to_pylist()):
-                for x in encoder.encode([t or "" for t in group]):
-                    docs.append(doc_ids[at])
-                    at += 1
-                    sizes.append(len(x) // 4 + 1)
-                    held.append(x + end)
-                    pending += sizes[-1]
+            doc_ids, given = batch.column("doc_id").to_pylist(), batch.column("text").fill_null("")
+            for a, b in slices(given):
+                ids, n = encoder.encode(given.slice(a, b - a), end_id)
+                ends = np.cumsum(n)
+                at = 0  # documents of this run that are in pages
+                while at < len(n):
+                    before = int(ends[at - 1]) if at else 0
+                    to = min(len(n), int(np.searchsorted(ends, before + PAGE_IDS - pending, side="left")) + 1)
+                    docs += doc_ids[a + at : a + to]
+                    sizes += n[at:to].tolist()
+                    held.append(ids[before : ends[to - 1]])
+                    pending += int(ends[to - 1]) - before
+                    at = to
                     if pending >= PAGE_IDS:
                         yield closed()
                         page, first, pending = page + 1, first + pending, 0
@@ -172,7 +267,7 @@ def write_files(df: DataFrame, path: str, out: str, end_id: int = 2, shards: int
         if docs:
             yield closed()
 
-    ordered = df.select(F.col("doc_id").cast("long"), "text").repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    ordered = texts.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     ordered.mapInArrow(work, PAGE).write.option("compression", "uncompressed").parquet(out)
 
 

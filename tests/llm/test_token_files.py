@@ -1,6 +1,8 @@
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -27,6 +29,26 @@ def brute(rows):
     return out
 
 
+def test_any_text_equals_the_library():
+    rng, library = random.Random(5), token_files.Library(bpe.default_vocabulary(), kept=300)
+    parts = list(" \n\t'ste.,1é 漢🙂　 \x85\x1c\x0b!-ABß") + [" "] * 8 + ["\n"] * 2 + ["'s", "'ll", "<|endoftext|>", "word", "the"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 40))) for _ in range(6000)]
+    for k in range(0, len(texts), 997):
+        ids, sizes = library.encode(pa.array(texts[k : k + 997]), 2)
+        ends = np.cumsum(sizes)
+        for t, n, end in zip(texts[k : k + 997], sizes.tolist(), ends.tolist(), strict=True):
+            assert ids[end - n : end].tolist() == [*library.tokenizer.encode(t, add_special_tokens=False).ids, 2], t
+
+
+def test_other_kinds_of_vocabulary_are_refused():
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    for read in (token_files.Library, bpe.Vocabulary):
+        with pytest.raises(ValueError, match="normalizer"):
+            read(path)
+
+
 def test_query(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = sorted(map(tuple, token_files.op2_token_files(spark, sf).select("doc_id", "start", "n_tokens", "ids_crc32").collect()))
