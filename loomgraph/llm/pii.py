@@ -34,7 +34,7 @@ PATTERNS = {
 }
 #: What a text must hold for a kind to be sought.
 HINTS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
-TERM = r"[\p{L}\p{N}][\p{L}\p{N}'_-]{2,63}"
+TERM = r"[\p{L}\p{N}][\p{L}\p{N}'_-]{2,}+"
 #: Pieces of a text that end where no term goes on.
 PIECE = r"(?s).{1,1000}(?![\p{L}\p{N}'_-])|.[\p{L}\p{N}'_-]*+"
 PRIOR, GENERALISE, REMOVE = 0.5, 0.9, 0.98
@@ -46,12 +46,16 @@ SPAN = "struct<kind:string,start:int,end:int,value:string>"
 def running_sums(values: Column) -> Column:
     """For each value the sum of those before it."""
     add = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
-    size = F.greatest(F.ceil(F.sqrt(F.size(values))).cast("int"), F.lit(1))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / size).cast("int")), lambda b: F.slice(values, b * size + 1, size))
-    # one-element arrays bind what the inner functions use more than once
-    bound = F.transform(F.array(blocks), lambda bs: F.struct(bs.alias("blocks"), F.transform(bs, add).alias("sums")))
-    summed = F.transform(bound, lambda s: F.flatten(F.transform(s["blocks"], lambda block, j: F.transform(block, lambda _, i: add(F.slice(s["sums"], F.lit(1), j)) + add(F.slice(block, F.lit(1), i))))))
-    return F.when(F.size(values) == 0, F.array().cast("array<int>")).otherwise(F.get(summed, F.lit(0)))
+
+    def summed(xs: Column) -> Column:
+        size = F.greatest(F.ceil(F.sqrt(F.size(xs))).cast("int"), F.lit(1))
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / size).cast("int")), lambda b: F.slice(xs, b * size + 1, size))
+        bound = F.transform(F.array(blocks), lambda bs: F.struct(bs.alias("blocks"), F.transform(bs, add).alias("sums")))
+        whole = F.transform(bound, lambda s: F.flatten(F.transform(s["blocks"], lambda block, j: F.transform(F.array(add(F.slice(s["sums"], F.lit(1), j))), lambda base: F.transform(block, lambda _, i: base + add(F.slice(block, F.lit(1), i))))[0])))
+        return F.when(F.size(xs) == 0, F.array().cast("array<int>")).otherwise(F.get(whole, F.lit(0)))
+
+    # one-element arrays bind what an inner function would otherwise compute for each element again
+    return F.get(F.transform(F.array(values), summed), F.lit(0))
 
 
 def _valid(kind: str, match: Column) -> Column:
@@ -140,7 +144,9 @@ def find(docs: DataFrame, carried: tuple = ()) -> DataFrame:
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), *carried)
     kept = common.settle(base_spans(texts).select("row", "doc_id", "base", "text", *carried), "base-spans")
     told = common.settle(disclosing(kept.select("row", "text", "base")), "told")
-    rows = kept.select("row", "text", "base").join(told.select("row").distinct(), "row").select("row", outside(F.col("text"), F.col("base")).alias("rest"))
+    # only texts with base spans are moved
+    marked = kept.where(F.size("base") > 0)
+    rows = marked.select("row", "text", "base").join(told.select("row").distinct(), "row").select("row", outside(F.col("text"), F.col("base")).alias("rest"))
     # sums over short pieces, which no term crosses, keep the work in proportion to the text
     pieces = rows.select("row", F.regexp_extract_all("rest", F.lit(PIECE), F.lit(0)).alias("pieces"))
     pieces = pieces.select("row", F.explode(F.zip_with(running_sums(F.transform("pieces", lambda x: F.length(x))), "pieces", lambda at, x: F.struct(at.alias("at"), x.alias("piece")))).alias("p"))
@@ -148,7 +154,8 @@ def find(docs: DataFrame, carried: tuple = ()) -> DataFrame:
     words = found.select("row", F.lower("f.value").alias("term"), (F.col("at") + F.col("f.start")).alias("start"), (F.col("at") + F.col("f.end")).alias("end"))
     extra = words.join(told, ["row", "term"]).select("row", F.struct("kind", "start", "end", F.col("term").alias("value")).alias("s"))
     extra = extra.groupBy("row").agg(F.array_sort(F.collect_list("s")).alias("extra"))
-    return kept.join(extra, "row", "left").withColumn("extra", F.coalesce(F.col("extra"), F.array().cast(f"array<{SPAN}>")))
+    none = F.array().cast(f"array<{SPAN}>")
+    return marked.join(extra, "row", "left").withColumn("extra", F.coalesce(F.col("extra"), none)).unionByName(kept.where(F.size("base") == 0).withColumn("extra", none))
 
 
 def listed(spans: Column) -> Column:
