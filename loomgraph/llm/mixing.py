@@ -1,14 +1,15 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment of equal blocks of words.
 
 Sources, in code point order, weigh 3, 1, 2 and so on; their targets share 150 % of all words, none above twice its source.
-A source's target becomes whole blocks: as many as it has quotients target / (2k - 1) of at least half a block, which is the
-Sainte-Laguë apportionment whose divisor is the block. A source is cut into shards by a seeded hash of doc_id, and its blocks
-go to its shards by highest quotients. In a shard, documents lie end to end in a seeded order; the shard's quota takes every
-block the same number of times and the blocks of a seeded, evenly spaced selection once more, so no block is taken more than
-twice. What a document gives is found from its place by arithmetic, so blocks are never listed.
+The blocks that the mix has go to sources one by one by the highest quotient target / (2 x blocks so far + 1): the divisor that
+hands out as many is searched for with sums over sources, and quotients that tie with it go in the sources' order. A source is
+cut into shards by a seeded hash of its rows, and its blocks go to its shards by highest quotients. In a shard, documents lie end
+to end in a seeded order; the shard's quota takes every block the same number of times and the blocks of a seeded, evenly spaced
+selection once more, so no block is taken more than twice. What a document gives is found from its place by arithmetic, so
+blocks are never listed.
 
 Null sources form one source of their own, last in order. Null texts have size 0; documents of size 0 give no words. Rows with
-equal doc_id lie next to each other in one shard. An empty table gives an empty result.
+equal doc_id and text lie next to each other in one shard. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,14 +18,16 @@ import heapq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2
-BLOCK, SHARD, SHARDS, SEED = 8, 1 << 16, 4096, 20
+BLOCK, SHARD, SHARDS, SEED = 8, 1 << 16, 1 << 16, 20
+#: Divisors that one pass over the sources tries.
+TRIED = 32
 
 
 def highest_quotients(sizes: np.ndarray, seats: int, caps: np.ndarray) -> np.ndarray:
@@ -70,24 +73,65 @@ def targets(sources: DataFrame, share: float = SHARE, most: int = MOST, weights:
     return weighed.withColumn("target", F.least(cap.cast("double"), F.col("weight") * level))
 
 
+def source_blocks(sources: DataFrame, block: int, most: int = MOST) -> DataFrame:
+    """sources(key, source, source_size, target, ...) with blocks: all that the targets hold together, by highest quotients."""
+    cap = F.ceil(F.col("source_size") / block) * most
+    # sums of doubles may differ in their last digits from run to run, which must not decide about a half
+    seats = int(round((sources.agg(F.sum("target")).first()[0] or 0) / block, 6) + 0.5)
+
+    def at(divisor: float) -> Column:
+        return F.least(F.floor(F.col("target") / F.lit(divisor) + 0.5), cap).cast("long")
+
+    def handed_out(divisors: list[float]) -> list[int]:
+        return [x or 0 for x in sources.agg(*[F.sum(at(d)).alias(f"d{k}") for k, d in enumerate(divisors)]).first()]
+
+    if not seats:
+        return sources.withColumn("blocks", F.lit(0).cast("long"))
+    low, high = block / 2, 2.0 * block
+    while handed_out([low])[0] < seats and low > 1e-9:
+        low /= 64
+    while handed_out([high])[0] > seats:
+        high *= 64
+    # low hands out at least the seats, high at most; between them in the end no source has more than one quotient
+    for _ in range(20):
+        tried = [low * (high / low) ** (k / TRIED) for k in range(1, TRIED)]
+        sums = handed_out(tried)
+        k = sum(x > seats for x in sums)
+        low, high = tried[k - 1] if k else low, tried[k] if k < len(tried) else high
+        open_ = sources.agg(F.max(at(low) - at(high)), F.sum(at(high))).first()
+        if open_[0] <= 1 or high / low - 1 < 1e-15:
+            break
+    given = sources.withColumn("blocks", at(high)).withColumn("_more", at(low) - at(high))
+    left = seats - open_[1]
+    if not left:
+        return given.drop("_more")
+    order = [F.desc(F.col("target") / (2 * F.col("blocks") + 1)), F.col("source").asc_nulls_last()]
+    extra = given.where("_more > 0").orderBy(*order).limit(left).select("key", F.lit(1).alias("_one"))
+    return given.join(extra, "key", "left").withColumn("blocks", F.col("blocks") + F.coalesce("_one", F.lit(0))).drop("_more", "_one")
+
+
 def mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED, shard_words: int = SHARD, most_shards: int = SHARDS) -> DataFrame:
     """doc_id, size, source_size, target, taken of each row of docs(doc_id, text, source)."""
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     key = F.coalesce(F.concat(F.lit("+"), F.col("source")), F.lit(""))
-    sized = common.settle(docs.select(F.col("doc_id").cast("long"), key.alias("key"), "source", size.alias("size")), "sizes")
-    per_source = targets(sized.groupBy("key", "source").agg(F.sum("size").alias("source_size")))
+    mark = F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), "text").alias("mark")
+    sized = common.settle(docs.select(F.col("doc_id").cast("long"), key.alias("key"), "source", size.alias("size"), mark), "sizes")
+    per_source = source_blocks(targets(sized.groupBy("key", "source").agg(F.sum("size").alias("source_size"))), block)
     shards = F.least(F.lit(most_shards), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))).cast("int")
-    per_source = common.settle(per_source.select("key", "source_size", "target", shards.alias("shards"), F.floor(F.col("target") / block + 0.5).cast("long").alias("blocks")), "targets")
-    placed = common.join_small(sized.select("doc_id", "key", "size"), per_source, ["key"]).withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("shards")).cast("int"))
+    per_source = common.settle(per_source.select("key", "source_size", "target", shards.alias("shards"), "blocks"), "targets")
+    placed = common.join_small(sized.select("doc_id", "key", "size", "mark"), per_source, ["key"]).withColumn("shard", F.pmod(F.xxhash64("mark"), F.col("shards")).cast("int"))
 
     def quotas(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("shard", ignore_index=True)
-        n = -(-pdf["words"].to_numpy() // block)
-        return pd.DataFrame({"key": pdf["key"], "shard": pdf["shard"], "n_blocks": n, "quota": highest_quotients(pdf["words"].to_numpy(), int(pdf["blocks"].iloc[0]), n * MOST)})
+        words = pdf["words"].to_numpy()
+        n = -(-words // block)
+        # the last block of a shard is shorter, so the source's words are some more blocks here
+        seats = int(round(int(pdf["blocks"].iloc[0]) * block * n.sum() / max(words.sum(), 1)))
+        return pd.DataFrame({"key": pdf["key"], "shard": pdf["shard"], "n_blocks": n, "quota": highest_quotients(words, min(seats, int(n.sum()) * MOST), n * MOST)})
 
     # at most most_shards rows a source
     per_shard = placed.groupBy("key", "shard").agg(F.sum("size").alias("words"), F.first("blocks").alias("blocks")).groupBy("key").applyInPandas(quotas, "key string, shard int, n_blocks long, quota long")
-    order = Window.partitionBy("key", "shard").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "size")
+    order = Window.partitionBy("key", "shard").orderBy("mark", "doc_id", "size")
     lain = placed.withColumn("end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).join(per_shard, ["key", "shard"])
     lain = lain.withColumns({"full": F.expr("if(n_blocks = 0, 0, quota div n_blocks)"), "extra": F.expr("if(n_blocks = 0, 0, quota % n_blocks)"), "offset": F.expr(f"if(n_blocks = 0, 0, pmod(xxhash64({seed}, key, shard), n_blocks))")})
 
@@ -102,12 +146,17 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED, shard_words: int
 
 
 def repeat_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """docs with each document as often as the mix takes its words; a seeded draw decides about parts of a document."""
-    taken = mix(docs, block, seed).where("taken > 0 and size > 0").select("doc_id", (F.col("taken") / F.col("size")).alias("_times"))
+    """docs with each document as often as the mix takes its words; a seeded draw decides about parts of a document.
+
+    Rows of one doc_id share what they were given. Columns of any name are kept.
+    """
+    taken = mix(docs.select("doc_id", "text", "source"), block, seed).where("taken > 0 and size > 0").select("doc_id", (F.col("taken") / F.col("size")).alias("times"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(1 << 30)) / (1 << 30)
-    # rows of one doc_id share what they were given
-    times = taken.groupBy("doc_id").agg(F.avg("_times").alias("_times")).withColumn("_times", F.floor(F.col("_times") + draw).cast("int")).where("_times > 0").withColumnRenamed("doc_id", "_id")
-    return docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_nth", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
+    key, times, nth = (common.unused(docs, x) for x in ("_id", "_times", "_nth"))
+    whole = taken.groupBy("doc_id").agg(F.avg("times").alias("times")).select(F.col("doc_id").alias(key), F.floor(F.col("times") + draw).cast("int").alias(times)).where(F.col(times) > 0)
+    # the columns of docs go as they are, apart from what is joined
+    joined = docs.join(whole, F.col("doc_id").cast("long").eqNullSafe(F.col(key)))
+    return joined.withColumn(nth, F.explode(F.sequence(F.lit(1), times))).select(*map(common.quoted, docs.columns))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,6 +67,31 @@ def test_highest_quotients():
         assert mixing.highest_quotients(sizes, seats, np.full(len(sizes), 10**9)).tolist() == want.tolist()
 
 
+def test_blocks_of_sources_by_quotients(spark):
+    rng = np.random.default_rng(7)
+    for k in range(6):
+        sizes = rng.integers(0, [9, 60, 5000][k % 3], 40)
+        if k > 2:
+            sizes[:] = sizes[0] + 1  # ties
+        rows = [(f"+s{i:02}", f"s{i:02}", int(n)) for i, n in enumerate(sizes)] + [("", None, 10 * k)]
+        table = mixing.targets(spark.createDataFrame(rows, "key string, source string, source_size long"))
+        table = mixing.common.settle(table, "t")
+        got = {r.source: r for r in mixing.source_blocks(table, 8).collect()}
+        order = sorted((s for _, s, _ in rows if s), key=str) + [None]
+        target = np.array([got[s].target for s in order])
+        caps = np.array([-(-got[s].source_size // 8) * 2 for s in order])
+        want = np.zeros(len(order), dtype=int)
+        for _ in range(int(round(target.sum() / 8, 6) + 0.5)):
+            want[np.argmax(np.where(want < caps, target / (2 * want + 1), -1))] += 1
+        assert [got[s].blocks for s in order] == want.tolist()
+
+
+def test_columns_of_any_name_are_kept(spark):
+    df = spark.createDataFrame([(k, "a b c", "s", 1, 2, 3, 4) for k in range(30)], "doc_id long, text string, source string, _id int, _nth int, _times int, `a.b` int")
+    got = mixing.repeat_documents(df)
+    assert got.columns == df.columns and {tuple(r)[3:] for r in got.collect()} == {(1, 2, 3, 4)}
+
+
 def test_repeated_documents_keep_small_sources(spark):
     small = [*(f"s{k}" for k in range(40)), None]
     rows = [(d, "w " * 500, "large") for d in range(100)] + [(1000 + 10 * k + i, "w " * 50, s) for k, s in enumerate(small) for i in range(10)]
