@@ -3,12 +3,14 @@
 Texts become lower-case letters with one blank symbol for everything else; n-grams of one to three symbols are hashed into
 buckets. A feature is an n-gram's share of the text times its inverse document frequency. The weights are learnt by
 follow-the-regularised-leader with elastic-net penalties, and a temperature is fitted on rows kept out of that. Prediction
-sees nothing but the text. Every labelled language is learnt, from a bounded sample (documented parameters: PER_LANG labelled
-documents of each, or an equal part of MOST_ROWS where there are more languages, of at most MOST_CHARS characters); every whole
-text is predicted. The number of labels is the bound of the model, which takes about 1.5 MB a label while it is learnt.
+sees nothing but the text. Every labelled language is learnt, from a bounded sample of labelled texts cut into pieces (documented
+parameters: PER_LANG different pieces of each language, or an equal part of MOST_ROWS where there are more languages, of PIECE
+characters), drawn by hash from all pieces of all labelled texts, however long; every whole text is predicted. The number of
+labels is the bound of the model, which takes about 1.5 MB a label while it is learnt.
 
 A null text or one without a letter is `und` with score 0, as is every text where no labelled row is left to learn from.
-Null doc_ids are neither held out nor learnt from. Repeated rows and extra columns change nothing else.
+Null doc_ids are neither held out nor learnt from. Rows equal in doc_id, text and label are learnt from once. Extra columns
+change nothing.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from . import common
 from .bpe import grouped
 
 ORDERS, BITS = (1, 2, 3), 15
-PER_LANG, MOST_ROWS, MOST_CHARS = 1500, 96_000, 100_000
+PER_LANG, MOST_ROWS, PIECE = 1500, 96_000, 10_000
 SCALE, ALPHA, BETA, L1, L2, EPOCHS, SEED = 10.0, 0.3, 1.0, 0.02, 0.1, 3, 6
 NONE = "und"
 
@@ -140,25 +142,28 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, per_lang: int = PER_LANG, most_rows: int = MOST_ROWS, most_chars: int = MOST_CHARS) -> tuple | None:
+def fit(docs: DataFrame, per_lang: int = PER_LANG, most_rows: int = MOST_ROWS, piece: int = PIECE) -> tuple | None:
     """The model, learnt from docs(doc_id, text, lang) that are not held out; None without labelled rows."""
     spark = docs.sparkSession
-    labelled = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.col("lang") != NONE) & ~held_out())
-    usable = labelled.where(F.length("text").between(1, most_chars))
-    counts = usable.groupBy("lang").count().collect()  # a row per label
+    usable = docs.select("doc_id", "text", "lang").where(F.col("doc_id").isNotNull() & (F.col("lang") != NONE) & (F.length("text") > 0) & ~held_out())
+    n_pieces = F.ceil(F.length("text") / piece).cast("int")
+    counts = usable.groupBy("lang").agg(F.sum(n_pieces).alias("count")).collect()  # a row per label
     if not counts:
         return None
-    # the share of each language that gives about so many rows, so no more than that is ever gathered
+    # the share of each language that gives about so many pieces, so no more than that is ever gathered
     per_lang = min(per_lang, most_rows / len(counts))
     share = spark.createDataFrame([(r["lang"], min(1.0, per_lang / r["count"])) for r in counts], "lang string, share double")
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 40)) / (1 << 40)
-    # one row per label is broadcast
-    sample = usable.join(F.broadcast(share), "lang").where(draw < F.col("share")).select("doc_id", "text", "lang", draw.alias("draw"))
+    marked = usable.withColumns({"mark": F.xxhash64("doc_id", "text", F.lit(SEED)), "n_pieces": n_pieces})
+    draw = lambda k: F.pmod(F.xxhash64(F.col("mark"), k), F.lit(1 << 40)) / (1 << 40)
+    # one row per label is broadcast; only texts that a piece is drawn of are cut
+    drawn = marked.join(F.broadcast(share), "lang").where(F.exists(F.sequence(F.lit(0), F.col("n_pieces") - 1), lambda k: draw(k) < F.col("share")))
+    pieces = F.transform(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{piece}}}"), F.lit(0)), lambda x, k: F.struct(draw(k).alias("draw"), x.alias("text")))
+    sample = drawn.select("lang", F.inline(F.filter(pieces, lambda x: x["draw"] < F.col("share")))).dropDuplicates(["lang", "draw"])
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         given = list(batches)
         if sum(map(len, given)):
-            rows = pd.concat(given).sort_values(["draw", "doc_id", "text", "lang"], ignore_index=True)
+            rows = pd.concat(given).sort_values(["draw", "text", "lang"], ignore_index=True)
             fold = np.arange(len(rows)) % 5 == 0
             names, weights, bias, temperature = train(rows["text"].tolist(), rows["lang"].tolist(), fold)
             yield pd.DataFrame({"names": [names], "weights": [weights.tobytes()], "bias": [bias.tobytes()], "temperature": [temperature]})
@@ -185,15 +190,25 @@ def identify(docs: DataFrame, model: tuple | None) -> DataFrame:
 
 
 def accepted(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """docs without those whose text has no letter or whose language gets a probability under `least`.
+    """docs without the rows whose text has no letter or whose language gets a probability under `least`.
 
-    Where no labelled row is left to learn from, nothing is recognised as foreign and every text with a letter stays.
+    Each row is judged by its own text, in the pass that reads it. Where no labelled row is left to learn from, nothing is
+    recognised as foreign and every text with a letter stays.
     """
-    model = fit(docs)
+    model = fit(docs.select("doc_id", "text", "lang"))
     if model is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    good = identify(docs, model).where((F.col("lang_pred") != NONE) & (F.col("score") >= least)).select("doc_id").distinct()
-    return docs.join(good, docs["doc_id"].eqNullSafe(good["doc_id"]), "left_semi")
+    text = docs.columns.index("text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for group in grouped(batch.column(text).to_pylist(), 500_000):
+                langs, score = predict(group, model)
+                good += [x != NONE and s >= least for x, s in zip(langs, score.tolist(), strict=True)]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

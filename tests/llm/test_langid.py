@@ -1,5 +1,9 @@
+import math
+from collections import Counter, defaultdict
 from zlib import crc32
 
+import numpy as np
+
 from loomgraph.llm import langid
 
 
@@ -47,3 +51,88 @@ def test_every_labelled_language_is_learnt(spark):
 def test_unlabelled_documents_with_letters_are_accepted(spark):
     df = spark.createDataFrame([(1, "abc", None), (2, "été", "und"), (3, "12 !", None), (4, None, None), (None, "x", None)], "doc_id long, text string, lang string")
     assert sorted(r.text for r in langid.accepted(df).collect()) == ["abc", "x", "été"]
+
+
+def test_long_and_repeated_texts_are_learnt_from(spark):
+    long = [(k, f"{a} " * 60_000, lang) for k, (a, lang) in enumerate([("the house of cats", "en"), ("le chat du jardin", "fr")] * 4)]
+    again = [(77, "le chien", "fr")] * 3000
+    df = spark.createDataFrame(long + again, "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    assert model[0] == ["en", "fr"] and langid.predict(["the cats", "du jardin"], model)[0] == ["en", "fr"]
+
+
+def test_training_against_a_plain_version():
+    rng = np.random.default_rng(5)
+    words = {"en": "the house of cats and dogs".split(), "fr": "le chat du jardin et la souris".split(), "de": "der hund und die katze".split()}
+    langs = [str(x) for x in rng.choice(sorted(words), 40)]
+    texts = [" ".join(rng.choice(words[x], 7)) for x in langs]
+    fold = np.arange(40) % 5 == 0
+    names, weights, bias, temperature = langid.train(texts, langs, fold)
+    # the same in plain Python: one dictionary of weights, one text and one label at a time
+    grams = []
+    for t in texts:
+        s, starts = langid.symbols([t])
+        grams.append(Counter(int(b) for k in langid.ORDERS for b in langid.buckets(s, starts, k)))
+    size = [len(t) + 3 for t in texts]
+    df = Counter(g for c in grams for g in c)
+    idf = lambda g: math.log(41 / (1 + df[g])) + 1
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(key):
+        if abs(z[key]) <= langid.L1:
+            return 0.0
+        return -(z[key] - math.copysign(langid.L1, z[key])) / ((langid.BETA + math.sqrt(n[key])) / langid.ALPHA + langid.L2)
+
+    def features(i):
+        return {g: langid.SCALE * (c / size[i]) * idf(g) for g, c in grams[i].items()} | {"bias": 1.0}
+
+    def logits(i):
+        return [sum(x * weight((g, lang)) for g, x in features(i).items()) for lang in names]
+
+    def softmax(v):
+        e = [math.exp(x - max(v)) for x in v]
+        return [x / sum(e) for x in e]
+
+    order = np.random.default_rng(langid.SEED)
+    for _ in range(langid.EPOCHS):
+        for i in order.permutation(np.flatnonzero(~fold)):
+            p, f = softmax(logits(i)), features(i)
+            for k, lang in enumerate(names):
+                for g, x in f.items():
+                    d, key = x * (p[k] - (lang == langs[i])), (g, lang)
+                    w = weight(key)
+                    z[key] += d - (math.sqrt(n[key] + d * d) - math.sqrt(n[key])) / langid.ALPHA * w
+                    n[key] += d * d
+    for k, lang in enumerate(names):
+        assert abs(bias[k] - weight(("bias", lang))) < 1e-3
+        for g in df:
+            assert abs(weights[g, k] - langid.SCALE * idf(g) * weight((g, lang))) < 1e-2
+    kept = np.flatnonzero(fold)
+    loss = lambda t: -sum(math.log(softmax([x / t for x in logits(i)])[names.index(langs[i])] + 1e-12) for i in kept)
+    assert loss(temperature) <= min(loss(temperature * s) for s in (0.7, 0.9, 1.1, 1.4)) + 1e-3
+    model = (names, weights, bias, temperature)
+    got, score = langid.predict(texts, model)
+    for i, (g, x) in enumerate(zip(got, score, strict=True)):
+        p = softmax([v / temperature for v in logits(i)])
+        assert g == names[int(np.argmax(p))] and abs(max(p) - x) < 1e-3
+
+
+def test_scores_are_calibrated(spark):
+    """Over held-out rows the mean score comes near the share that is right, as close as without the temperature or closer."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(docs)
+    held = [r for r in docs.collect() if crc32(str(r.doc_id).encode()) % 5 == 0 and r.lang is not None and r.text]
+
+    def loss(model):
+        names, weights, bias, temperature = model
+        total = 0.0
+        for k in range(0, len(held), 500):
+            part = held[k : k + 500]
+            got, score = langid.predict([r.text for r in part], model)
+            total -= sum(math.log(max(1e-6, s if g == r.lang else 1 - s)) for g, s, r in zip(got, score, part, strict=True))
+        return total / len(held)
+
+    assert loss(model) <= loss((*model[:3], 1.0)) + 1e-3
+    got, score = langid.predict([r.text for r in held], model)
+    right = np.mean([g == r.lang for g, r in zip(got, held, strict=True)])
+    assert right > 0.97 and abs(score.mean() - right) < 0.05
