@@ -1,13 +1,14 @@
 """Quality and toxicity by a document classifier and hierarchical empirical Bayes over hosts and paths.
 
-The classifier is logistic regression on hashed words and a few shares of characters, learnt from a bounded sample of labelled
-documents (documented parameter SAMPLE). Its probabilities over all documents are grouped by host and by path. Method-of-moments
+The classifier is logistic regression on hashed words and a few measures of style, learnt from a bounded sample of labelled
+documents of any length (documented parameter SAMPLE: about so many labels are drawn), whose features are gathered, not their texts. Its probabilities over all documents are grouped by host and by path. Method-of-moments
 estimates give how strongly hosts vary around the global mean and paths around their host; the posterior mean of a host shrinks
 to the global prior, and that of a path to its host's, the more the sparser they are. A document's odds are then multiplied by
 how its path's posterior odds differ from the global odds.
 
 Null texts count as empty. Null hosts or paths form a group of their own. A document without labels anywhere to learn from gets
-probability 0.5. Rows with equal doc_id are kept; labels of repeated doc_ids all count. An empty table gives an empty result.
+probability 0.5. Rows with equal doc_id are kept; a single one of them is learnt from, with each different label that it has. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,14 +25,15 @@ from pyspark.sql import functions as F
 from . import common
 from .bpe import grouped
 
-BUCKETS, SAMPLE, MOST_CHARS, SEED = 1 << 20, 6000, 100_000, 3
+BUCKETS, SAMPLE, SEED = 1 << 20, 6000, 3
 #: Standard errors that a word's share of labelled documents must stray by to become a feature.
 STRAY = 4.0
 EPOCHS, RATE, RIDGE = 12, 0.5, 1e-5
 HEADS = ("quality", "toxic")
-#: Marks whose share of a text's words is a feature: upper case, no letter, a mark of noise at the end, a repeat of the word before.
+#: Measures of style: words in upper case, symbols a word (ASCII marks that are not of sentences), repeats of the word before,
+#: different words, each as a share of the words, and a tenth of the mean length of a word.
 STYLES = 5
-NOISE = tuple(b"###|$$$|&&&|%%%|***|!!".split(b"|"))
+SYMBOLS = b"#$%&*+/<=>@[\\]^_`{|}~"
 
 
 class Hashed(dict):
@@ -49,7 +51,7 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         n = max(len(words), 1)
         flat += map(table.__getitem__, [w.lower().strip(b".,!?") for w in words])
         starts.append(len(flat))
-        style[k] = sum(map(bytes.isupper, words)) / n, sum(w.endswith(NOISE) for w in words) / n, raw.count(b"|") / n, sum(a == b for a, b in zip(words, words[1:], strict=False)) / n, len(set(words)) / n
+        style[k] = sum(map(bytes.isupper, words)) / n, (len(raw) - len(raw.translate(None, SYMBOLS))) / n, sum(a == b for a, b in zip(words, words[1:], strict=False)) / n, len(set(words)) / n, sum(map(len, words)) / n / 10
     return np.array(flat, dtype=np.int64), np.array(starts), style
 
 
@@ -57,15 +59,13 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def learn(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def learn(rows: list[np.ndarray], style: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Word weights (buckets x heads) and style weights with a bias, by adaptive gradient steps over single documents.
 
-    A word counts once in a text; toxic words weigh the same in long and short texts.
+    rows are the buckets of each document's words, each once; toxic words weigh the same in long and short texts.
     """
-    flat, starts, style = features(texts)
     w, v = np.zeros((BUCKETS, len(HEADS))), np.zeros((STYLES + 1, len(HEADS)))
     gw, gv = np.full(w.shape, 1e-2), np.full(v.shape, 1e-2)
-    rows = [np.unique(flat[a:b]) for a, b in zip(starts, starts[1:], strict=False)]
     df = np.bincount(np.concatenate(rows), minlength=BUCKETS)
     useful = np.zeros(BUCKETS, dtype=bool)
     for k in range(len(HEADS)):
@@ -73,7 +73,7 @@ def learn(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         hits = np.bincount(np.concatenate(rows), weights=np.repeat(labels[:, k], [len(r) for r in rows]), minlength=BUCKETS)
         useful |= np.abs(hits - df * rate) > STRAY * np.sqrt(np.maximum(df, 1) * rate * (1 - rate))
     rows = [r[useful[r]] for r in rows]
-    extra = np.hstack([style, np.ones((len(texts), 1))])
+    extra = np.hstack([style, np.ones((len(rows), 1))])
     rng = np.random.default_rng(SEED)
     for _ in range(EPOCHS):
         for i in rng.permutation(len(rows)):
@@ -103,24 +103,34 @@ def classify(texts: list[str | None], model: tuple) -> np.ndarray:
     return _sigmoid(total)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_chars: int = MOST_CHARS) -> tuple | None:
-    """The classifier from docs(doc_id, text) and labels(doc_id, quality, toxic); at most about `sample` labelled documents."""
-    known = labels.where("doc_id is not null and quality is not null and toxic is not null").select(F.col("doc_id").cast("long"), *HEADS)
-    n = known.count()
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple | None:
+    """The classifier from docs(doc_id, text) and labels(doc_id, quality, toxic)."""
+    known = labels.where("doc_id is not null and quality is not null and toxic is not null").select(F.col("doc_id").cast("long"), *HEADS).distinct()
     draw = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 40)) / (1 << 40)
-    chosen = known.where(draw < min(1.0, sample / max(n, 1))).withColumn("draw", draw)
+    chosen = known.where(draw < min(1.0, sample / max(known.count(), 1))).withColumn("draw", draw)
     # about `sample` rows of three numbers are broadcast, whatever the size of labels
-    rows = docs.where(F.length("text").between(1, most_chars)).join(F.broadcast(chosen), "doc_id").select("draw", "doc_id", "text", *HEADS)
+    rows = docs.where("text is not null").select("doc_id", "text", F.xxhash64("text").alias("mark")).join(F.broadcast(chosen), "doc_id")
+
+    def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            flat, starts, style = features(pdf["text"].tolist())
+            words = [np.unique(flat[a:b]).astype(np.int32).tobytes() for a, b in zip(starts, starts[1:], strict=False)]
+            yield pdf[["draw", "mark", *HEADS]].assign(words=words, style=[x.tobytes() for x in style])
+
+    heads = ", ".join(f"{h} double" for h in HEADS)
+    found = rows.select("draw", "mark", "text", *[F.col(h).cast("double").alias(h) for h in HEADS]).mapInPandas(featured, f"draw double, mark long, {heads}, words binary, style binary")
+    # of many rows of one doc_id a single one is learnt from, so what is gathered is bounded by the labels drawn
+    found = found.groupBy("draw", *HEADS).agg(F.min(F.struct("mark", "words", "style")).alias("row")).select("draw", *HEADS, "row.*")
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         given = list(batches)
         if sum(map(len, given)):
-            pdf = pd.concat(given).sort_values(["draw", "doc_id", "text", *HEADS], ignore_index=True)
-            w, v = learn(pdf["text"].tolist(), pdf[list(HEADS)].to_numpy(float))
+            pdf = pd.concat(given).sort_values(["draw", "mark", *HEADS], ignore_index=True)
+            w, v = learn([np.frombuffer(x, dtype=np.int32) for x in pdf["words"]], np.array([np.frombuffer(x) for x in pdf["style"]]), pdf[list(HEADS)].to_numpy(float))
             at = np.flatnonzero(w.any(axis=1)).astype(np.int32)
             yield pd.DataFrame({"at": [at.tobytes()], "w": [w[at].tobytes()], "v": [v.tobytes()]})
 
-    got = rows.repartition(1).mapInPandas(work, "at binary, w binary, v binary").first()
+    got = found.repartition(1).mapInPandas(work, "at binary, w binary, v binary").first()
     return (np.frombuffer(got.at, dtype=np.int32), np.frombuffer(got.w, dtype=np.float32).reshape(-1, len(HEADS)), np.frombuffer(got.v).reshape(-1, len(HEADS))) if got else None
 
 
@@ -176,13 +186,17 @@ def _combined(head: str) -> Column:
     return total / (1 + total)
 
 
+def combined(found: DataFrame) -> DataFrame:
+    """doc_id and for each head the evidence, host and path posteriors and all together; found is evidence(), settled."""
+    joined = common.join_small(found, common.settle(posteriors(found), "posteriors"), ["host", "path"])
+    return joined.select("doc_id", *[c for h in HEADS for c in (F.col(f"p_{h}"), F.col(f"host_{h}"), F.col(f"path_{h}"), _combined(h).alias(h))])
+
+
 def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, quality and toxicity (evidence, host and path posteriors, combined) and keep, of docs(doc_id, text, host, path)."""
+    """combined() and keep, of docs(doc_id, text, host, path)."""
     key = lambda c: F.coalesce(F.concat(F.lit("+"), F.col(c)), F.lit("")).alias(c)
     docs = docs.select(F.col("doc_id").cast("long"), "text", key("host"), key("path"))
-    found = common.settle(evidence(docs, fit(docs, labels)), "evidence")
-    joined = common.join_small(found, common.settle(posteriors(found), "posteriors"), ["host", "path"])
-    shown = joined.select("doc_id", *[c for h in HEADS for c in (F.col(f"p_{h}"), F.col(f"host_{h}"), F.col(f"path_{h}"), _combined(h).alias(h))])
+    shown = combined(common.settle(evidence(docs, fit(docs, labels)), "evidence"))
     return shown.withColumn("keep", (F.col("quality") >= 0.5) & (F.col("toxic") < 0.5))
 
 
