@@ -89,7 +89,7 @@ def with_next(df: DataFrame, carried: list[str], buckets: int | None = None) ->
     bucket before it. The driver gets one bound and one doc_id per bucket.
     """
     spark = df.sparkSession
-    n = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets or 4 * common.partitions_for(df)
     ranked = df.withColumn("_rank", F.coalesce(F.col("doc_id"), F.lit(LOWEST)))
     ids = ranked.select("_rank")
     bounds = sorted(set(ids.agg(F.percentile_approx("_rank", [k / n for k in range(1, n)], 20 * n)).first()[0] or []))

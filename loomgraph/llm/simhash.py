@@ -35,6 +35,9 @@ GENERATOR = 0b101011100011
 #: Words whose shingles are counted at once; longer texts are taken in turns.
 TURN = 1 << 16
 SALTS = 16
+#: Fingerprints of a bucket from which on it is split by the Golay keys of the third segment too, and the part of all
+#: fingerprints (one in so many) that shows which buckets those are.
+MOST_BUCKET, SHOWN = 20_000, 64
 
 
 def _remainder(v: int) -> int:
@@ -141,7 +144,19 @@ def forest(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return prints[left], prints[right]
 
 
-def links(prints: DataFrame) -> DataFrame:
+def finer_keys(prints: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and finer key of fingerprints in buckets: a Golay key of the segment that is not in the bucket's key yet."""
+    rows, finer = [], []
+    for i in range(len(SEGMENTS)):
+        mine = np.flatnonzero(keys >> np.uint64(40) == i)
+        at, bits = SEGMENTS[(i + 2) % len(SEGMENTS)]
+        row, code = golay_keys((prints[mine] >> np.uint64(at) & np.uint64((1 << bits) - 1)).astype(np.int64), bits)
+        rows.append(mine[row])
+        finer.append(code.astype(np.int32))
+    return np.concatenate(rows), np.concatenate(finer)
+
+
+def links(prints: DataFrame, most: int = MOST_BUCKET, shown: int = SHOWN) -> DataFrame:
     """a long, b long: links among distinct fingerprints prints(fp) that connect whatever at most two bits connect."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,6 +166,13 @@ def links(prints: DataFrame) -> DataFrame:
                 rows, keys = bucket_keys(fp[k : k + TURN])
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(fp[k : k + TURN][rows].view(np.int64))], names=["key", "fp"])
 
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, key = (batch.column(c).to_numpy().view(np.uint64) for c in ("fp", "key"))
+            for k in range(0, len(fp), TURN):
+                rows, finer = finer_keys(fp[k : k + TURN], key[k : k + TURN])
+                yield pa.RecordBatch.from_arrays([pa.array(key[k : k + TURN][rows].view(np.int64)), pa.array(finer), pa.array(fp[k : k + TURN][rows].view(np.int64))], names=["key", "finer", "fp"])
+
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.uint64)]
@@ -160,15 +182,22 @@ def links(prints: DataFrame) -> DataFrame:
                 b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], names=["a", "b"])
 
-    buckets = prints.mapInArrow(keyed, "key long, fp long").groupBy("key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+    rows = prints.mapInArrow(keyed, "key long, fp long").withColumn("finer", F.lit(0))
+    some = prints.where(F.pmod(F.xxhash64("fp"), F.lit(shown)) == 0).mapInArrow(keyed, "key long, fp long")
+    hot = common.settle(some.groupBy("key").count().where(F.col("count") * shown > most).select("key", F.lit(True).alias("hot")), "hot-buckets")
+    if not hot.isEmpty():
+        marked = common.join_small(rows, hot, ["key"], "left")
+        fine = marked.where("hot").select("key", "fp").mapInArrow(split, "key long, finer int, fp long")
+        rows = marked.where("hot is null").select("key", "fp", "finer").unionByName(fine)
+    buckets = rows.groupBy("key", "finer").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
     return buckets.select("fps").mapInArrow(joined, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, name: str = "edges", most: int = 40) -> DataFrame:
-    """node long, root long: each node of edges(a, b) with its component's least node; alternating star steps."""
+def components(edges: DataFrame, name: str = "edges") -> DataFrame:
+    """node long, root long: each node of edges(a, b) with its component's least node; alternating star steps until nothing changes."""
     edges = common.settle(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name)
     seen = None
-    for _ in range(most):
+    while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         # large star: larger neighbours point to the least of the neighbourhood
@@ -181,7 +210,6 @@ def components(edges: DataFrame, name: str = "edges", most: int = 40) -> DataFra
         if (sums.n, sums.s) == seen:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = (sums.n, sums.s)
-    raise RuntimeError(f"components did not settle in {most} rounds")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
