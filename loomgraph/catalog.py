@@ -132,23 +132,25 @@ def references_grouped(spark, sf):
     return reads.grouped_references(reads.neighbours(graph(spark, sf), None, reverse=True, source_type="namespace"))
 
 
-NEIGHBOURS = """SELECT e.{a} AS anchor, e.type AS edge_type, e.{b} AS id, w.weight, m.canonical_id FROM edges e JOIN weights w ON e.id = w.edge_id JOIN nodes m ON m.id = e.{b} JOIN nodes n ON n.id = e.{a}
-WHERE weight > 0.05 AND """
-SEEN = ["anchor", "edge_type", "id", "weight", "canonical_id"]
+@query("""SELECT anchor, id, activation, rank FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY activation DESC, id) AS rank FROM (
+SELECT DISTINCT e.target_id AS anchor, e.source_id AS id, coalesce(a.activation, 0.0) AS activation FROM edges e JOIN weights w ON e.id = w.edge_id JOIN nodes n ON n.id = e.target_id AND n.type = 'concept' LEFT JOIN acts a ON a.node_id = e.source_id
+WHERE e.type IN ('implements', 'annotates', 'co_activates') AND w.weight > 0.05)) WHERE rank <= 50""")
+def concept_implementors(spark, sf):
+    return reads.implementors(graph(spark, sf)).select("anchor", "id", "activation", "rank")
 
 
-@query(NEIGHBOURS.format(a="target_id", b="source_id") + "n.type = 'concept' AND e.type IN ('implements', 'annotates')")
-def concept_implementors(spark, sf):
-    return reads.neighbours(graph(spark, sf), ["implements", "annotates"], reverse=True, source_type="concept").select(*SEEN)
+LISTED = """SELECT anchor, id, canonical_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY canonical_id, id) AS rank FROM (
+SELECT DISTINCT e.{a} AS anchor, m.id, m.canonical_id FROM edges e JOIN weights w ON e.id = w.edge_id JOIN nodes n ON n.id = e.{a} JOIN nodes m ON m.id = e.{b} WHERE e.type = 'imports' AND {where})) WHERE rank <= 100"""
+LIST = ["anchor", "id", "canonical_id", "rank"]
 
 
-@query(NEIGHBOURS.format(a="source_id", b="target_id") + "n.type = 'file' AND e.type = 'imports'")
+@query(LISTED.format(a="source_id", b="target_id", where="n.type = 'file'"))
 def file_imports(spark, sf):
-    return reads.neighbours(graph(spark, sf), ["imports"], source_type="file").select(*SEEN)
+    return reads.imports(graph(spark, sf)).select(*LIST)
 
 
 MEMBERS = """members AS (SELECT * FROM (SELECT e.source_id AS anchor, e.target_id AS id, m.type, m.label, m.kind, row_number() OVER (PARTITION BY e.source_id ORDER BY m.type, m.label, m.id) AS rank
-FROM edges e JOIN weights w ON e.id = w.edge_id JOIN nodes n ON n.id = e.source_id JOIN nodes m ON m.id = e.target_id WHERE weight > 0.05 AND e.type IN ('contains', 'defines') AND n.type = '{t}') WHERE rank <= 500)"""
+FROM edges e JOIN weights w ON e.id = w.edge_id JOIN nodes n ON n.id = e.source_id JOIN nodes m ON m.id = e.target_id WHERE e.type IN ('contains', 'defines') AND n.type = '{t}') WHERE rank <= 500)"""
 
 
 @query(f"{SQL}, {MEMBERS.format(t='namespace')} SELECT anchor, id, type, label, rank FROM members")
@@ -167,14 +169,14 @@ def namespace_summary(spark, sf):
     return reads.namespace_summary(reads.members(graph(spark, sf), "namespace"))
 
 
-@query(NEIGHBOURS.format(a="source_id", b="target_id") + "n.type = 'namespace' AND m.type = 'namespace' AND e.type = 'imports'")
+@query(LISTED.format(a="source_id", b="target_id", where="n.type = 'namespace' AND m.type IN ('namespace', 'file')"))
 def namespace_dependencies(spark, sf):
-    return reads.neighbours(graph(spark, sf), ["imports"], source_type="namespace", node_type="namespace").select(*SEEN)
+    return reads.dependencies(graph(spark, sf)).select(*LIST)
 
 
-@query(NEIGHBOURS.format(a="target_id", b="source_id") + "n.type = 'namespace' AND m.type = 'namespace' AND e.type = 'imports'")
+@query(LISTED.format(a="target_id", b="source_id", where="n.type = 'namespace' AND m.type IN ('namespace', 'file')"))
 def namespace_dependents(spark, sf):
-    return reads.neighbours(graph(spark, sf), ["imports"], reverse=True, source_type="namespace", node_type="namespace").select(*SEEN)
+    return reads.dependencies(graph(spark, sf), reverse=True).select(*LIST)
 
 
 @query("SELECT project_id, nodes, edges FROM (SELECT project_id, count(*) AS nodes FROM nodes GROUP BY 1) JOIN (SELECT project_id, count(*) AS edges FROM edges GROUP BY 1) USING (project_id)")
@@ -282,34 +284,46 @@ def resolve_anchors(spark, sf):
 SEARCHES = {"Supplier1 part1": ["supplier1", "part1"], "dispatch Order1": ["dispatch", "order1"]}
 
 
-def _search_sql() -> str:
+def _search_sql(searches: dict[str, list[str]], nodes: str, limit: int = 10) -> str:
     low, can, fil = "lower(label)", "lower(canonical_id)", "lower(coalesce(source_file, ''))"
     parts = []
-    for q, tokens in SEARCHES.items():
+    for q, tokens in searches.items():
         hit = " OR ".join(f"contains({c}, '{t}')" for t in tokens for c in (can, low, fil))
         ladder = " + ".join(f"CASE WHEN {low} = '{t}' THEN 90 WHEN contains({low}, '{t}') THEN 45 ELSE 0 END + CASE WHEN {can} = '{t}' THEN 80 WHEN ends_with({can}, '{t}') THEN 55 WHEN contains({can}, '{t}') THEN 35 ELSE 0 END + CASE WHEN contains({fil}, '{t}') THEN 20 ELSE 0 END" for t in tokens)
         score = f"{ladder} + CASE WHEN type = 'symbol' THEN 8 ELSE 0 END + CASE WHEN source_file IS NOT NULL THEN 5 ELSE 0 END + CASE WHEN line_start > 0 THEN 3 ELSE 0 END"
-        parts.append(f"SELECT '{q}' AS query, project_id, id, canonical_id, {score} AS score, row_number() OVER (PARTITION BY project_id ORDER BY length(canonical_id), id) AS cut FROM nodes WHERE {hit}")
-    return f"""SELECT query, project_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query, project_id ORDER BY score DESC, strlen(canonical_id), length(canonical_id), id) AS rank
-FROM ({" UNION ALL ".join(parts)}) WHERE cut <= 120) WHERE rank <= 10"""
+        parts.append(f"SELECT '{q}' AS query, project_id, id, label, canonical_id, source_file, {score} AS score, row_number() OVER (PARTITION BY project_id ORDER BY length(canonical_id), id) AS cut FROM {nodes} WHERE {hit}")
+    return f"""SELECT query, project_id, id, label, canonical_id, source_file, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query, project_id ORDER BY score DESC, strlen(canonical_id), length(canonical_id), id) AS rank
+FROM ({" UNION ALL ".join(parts)}) WHERE cut <= {max(100, 12 * limit)}) WHERE rank <= {limit}"""
 
 
-@query(_search_sql())
+@query(f"SELECT query, project_id, id, score, rank FROM ({_search_sql(SEARCHES, 'nodes')})")
 def search_ranked(spark, sf):
     queries = spark.createDataFrame([(q,) for q in SEARCHES], "query string")
     return search.search(graph(spark, sf), queries).select("query", "project_id", "id", "score", "rank")
 
 
+#: Names that patterns of entrypoints occur in, for those of the projection; what is asked first, and the patterns in order.
+RENAMED = [("suppliers:Supplier", "routes:Supplier"), ("Dispatch", "bootstrapDispatch"), ("parts/Brand#1", "register/Brand#1")]
+RELATED = {"Supplier1 part1": ["supplier1", "part1"]} | {t: [t] for t in "supplier1 part1 route routes endpoint controller add_action add_filter do_action apply_filters register bootstrap init handler".split()}
+
+
 def _related_sql() -> str:
+    renamed = lambda c: f"replace(replace(replace({c}, 'suppliers:Supplier', 'routes:Supplier'), 'Dispatch', 'bootstrapDispatch'), 'parts/Brand#1', 'register/Brand#1')"
+    place = " ".join(f"WHEN query = '{q}' THEN {k}" for k, q in enumerate(RELATED))
     hay = "lower(canonical_id||' '||label||' '||coalesce(source_file, ''))"
-    case = " ".join(f"WHEN contains({hay}, '{p}') THEN {k}" for k, p in enumerate(search.PATTERNS["entrypoints"], 1))
-    return f"""SELECT project_id, id, pattern, rank FROM (SELECT project_id, id, {search.PATTERNS["entrypoints"]!r}[place] AS pattern, row_number() OVER (PARTITION BY project_id ORDER BY place, length(canonical_id), id) AS rank
-FROM (SELECT *, CASE {case} END AS place FROM nodes) WHERE place IS NOT NULL) WHERE rank <= 10"""
+    first = " ".join(f"WHEN contains({hay}, '{p}') THEN '{p}'" for p in list(RELATED)[3:])
+    return f"""{SQL}, renamed AS (SELECT * REPLACE ({renamed('canonical_id')} AS canonical_id, {renamed('label')} AS label) FROM nodes), found AS ({_search_sql(RELATED, 'renamed')}),
+hits AS (SELECT *, CASE {place} END AS place, CASE {first} END AS pattern FROM found), once AS (SELECT project_id, id, pattern, min(place * 1000 + rank) AS first FROM hits WHERE pattern IS NOT NULL GROUP BY ALL)
+SELECT project_id, id, pattern, rank FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY first, id) AS rank FROM once) WHERE rank <= 10"""
 
 
 @query(_related_sql())
 def related_by_pattern(spark, sf):
-    return search.related(graph(spark, sf), search.PATTERNS["entrypoints"]).select("project_id", "id", "pattern", "rank")
+    g = graph(spark, sf)
+    names = {c: F.col(c) for c in ("canonical_id", "label")}
+    for a, b in RENAMED:
+        names = {c: F.replace(x, F.lit(a), F.lit(b)) for c, x in names.items()}
+    return search.related(tables.Graph(g.nodes.withColumns(names), g.edges, g.weights, g.activation), search.PATTERNS["entrypoints"], "Supplier1 part1").select("project_id", "id", "pattern", "rank")
 
 
 @plain("""SELECT doc_id AS id, line, lines[line] AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS lines, unnest(range(greatest(1, doc_id % 7 + 1 - 2), least(doc_id % 7 + 4 + 2, len(string_split(text, chr(10))), greatest(1, doc_id % 7 - 1) + 80) + 1)) AS line FROM documents)""")
@@ -552,9 +566,9 @@ def intent_verdict(spark, sf):
 
 
 @plain("""WITH o AS (SELECT o_orderkey AS node_id, o_orderstatus <> 'P' AS public, o_orderstatus = 'F' AS fails, o_orderkey % 3 = 0 AS explicit, o_orderkey % 4 <> 0 AS effects, o_orderkey % 2 = 0 AS result FROM orders)
-SELECT node_id, 'explicit-return' AS rule, CASE WHEN NOT public THEN 'skipped' WHEN explicit THEN 'passed' ELSE 'warned' END AS status FROM o
-UNION ALL SELECT node_id, 'effects-declared', CASE WHEN NOT public THEN 'skipped' WHEN effects THEN 'passed' ELSE 'failed' END FROM o
-UNION ALL SELECT node_id, 'failures-as-result', CASE WHEN NOT fails THEN 'skipped' WHEN result THEN 'passed' ELSE 'failed' END FROM o""")
+SELECT node_id, 'function-explicit-return-type' AS rule, CASE WHEN NOT public THEN 'skipped' WHEN explicit THEN 'passed' ELSE 'failed' END AS status FROM o
+UNION ALL SELECT node_id, 'declare-side-effects', CASE WHEN effects THEN 'passed' ELSE 'failed' END FROM o
+UNION ALL SELECT node_id, 'expected-failures-use-result', CASE WHEN NOT fails THEN 'skipped' WHEN result THEN 'passed' ELSE 'warned' END FROM o""")
 def rule_evaluation(spark, sf):
     k = F.col("o_orderkey")
     o = table(spark, sf, "orders").select(
@@ -574,33 +588,40 @@ def condition_shape_match(spark, sf):
     return x.select("l_orderkey", "l_linenumber", intents.has_shape(nodes, ["==", "!="], "null").alias("fits"))
 
 
-@plain("""SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'any' WHEN 1 THEN replace(p_brand, ' ', '')||'[]' ELSE 'list['||replace(p_brand, ' ', '')||']|None' END AS name FROM part""")
+@plain("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'map[string]any' WHEN 1 THEN 'Map<string,'||replace(p_brand, ' ', '')||'[]>' WHEN 2 THEN replace(p_brand, ' ', '')||'|None' ELSE 'Optional[list['||replace(p_brand, ' ', '')||']]' END AS name FROM part""")
 def canonical_types(spark, sf):
-    p, k = table(spark, sf, "part"), F.col("p_size") % 3
-    language = F.when(k == 0, "go").when(k == 1, "typescript").otherwise("python")
-    name = F.when(k == 0, F.lit("interface {}")).when(k == 1, F.concat(F.lit("Array< "), "p_brand", F.lit(">"))).otherwise(F.concat(F.lit("Optional[List["), "p_brand", F.lit("]]")))
+    p, k = table(spark, sf, "part"), F.col("p_size") % 4
+    language = F.when(k == 0, "go").when(k == 1, "javascript").otherwise("python")
+    name = F.when(k == 0, F.lit("map[string]interface {}")).when(k == 1, F.concat(F.lit("Map<string, Array< "), "p_brand", F.lit(">>")))
+    name = name.when(k == 2, F.concat(F.lit("Optional["), "p_brand", F.lit("]"))).otherwise(F.concat(F.lit("Optional[List["), "p_brand", F.lit("]]")))
     return p.select("p_partkey", ids.canonical_type(language, name).alias("name"))
 
 
-@plain("""WITH e AS (SELECT event_id, event_type||'.'||(['http','saveQuery','readFile','logger','noop','storeItem'])[event_id % 6 + 1] AS name FROM events),
-k AS (SELECT *, lower(name) AS l FROM e), c AS (SELECT event_id, name, l, CASE WHEN regexp_matches(l, 'http|fetch|request|socket|grpc|publish|send') THEN 'network' WHEN regexp_matches(l, 'sql|query|insert|update|delete|repo|db\\.') THEN 'db' WHEN regexp_matches(l, 'file|write|read|open|print') THEN 'io' WHEN regexp_matches(l, 'log|logger|console') THEN 'log' END AS effect FROM k)
-SELECT event_id, name, effect, CASE WHEN effect IS NOT NULL THEN 'resolved' WHEN regexp_matches(l, 'save|create|set|put|add|remove|store|emit') THEN 'heuristic' ELSE 'unclassified' END AS basis FROM c""")
+CALLS = ["http.Get", "db.saveQuery", "os.readFile", "slog.Info", "noop", "storeItem", "tracker.emit", "gorm.Open", "ioutil.x"]
+
+
+@plain(f"""WITH e AS (SELECT event_id, event_type||'/'||({CALLS!r})[event_id % {len(CALLS)} + 1] AS name FROM events),
+k AS (SELECT *, lower(name) AS l FROM e), c AS (SELECT event_id, name, l, CASE WHEN regexp_matches(l, 'http|fetch|axios|request|grpc|socket|net\\.|url\\.') THEN 'network' WHEN regexp_matches(l, 'sql|db\\.|\\.db|query|redis|mongo|gorm|database|repository|datastore') THEN 'db'
+ WHEN regexp_matches(l, 'os\\.|io\\.|ioutil|fs\\.|file|open\\(|readfile|writefile|readall') THEN 'io' WHEN regexp_matches(l, 'log|console|print|fmt\\.print|slog') THEN 'log' END AS effect FROM k)
+SELECT event_id, name, CASE WHEN effect IS NOT NULL THEN effect WHEN regexp_matches(l, 'track|send|emit|publish|save|create|update|delete|write') THEN 'mutation' ELSE 'unclassified' END AS effect, CASE WHEN effect IS NOT NULL THEN 'resolved' ELSE 'heuristic' END AS basis FROM c""")
 def effect_classify(spark, sf):
-    calls = ["http", "saveQuery", "readFile", "logger", "noop", "storeItem"]
-    e = table(spark, sf, "events").select("event_id", F.concat_ws(".", "event_type", F.element_at(F.lit(calls), (F.col("event_id") % 6 + 1).cast("int"))).alias("name"))
+    e = table(spark, sf, "events").select("event_id", F.concat_ws("/", "event_type", F.element_at(F.lit(CALLS), (F.col("event_id") % len(CALLS) + 1).cast("int"))).alias("name"))
     return e.select("event_id", "name", ids.effect_kind(F.col("name")).alias("effect"), ids.effect_basis(F.col("name")).alias("basis"))
 
 
 # -- semantic records -------------------------------------------------------------------------------------------------------
 
-CANDIDATES = """want AS (SELECT DISTINCT canonical_id AS q FROM nodes WHERE type = 'namespace' UNION SELECT DISTINCT label FROM nodes WHERE type = 'concept' UNION SELECT 'nothing at all'),
-named AS (SELECT q, id FROM want JOIN nodes ON lower(q) = lower(label)),
-cand AS (SELECT q AS query, id, max(s) AS score FROM (SELECT q, id, 1.0::DOUBLE AS s FROM want JOIN nodes ON q = canonical_id UNION ALL SELECT q, source_id, 0.85 FROM named JOIN edges ON named.id = target_id UNION ALL SELECT q, id, 0.6 FROM named) GROUP BY ALL)"""
+CANDIDATES = """units AS (SELECT project_id, min(id) AS unit FROM nodes WHERE type = 'file' GROUP BY 1),
+want AS (SELECT DISTINCT canonical_id AS q, project_id FROM nodes WHERE type = 'namespace' AND canonical_id LIKE 'parts/%' UNION SELECT DISTINCT upper(label), project_id FROM nodes WHERE type = 'concept' UNION SELECT 'nothing at all', 'p1'),
+near AS (SELECT q, project_id, id FROM (SELECT q, n.project_id, n.id, row_number() OVER (PARTITION BY q, n.project_id ORDER BY length(canonical_id), n.id) AS k FROM want JOIN nodes n ON n.project_id = want.project_id AND contains(lower(canonical_id), lower(q))) WHERE k <= 20),
+cand AS (SELECT q AS query, project_id, id, max(s) AS score FROM (SELECT q, n.project_id, min(n.id) AS id, 1.0::DOUBLE AS s FROM want JOIN nodes n ON q = canonical_id AND n.project_id = want.project_id GROUP BY 1, 2
+UNION ALL SELECT q, n.project_id, n.id, 0.85 FROM want JOIN units USING (project_id) JOIN edges e ON e.source_id = unit JOIN nodes n ON n.id = e.target_id AND contains(lower(n.canonical_id), lower(q)) UNION ALL SELECT q, project_id, id, 0.6 FROM near) GROUP BY ALL)"""
 
 
 def _wanted(spark, g):
-    a = g.nodes.where("type = 'namespace'").select(F.col("canonical_id").alias("query")).unionByName(g.nodes.where("type = 'concept'").select(F.col("label").alias("query")))
-    return a.unionByName(spark.createDataFrame([("nothing at all",)], "query string")).distinct()
+    a = g.nodes.where("type = 'namespace' and canonical_id like 'parts/%'").select(F.col("canonical_id").alias("query"), "project_id").unionByName(g.nodes.where("type = 'concept'").select(F.upper("label").alias("query"), "project_id"))
+    units = g.nodes.where("type = 'file'").groupBy("project_id").agg(F.min("id").alias("unit"))
+    return a.unionByName(spark.createDataFrame([("nothing at all", "p1")], "query string, project_id string")).distinct().join(units, "project_id")
 
 
 @query(f"{SQL}, {CANDIDATES} SELECT * FROM cand")
@@ -609,18 +630,25 @@ def resolve_candidates(spark, sf):
     return semantic.resolution_candidates(g, _wanted(spark, g))
 
 
-@query(f"""{SQL}, {CANDIDATES}, best AS (SELECT query, max(score) AS score FROM cand GROUP BY 1), top AS (SELECT query, score, count(*) AS n, min(id) AS id FROM cand JOIN best USING (query, score) GROUP BY ALL)
-SELECT q AS query, CASE WHEN score IS NULL THEN 'missing' WHEN score < 0.8 THEN 'incompatible' WHEN n > 1 THEN 'ambiguous' ELSE 'resolved' END AS outcome, CASE WHEN n = 1 AND score >= 0.8 THEN id END AS id FROM want LEFT JOIN top ON q = query""")
+@query(f"""{SQL}, {CANDIDATES}, best AS (SELECT query, project_id, max(score) AS score FROM cand GROUP BY 1, 2), top AS (SELECT query, project_id, score, count(*) AS n, min(id) AS id FROM cand JOIN best USING (query, project_id, score) GROUP BY ALL)
+SELECT q AS query, want.project_id, CASE WHEN score IS NULL THEN 'missing' WHEN score < 0.8 THEN 'incompatible' WHEN n > 1 THEN 'ambiguous' ELSE 'resolved' END AS outcome, CASE WHEN n = 1 AND score >= 0.8 THEN id END AS id FROM want LEFT JOIN top ON q = query AND want.project_id = top.project_id""")
 def resolve_outcomes(spark, sf):
     g = graph(spark, sf)
     wanted = _wanted(spark, g)
     return semantic.resolve(semantic.resolution_candidates(g, wanted), wanted)
 
 
+BORDERS = [("suppliers:Supplier", "EventClient:Supplier"), ("parts/", "Repository/"), ("Dispatch", "AuditTrail")]
+
+
 @query("""SELECT DISTINCT source_id AS node, 'dependency:'||target_id AS claim FROM edges WHERE type IN ('calls','imports') UNION SELECT target_id, 'caller:'||source_id FROM edges WHERE type = 'calls'
-UNION SELECT id, 'boundary.'||b FROM (SELECT id, CASE WHEN regexp_matches(lower(canonical_id), 'repo|store|parts/') THEN 'repository' WHEN regexp_matches(lower(canonical_id), 'publish|dispatch|event') THEN 'publisher' WHEN regexp_matches(lower(canonical_id), 'provider|client|supplier') THEN 'provider' END AS b FROM nodes) WHERE b IS NOT NULL""")
+UNION SELECT id, 'boundary.'||b FROM (SELECT id, CASE WHEN contains(c, 'repository') THEN 'repository' WHEN contains(c, 'audit') OR contains(c, 'event') OR contains(c, 'publisher') THEN 'publisher' WHEN contains(c, 'provider') OR contains(c, 'client') THEN 'provider' END AS b
+FROM (SELECT id, lower(replace(replace(replace(canonical_id, 'suppliers:Supplier', 'EventClient:Supplier'), 'parts/', 'Repository/'), 'Dispatch', 'AuditTrail')) AS c FROM nodes)) WHERE b IS NOT NULL""")
 def enrich_claims(spark, sf):
-    return semantic.claims(graph(spark, sf))
+    g, name = graph(spark, sf), F.col("canonical_id")
+    for a, b in BORDERS:
+        name = F.replace(name, F.lit(a), F.lit(b))
+    return semantic.claims(tables.Graph(g.nodes.withColumn("canonical_id", name), g.edges, g.weights, g.activation))
 
 
 POLICIES = [("pol-a", 1, 5, None, ["O"], []), ("pol-b", 1, 2, "l0", [], ["F"]), ("pol-c", 0, 9, None, [], ["F", "O"]), ("pol-d", 2, 1, "l1", ["P"], [])]
@@ -666,17 +694,26 @@ def unresolved_questions(spark, sf):
 
 # -- streams and logs -------------------------------------------------------------------------------------------------------
 
+#: What the test table's event types stand for.
+KINDS = {"click": "write", "view": "write", "signup": "create", "purchase": "rename", "error": "remove"}
+
+
+def changes(events: DataFrame) -> DataFrame:
+    """Events as changes of files, a file for each user and a project for every fifth."""
+    kind = F.element_at(F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv]), F.col("event_type"))
+    return events.select(F.concat(F.lit("p"), F.col("user_id") % 5).alias("project"), F.concat(F.lit("user-"), F.col("user_id")).alias("path"), kind.alias("kind"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
+
 
 @plain("""WITH c AS (SELECT 'p'||(user_id % 5) AS project, 'user-'||user_id AS path, ts FROM events), g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS new FROM c WINDOW w AS (PARTITION BY project ORDER BY ts)),
 s AS (SELECT *, sum(new) OVER (PARTITION BY project ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT project, min(ts) AS start, max(ts) + INTERVAL 10 MINUTE AS "end", count(*) AS n, count(DISTINCT path) AS paths FROM s GROUP BY project, k""")
 def debounce_sessions(spark, sf):
-    found = watch.debounce(watch.changes(table(spark, sf, "events")), "10 minutes")
+    found = watch.debounce(changes(table(spark, sf, "events")), "10 minutes")
     return found.select("project", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n", F.col("paths").cast("long").alias("paths"))
 
 
 @plain("""SELECT 'p'||(user_id % 5) AS project, 'user-'||user_id AS path, CASE arg_max(event_type, (ts, event_id)) WHEN 'click' THEN 'write' WHEN 'view' THEN 'write' WHEN 'signup' THEN 'create' WHEN 'purchase' THEN 'rename' WHEN 'error' THEN 'remove' END AS kind, max(ts) AS ts FROM events GROUP BY user_id""")
 def file_event_latest(spark, sf):
-    return watch.last_changes(watch.changes(table(spark, sf, "events"))).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return watch.last_changes(changes(table(spark, sf, "events"))).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @plain("SELECT conv_id, count(*) AS turns, max(turn) AS last_turn, arg_max(role, turn) AS last_role FROM conversations GROUP BY conv_id")
@@ -721,7 +758,7 @@ def extraction_diff(spark, sf):
 def _sources(spark, sf) -> DataFrame:
     """One Python module per part: a function that raises, branches and returns."""
     p = table(spark, sf, "part")
-    lines = ["import os.path", "from .shared import helper", "LIMIT = 1", "", "def part_{k}(size: int, name) -> str:", "    if size > {n}:", "        raise ValueError('too_big')", "    elif size == 0:", "        return 'none'", "    else:", "        logger.info(name)", "    return '{b}'", "", "class Part{k}(Base):", "    def _hidden(self):", "        raise"]
+    lines = ["import os.path", "from .shared import helper", "LIMIT = 1", "", "def part_{k}(size: int, name) -> str:", "    if size > {n}:", "        raise ValueError('too_big')", "    elif size == 0:", "        return 'none'", "    else:", "        os.remove(name)", "        if name == LIMIT:", "            store.save(name)", "    return '{b}'", "", "class Part{k}(Base):", "    def _hidden(self):", "        raise"]
     text = F.lit("\n".join(lines))
     for mark, col in (("{k}", "p_partkey"), ("{n}", "p_size"), ("{b}", "p_brand")):
         text = F.replace(text, F.lit(mark), F.col(col).cast("string"))
@@ -729,26 +766,28 @@ def _sources(spark, sf) -> DataFrame:
 
 
 @plain("""SELECT 'parts/m'||p_partkey||'.py' AS rel_path, type, replace(replace(canonical, '@', 'parts.m'||p_partkey), '#', p_partkey::VARCHAR) AS canonical_id, kind, exported, line_start FROM part,
-(VALUES ('namespace', '@', 'module', NULL::BOOLEAN, NULL::INT), ('namespace', 'os.path', 'import', NULL, 1), ('namespace', 'parts.shared', 'relative', NULL, 2), ('symbol', '@:LIMIT', 'constant', true, 3), ('symbol', '@:part_#', 'function', true, 5), ('symbol', '@:Part#', 'class', true, 14), ('symbol', '@:Part#._hidden', 'method', false, 15)) v(type, canonical, kind, exported, line_start)""")
+(VALUES ('namespace', '@', 'module', NULL::BOOLEAN, NULL::INT), ('namespace', 'os.path', 'import', NULL, 1), ('namespace', 'parts.shared', 'relative', NULL, 2), ('symbol', '@:LIMIT', 'constant', true, 3), ('symbol', '@:part_#', 'function', true, 5), ('symbol', '@:Part#', 'class', true, 16), ('symbol', '@:Part#._hidden', 'method', false, 17)) v(type, canonical, kind, exported, line_start)""")
 def extract_python(spark, sf):
     return extract.python_symbols(_sources(spark, sf)).where("type <> 'file'").select("rel_path", "type", "canonical_id", "kind", "exported", "line_start")
 
 
-@plain("""SELECT 'part_'||p_partkey AS name, 'public' AS visibility, 'size:int,name:unknown' AS inputs, 'str' AS returns, 'size > '||p_size||'=>throw|size == 0=>return|else=>' AS behavior, 'logger.info:resolved' AS effects, 'too_big:constructed' AS failures FROM part
+@plain("""SELECT 'part_'||p_partkey AS name, 'public' AS visibility, 'size:int,name:unknown' AS inputs, 'str' AS returns, 'size > '||p_size||'=>throw|size == 0=>return|else=>invoke|name == LIMIT=>invoke' AS behavior, 'os.remove:io:resolved,store.save:mutation:heuristic' AS effects, 'too_big:constructed' AS failures FROM part
 UNION ALL SELECT '_hidden', 'private', '', '', '', '', 'propagated:propagated' FROM part""")
 def lift_python(spark, sf):
     pairs = lambda c, a, b: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x[a], x[b])), ",")
     behavior = F.array_join(F.transform("behavior", lambda x: F.concat(x["when"], F.lit("=>"), F.coalesce(x["then_op"], F.lit("")))), "|")
-    return extract.python_intents(_sources(spark, sf)).select("name", "visibility", pairs("inputs", "name", "type").alias("inputs"), F.col("returns.type").alias("returns"), behavior.alias("behavior"), pairs("effects", "name", "basis").alias("effects"), pairs("failures", "code", "kind").alias("failures"))
+    return extract.python_intents(_sources(spark, sf)).select("name", "visibility", pairs("inputs", "name", "type").alias("inputs"), F.col("returns.type").alias("returns"), behavior.alias("behavior"), F.array_join(F.transform("effects", lambda x: F.concat_ws(":", x["name"], x["kind"], x["basis"])), ",").alias("effects"), pairs("failures", "code", "kind").alias("failures"))
 
 
-@plain("""SELECT l_orderkey AS node_id, kind, path FROM (SELECT l_orderkey, count(*) AS n, count_if(l_linenumber <= 3) AS a FROM lineitem GROUP BY 1) JOIN lineitem USING (l_orderkey),
-(VALUES ('behavior', '')) v(kind, x), (SELECT 'behavior/0' AS path) WHERE l_linenumber = 1 AND l_quantity > 25""")
+@plain("""SELECT o_orderkey AS node_id, CASE WHEN a = b THEN 'behavior' ELSE 'behavior_count' END AS kind, CASE WHEN a = b THEN 'behavior/0' ELSE 'behavior' END AS path FROM (SELECT o_orderkey, o_custkey % 3 AS a, count(l_orderkey) % 3 AS b, sum(l_quantity) AS q FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
+WHERE a <> b OR (a > 0 AND coalesce(q, 0) > 100)""")
 def intent_behavior(spark, sf):
-    x = table(spark, sf, "lineitem").where("l_linenumber = 1")
-    branch = lambda when: F.array(F.struct(when.alias("when_expr"), F.lit("return").alias("then_op"), F.lit("1").alias("then_value")))
-    a, b = branch(F.lit("q")), branch(F.when(F.col("l_quantity") > 25, "r").otherwise("q"))
-    return x.select(F.col("l_orderkey").alias("node_id"), F.inline(intents.compare_behaviour(a, b))).select("node_id", "kind", "path")
+    x = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"), F.sum("l_quantity").alias("q"))
+    rows = table(spark, sf, "orders").join(x, "o_orderkey", "left")
+    clause = lambda when: F.struct(when.alias("when_expr"), F.lit("return").alias("then_op"), F.lit("1").alias("then_value"))
+    branches = lambda n, first: F.slice(F.array(clause(first), clause(F.lit("s"))), F.lit(1), n.cast("int"))
+    a, b = branches(F.col("o_custkey") % 3, F.lit("q")), branches(F.coalesce("n", F.lit(0)) % 3, F.when(F.coalesce("q", F.lit(0)) > 100, "r").otherwise("q"))
+    return rows.select(F.col("o_orderkey").alias("node_id"), F.inline(intents.compare_behaviour(a, b))).select("node_id", "kind", "path")
 
 
 IMPLEMENTS = """WITH m AS (SELECT DISTINCT 'p'||(l_orderkey % 100) AS package, 'S'||l_suppkey AS owner, 'm'||(l_partkey % 10) AS method FROM lineitem), i AS (SELECT DISTINCT 'p'||(o_orderkey % 100) AS package, 'I'||(o_orderkey % 7) AS interface, 'm'||(o_custkey % 10) AS method FROM orders),
@@ -763,13 +802,14 @@ def method_set_implements(spark, sf):
     return analyzers.implementations(m, i)
 
 
-@plain("""WITH f AS (SELECT 'a/d'||(p_partkey % 5)||'/f'||p_partkey||CASE p_partkey % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '/index.ts' ELSE '.js' END AS rel_path FROM part), i AS (SELECT 'a/x/g'||l_orderkey||'.ts' AS from_path, '../d'||(l_partkey % 5)||'/f'||l_partkey AS spec FROM lineitem)
-SELECT from_path, spec, rel_path AS to_path FROM (SELECT DISTINCT from_path, spec, 'a/'||substr(spec, 4)||unnest(['.ts', '/index.ts', '.js']) AS rel_path FROM i) JOIN f USING (rel_path)""")
+@plain("""WITH f AS (SELECT 'a/d'||(p_partkey % 5)||'/f'||p_partkey||CASE p_partkey % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '/index.ts' ELSE '.js' END AS rel_path FROM part), i AS (SELECT 'a/x/g'||l_orderkey||'.ts' AS from_path, '.././../../a/d'||(l_partkey % 5)||'/f'||l_partkey AS spec FROM lineitem WHERE l_orderkey % 3 > 0)
+SELECT from_path, spec, rel_path AS to_path FROM (SELECT DISTINCT from_path, spec, substr(spec, 12)||unnest(['.ts', '/index.ts', '.js']) AS rel_path FROM i) JOIN f USING (rel_path)""")
 def relative_import_resolution(spark, sf):
     k = F.col("p_partkey")
     files = table(spark, sf, "part").select(F.concat(F.lit("a/d"), k % 5, F.lit("/f"), k, F.when(k % 3 == 0, ".ts").when(k % 3 == 1, "/index.ts").otherwise(".js")).alias("rel_path"))
-    x = table(spark, sf, "lineitem").select(F.concat(F.lit("a/x/g"), "l_orderkey", F.lit(".ts")).alias("from_path"), F.concat(F.lit("../d"), F.col("l_partkey") % 5, F.lit("/f"), F.col("l_partkey")).alias("spec"))
-    return analyzers.relative_imports(x.distinct(), files)
+    x = table(spark, sf, "lineitem").select(F.concat(F.lit("a/x/g"), "l_orderkey", F.lit(".ts")).alias("from_path"), F.concat(F.lit(".././../../a/d"), F.col("l_partkey") % 5, F.lit("/f"), F.col("l_partkey")).alias("spec"), F.col("l_orderkey").alias("k"))
+    # every third importing file is not a file of the project
+    return analyzers.relative_imports(x.drop("k").distinct(), files.unionByName(x.where("k % 3 > 0").select(F.col("from_path").alias("rel_path"))))
 
 
 @plain("""SELECT DISTINCT 'pkg'||(o_custkey % 50) AS from_package, 'host.org/lib'||(l_partkey % 30) AS "to" FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey % 2 = 0""")
@@ -792,3 +832,6 @@ def class_hierarchy(spark, sf):
 def weight_accumulation(spark, sf):
     e = table(spark, sf, "events").where("value is not null").select(F.concat(F.lit("e"), "user_id").alias("edge_id"), F.col("value").alias("weight"), F.col("event_type").alias("source_class"), F.lit(1).cast("long").alias("co_activations"), F.col("event_id").alias("seq"))
     return merge.accumulate_weights(e.groupBy("edge_id").agg(F.lit(0.5).alias("weight"), F.lit("structural").alias("source_class"), F.lit(1).cast("long").alias("co_activations")), e)
+
+
+from . import catalog_records  # noqa: E402,F401 - registers its queries

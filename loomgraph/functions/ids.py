@@ -58,39 +58,83 @@ def term(text: Column) -> Column:
     return F.lower(spaces(text))
 
 
+#: Capitalised generics that mean their lower-case builtins.
+GENERICS = ["List", "Dict", "Set", "Tuple", "FrozenSet", "Type"]
+
+
 def canonical_type(language: Column, name: Column) -> Column:
-    """Type names that mean the same in one language, made equal."""
-    plain = F.regexp_replace(name, r"[ \t\n]", "")
-    go = F.regexp_replace(plain, r"interface\{\}", "any")
-    ts = F.regexp_replace(plain, r"^Array<(.*)>$", "$1[]")
+    """Type names that mean the same in one language, made equal; arguments that are themselves nested are left as they are."""
+    plain = F.regexp_replace(name, r"[ \t\r\n]", "")
+    go = F.replace(plain, F.lit("interface{}"), F.lit("any"))
+    ts = F.regexp_replace(plain, r"Array<([^<>]+)>", "$1[]")
     py = plain
-    for t in ("List", "Dict", "Set", "Tuple", "Type", "FrozenSet"):
+    for t in GENERICS:
         py = F.regexp_replace(py, rf"\b{t}\[", f"{t.lower()}[")
-    py = F.regexp_replace(py, r"^Optional\[(.*)\]$", "$1|None")
-    return F.when(language == "go", go).when(language == "typescript", ts).when(language == "python", py).otherwise(plain)
+    py = F.regexp_replace(py, r"Optional\[([^\[\]]+)\]", "$1|None")
+    return F.when(language == "go", go).when(language.isin("typescript", "tsx", "javascript"), ts).when(language == "python", py).otherwise(plain)
 
 
-#: Substrings of a call's name that tell its effect, in order of precedence.
+#: Substrings of a call's name that tell its effect, in order of precedence, and verbs of mutations.
 EFFECTS = {
-    "network": ["http", "fetch", "request", "socket", "grpc", "publish", "send"],
-    "db": ["sql", "query", "insert", "update", "delete", "repo", "db."],
-    "io": ["file", "write", "read", "open", "print"],
-    "log": ["log", "logger", "console"],
+    "network": ["http", "fetch", "axios", "request", "grpc", "socket", "net.", "url."],
+    "db": ["sql", "db.", ".db", "query", "redis", "mongo", "gorm", "database", "repository", "datastore"],
+    "io": ["os.", "io.", "ioutil", "fs.", "file", "open(", "readfile", "writefile", "readall"],
+    "log": ["log", "console", "print", "fmt.print", "slog"],
+}
+VERBS = ["track", "send", "emit", "publish", "save", "create", "update", "delete", "write"]
+#: Import paths (or what lies below them) and receivers that tell an effect.
+EFFECT_PATHS = {
+    "network": ["net/http", "net/url", "net", "google.golang.org/grpc", "github.com/gorilla/websocket"],
+    "db": ["database/sql", "gorm.io", "go.mongodb.org", "github.com/redis", "github.com/jmoiron/sqlx"],
+    "io": ["os", "io", "io/ioutil", "bufio", "path/filepath"],
+    "log": ["log", "log/slog", "fmt"],
+}
+EFFECT_ROOTS = {
+    "network": ["http", "https", "fetch", "axios", "request", "requests", "grpc", "ws", "socket", "urllib"],
+    "db": ["db", "sql", "database", "redis", "mongo", "session", "repository", "datastore"],
+    "io": ["os", "io", "fs", "ioutil", "file", "pathlib"],
+    "log": ["log", "logger", "logging", "console", "slog", "fmt"],
 }
-VERBS = ["save", "create", "set", "put", "add", "remove", "store", "emit"]
 
 
-def effect_kind(name: Column) -> Column:
-    e = F.lit(None).cast("string")
-    low = F.lower(name)
-    for kind in reversed(EFFECTS):
-        e = F.when(F.exists(F.array(*map(F.lit, EFFECTS[kind])), lambda s: low.contains(s)), kind).otherwise(e)
+def _first_kind(tests: dict[str, Column], otherwise: Column) -> Column:
+    e = otherwise
+    for kind in reversed(tests):
+        e = F.when(tests[kind], kind).otherwise(e)
     return e
 
 
-def effect_basis(name: Column) -> Column:
-    verb = F.exists(F.array(*map(F.lit, VERBS)), lambda s: F.lower(name).contains(s))
-    return F.when(effect_kind(name).isNotNull(), "resolved").when(verb, "heuristic").otherwise("unclassified")
+def _recognised(name: Column) -> Column:
+    low = F.lower(name)
+    return _first_kind({k: F.exists(F.lit(words), lambda s: low.contains(s)) for k, words in EFFECTS.items()}, F.lit(None).cast("string"))
+
+
+def _verb(name: Column) -> Column:
+    low = F.lower(name)
+    return F.exists(F.lit(VERBS), lambda s: low.contains(s))
+
+
+def effect_kind(name: Column) -> Column:
+    """The kind of effect that a call's name alone tells."""
+    return F.coalesce(_recognised(name), F.when(_verb(name), "mutation").otherwise("unclassified"))
+
+
+def effect_basis(name: Column, declared: Column | None = None, confidence: Column | None = None) -> Column:
+    """resolved for a recognised name, else heuristic; what was declared, or a confidence of old, goes before."""
+    by_name = F.when(_recognised(name).isNotNull(), "resolved").otherwise("heuristic")
+    if confidence is not None:
+        by_name = F.when(confidence == "high", "resolved").when(confidence == "low", "heuristic").otherwise(by_name)
+    return by_name if declared is None else F.when(F.coalesce(declared, F.lit("")) != "", declared).otherwise(by_name)
+
+
+def call_effect(method: Column, root: Column, path: Column) -> Column:
+    """kind and basis of a call: its import path goes before its receiver, and that before its verb."""
+    m, r, p = (F.lower(F.coalesce(c, F.lit(""))) for c in (method, root, path))
+    by_path = _first_kind({k: F.exists(F.lit(v), lambda x: (p == x) | F.startswith(p, F.concat(x, F.lit("/")))) for k, v in EFFECT_PATHS.items()}, F.lit(None).cast("string"))
+    by_root = _first_kind({k: r.isin(v) for k, v in EFFECT_ROOTS.items()}, F.lit(None).cast("string"))
+    known = F.coalesce(by_path, by_root)
+    kind = F.coalesce(known, F.when(_verb(m), "mutation").otherwise("unclassified"))
+    return F.struct(kind.alias("kind"), F.when(known.isNotNull(), "resolved").otherwise("heuristic").alias("basis"))
 
 
 def token_estimate(text: Column) -> Column:

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import activation_confidence, confidence_activation
-from ..sources.tables import Graph
-from .reads import weighted
+from ..sources.tables import Graph, short
+from .reads import ranked, weighted
 from .traverse import settle
 
 #: Fixed values of the model.
@@ -30,14 +30,12 @@ def resolve_anchors(g: Graph, anchors: DataFrame) -> DataFrame:
     within = lambda side: F.contains(F.lower("canonical_id"), F.lower("ref")) if side else F.startswith(F.lower("canonical_id"), F.lower("ref"))
 
     def cut(df: DataFrame, order: list, k: int) -> DataFrame:
-        from .reads import ranked
-
         return ranked(df, ["project_id", "anchor"], order, k).drop("rank")
 
-    fuzzy = cut(F.broadcast(left).join(n.where("node_type = 'symbol'"), "project_id").where(within(True)), [F.length("canonical_id"), F.col("id")], 5)
-    spaces = cut(F.broadcast(a.where("kind = 'namespace'")).join(n.where("node_type = 'namespace'"), "project_id").where(within(False)), [F.col("canonical_id"), F.col("id")], 20)
-    ideas = F.broadcast(a.where("kind = 'concept'")).join(n.where("node_type = 'concept'"), "project_id").where(within(True) | F.contains(F.lower("label"), F.lower("ref")))
-    files = F.broadcast(a.where("kind = 'file'")).join(n, "project_id").where(within(False))
+    fuzzy = cut(short(left).join(n.where("node_type = 'symbol'"), "project_id").where(within(True)), [F.length("canonical_id"), F.col("id")], 5)
+    spaces = cut(short(a.where("kind = 'namespace'")).join(n.where("node_type = 'namespace'"), "project_id").where(within(False)), [F.col("canonical_id"), F.col("id")], 20)
+    ideas = short(a.where("kind = 'concept'")).join(n.where("node_type = 'concept'"), "project_id").where(within(True) | F.contains(F.lower("label"), F.lower("ref")))
+    files = short(a.where("kind = 'file'")).join(n, "project_id").where(within(False))
     found = exact.select("project_id", "anchor", "id", "confidence")
     for part in (fuzzy, spaces, ideas, files):
         found = found.unionByName(part.select("project_id", "anchor", "id", "confidence"))
@@ -51,22 +49,22 @@ def spread(g: Graph, seeds: DataFrame) -> DataFrame:
     at most 1, 0.6^5 < 0.1, so the frontier dies within the depth.
     """
     e = weighted(g).select(F.col("source_id").alias("id"), "target_id", F.when(F.col("weight") <= 0, 0.5).otherwise(F.col("weight")).alias("w"))
-    best = settle(seeds.groupBy("set", "id").agg(F.max("activation").alias("activation")), "best")
-    frontier = best
-    for _ in range(DEPTH):
+    frontier = settle(seeds.groupBy("set", "id").agg(F.max("activation").alias("activation")), "seeds")
+    seen = frontier  # what each round found; the best of it is taken once, in the end
+    for k in range(DEPTH):
         passed = frontier.join(e, "id").select("set", F.col("target_id").alias("id"), (F.col("activation") * DECAY * F.col("w")).alias("activation")).where(F.col("activation") >= THRESHOLD)
-        passed = passed.groupBy("set", "id").agg(F.max("activation").alias("new"))
-        better = settle(passed.join(best, ["set", "id"], "left").where("activation is null or new > activation").select("set", "id", F.col("new").alias("activation")), "better")
-        if better.isEmpty():
+        passed = passed.groupBy("set", "id").agg(F.max("activation").alias("activation"))
+        if k:  # a path back may be no better than what is there
+            known = seen.groupBy("set", "id").agg(F.max("activation").alias("known"))
+            passed = passed.join(known, ["set", "id"], "left").where("known is null or activation > known").drop("known")
+        frontier = settle(passed, "better")
+        if frontier.isEmpty():
             break
-        best = settle(best.unionByName(better).groupBy("set", "id").agg(F.max("activation").alias("activation")), "best")
-        frontier = better
-    return best
+        seen = seen.unionByName(frontier)
+    return settle(seen.groupBy("set", "id").agg(F.max("activation").alias("activation")), "best")
 
 
 def top(found: DataFrame, k: int = TOP) -> DataFrame:
-    from .reads import ranked
-
     return ranked(found, ["set"], [F.desc("activation"), F.asc("id")], k).withColumn("confidence", activation_confidence(F.col("activation")))
 
 
@@ -75,7 +73,7 @@ def hebbian(g: Graph, anchors: DataFrame) -> DataFrame:
     a = anchors.groupBy("id").agg(F.max("activation").alias("activation"))
     s, t = a.select(F.col("id").alias("source_id"), F.col("activation").alias("_s")), a.select(F.col("id").alias("target_id"), F.col("activation").alias("_t"))
     old = g.weights.select(F.col("edge_id").alias("id"), "weight", F.col("source_class").alias("class"))
-    hit = g.edges.join(s, "source_id").join(t, "target_id").join(old, "id", "left")
+    hit = g.edges.drop("weight").join(s, "source_id").join(t, "target_id").join(old, "id", "left")
     new = F.greatest(F.lit(FLOOR), F.least(F.lit(CEILING), F.coalesce("weight", F.lit(1.0)) + RATE * F.col("_s") * F.col("_t")))
     kind = F.coalesce("class", "source_class")
     hit = hit.select(F.col("id").alias("edge_id"), new.alias("weight"), F.when((kind == "speculative") & (new >= PROMOTE), "associative").otherwise(kind).alias("source_class"), F.lit(1).alias("co_activations")).dropDuplicates(["edge_id"])
@@ -112,5 +110,21 @@ def cycle(g: Graph, anchors: DataFrame, k: int = TOP, loops: int = LOOPS) -> Dat
         if now == seen:
             break
         seen = now
-        g = Graph(g.nodes, g.edges, settle(hebbian(g, best), "weights").drop("co_activations"), g.activation)
+        g = with_weights(g, settle(hebbian(g, best), "weights").drop("co_activations"))
     return best
+
+
+def with_weights(g: Graph, weights: DataFrame) -> Graph:
+    """g with another weight table, written on its edges too."""
+    edges = g.edges.drop("weight").join(weights.select(F.col("edge_id").alias("id"), "weight"), "id", "left")
+    return Graph(g.nodes, settle(edges, "edges"), weights, g.activation)
+
+
+def enriched(g: Graph, found: DataFrame) -> DataFrame:
+    """The nodes of found(id, activation) with their confidence and their edges of both directions; nodes that are gone are left out."""
+    e = weighted(g).select("id", "source_id", "target_id", "type", "weight")
+    out = found.select(F.col("id").alias("node_id")).distinct().join(e, F.col("node_id") == F.col("source_id")).select("node_id", F.struct("id", "source_id", "target_id", "type", "weight").alias("edge"))
+    back = found.select(F.col("id").alias("node_id")).distinct().join(e, F.col("node_id") == F.col("target_id")).select("node_id", F.struct("id", "source_id", "target_id", "type", "weight").alias("edge"))
+    edges = out.unionByName(back).groupBy(F.col("node_id").alias("id")).agg(F.array_sort(F.collect_set("edge")).alias("edges"))
+    none = F.array().cast(edges.schema["edges"].dataType)
+    return g.nodes.join(found.select("id", "activation"), "id").join(edges, "id", "left").select("id", "type", "canonical_id", "activation", activation_confidence(F.col("activation")).alias("confidence"), F.coalesce("edges", none).alias("edges"))

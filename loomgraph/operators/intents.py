@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from pathlib import Path
+from typing import Any
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,38 +104,168 @@ def has_shape(nodes: Column, ops: list[str], literal: str | None = None) -> Colu
     """Whether a flattened expression has a node of one of ops, with that literal among its operands if one is given."""
 
     def fits(n: Column) -> Column:
-        right = n["op"].isin(ops)
+        right = n["op"].isin(ops) if ops else F.lit(True)
         if literal is None:
             return right
-        return right & F.exists(nodes, lambda m: (m["parent"] == n["id"]) & (m["op"] == "literal") & (m["text"] == literal))
+        return right & F.exists(nodes, lambda m: (m["parent"] == n["id"]) & m["op"].isin("lit", "literal") & (m["text"] == literal))
 
     return F.exists(nodes, fits)
 
 
-#: The default rules: which functions they hold for, and what they require.
+#: The rules that always hold, below those of a project.
 RULES = [
-    {"id": "explicit-return", "severity": "warning", "visibility": "public", "has_failures": None, "requires": "explicit_return"},
-    {"id": "effects-declared", "severity": "error", "visibility": "public", "has_failures": None, "requires": "effects_declared"},
-    {"id": "failures-as-result", "severity": "error", "visibility": None, "has_failures": True, "requires": "result_type"},
+    {"id": "function-explicit-return-type", "target": "FunctionIntent", "severity": "error", "when": {"visibility": "public"}, "require": {"explicitReturnType": True}},
+    {"id": "declare-side-effects", "target": "FunctionIntent", "severity": "error", "when": {}, "require": {"sideEffectsDeclared": True}},
+    {"id": "expected-failures-use-result", "target": "FunctionIntent", "severity": "warning", "when": {"hasFailureModes": True}, "require": {"failureStrategy": "ResultType"}},
 ]
-
-
-def evaluate_rules(rows: DataFrame, rules: list[dict] = RULES) -> DataFrame:
-    """node_id, rule, status (skipped, passed, warned or failed) for rows(node_id, visibility, failures, returns, effects).
-
-    The rules are unrolled into the plan, so rows are read once.
+#: Files that hold a project's rules, the first found counts; fields of rules; marks of result types.
+PACK_NAMES = ["iir.rules.yaml", "iir.rules.yml", "iir.rules.json"]
+RULE_FIELDS = {"": ["id", "target", "severity", "when", "require"], "when": ["visibility", "hasFailureModes"], "require": ["explicitReturnType", "sideEffectsDeclared", "failureStrategy", "forbidConditionShape"], "shape": ["ops", "operandLiteral"]}
+RESULTS = "result|either|option"
+
+
+class BadPack(ValueError):
+    """A rule pack or an intent that cannot be used."""
+
+
+def _read(text: str) -> Any:
+    """YAML, of which JSON is a part; JSON alone where there is no YAML reader."""
+    try:
+        import yaml
+    except ImportError:
+        return json.loads(text)
+    try:
+        return yaml.safe_load(text)
+    except yaml.YAMLError as e:
+        raise BadPack(f"not readable: {e}") from e
+
+
+def _only(given: dict, allowed: list[str], where: str) -> dict:
+    more = sorted(set(given) - set(allowed))
+    if more:
+        raise BadPack(f"{where}: unknown field {more[0]!r}")
+    return given
+
+
+def load_rules(text: str) -> list[dict]:
+    """The rules of a pack; refused if a field is unknown, missing or out of range, or an id comes twice."""
+    data = _read(text)
+    rules = _only(data if isinstance(data, dict) else {}, ["rules"], "pack").get("rules") or []
+    if not rules:
+        raise BadPack("rule pack has no rules")
+    seen = set()
+    for k, r in enumerate(rules):
+        _only(r, RULE_FIELDS[""], f"rules[{k}]")
+        i = str(r.get("id") or "").strip()
+        when, require = _only(r.get("when") or {}, RULE_FIELDS["when"], i), _only(r.get("require") or {}, RULE_FIELDS["require"], i)
+        shape = require.get("forbidConditionShape")
+        problem = (
+            f"rules[{k}]: missing id" if not i else f"duplicate id {i!r}" if i in seen else f"{i}: unsupported target" if r.get("target") != "FunctionIntent"
+            else f"{i}: unknown severity" if r.get("severity") not in SEVERITY else f"{i}: unsupported failureStrategy" if require.get("failureStrategy", "ResultType") != "ResultType"
+            else f"{i}: a shape needs ops or operandLiteral" if shape is not None and not (_only(shape, RULE_FIELDS["shape"], i).get("ops") or shape.get("operandLiteral") is not None) else None
+        )
+        if problem:
+            raise BadPack(problem)
+        seen.add(i)
+        r["when"], r["require"] = when, require
+    return rules
+
+
+def discover_rules(start: str) -> tuple[str, list[dict]] | None:
+    """Path and rules of the nearest pack in a folder or one above it; None without one. A broken pack is an error."""
+    folder = Path(start).resolve()
+    for at in (folder, *folder.parents):
+        for name in PACK_NAMES:
+            if (at / name).is_file():
+                return str(at / name), load_rules((at / name).read_text(encoding="utf-8"))
+    return None
+
+
+def effective_rules(packs: list[str], base: list[dict] | None = None) -> tuple[list[dict], list[str]]:
+    """base (the rules that always hold) under packs, one after the other; a pack that can't be read is left out and told."""
+    rules, errors = list(base or RULES), []
+    for text in packs:
+        try:
+            rules = merge_rules(rules, load_rules(text))
+        except (BadPack, ValueError) as e:
+            errors.append(str(e))
+    return rules, errors
+
+
+#: Fields of a function's intent, and what normal() makes of them.
+SOURCE_INTENT = "kind string, name string, language string, origin string, visibility string, inputs array<struct<name:string,type:string>>, returns struct<type:string>, behavior array<struct<when:string,then:string>>, sideEffects array<string>, failureModes array<string>, constraints array<string>"
+
+
+def load_intent(text: str) -> dict:
+    """One declared intent with its defaults; refused if a field is unknown or it is not whole."""
+    names = [x.split(" ")[0] for x in SOURCE_INTENT.split(", ")]
+    given = _only(_read(text) or {}, names, "intent")
+    made = {n: given.get(n) for n in names}
+    made |= {"visibility": made["visibility"] or "public", "origin": made["origin"] or "declared", "inputs": [{"name": x.get("name"), "type": x.get("type") or "unknown"} for x in made["inputs"] or []], "behavior": made["behavior"] or []}
+    kind = (made["returns"] or {}).get("type") or ""
+    made["returns"] = {"type": kind, "explicit": kind != ""}
+    blank = lambda v: not str(v or "").strip()
+    problem = (
+        "unsupported kind" if made["kind"] != "FunctionIntent" else "missing name" if blank(made["name"]) else "missing language" if blank(made["language"])
+        else "unknown visibility" if made["visibility"] not in ("public", "private") else "unknown origin" if made["origin"] not in ("observed", "declared", "inferred")
+        else "an input without name" if any(blank(x["name"]) for x in made["inputs"]) else "behavior needs when and then" if any(blank(b.get("when")) or blank(b.get("then")) for b in made["behavior"]) else None
+    )
+    if problem:
+        raise BadPack(problem)
+    return made
+
+
+def normal_intents(df: DataFrame, column: str = "json") -> DataFrame:
+    """df with intent, the JSON column read with its defaults, and error (null if it is whole); fields that are not known don't count."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    i = df.withColumn("intent", F.from_json(column, SOURCE_INTENT))
+    kind = text(F.col("intent.returns.type"))
+    inputs = F.transform(F.coalesce("intent.inputs", F.array().cast("array<struct<name:string,type:string>>")), lambda x: F.struct(x["name"].alias("name"), F.coalesce(F.nullif(x["type"], F.lit("")), F.lit("unknown")).alias("type")))
+    behavior = F.coalesce("intent.behavior", F.array().cast("array<struct<when:string,then:string>>"))
+    made = F.struct(
+        F.col("intent.kind").alias("kind"), F.col("intent.name").alias("name"), F.col("intent.language").alias("language"),
+        F.coalesce(F.nullif("intent.origin", F.lit("")), F.lit("declared")).alias("origin"), F.coalesce(F.nullif("intent.visibility", F.lit("")), F.lit("public")).alias("visibility"),
+        inputs.alias("inputs"), F.struct(kind.alias("type"), (kind != "").alias("explicit")).alias("returns"), behavior.alias("behavior"), F.col("intent.sideEffects").alias("sideEffects"), F.col("intent.failureModes").alias("failureModes"),
+    )
+    i = i.withColumn("intent", F.when(F.col("intent").isNotNull(), made))
+    blank = lambda c: F.trim(text(c)) == ""
+    error = (
+        F.when(F.col("intent").isNull(), "not readable").when(~F.col("intent.kind").eqNullSafe(F.lit("FunctionIntent")), "unsupported kind").when(blank(F.col("intent.name")), "missing name").when(blank(F.col("intent.language")), "missing language")
+        .when(~F.col("intent.visibility").isin("public", "private"), "unknown visibility").when(~F.col("intent.origin").isin("observed", "declared", "inferred"), "unknown origin")
+        .when(F.exists("intent.inputs", lambda x: blank(x["name"])), "an input without name").when(F.exists("intent.behavior", lambda b: blank(b["when"]) | blank(b["then"])), "behavior needs when and then")
+    )
+    return i.withColumn("error", error)
+
+
+def evaluate_rules(rows: DataFrame, rules: list[dict] | None = None) -> DataFrame:
+    """node_id, rule, status (skipped, passed, warned or failed) for rows(node_id, visibility, failures, returns, effects[, shapes]).
+
+    shapes are the flattened conditions of a function (nodes of has_shape), wanted by rules that forbid some. What a rule requires
+    holds in both directions: true asks for a property, false for its absence. The rules are unrolled into the plan, so rows are
+    read once.
     """
 
     def status(r: dict) -> Column:
-        applies = F.lit(True)
-        if r["visibility"] is not None:
-            applies = applies & F.col("visibility").eqNullSafe(F.lit(r["visibility"]))
-        if r["has_failures"] is not None:
-            applies = applies & ((F.size("failures") > 0) == r["has_failures"])
-        kept = {"explicit_return": F.coalesce("returns.explicit", F.lit(False)), "effects_declared": F.col("effects").isNotNull(), "result_type": F.coalesce(F.lower("returns.type").rlike("result|either|option"), F.lit(False))}[r["requires"]]
-        return F.struct(F.lit(r["id"]).alias("rule"), F.when(~applies, "skipped").when(kept, "passed").when(F.lit(r["severity"] == "error"), "failed").otherwise("warned").alias("status"))
-
-    return rows.select("node_id", F.inline(F.array(*map(status, rules))))
+        when, require = r.get("when") or {}, r.get("require") or {}
+        fails = F.coalesce(F.size("failures") > 0, F.lit(False))
+        applies, kept = F.lit(True), F.lit(True)
+        if when.get("visibility"):
+            applies = applies & F.col("visibility").eqNullSafe(F.lit(when["visibility"]))
+        if when.get("hasFailureModes") is not None:
+            applies = applies & (fails == when["hasFailureModes"])
+        if require.get("explicitReturnType") is not None:
+            kept = kept & (F.coalesce("returns.explicit", F.lit(False)) == require["explicitReturnType"])
+        if require.get("sideEffectsDeclared") is not None:
+            kept = kept & (F.col("effects").isNotNull() == require["sideEffectsDeclared"])
+        if require.get("failureStrategy"):
+            kept = kept & (~fails | F.coalesce(F.lower("returns.type").rlike(RESULTS), F.lit(False)))
+        shape = require.get("forbidConditionShape")
+        if shape and (shape.get("ops") or shape.get("operandLiteral") is not None):
+            kept = kept & ~F.exists("shapes", lambda nodes: F.coalesce(has_shape(nodes, shape.get("ops") or [], shape.get("operandLiteral")), F.lit(False)))
+        outcome = F.when(~applies, "skipped").when(kept, "passed").when(F.lit(r["severity"] == "error"), "failed").otherwise("warned")
+        return F.struct(F.lit(r["id"]).alias("rule"), outcome.alias("status"))
+
+    return rows.select("node_id", F.inline(F.array(*map(status, RULES if rules is None else rules))))
 
 
 def merge_rules(base: list[dict], pack: list[dict]) -> list[dict]:

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.ids import edge_id, node_id
 from .reads import missing_endpoints
 from .traverse import settle
 
@@ -74,6 +75,42 @@ def cascade(edges: DataFrame, dead: DataFrame) -> DataFrame:
     return edges.join(gone.withColumnRenamed("id", "source_id"), "source_id", "left_anti").join(gone.withColumnRenamed("id", "target_id"), "target_id", "left_anti")
 
 
+def remapped(nodes: DataFrame, edges: DataFrame, project: str, siblings: DataFrame | None = None, anchors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """nodes and edges that extractors named by ids of their own, under the project's ids.
+
+    nodes(rel_path, local_id, type, canonical_id, ...) get id; edges(rel_path, source_id, target_id, type, ...) are looked up among the
+    file's nodes, then among those of siblings(rel_path, local_id, id), else keep what they have. With anchors(rel_path, id) a file
+    node is not a node of its own but stands for its file's anchor.
+    """
+    made = nodes.withColumn("id", node_id(F.lit(project), F.col("type"), F.col("canonical_id")))
+    if anchors is not None:
+        own = anchors.select("rel_path", F.col("id").alias("_anchor"))
+        made = made.join(own, "rel_path", "left").withColumn("id", F.when(F.col("type") == "file", F.coalesce("_anchor", "id")).otherwise(F.col("id")))
+        kept = made.where("type <> 'file' or _anchor is null").drop("_anchor")
+    else:
+        kept = made
+    ids = made.groupBy("rel_path", "local_id").agg(F.max("id").alias("_own"))
+    other = siblings.groupBy("rel_path", "local_id").agg(F.max("id").alias("_other")) if siblings is not None else None
+    for end in ("source_id", "target_id"):
+        edges = edges.join(ids.withColumnRenamed("local_id", end), ["rel_path", end], "left")
+        if other is not None:
+            edges = edges.join(other.withColumnRenamed("local_id", end), ["rel_path", end], "left").withColumn("_own", F.coalesce("_own", "_other")).drop("_other")
+        edges = edges.withColumn(end, F.coalesce("_own", end)).drop("_own")
+    return kept, edges.withColumn("id", edge_id(F.col("source_id"), F.col("type"), F.col("target_id")))
+
+
+def swept(nodes: DataFrame, edges: DataFrame, iir: DataFrame, run: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What is left after a full run: rows that indexing manages (index_managed) and this run has not written are gone.
+
+    A node takes its edges and extracted intents with it; rows that indexing does not manage stay.
+    """
+    stale = F.coalesce("index_managed", F.lit(False)) & ~F.col("last_index_run_id").eqNullSafe(F.lit(run))
+    dead = settle(nodes.where(stale).select("id"), "swept")
+    gone = dead.select(F.col("id").alias("node_id"))
+    intents = iir.join(gone.withColumn("kind", F.lit("extracted")), ["node_id", "kind"], "left_anti")
+    return nodes.where(~stale), cascade(edges.where(~stale), dead), intents.select(*iir.columns)
+
+
 @dataclass
 class State:
     """hashes(rel_path, hash), owners(rel_path, id, run), nodes(id, ...), edges(id, source_id, target_id, ...)."""
@@ -147,6 +184,9 @@ class Versions:
         row = self.spark.read.schema("version long, tables string").parquet(f"{self.root}/_pointer").where(F.col("version") == version).first()
         return json.loads(row.tables)
 
+    def has(self, name: str) -> bool:
+        return name in self._places(self.current())
+
     def read(self, name: str, version: int | None = None) -> DataFrame:
         return self.spark.read.parquet(self._places(version or self.current())[name])
 

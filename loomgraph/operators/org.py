@@ -42,6 +42,10 @@ def mirrors(g: Graph, least_label: int = 1) -> DataFrame:
     """Per interface up to 20 symbols of the same label in other projects."""
     i = g.nodes.where("kind = 'interface'").select("label", F.col("id").alias("source_node"), F.col("project_id").alias("source_project"))
     n = g.nodes.where((F.col("type") == "symbol") & (F.length("label") >= least_label)).select("label", F.col("id").alias("target_node"), F.col("project_id").alias("target_project"))
+    # 20 of a project, and of a label twice as many, hold the first 20 of all but one's own project
+    most = LIMITS["org"]
+    n = ranked(n, ["label", "target_project"], [F.asc("target_node")], most).drop("rank")
+    n = ranked(n, ["label"], [F.asc("target_node")], 2 * most).drop("rank")
     both = i.join(n, "label").where("source_project <> target_project")
     return ranked(both, ["source_node"], [F.col("target_node")], LIMITS["org"]).withColumn("weight", F.lit(0.5))
 

@@ -9,7 +9,8 @@ from ..sources.tables import Graph
 
 #: Edges that weigh no more than this are not followed.
 LEAST_WEIGHT = 0.05
-#: Rows shown per anchor.
+#: Edges that lead to a concept's implementors, and rows shown per anchor.
+IMPLEMENTING = ["implements", "annotates", "co_activates"]
 LIMITS = {"callers": 50, "callees": 50, "references": 100, "implementors": 50, "imports": 100, "members": 500, "dependencies": 100, "org": 20}
 
 
@@ -63,6 +64,8 @@ def of_source_file(g: Graph) -> DataFrame:
 
 def weighted(g: Graph, require_weight: bool = False) -> DataFrame:
     """Edges with their weight: edges without a weight row are left out, or weigh 1."""
+    if "weight" in g.edges.columns:
+        return g.edges.where("weight is not null") if require_weight else g.edges.withColumn("weight", F.coalesce("weight", F.lit(1.0)))
     w = g.weights.select(F.col("edge_id").alias("id"), "weight")
     joined = g.edges.join(w, "id", "inner" if require_weight else "left")
     return joined if require_weight else joined.withColumn("weight", F.coalesce("weight", F.lit(1.0)))
@@ -98,19 +101,43 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataF
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def neighbours(g: Graph, types: list[str] | None, reverse: bool = False, node_type: str | None = None, source_type: str | None = None) -> DataFrame:
-    """anchor, edge_type and node on the other side of weighted edges above the least weight."""
+def neighbours(g: Graph, types: list[str] | None, reverse: bool = False, node_type: str | list[str] | None = None, source_type: str | None = None, least: float | None = LEAST_WEIGHT) -> DataFrame:
+    """anchor, edge_type and node on the other side of weighted edges above the least weight, if there is one."""
     near, far = ("target_id", "source_id") if reverse else ("source_id", "target_id")
-    e = weighted(g, True).where(F.col("weight") > LEAST_WEIGHT)
+    e = weighted(g, True)
+    if least is not None:
+        e = e.where(F.col("weight") > least)
     if types:
         e = e.where(F.col("type").isin(types))
     e = e.select(F.col(near).alias("anchor"), F.col("type").alias("edge_type"), F.col(far).alias("id"), "weight")
     if source_type:
         e = e.join(g.nodes.where(F.col("type") == source_type).select(F.col("id").alias("anchor")), "anchor", "left_semi")
-    n = g.nodes if node_type is None else g.nodes.where(F.col("type") == node_type)
+    n = g.nodes if node_type is None else g.nodes.where(F.col("type").isin(node_type))
     return e.join(n, "id")
 
 
+def listed(found: DataFrame, limit: int, order: list[Column] | None = None) -> DataFrame:
+    """The first nodes of each anchor, each once, by canonical id unless another order is given; found is neighbours()."""
+    once = found.dropDuplicates(["anchor", "id"])
+    return ranked(once, ["anchor"], order or [F.asc("canonical_id"), F.asc("id")], limit)
+
+
+def implementors(g: Graph, anchor_type: str | None = "concept") -> DataFrame:
+    """Per concept the nodes that implement, annotate or are activated with it, most activated first."""
+    found = neighbours(g, IMPLEMENTING, reverse=True, source_type=anchor_type)
+    found = found.join(g.activation.withColumnRenamed("node_id", "id"), "id", "left").withColumn("activation", F.coalesce("activation", F.lit(0.0)))
+    return listed(found, LIMITS["implementors"], [F.desc("activation"), F.asc("id")])
+
+
+def imports(g: Graph, anchor_type: str | None = "file") -> DataFrame:
+    return listed(neighbours(g, ["imports"], source_type=anchor_type, least=None), LIMITS["imports"])
+
+
+def dependencies(g: Graph, reverse: bool = False, anchor_type: str | None = "namespace") -> DataFrame:
+    """Per namespace the namespaces and files that it imports, or that import it."""
+    return listed(neighbours(g, ["imports"], reverse, ["namespace", "file"], anchor_type, None), LIMITS["dependencies"])
+
+
 def references(g: Graph, anchor_type: str = "namespace") -> DataFrame:
     """Per anchor: nodes with an edge to it, most activated first."""
     found = neighbours(g, None, reverse=True, source_type=anchor_type)
@@ -124,13 +151,15 @@ GROUP_ORDER = ["implements", "extends", "imports", "references", "calls"]
 
 def grouped_references(found: DataFrame) -> DataFrame:
     place = F.coalesce(F.nullif(F.array_position(F.lit(GROUP_ORDER), F.col("edge_type")), F.lit(0)), F.lit(len(GROUP_ORDER) + 1))
-    shown = F.slice(F.array_sort(F.collect_list("canonical_id")), 1, 10)
-    return found.groupBy("anchor", "edge_type").agg(F.count("*").alias("n"), F.array_join(shown, ",").alias("shown")).withColumn("place", place)
+    key = ["anchor", "edge_type"]
+    # only the first ten of a group are ever gathered, whatever its size
+    first = ranked(found.select(*key, "canonical_id"), key, [F.asc("canonical_id")], 10).groupBy(*key).agg(F.array_join(F.array_sort(F.collect_list("canonical_id")), ",").alias("shown"))
+    return found.groupBy(*key).agg(F.count("*").alias("n")).join(first, key).withColumn("place", place)
 
 
 def members(g: Graph, kind: str) -> DataFrame:
     """Per container of that type: what it contains or defines, by type and label."""
-    found = neighbours(g, ["contains", "defines"], source_type=kind)
+    found = neighbours(g, ["contains", "defines"], source_type=kind, least=None)
     return ranked(found, ["anchor"], [F.asc("type"), F.asc("label"), F.asc("id")], LIMITS["members"])
 
 

@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import search_tokens
-from ..sources.tables import Graph
+from ..sources.tables import Graph, short
 from .reads import ranked
 
 #: Patterns of related nodes, in the order in which they are tried.
 PATTERNS = {
-    "tests": ["test", "spec", "fixture", "mock"],
-    "entrypoints": ["main", "handler", "server", "route", "dispatch", "order1"],
-    "lifecycle": ["init", "start", "stop", "close", "setup"],
+    "tests": ["test", "tests", "spec", "fixture", "fixtures", "phpunit", "__tests__"],
+    "entrypoints": ["route", "routes", "endpoint", "controller", "add_action", "add_filter", "do_action", "apply_filters", "register", "bootstrap", "init", "handler"],
+    "lifecycle": ["init", "load", "session", "auth", "authenticate", "validate", "persist", "save", "merge", "handle", "callback"],
 }
 
 
@@ -33,22 +33,34 @@ def score(tokens: Column, label: Column, canonical: Column, file: Column, kind:
 def search(g: Graph, queries: DataFrame, limit: int = 10) -> DataFrame:
     """Per row of queries(query) and project: the best nodes. A first cut keeps the max(100, 12 limit) shortest canonical ids.
 
-    Every query meets every node once, so the set of queries is what is broadcast: it must be short.
+    Every query meets every node once: the set of queries is meant to be short, and is broadcast if it is.
     """
     q = queries.select("query", search_tokens(F.col("query")).alias("tokens")).where(F.size("tokens") > 0)
     hit = lambda c: F.exists("tokens", lambda t: F.contains(F.lower(c), t))
-    found = g.nodes.join(F.broadcast(q), hit(F.col("canonical_id")) | hit(F.col("label")) | hit(F.coalesce("source_file", F.lit(""))))
+    found = g.nodes.join(short(q), hit(F.col("canonical_id")) | hit(F.col("label")) | hit(F.coalesce("source_file", F.lit(""))))
     first = ranked(found, ["query", "project_id"], [F.length("canonical_id"), F.col("id")], max(100, 12 * limit)).drop("rank")
     scored = first.withColumn("score", score(F.col("tokens"), F.col("label"), F.col("canonical_id"), F.col("source_file"), F.col("type"), F.col("line_start")))
     return ranked(scored, ["query", "project_id"], [F.desc("score"), F.octet_length("canonical_id"), F.length("canonical_id"), F.col("id")], limit).drop("tokens")
 
 
-def related(g: Graph, patterns: list[str], limit: int = 10) -> DataFrame:
-    """Per project the nodes that a pattern occurs in, with the first such pattern, in the patterns' order."""
+def related(g: Graph, patterns: list[str], query: str = "", anchors: DataFrame | None = None, limit: int = 10) -> DataFrame:
+    """Per project the nodes that one of the patterns occurs in, with the first such pattern.
+
+    Candidates are, in this order, what the query finds, the anchors(id), and what each word of the query and each pattern finds
+    when searched for; a node counts where it comes first.
+    """
+    spark = g.nodes.sparkSession
+    words = [r[0] for r in spark.range(1).select(F.explode(search_tokens(F.lit(query)))).collect()]
+    terms = ([(0, query)] if query else []) + [(k + 2, t) for k, t in enumerate([*words, *patterns])]
+    asked = spark.createDataFrame(terms, "place int, query string")
+    first = asked.groupBy("query").agg(F.min("place").alias("place"))
+    found = search(g, first.select("query"), limit).join(short(first), "query").select("id", "project_id", "canonical_id", "label", "source_file", "place", "rank")
+    if anchors is not None:
+        found = found.unionByName(g.nodes.join(anchors.select("id").distinct(), "id", "left_semi").select("id", "project_id", "canonical_id", "label", "source_file", F.lit(1).alias("place"), F.lit(1).alias("rank")))
     hay = F.lower(F.concat_ws(" ", "canonical_id", "label", F.coalesce("source_file", F.lit(""))))
-    matched = F.filter(F.lit(patterns), lambda p: hay.contains(p))
-    found = g.nodes.withColumn("pattern", F.get(matched, F.lit(0))).where("pattern is not null")
-    return ranked(found, ["project_id"], [F.array_position(F.lit(patterns), F.col("pattern")), F.length("canonical_id"), F.col("id")], limit)
+    matched = found.withColumn("pattern", F.get(F.filter(F.lit(patterns), lambda p: hay.contains(p)), F.lit(0))).where("pattern is not null")
+    once = matched.groupBy("project_id", "id", "pattern").agg(F.min(F.struct("place", "rank")).alias("first"))
+    return ranked(once, ["project_id"], [F.col("first.place"), F.col("first.rank"), F.col("id")], limit).drop("first")
 
 
 def source_ranges(texts: DataFrame, start: Column, end: Column, context: int = 2, most: int = 81) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import edge_id, node_id
@@ -58,34 +58,89 @@ def graph_of(found: DataFrame, project: str, run: str) -> Extraction:
     return Extraction(nodes, edges, owners)
 
 
-def index(spark: SparkSession, root: str, store: merge.Versions, project: str, run: str, full: bool = False, globs: list[str] | None = None) -> dict[str, int]:
+class FailedRun(RuntimeError):
+    """A run that was given up; the store has it in its ledger, and the graph of the run before it."""
+
+
+RUNS = "ord long, run string, project_id string, fingerprint string, status string, error string"
+
+
+def _ledger(spark: SparkSession, store: merge.Versions, project: str, run: str, status: str, error: str | None = None) -> DataFrame:
+    row = spark.createDataFrame([(store.current() + 1, run, project, fingerprint(), status, error)], RUNS)
+    return store.read("runs").unionByName(row) if store.current() else row
+
+
+def index(spark: SparkSession, root: str, store: merge.Versions, project: str, run: str, full: bool = False, globs: list[str] | None = None, only: list[str] | None = None) -> dict[str, int]:
     """Bring the store up to date with the tree and return counts. Only files whose hash changed are opened again.
 
-    Everything is checked before the version's pointer is written, so a failed run leaves the version before it in place.
+    With `only` nothing but those relative paths is looked at: changed ones are indexed again, those that are gone are deleted.
+    Everything is checked before the version's pointer is written; a run that fails in any file leaves the graph of the version
+    before it in place, and an entry in the ledger.
     """
+    try:
+        return _index(spark, root, store, project, run, full, globs, only)
+    except Exception as e:
+        failed = {"runs": _ledger(spark, store, project, run, "failed", f"{type(e).__name__}: {e}"[:2000])}
+        if not store.current():
+            failed |= {n: spark.createDataFrame([], s) for n, s in (("nodes", NODES), ("edges", EDGES), ("owners", OWNERS), ("hashes", HASHES))}
+        store.publish(failed)
+        raise FailedRun(f"run {run} was given up") from e
+
+
+def _completed(store: merge.Versions) -> DataFrame:
+    return store.read("runs").where("status = 'completed'")
+
+
+def _index(spark: SparkSession, root: str, store: merge.Versions, project: str, run: str, full: bool, globs: list[str] | None, only: list[str] | None) -> dict[str, int]:
     empty = lambda schema: spark.createDataFrame([], schema)
     known = store.current() > 0
-    if known and store.read("runs").orderBy(F.desc("ord")).first().fingerprint != fingerprint():
-        full = True
+    last = _completed(store).orderBy(F.desc("ord")).first() if known else None
+    if known and (last is None or last.fingerprint != fingerprint()):
+        full, only = True, None
     live = merge.State(*(store.read(t) for t in ("nodes", "edges", "owners", "hashes"))) if known else merge.State(empty(NODES), empty(EDGES), empty(OWNERS), empty(HASHES))
-    listing = settle(walk.files(spark, root, globs), "listing")
+    listing = walk.files(spark, root, globs)
+    hashes = empty(HASHES) if full else live.hashes
+    if only is not None:
+        asked = walk.paths(listing, spark.createDataFrame([(p,) for p in only], "rel_path string"))
+        listing = asked.where(~F.col("deleted")).select("rel_path", "language", "hash", "content")
+        hashes = hashes.join(asked.select("rel_path"), "rel_path", "left_semi")
+    listing = settle(listing, "listing")
     seen = listing.select("rel_path", "hash")
-    diff = settle(merge.file_diff(seen, empty(HASHES) if full else live.hashes), "diff")
+    diff = settle(merge.file_diff(seen, hashes), "diff")
     todo = listing.join(diff.where("action = 'process'"), "rel_path", "left_semi")
     found = graph_of(settle(symbols(todo), "symbols"), project, run)
-    files = diff.where("action <> 'delete'").select("rel_path", F.when(F.col("action") == "process", "indexed").otherwise("walked").alias("status"))
+    gone = F.when(F.col("action") == "delete", "deleted")
+    files = (diff if only is not None else diff.where("action <> 'delete'")).select("rel_path", gone.when(F.col("action") == "process", "indexed").otherwise("walked").alias("status"))
     staged = merge.State(found.nodes, found.edges, found.owners, seen.join(todo.select("rel_path"), "rel_path", "left_semi"))
-    out = merge.reconcile(live, staged, files, run, "full" if full or not known else "incremental")
+    out = merge.reconcile(live, staged, files, run, "paths" if only is not None else "full" if full or last is None else "incremental")
     counts = {r.action: r["count"] for r in diff.groupBy("action").count().collect()}
     ord_ = store.current() + 1
-    runs = spark.createDataFrame([(ord_, run, project, fingerprint(), "completed")], "ord long, run string, project_id string, fingerprint string, status string")
-    store.publish({"nodes": out.nodes, "edges": out.edges, "owners": out.owners, "hashes": out.hashes, "runs": store.read("runs").unionByName(runs) if known else runs})
+    store.publish({"nodes": out.nodes, "edges": out.edges, "owners": out.owners, "hashes": out.hashes, "runs": _ledger(spark, store, project, run, "completed")})
     return {"version": ord_, "processed": counts.get("process", 0), "skipped": counts.get("skip", 0), "deleted": counts.get("delete", 0)}
 
 
+#: Units and bounds of the bytes that are worked on at once, and how often what a file becomes is held.
+UNIT, IN_FLIGHT, EXPANSION = 64 * 1024, 64 << 20, 16
+
+
+def in_flight_bytes(size: Column, plugins: int) -> Column:
+    """What a file of so many bytes is reckoned to take while it is worked on."""
+    return F.greatest(size, F.lit(1)) * EXPANSION * max(2, plugins + 1)
+
+
+def admitted(listing: DataFrame, plugins: int, most: int = IN_FLIGHT, buckets: int = 64) -> DataFrame:
+    """listing(rel_path, length) with units, bucket and part: the files of a bucket in order, cut into parts of about `most` bytes in flight.
+
+    A part is what one task works on; a file counts at most as much as a whole part. Buckets keep the running sum from one task.
+    """
+    units = F.least(F.greatest(F.ceil(in_flight_bytes(F.col("length"), plugins) / UNIT), F.lit(1)), F.lit(max(1, most // UNIT))).cast("long")
+    before = Window.partitionBy("bucket").orderBy("rel_path").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return listing.withColumns({"units": units, "bucket": F.pmod(F.xxhash64("rel_path"), F.lit(buckets)).cast("int")}).withColumn("part", F.floor((F.sum("units").over(before) - 1) / max(1, most // UNIT)).cast("long"))
+
+
 def ready(store: merge.Versions) -> bool:
     """Whether a completed version may be queried."""
-    return store.current() > 0 and store.read("runs").orderBy(F.desc("ord")).first().status == "completed"
+    return store.current() > 0 and not _completed(store).isEmpty()
 
 
 def dangling(store: merge.Versions) -> DataFrame:

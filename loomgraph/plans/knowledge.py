@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import activation, merge, org, reads, search, traverse
+from ..operators import activation, ir, merge, org, reads, search, traverse
 from ..sources import tables
 from ..sources.tables import Graph
 
@@ -87,30 +87,33 @@ class KnowledgeGraph:
     def references(self, ids) -> DataFrame:
         return reads.grouped_references(self._near(ids, None, reverse=True))
 
+    def _of(self, ids, found: DataFrame) -> DataFrame:
+        return found.join(self._ids(ids).select(F.col("id").alias("anchor")).distinct(), "anchor", "left_semi")
+
     def concept_implementors(self, ids) -> DataFrame:
-        return self._near(ids, ["implements", "annotates"], reverse=True)
+        return self._of(ids, reads.implementors(self.g, None))
 
     def file_imports(self, ids) -> DataFrame:
-        return self._near(ids, ["imports"])
+        return self._of(ids, reads.imports(self.g, None))
 
     def namespace_members(self, ids) -> DataFrame:
-        return self._near(ids, ["contains", "defines"])
+        return self._near(ids, ["contains", "defines"], least=None)
 
     def namespace_summary(self, ids) -> DataFrame:
         return reads.namespace_summary(self.namespace_members(ids))
 
     def namespace_dependencies(self, ids) -> DataFrame:
-        return self._near(ids, ["imports"], node_type="namespace")
+        return self._of(ids, reads.dependencies(self.g, anchor_type=None))
 
     def namespace_dependents(self, ids) -> DataFrame:
-        return self._near(ids, ["imports"], reverse=True, node_type="namespace")
+        return self._of(ids, reads.dependencies(self.g, True, None))
 
     def search(self, text: str, limit: int = 10) -> DataFrame:
-        return search.search(self.g, self.spark.createDataFrame([(text,)], "query string"), min(limit, 50))
+        return search.search(self.g, self.spark.createDataFrame([(text,)], "query string"), ir.clamp("search", limit))
 
-    def related(self, kind: str, limit: int = 10) -> DataFrame:
-        """Tests, entrypoints or lifecycle nodes."""
-        return search.related(self.g, search.PATTERNS[kind], min(limit, 30))
+    def related(self, kind: str, limit: int = 10, query: str = "", ids=None) -> DataFrame:
+        """Tests, entrypoints or lifecycle nodes, those of a query or of some nodes first."""
+        return search.related(self.g, search.PATTERNS[kind], query, None if ids is None else self._ids(ids), ir.clamp("related", limit))
 
     def spread(self, seeds: DataFrame) -> DataFrame:
         return activation.spread(self.g, seeds)
@@ -120,13 +123,13 @@ class KnowledgeGraph:
 
     def investigate(self, text: str, limit: int = 5) -> DataFrame:
         """section, anchor and id: what search finds, with callers, callees, references and related nodes around it."""
-        found = traverse.settle(self.search(text, limit).select("id"), "found")
+        found = traverse.settle(self.search(text, ir.clamp("investigate", limit)).select("id"), "found")
         part = lambda name, df, a: df.select(F.lit(name).alias("section"), F.col(a).alias("anchor"), "id")
         out = part("search", found.withColumn("anchor", F.col("id")), "anchor")
         out = out.unionByName(part("callers", self.callers(found), "seed")).unionByName(part("callees", self.callees(found), "seed"))
         out = out.unionByName(part("references", self._near(found, None, reverse=True), "anchor"))
         for kind in ("tests", "entrypoints"):
-            out = out.unionByName(part(kind, self.related(kind).withColumn("anchor", F.col("pattern")), "anchor"))
+            out = out.unionByName(part(kind, self.related(kind, query=text).withColumn("anchor", F.col("pattern")), "anchor"))
         return out
 
     def org_find_similar(self, ref: str) -> DataFrame:

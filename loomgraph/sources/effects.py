@@ -1,12 +1,25 @@
-"""Effect classification of single names, for extractors; the same tables as the column functions."""
+"""Effects of single calls, for extractors; the same tables as the column functions."""
 
 from __future__ import annotations
 
-from ..functions.ids import EFFECTS, VERBS
+from ..functions.ids import EFFECT_PATHS, EFFECT_ROOTS, VERBS
 
+#: Modules and functions of Python whose calls have no effect.
+PURE_PACKAGES = ["math", "re", "itertools", "functools", "operator", "collections"]
+PURE_CALLS = ["json.dumps", "json.loads"]
 
-def basis_of(name: str) -> str:
-    low = name.lower()
-    if any(s in low for words in EFFECTS.values() for s in words):
-        return "resolved"
-    return "heuristic" if any(v in low for v in VERBS) else "unclassified"
+
+def is_verb(method: str) -> bool:
+    return any(v in method.lower() for v in VERBS)
+
+
+def call_effect(method: str, root: str, path: str | None) -> tuple[str, str]:
+    """Kind and basis of a call."""
+    path, root = (path or "").lower(), root.lower()
+    for kind, prefixes in EFFECT_PATHS.items():
+        if any(path == p or path.startswith(p + "/") for p in prefixes):
+            return kind, "resolved"
+    for kind, roots in EFFECT_ROOTS.items():
+        if root in roots:
+            return kind, "resolved"
+    return ("mutation" if is_verb(method) else "unclassified"), "heuristic"

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 SYMBOL = "rel_path string, type string, canonical_id string, label string, kind string, exported boolean, line_start int, line_end int, detail string"
 CONDITION = "when string, then string, when_expr string, then_op string, then_value string"
-INTENT = f"rel_path string, name string, language string, visibility string, inputs array<struct<name:string,type:string>>, returns struct<type:string,explicit:boolean>, behavior array<struct<{CONDITION.replace(' string', ':string')}>>, effects array<struct<name:string,basis:string>>, failures array<struct<code:string,kind:string>>"
+INTENT = f"rel_path string, name string, language string, visibility string, inputs array<struct<name:string,type:string>>, returns struct<type:string,explicit:boolean>, behavior array<struct<{CONDITION.replace(' string', ':string')}>>, effects array<struct<name:string,kind:string,basis:string>>, failures array<struct<code:string,kind:string>>"
 
 #: Comparison operators as the model writes them.
 COMPARE = {ast.Eq: "==", ast.NotEq: "!=", ast.Lt: "<", ast.LtE: "<=", ast.Gt: ">", ast.GtE: ">=", ast.Is: "==", ast.IsNot: "!="}
@@ -98,72 +98,127 @@ def expression(node: ast.AST) -> dict | None:
     return None if None in args else {"op": op, "args": args}
 
 
-def _failure(node: ast.Raise) -> tuple[str, str]:
-    """Code and kind: a message makes it constructed, a class alone a sentinel, a bare raise propagates."""
+def _failure(node: ast.Raise) -> tuple[str, str] | None:
+    """Code and kind: a message makes it constructed, a class a sentinel, a bare raise or a bound name propagates."""
     e = node.exc
+    for part in ast.walk(node):
+        if isinstance(part, ast.Constant) and isinstance(part.value, str) and part.value:
+            return part.value, "constructed"
     if e is None:
         return "propagated", "propagated"
     if isinstance(e, ast.Call):
-        if e.args and isinstance(e.args[0], ast.Constant) and isinstance(e.args[0].value, str):
-            return e.args[0].value, "constructed"
         return ast.unparse(e.func), "sentinel"
-    return ast.unparse(e), "sentinel"
+    if isinstance(e, ast.Name | ast.Attribute):
+        name = ast.unparse(e)
+        return name, "sentinel" if name.rpartition(".")[2][:1].isupper() else "propagated"
+    return None
+
+
+def _text(node: ast.AST, source: str) -> str:
+    return " ".join((ast.get_source_segment(source, node) or ast.unparse(node)).split())
 
 
 def _consequence(body: list[ast.stmt], source: str) -> tuple[str, str | None, str | None]:
     """Text, operation and value of the statement that tells most: the first return or raise, else the first."""
     node = next((s for s in body if isinstance(s, ast.Return | ast.Raise)), body[0])
-    text = " ".join((ast.get_source_segment(source, node) or ast.unparse(node)).split())
     if isinstance(node, ast.Raise):
-        return text, "throw", _failure(node)[0]
+        return _text(node, source), "throw", (_failure(node) or (None,))[0]
     if isinstance(node, ast.Return):
-        return text, "return", (ast.get_source_segment(source, node.value) if node.value else None)
-    return text, None, None
+        return _text(node, source), "return", _text(node.value, source) if node.value else None
+    if isinstance(node, ast.Expr) and isinstance(node.value, ast.Call):
+        return _text(node, source), "invoke", _text(node.value.func, source)
+    return _text(node, source), None, None
+
 
+def _within(node: ast.AST, kinds: tuple) -> Iterator[ast.AST]:
+    """Nodes of those kinds below node in the order of the text, not those of functions inside it."""
+    for child in ast.iter_child_nodes(node):
+        if isinstance(child, ast.FunctionDef | ast.AsyncFunctionDef | ast.Lambda):
+            continue
+        if isinstance(child, kinds):
+            yield child
+        yield from _within(child, kinds)
+
+
+def _clauses(f: ast.AST, source: str) -> Iterator[dict]:
+    """A clause for each branch of each if and match of a function, nested ones too."""
 
-def _clauses(body: list[ast.stmt], source: str) -> Iterator[dict]:
     def clause(when: str, expr: dict | None, then: list[ast.stmt]) -> dict:
         text, op, value = _consequence(then, source)
         return {"when": when, "then": text, "when_expr": json.dumps(expr, separators=(",", ":")) if expr else None, "then_op": op, "then_value": value}
 
-    for s in body:
-        while isinstance(s, ast.If):
-            yield clause(ast.get_source_segment(source, s.test) or ast.unparse(s.test), expression(s.test), s.body)
-            if len(s.orelse) == 1 and isinstance(s.orelse[0], ast.If):
-                s = s.orelse[0]
-                continue
-            if s.orelse:
-                yield clause("else", None, s.orelse)
-            break
-        if isinstance(s, ast.Match):
-            subject = ast.unparse(s.subject)
+    chained: set[int] = set()  # an elif belongs to the if before it
+    for s in _within(f, (ast.If, ast.Match)):
+        if isinstance(s, ast.If) and id(s) not in chained:
+            while True:
+                yield clause(_text(s.test, source), expression(s.test), s.body)
+                if len(s.orelse) == 1 and isinstance(s.orelse[0], ast.If) and source.splitlines()[s.orelse[0].lineno - 1].lstrip().startswith("elif"):
+                    s = s.orelse[0]
+                    chained.add(id(s))
+                    continue
+                if s.orelse:
+                    yield clause("else", None, s.orelse)
+                break
+        elif isinstance(s, ast.Match):
+            subject = _text(s.subject, source)
             for c in s.cases:
-                if isinstance(c.pattern, ast.MatchAs) and c.pattern.pattern is None:
+                if isinstance(c.pattern, ast.MatchAs) and c.pattern.pattern is None and c.pattern.name is None:
                     yield clause("else", None, c.body)
                 else:
                     value = c.pattern.value if isinstance(c.pattern, ast.MatchValue) else None
                     sides = [expression(s.subject), expression(value) if value else None]
-                    yield clause(f"{subject} == {ast.unparse(c.pattern)}", None if None in sides else {"op": "==", "args": sides}, c.body)
+                    yield clause(f"{subject} == {_text(c.pattern, source)}", None if None in sides else {"op": "==", "args": sides}, c.body)
+
+
+def imported(tree: ast.Module) -> dict[str, str]:
+    """The module that each imported name comes from."""
+    found = {}
+    for node in ast.walk(tree):
+        if isinstance(node, ast.Import):
+            found |= {a.asname or a.name.split(".")[0]: a.name for a in node.names}
+        elif isinstance(node, ast.ImportFrom):
+            found |= {a.asname or a.name: "." * node.level + (node.module or "") for a in node.names}
+    return found
+
+
+def _effects(f: ast.AST, imports: dict[str, str]) -> list[dict]:
+    """Calls on imported modules and calls named by a verb of change, with kind and basis."""
+    from .effects import PURE_CALLS, PURE_PACKAGES, call_effect, is_verb
+
+    found = {}
+    for n in ast.walk(f):
+        if not isinstance(n, ast.Call):
+            continue
+        full, root, method = ast.unparse(n.func), "", ""
+        if isinstance(n.func, ast.Name):
+            method = n.func.id
+        elif isinstance(n.func, ast.Attribute):
+            method, at = n.func.attr, n.func.value
+            while isinstance(at, ast.Attribute):
+                at = at.value
+            root = at.id if isinstance(at, ast.Name) else ""
+        if root in PURE_PACKAGES or full in PURE_CALLS or full in found or not (root in imports or is_verb(method)):
+            continue
+        kind, basis = call_effect(method, root, imports.get(root))
+        found[full] = {"name": full, "kind": kind, "basis": basis}
+    return [found[k] for k in sorted(found)]
 
 
 def intents(path: str, text: str) -> list[dict]:
     """What each function takes, returns, decides, raises and calls for its effect."""
-    from .effects import basis_of
-
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError):
         return []
-    rows = []
+    rows, imports = [], imported(tree)
     for f, owner in _functions(tree):
-        args = [*f.args.posonlyargs, *f.args.args, *([f.args.vararg] if f.args.vararg else []), *f.args.kwonlyargs, *([f.args.kwarg] if f.args.kwarg else [])]
-        if owner and args and args[0].arg in {"self", "cls"}:
+        a = f.args
+        args = [(x.arg, x.annotation) for x in [*a.posonlyargs, *a.args]] + ([("*" + a.vararg.arg, a.vararg.annotation)] if a.vararg else [])
+        args += [(x.arg, x.annotation) for x in a.kwonlyargs] + ([("**" + a.kwarg.arg, a.kwarg.annotation)] if a.kwarg else [])
+        if owner and args and args[0][0] in {"self", "cls"}:
             args = args[1:]
-        failures = sorted({_failure(n) for n in ast.walk(f) if isinstance(n, ast.Raise)})
-        raised = {id(n.exc) for n in ast.walk(f) if isinstance(n, ast.Raise)}
-        calls = sorted({ast.unparse(n.func) for n in ast.walk(f) if isinstance(n, ast.Call) and id(n) not in raised and isinstance(n.func, ast.Attribute)})
-        effects = [{"name": c, "basis": b} for c in calls if (b := basis_of(c)) != "unclassified"]
-        rows.append({"rel_path": path, "name": f.name, "language": "python", "visibility": "public" if exported(f.name) else "private", "inputs": [{"name": a.arg, "type": ast.unparse(a.annotation) if a.annotation else "unknown"} for a in args], "returns": {"type": ast.unparse(f.returns) if f.returns else "", "explicit": f.returns is not None}, "behavior": list(_clauses(f.body, text)), "effects": effects, "failures": [{"code": c, "kind": k} for c, k in failures]})
+        failures = dict(x for n in ast.walk(f) if isinstance(n, ast.Raise) and (x := _failure(n)))
+        rows.append({"rel_path": path, "name": f.name, "language": "python", "visibility": "public" if exported(f.name) else "private", "inputs": [{"name": n, "type": ast.unparse(t) if t else "unknown"} for n, t in args], "returns": {"type": ast.unparse(f.returns) if f.returns else "", "explicit": f.returns is not None}, "behavior": list(_clauses(f, text)), "effects": _effects(f, imports), "failures": [{"code": c, "kind": failures[c]} for c in sorted(failures)]})
     return rows
 
 

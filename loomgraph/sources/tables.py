@@ -7,6 +7,8 @@ source folder, partitioned by project, so that queries prune by project and read
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -19,8 +21,14 @@ from ..functions.ids import clamp, edge_id, node_id
 NODE = ["id", "project_id", "type", "label", "canonical_id", "source_class", "source_file", "kind", "exported", "line_start", "line_end"]
 
 
+#: Rows up to which a side of a join is broadcast.
+SHORT = 20_000
+
+
 @dataclass
 class Graph:
+    """Edges may carry their weight (null: no weight row); else it is looked up in weights."""
+
     nodes: DataFrame
     edges: DataFrame
     weights: DataFrame
@@ -34,7 +42,11 @@ def shared_folder(spark: SparkSession) -> str:
         return at.rstrip("/")
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='loomgraph-')}")
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        own = tempfile.mkdtemp(prefix="loomgraph-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        context.setCheckpointDir(f"file://{own}")
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
@@ -42,6 +54,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def short(df: DataFrame, rows: int = SHORT) -> DataFrame:
+    """df marked for broadcast if it has at most so many rows; left to the optimizer otherwise."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -132,7 +149,9 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     if key not in _BUILT:
         path = scratch(spark, "graph")
         c, o = orders(spark, sf_dir)
-        x = lines(spark, sf_dir, o)
+        # nodes and edges are made of these in many branches, so the joins run once
+        lines(spark, sf_dir, o).write.parquet(f"{path}/lines")
+        x = spark.read.parquet(f"{path}/lines")
         _nodes(c, o, x, places(spark, sf_dir)).write.partitionBy("project_id").parquet(f"{path}/nodes")
         _edges(c, o, x).write.partitionBy("project_id").parquet(f"{path}/edges")
         o.select(node_id(F.col("p"), F.lit("symbol"), F.col("sym")).alias("node_id"), F.least(F.lit(1.0), F.col("o_totalprice") / 400000).alias("activation")).write.parquet(f"{path}/activation")
@@ -141,7 +160,7 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     nodes = spark.read.parquet(f"{path}/nodes").select(*NODE)
     both = spark.read.parquet(f"{path}/edges")
     weights = both.where("weight is not null").select(F.col("id").alias("edge_id"), "weight", "source_class")
-    return Graph(nodes, both.select("id", "project_id", "source_id", "target_id", "type", "source_class"), weights, spark.read.parquet(f"{path}/activation"))
+    return Graph(nodes, both.select("id", "project_id", "source_id", "target_id", "type", "source_class", "weight"), weights, spark.read.parquet(f"{path}/activation"))
 
 
 #: The same projection as SQL common table expressions.

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from loomgraph.catalog import changes
 from loomgraph.functions import ids
 from loomgraph.operators import activation, intents, merge, reads, search, traverse
 from loomgraph.sources import extract, tables, walk
@@ -124,11 +125,33 @@ def test_behaviour_rules_and_shapes(spark):
     rows = [([("x", "return", "1")], [("x", "return", "1")]), ([("x", "return", "1")], [("y", "return", "1")]), ([(None, "return", "1")], [("y", "return", "1")]), ([("x", "return", "1")], []), ([], [("x", "return", "1")])]
     got = spark.createDataFrame(rows, f"a {branch}, b {branch}").select(intents.compare_behaviour(F.col("a"), F.col("b")).alias("f")).collect()
     assert [[(x.kind, x.severity) for x in r.f] for r in got] == [[], [("behavior", "error")], [("unsupported_comparison", "info")], [("behavior_count", "warning")], [("behavior_count", "info")]]
-    assert [r["id"] for r in intents.merge_rules(intents.RULES, [{"id": "effects-declared"}, {"id": "new"}])] == ["explicit-return", "effects-declared", "failures-as-result", "new"]
+    assert [r["id"] for r in intents.merge_rules(intents.RULES, [{"id": "declare-side-effects"}, {"id": "new"}])] == ["function-explicit-return-type", "declare-side-effects", "expected-failures-use-result", "new"]
+
+
+NESTED = """
+import math, requests
+from net import http as web
+from sqlalchemy import db
+
+def nested(a: int, b, *c, d=1, **e):
+    for x in c:
+        if a > 1:
+            b.save(x)
+    math.sqrt(a)
+    requests.get(web.x())
+    db.run()
+    def inner():
+        if d:
+            raise ValueError("no")
+    if not b:
+        return
+    else:
+        raise err
+"""
 
 
 def test_python_extraction(spark):
-    text = 'class Missing(Exception):\n    pass\n\n\ndef load(user_id):\n    if user_id == "":\n        raise ValueError("empty_id")\n    if user_id == "gone":\n        raise Missing\n    return user_id\n\n\ndef again(fn):\n    try:\n        fn()\n    except Exception:\n        raise\n\n\ndef grade(score):\n    match score:\n        case 100:\n            return "perfect"\n        case _:\n            return "other"\n'
+    text = 'class Missing(Exception):\n    pass\n\n\ndef load(user_id):\n    if user_id == "":\n        raise ValueError("empty_id")\n    if user_id == "gone":\n        raise Missing\n    return user_id\n\n\ndef again(fn):\n    try:\n        fn()\n    except Exception:\n        raise\n\n\ndef grade(score):\n    match score:\n        case 100:\n            return "perfect"\n        case _:\n            return "other"\n' + NESTED
     files = spark.createDataFrame([("m/a.py", "python", text), ("bad.py", "python", "def ("), ("x.go", "go", 'package shop\n\nimport "fmt"\n\nfunc (c *Cart) Load(id string) error {\nfunc helper() {\ntype Store interface {\n')], "rel_path string, language string, content string")
     found = {r.name: r for r in extract.python_intents(files).collect()}
     load = found["load"]
@@ -137,18 +160,31 @@ def test_python_extraction(spark):
     assert [(f.code, f.kind) for f in load.failures] == [("Missing", "sentinel"), ("empty_id", "constructed")]
     assert [(f.code, f.kind) for f in found["again"].failures] == [("propagated", "propagated")]
     assert [(b["when"], b["then_value"]) for b in found["grade"].behavior] == [("score == 100", '"perfect"'), ("else", '"other"')]
+    nested = found["nested"]
+    assert [(b["when"], b["then_op"], b["then_value"]) for b in nested.behavior] == [("a > 1", "invoke", "b.save"), ("not b", "return", None), ("else", "throw", "err")]
+    assert [(i["name"], i["type"]) for i in nested.inputs] == [("a", "int"), ("b", "unknown"), ("*c", "unknown"), ("d", "unknown"), ("**e", "unknown")]
+    assert [(e["name"], e["kind"], e["basis"]) for e in nested.effects] == [("b.save", "mutation", "heuristic"), ("db.run", "db", "resolved"), ("requests.get", "network", "resolved"), ("web.x", "network", "resolved")]
+    assert [(f.code, f.kind) for f in nested.failures] == [("err", "propagated"), ("no", "constructed")]
     assert [r.type for r in extract.python_symbols(files).where("rel_path = 'bad.py'").collect()] == ["file"]
     go = {(r.kind, r.receiver, r.label, r.exported) for r in extract.declared(files).collect()}
     assert {("method", "Cart", "Load", True), ("function", "", "helper", False), ("interface", "", "Store", True), ("import", "", "fmt", False)} <= go
 
 
 def test_walk(spark, tmp_path):
-    for name in ("a/b.py", "a/c.ts", "node_modules/x.js", "gen/d.py", "e.txt"):
+    for name in ("a/b.py", "a/c.ts", "node_modules/x.js", "gen/d.py", "e.txt", "a/__init__.py", "a/_util.py", "a/.hidden.py", "a/x.log", "out/y.py", "a/out/z.py", "__pycache__/b.py", "a/.cache/q.py", "dist/k.py", "src/made/m.py"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text("x = 1\n")
     (tmp_path / "big.py").write_text("y" * 2000)
+    (tmp_path / ".gitignore").write_text("# made\n*.log\n!a/x.log\nout/\n/src/made\n")
     found = walk.files(spark, f"file://{tmp_path}", ["gen"], most_bytes=1000)
-    assert {(r.rel_path, r.language) for r in found.collect()} == {("a/b.py", "python"), ("a/c.ts", "typescript"), ("e.txt", None)}
+    # a pattern without a slash asks for a folder before it, so out/ of the root stays and a/out goes
+    kept = {"a/b.py", "a/__init__.py", "a/_util.py", "a/.hidden.py", "out/y.py", "dist/k.py"}
+    assert {(r.rel_path, r.language) for r in found.collect()} == {(k, "python") for k in kept} | {("a/c.ts", "typescript"), ("e.txt", None), (".gitignore", None)}
+    as_column = found.withColumn("skip", walk.ignored(F.col("rel_path"), ["a/*.ts", "dist"]))
+    assert {r.rel_path for r in as_column.where("skip").collect()} == {"a/c.ts", "dist/k.py"}
+    globs = {"a/**": ["a/b/c"], "a/*": ["a/b"], "[!x]?.{py,go}": ["ab.py", "ab.go"]}
+    assert all(walk.is_ignored(p, [g]) for g, ps in globs.items() for p in ps)
+    assert not any(walk.is_ignored(p, [g]) for g, p in {"a/*": "a/b/c", "[!x]?.{py,go}": "xb.py", "*.py": "a.ts"}.items())
     asked = walk.paths(found, spark.createDataFrame([("a/b.py",), ("gone.py",), ("../x",)], "rel_path string"))
     assert {(r.rel_path, r.deleted) for r in asked.collect()} == {("a/b.py", False), ("gone.py", True)}
 
@@ -159,9 +195,9 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     sentinel = events.limit(1).withColumn("ts", F.lit(last).cast("timestamp_ntz") + F.expr("INTERVAL 30 DAY"))
     events.unionByName(sentinel).repartition(3).write.parquet(f"{tmp_path}/in")
     got = []
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 3).parquet(f"{tmp_path}/in")
+    stream = changes(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 3).parquet(f"{tmp_path}/in"))
     watch.stream(stream, lambda df, _: got.extend(map(tuple, df.collect())), f"{tmp_path}/c", "10 minutes").awaitTermination()
-    want = sorted(map(tuple, watch.debounce(watch.changes(events), "10 minutes").collect()))
+    want = sorted(map(tuple, watch.debounce(changes(events), "10 minutes").collect()))
     assert sorted(got) == want
 
 
