@@ -20,6 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -268,24 +269,26 @@ def decode(ids: np.ndarray, pieces: list[bytes]) -> str:
 
 def encode_column(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     """df without `text`, with ids array<int> and decoded string. Clashing columns of df named ids or decoded are replaced."""
-    kept = [c for c in df.columns if c not in {text, "ids", "decoded"}]
+    kept = [c for c in df.columns if c.lower() not in {text, "ids", "decoded"}]
+    given = common.plainly_named(df.select(*map(common.quoted, kept), F.col(text)))
+    at_text, names = len(kept), given.columns[: len(kept)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, v = _index_encoder(path)
         for batch in batches:
             at = 0
-            for group in grouped(batch.column(text).to_pylist()):
+            for group in grouped(batch.column(at_text).to_pylist()):
                 ids = [np.frombuffer(x, dtype="<u4") for x in encoder.encode([t or "" for t in group])]
                 rows = batch.slice(at, len(group))
                 at += len(group)
                 yield pa.RecordBatch.from_arrays(
-                    [*(rows.column(c) for c in kept), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array([decode(x, v.bytes) for x in ids], pa.string())],
-                    names=[*kept, "ids", "decoded"],
+                    [*(rows.column(k) for k in range(at_text)), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array([decode(x, v.bytes) for x in ids], pa.string())],
+                    names=[*names, "ids", "decoded"],
                 )
         encoder.forget()
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in kept)
-    return df.select(*kept, text).mapInArrow(work, f"{fields}{', ' if fields else ''}ids array<int>, decoded string")
+    schema = T.StructType([*given.schema.fields[:at_text], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+    return given.mapInArrow(work, schema).toDF(*kept, "ids", "decoded")
 
 
 def digests(df: DataFrame, path: str) -> DataFrame:

@@ -69,6 +69,11 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def plainly_named(df: DataFrame) -> DataFrame:
+    """df with columns c0, c1 and so on, for functions over Arrow batches, which take no dots in names."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
 def join_small(df: DataFrame, side: DataFrame, on: list[str], how: str = "inner", salts: int = 16, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join a settled side with one row per key to df, whose keys may be skewed and null-free.
 

@@ -208,7 +208,8 @@ def accepted(docs: DataFrame, least: float = 0.5) -> DataFrame:
                 good += [x != NONE and s >= least for x, s in zip(langs, score.tolist(), strict=True)]
             yield batch.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(work, docs.schema)
+    plain = common.plainly_named(docs)
+    return plain.mapInArrow(work, plain.schema).toDF(*docs.columns)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

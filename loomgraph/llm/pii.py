@@ -178,7 +178,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """
     # other columns are carried under names of their own
     others = [c for c in docs.columns if c not in {"doc_id", "text"}]
-    renamed = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(others)], F.isnull("text").alias("_null"))
+    renamed = docs.select("doc_id", "text", *[common.quoted(c).alias(f"_c{k}") for k, c in enumerate(others)], F.isnull("text").alias("_null"))
     found = find(renamed, (*[f"_c{k}" for k in range(len(others))], "_null"))
     spans = F.array_sort(F.transform(F.concat("base", "extra"), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), s["kind"].alias("kind"))))
     none = F.array().cast("array<struct<start:int,end:int,kind:string>>")

@@ -136,3 +136,21 @@ def test_scores_are_calibrated(spark):
     got, score = langid.predict([r.text for r in held], model)
     right = np.mean([g == r.lang for g, r in zip(got, held, strict=True)])
     assert right > 0.97 and abs(score.mean() - right) < 0.05
+
+
+def kept_by_hand(spark, rows, least=0.5):
+    """doc_ids that the pipeline's stage keeps of rows (dicts): a letter, and a language of at least that score by the plain formula."""
+    docs = spark.createDataFrame([(r["doc_id"], r["text"], r["lang"]) for r in rows], "doc_id long, text string, lang string")
+    names, weights, bias, temperature = langid.fit(docs)
+    kept = []
+    for r in rows:
+        text = r["text"] or ""
+        s, starts = langid.symbols([text])
+        z = [float(b) for b in bias]
+        for order in langid.ORDERS:
+            for g in langid.buckets(s, starts, order).tolist():
+                z = [a + float(x) / (len(text) + 3) for a, x in zip(z, weights[g], strict=True)]
+        e = [math.exp((x - max(z)) / temperature) for x in z]
+        if any(c.isalpha() for c in text) and max(e) / sum(e) >= least:
+            kept.append(r["doc_id"])
+    return sorted(kept)

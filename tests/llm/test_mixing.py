@@ -103,3 +103,12 @@ def test_repeated_documents_keep_small_sources(spark):
     size = defaultdict(lambda: 50, large=500)
     # each of a source's documents is rounded to whole copies by a draw of its own
     assert all(abs(words[s] - t) <= 4 * 0.5 * size[s] * (100 if s == "large" else 10) ** 0.5 + 2 * mixing.BLOCK for s, t in target.items())
+
+
+def copies_by_hand(spark, rows):
+    """doc_ids, as often as the pipeline's stage gives them, for rows (dicts): what the mix takes, with a seeded draw about parts."""
+    docs = spark.createDataFrame([(r["doc_id"], r["text"], r["source"]) for r in rows], "doc_id long, text string, source string")
+    taken = mixing.mix(docs).collect()
+    check(taken, [(r["doc_id"], r["text"], r["source"]) for r in rows])
+    draws = {r.doc_id: r.draw / (1 << 30) for r in docs.selectExpr("doc_id", f"pmod(xxhash64(doc_id, {mixing.SEED + 1}), {1 << 30}) as draw").collect()}
+    return sorted(r.doc_id for r in taken if r.size for _ in range(int(r.taken / r.size + draws[r.doc_id])))

@@ -75,3 +75,73 @@ def test_edges(spark):
     assert sorted(str(r.component_id) for r in simhash.near_duplicates(nulls).collect()) == ["1", "1", "None"]
     extra = nulls.selectExpr("*", "1 as fp", "2 as root", "3 as salt")
     assert simhash.keep_first(extra).columns == extra.columns
+
+
+def shingles(text, k=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} or ({tuple(words)} if words else set())
+
+
+def brute_near(rows, least):
+    """Least doc_id reachable over links at two bits and over texts alike by `least`, for rows (doc_id, text)."""
+    prints, sets = [brute_print(t) for _, t in rows], [shingles(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if (prints[a] ^ prints[b]).bit_count() <= 2 or both and both / len(sets[a] | sets[b]) >= least:
+                p, q = root(a), root(b)
+                parent[max(p, q)] = min(p, q)
+    found = {}
+    for k, (d, _) in enumerate(rows):
+        found.setdefault(root(k), []).append(d)
+    return {d: min(ds) for ds in found.values() for d in ds}
+
+
+def edited(rng, words, n):
+    out = list(words)
+    for _ in range(n):
+        out[rng.randrange(len(out))] = f"edit{rng.randrange(10**6)}"
+    return " ".join(out)
+
+
+def test_near_copies_are_found_and_others_are_not(spark):
+    rng = random.Random(11)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    rows, pairs = [], []
+    for k in range(300):
+        words = rng.choices(vocabulary, k=rng.choice([30, 80, 300, 1500]))
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, edited(rng, words, max(1, len(words) // 80)))]
+        a, b = shingles(rows[-1][1]), shingles(rows[-2][1])
+        pairs.append(len(a & b) / len(a | b))
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    asked = [k for k, x in enumerate(pairs) if x >= 0.8]
+    assert len(asked) > 150 and sum(got[2 * k + 1] == 2 * k for k in asked) / len(asked) >= 0.95
+    assert all(c in (d, d - 1) for d, c in got.items()) and not [k for k, x in enumerate(pairs) if x < 0.6 and got[2 * k + 1] == 2 * k]
+
+
+def test_a_large_group_of_near_copies(spark):
+    rng = random.Random(12)
+    words = [f"w{rng.randrange(900)}" for _ in range(200)]
+    rows = [(k, edited(rng, words, 2)) for k in range(3000)] + [(10_000 + k, " ".join(rng.choices(words, k=200))) for k in range(300)]
+    rows += [(20_000, None), (20_001, "  "), (20_002, "a b"), (20_003, "A\nb"), (None, "a b"), (None, "q r s t u v w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    kept = sorted((r.doc_id for r in simhash.keep_first(df.selectExpr("*", "1 as mark", "2 as `x.y`", "3 as _id")).collect()), key=str)
+    assert [d for d in kept if d is not None and d < 10_000] == [0] and sum(d is not None and 10_000 <= d < 20_000 for d in kept) == 300
+    assert [d for d in kept if d is None or d >= 20_000] == [20_000, 20_002, None, None]
+    assert simhash.keep_first(df.limit(0)).count() == 0
+
+
+def test_large_buckets_are_split(spark):
+    rng, base = random.Random(3), 0x0F0F33335555AAAA
+    prints = {base ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(400)} | {rng.getrandbits(64) for _ in range(200)}
+    signed = sorted(x - (1 << 64) if x >> 63 else x for x in prints)
+    df = spark.createDataFrame([(x,) for x in signed], "fp long")
+    plain, split = ({r.node: r.root for r in simhash.components(simhash.links(df, **how)).collect()} for how in ({}, {"most": 3, "shown": 1}))
+    assert plain == split and len(set(plain.values())) < len(plain)
