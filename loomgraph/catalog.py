@@ -459,7 +459,8 @@ def reconcile_paths(spark, sf):
     return _reconciled(spark, sf, "paths")
 
 
-@query("SELECT 'node' AS what, id FROM nodes WHERE NOT (source_file IS NOT NULL AND type NOT IN ('namespace','concept') AND coalesce(kind,'') <> 'interface') UNION ALL SELECT 'edge', e.id FROM edges e WHERE NOT EXISTS (SELECT 1 FROM nodes n WHERE n.id IN (e.source_id, e.target_id) AND source_file IS NOT NULL AND type NOT IN ('namespace','concept') AND coalesce(kind,'') <> 'interface')")
+@query(f"""{SQL}, dead AS (SELECT id FROM nodes WHERE source_file IS NOT NULL AND type NOT IN ('namespace','concept') AND coalesce(kind,'') <> 'interface')
+SELECT 'node' AS what, id FROM nodes WHERE id NOT IN (SELECT id FROM dead) UNION ALL SELECT 'edge', id FROM edges WHERE source_id NOT IN (SELECT id FROM dead) AND target_id NOT IN (SELECT id FROM dead)""")
 def prune_file_nodes(spark, sf):
     g = graph(spark, sf)
     nodes, edges = merge.prune_file(g.nodes, g.edges, g.nodes.where("kind = 'interface'"), g.nodes.where("source_file is not null"))

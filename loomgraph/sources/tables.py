@@ -166,8 +166,8 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
 #: The same projection as SQL common table expressions.
 SQL = """WITH place AS (SELECT n_nationkey, 'p'||r_regionkey AS p, r_name||'/'||n_name AS ns FROM nation JOIN region ON n_regionkey = r_regionkey),
 cust AS (SELECT c_custkey, p, ns, ns||'/'||c_name AS path, lower(c_mktsegment) AS seg FROM customer JOIN place ON c_nationkey = n_nationkey),
-ords AS (SELECT o_orderkey, p, ns, path, seg, ns||':Order'||o_orderkey AS sym, o_orderstatus, o_orderpriority, o_totalprice FROM orders JOIN cust ON o_custkey = c_custkey),
-x AS (SELECT p, ns, path, sym, 'parts/'||p_brand AS brand, 'parts/'||p_brand||':Part'||l_partkey AS part, 'suppliers:Supplier'||l_suppkey AS supp, sum(l_quantity) AS qty, count(*)::DOUBLE AS n
+ords AS MATERIALIZED (SELECT o_orderkey, p, ns, path, seg, ns||':Order'||o_orderkey AS sym, o_orderstatus, o_orderpriority, o_totalprice FROM orders JOIN cust ON o_custkey = c_custkey),
+x AS MATERIALIZED (SELECT p, ns, path, sym, 'parts/'||p_brand AS brand, 'parts/'||p_brand||':Part'||l_partkey AS part, 'suppliers:Supplier'||l_suppkey AS supp, sum(l_quantity) AS qty, count(*)::DOUBLE AS n
   FROM lineitem JOIN ords ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY ALL),
 n0 AS (SELECT DISTINCT p, 'namespace' AS type, ns AS c, ns AS label, NULL::VARCHAR AS file, NULL::VARCHAR AS kind, NULL::BOOLEAN AS exported, NULL::BIGINT AS line FROM place
   UNION ALL SELECT DISTINCT p, 'namespace', brand, brand, NULL, NULL, NULL, NULL FROM x
@@ -177,7 +177,7 @@ n0 AS (SELECT DISTINCT p, 'namespace' AS type, ns AS c, ns AS label, NULL::VARCH
   UNION ALL SELECT DISTINCT p, 'symbol', supp, split_part(supp,':',2), NULL, 'function', false, NULL FROM x
   UNION ALL SELECT DISTINCT p, 'symbol', ns||':Dispatch', 'Dispatch', NULL, 'function', true, NULL FROM place
   UNION ALL SELECT DISTINCT p, 'concept', seg, seg, NULL, NULL, NULL, NULL FROM cust),
-nodes AS (SELECT substr(sha256(p||':'||type||':'||c),1,32) AS id, p AS project_id, type, label, c AS canonical_id, 'structural' AS source_class, file AS source_file, kind, exported, line AS line_start, line + 20 AS line_end FROM n0),
+nodes AS MATERIALIZED (SELECT substr(sha256(p||':'||type||':'||c),1,32) AS id, p AS project_id, type, label, c AS canonical_id, 'structural' AS source_class, file AS source_file, kind, exported, line AS line_start, line + 20 AS line_end FROM n0),
 e0 AS (SELECT DISTINCT p, 'contains' AS type, 'namespace' AS st, ns AS s, 'file' AS tt, path AS t, 1.0::DOUBLE AS w FROM cust
   UNION ALL SELECT DISTINCT p, 'defines', 'file', path, 'symbol', sym, 1.0 FROM ords
   UNION ALL SELECT DISTINCT p, 'defines', 'namespace', brand, 'symbol', part, 1.0 FROM x
@@ -188,7 +188,7 @@ e0 AS (SELECT DISTINCT p, 'contains' AS type, 'namespace' AS st, ns AS s, 'file'
   UNION ALL SELECT DISTINCT p, 'imports', 'namespace', ns, 'namespace', brand, 1.0 FROM x
   UNION ALL SELECT DISTINCT p, 'annotates', 'symbol', sym, 'concept', seg, 1.0 FROM ords),
 e1 AS (SELECT p AS project_id, type, substr(sha256(p||':'||st||':'||s),1,32) AS source_id, substr(sha256(p||':'||tt||':'||t),1,32) AS target_id, w FROM e0),
-e2 AS (SELECT substr(sha256(source_id||':'||type||':'||target_id),1,32) AS id, * FROM e1),
+e2 AS MATERIALIZED (SELECT substr(sha256(source_id||':'||type||':'||target_id),1,32) AS id, * FROM e1),
 edges AS (SELECT id, project_id, source_id, target_id, type FROM e2),
 weights AS (SELECT id AS edge_id, w AS weight FROM e2 WHERE type = 'calls' OR substr(id,1,1) <> '0'),
 acts AS (SELECT substr(sha256(p||':symbol:'||sym),1,32) AS node_id, least(1.0::DOUBLE, o_totalprice / 400000) AS activation FROM ords)"""
