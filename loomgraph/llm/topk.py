@@ -1,13 +1,15 @@
 """Exact top-k inner products by dual-tree search over cover trees.
 
-Vectors are dealt to blocks around pivots (a bounded sample of them), large ones split by a hash of vec_id. Each block's data
-and the queries sent to it get a cover tree each: a node has a centre, the radius that covers its points, and children around
-centres chosen farthest first. Pairs of nodes are descended best bound first and pruned where
-cq.cd + |cq| rd + |cd| rq + rq rd is below the worst kth score of the node's queries. A query first searches its own block; the
-kth score found there prunes whole blocks by centre and radius, and the query goes only to those that are left. There are at
-most MOST_BLOCKS pivots, so what is broadcast is bounded.
-
-Scores are integers held exactly in doubles. Vectors that are null or hold a null or non-finite component take no part, nor do
+Vectors are dealt to pivots (a bounded sample of them), and each pivot's to blocks of about BLOCK_ROWS rows by a hash of vec_id,
+so a block's size does not grow with the data. Each block's data and the queries sent to it get a cover tree each. A node has a
+centre, the radius that holds its points, and children around centres chosen farthest first, the node's own among them (nesting):
+all points lie within the level's radius of their child's centre (covering), and the centres at least as far apart (separation).
+Levels' radii are what at most FAN centres reach instead of powers of a base. Pairs of nodes are descended best bound first and
+pruned where cq.cd + |cq| rd + |cd| rq + rq rd is below the worst kth score of the node's queries. A query first searches its own
+block; the kth score found there prunes whole pivots by centre and radius, and the query goes to the blocks of those that are
+left. There are at most MOST_BLOCKS pivots, so what the driver holds is bounded.
+
+Scores are integers held in doubles, exact below 2^53. Vectors that are null or hold a null or non-finite component take no part, nor do
 rows without a vec_id. Of rows with one vec_id the least vector counts. Vectors are compared with those of their own length.
 """
 
@@ -26,13 +28,13 @@ RESULT = "query_id long, vec_id long, score double"
 
 
 class Node:
-    __slots__ = ("centre", "children", "members", "norm", "radius")
+    __slots__ = ("centre", "children", "cover", "members", "norm", "radius")
 
     def __init__(self, points: np.ndarray, members: np.ndarray, centre: np.ndarray):
         self.centre, self.members, self.children = centre, members, []
         self.norm = float(np.sqrt(centre @ centre))
         away = np.sqrt(((points[members] - centre) ** 2).sum(axis=1))
-        self.radius = float(away.max())
+        self.radius = self.cover = float(away.max())
         if len(members) <= LEAF or self.radius == 0:
             return
         # farthest first, until half the radius covers what is left or the fan is full
@@ -47,6 +49,7 @@ class Node:
             if nearest.max() <= self.radius / 2 and len(chosen) > 1:
                 break
             chosen.append(int(nearest.argmax()))
+        self.cover = float(nearest.max())
         for c in np.unique(owner).tolist():
             self.children.append(Node(points, members[owner == c], points[members[chosen[c]]]))
 
@@ -134,13 +137,17 @@ def top_k(vectors: DataFrame, every: int = EVERY, scale: int = SCALE, block_rows
             yield pd.DataFrame({"vec_id": pdf["vec_id"], "v": pdf["v"], "pivot": pivot, "away": away, "length": length.astype(np.int32)})
 
     dealt = common.settle(clean.mapInPandas(deal, "vec_id long, v array<double>, pivot int, away double, length int"), "dealt")
-    groups = {(r.pivot, r.length): r["count"] for r in dealt.groupBy("pivot", "length").count().collect()}
-    size = max(block_rows, -(-n // most_blocks))
-    split = spark.createDataFrame([(p, k, -(-c // size)) for (p, k), c in groups.items()] or [(0, 0, 1)], "pivot int, length int, parts int")
+    groups = dealt.groupBy("pivot", "length").agg(F.count("*").alias("n"), F.max("away").alias("away")).collect()  # a row per pivot
+    split = spark.createDataFrame([(r.pivot, r.length, -(-r.n // block_rows)) for r in groups] or [(0, 0, 1)], "pivot int, length int, parts int")
     # at most one row per pivot is broadcast
     blocks = dealt.join(F.broadcast(split), ["pivot", "length"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).drop("parts")
     blocks = common.settle(blocks, "blocks")
-    roots = [(r.pivot, r.part, r.length, r.away) for r in blocks.groupBy("pivot", "part", "length").agg(F.max("away").alias("away")).collect()]
+    # pivots by length: their numbers, centres (zero where no pivot has that length) and radii
+    around: dict[int, tuple] = {}
+    for k in {r.length for r in groups}:
+        mine = [r for r in groups if r.length == k]
+        centres = np.array([np.asarray(pivots[r.pivot].v) if r.pivot >= 0 else np.zeros(k) for r in mine])
+        around[k] = np.array([r.pivot for r in mine], dtype=np.int32), centres, np.array([r.away for r in mine])
     keys = ["pivot", "part", "length"]
     queries = blocks.where(F.col("vec_id") % every == 0).withColumn("floor", F.lit(float("-inf"))).withColumnRenamed("vec_id", "query_id")
     at_home = common.settle(queries.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInPandas(_block_search, RESULT), "at-home")
@@ -150,18 +157,20 @@ def top_k(vectors: DataFrame, every: int = EVERY, scale: int = SCALE, block_rows
     def send(parts):
         for pdf in parts:
             out = []
-            for r in pdf.itertuples(index=False):
-                v = np.asarray(r.v)
-                norm = np.sqrt(v @ v)
-                for p, part, length, away in roots:
-                    if length == r.length and (p, part) != (r.pivot, r.part):
-                        bound = (v @ np.asarray(pivots[p].v) if p >= 0 else 0.0) + norm * away
-                        if bound + abs(bound) * 1e-9 + 1e-3 >= r.floor:
-                            out.append((p, part, length, r.query_id, r.v, r.floor))
-            yield pd.DataFrame(out, columns=[*keys, "query_id", "v", "floor"])
-
-    sent = asking.mapInPandas(send, "pivot int, part int, length int, query_id long, v array<double>, floor double")
-    away = sent.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInPandas(_block_search, RESULT)
+            for k, rows in pdf.groupby("length"):
+                number, centres, radius = around[int(k)]
+                for at in range(0, len(rows), 256):
+                    some = rows.iloc[at : at + 256]
+                    v = np.stack(some["v"].to_numpy())
+                    bound = v @ centres.T + np.sqrt((v**2).sum(axis=1))[:, None] * radius
+                    q, p = np.nonzero(bound + np.abs(bound) * 1e-9 + 1e-3 >= some["floor"].to_numpy()[:, None])
+                    found = some.iloc[q][["query_id", "v", "floor", "pivot", "part", "length"]]
+                    out.append(found.rename(columns={"pivot": "home", "part": "home_part"}).assign(pivot=number[p]))
+            yield pd.concat(out) if out else pd.DataFrame(columns=["query_id", "v", "floor", "home", "home_part", "length", "pivot"])
+
+    sent = asking.mapInPandas(send, "query_id long, v array<double>, floor double, home int, home_part int, length int, pivot int")
+    sent = sent.join(F.broadcast(split), ["pivot", "length"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("pivot <> home or part <> home_part")
+    away = sent.select(*keys, "query_id", "v", "floor").groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInPandas(_block_search, RESULT)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = at_home.unionByName(away).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= K)
     return ranked.select("query_id", F.col("rank").cast("int"), "vec_id", F.col("score").cast("long"))

@@ -35,3 +35,25 @@ def test_blocks_copies_and_edges(spark):
     assert sorted(map(tuple, topk.top_k(df, block_rows=100, most_blocks=8).collect())) == brute(rows)
     assert topk.top_k(df.limit(0)).count() == 0
     assert sorted(map(tuple, topk.top_k(df.unionAll(df), block_rows=100).collect())) == brute(rows)
+
+
+def test_trees_cover_separate_and_nest():
+    rng = np.random.default_rng(2)
+    points = np.concatenate([rng.normal(size=(900, 6)) * 50, np.repeat(rng.normal(size=(1, 6)), 300, axis=0)])
+    waiting, seen = [topk.Node(points, np.arange(len(points)), points.mean(axis=0))], 0
+    while waiting:
+        node = waiting.pop()
+        away = np.sqrt(((points[node.members] - node.centre) ** 2).sum(axis=1))
+        assert away.max() <= node.radius + 1e-9
+        if not node.children:
+            assert len(node.members) <= topk.LEAF or node.radius == 0
+            continue
+        seen += 1
+        assert sorted(np.concatenate([c.members for c in node.children]).tolist()) == sorted(node.members.tolist())
+        centres = np.array([c.centre for c in node.children])
+        assert all(np.sqrt(((points[c.members] - c.centre) ** 2).sum(axis=1)).max() <= node.cover + 1e-9 for c in node.children)
+        apart = np.sqrt(((centres[:, None] - centres[None]) ** 2).sum(axis=2))[~np.eye(len(centres), dtype=bool)]
+        assert apart.min() >= node.cover - 1e-9
+        assert (np.sqrt(((centres - node.centre) ** 2).sum(axis=1)).min() <= away.min() + 1e-9)
+        waiting += node.children
+    assert seen > 3
