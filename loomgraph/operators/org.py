@@ -9,6 +9,8 @@ from ..functions.ids import record_id, term
 from ..sources.tables import Graph
 from .reads import LIMITS, ranked
 
+#: Importers of one namespace that one task pairs with all of them.
+PAIRED = 2000
 LIFTED_EDGES = ["imports", "implements", "extends", "concept_of", "depends_on"]
 
 
@@ -33,8 +35,13 @@ def shared_dependencies(g: Graph) -> DataFrame:
     t = g.nodes.select(F.col("id").alias("target_id"), F.col("canonical_id").alias("via"))
     s = g.nodes.where("type = 'namespace'").select(F.col("id").alias("source_id"))
     e = g.edges.where("type = 'imports'").join(s, "source_id", "left_semi").join(t, "target_id").select("project_id", "source_id", "via")
-    a, b = (e.select(F.col("via"), F.col("project_id").alias(f"{x}_project"), F.col("source_id").alias(f"{x}_node")) for x in ("source", "target"))
-    both = a.join(b, "via").where("source_project <> target_project")
+    # the pairs of a namespace that many import are made by many tasks: one side is dealt, the other copied to each
+    parts = e.groupBy("via").agg(F.ceil(F.count("*") / PAIRED).cast("int").alias("parts"), F.count_distinct("project_id").alias("projects")).where("projects > 1").select("via", "parts")
+    e = e.join(parts, "via")
+    a, b = (e.select(F.col("via"), "parts", F.col("project_id").alias(f"{x}_project"), F.col("source_id").alias(f"{x}_node")) for x in ("source", "target"))
+    a = a.withColumn("part", F.pmod(F.xxhash64("source_node"), F.col("parts")).cast("int")).drop("parts")
+    b = b.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    both = a.join(b, ["via", "part"]).where("source_project <> target_project")
     return both.select(record_id("x", F.col("source_node"), F.lit("shares_dependency"), F.col("target_node"), F.col("via")).alias("id"), "source_node", "source_project", "target_node", "target_project", "via", F.lit(0.3).alias("weight"), F.lit("speculative").alias("source_class"))
 
 

@@ -1,7 +1,7 @@
 """Symbols and intents from source text.
 
 Python is parsed with the standard library's ast, in Arrow batches, one file at a time; a file that does not parse gives its
-file node only. Go and TypeScript declarations are found by line patterns as SQL expressions.
+file node only. Go and TypeScript declarations are found by line patterns as SQL expressions, their intents by brackets (braces).
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import braces
+
 SYMBOL = "rel_path string, type string, canonical_id string, label string, kind string, exported boolean, line_start int, line_end int, detail string"
 CONDITION = "when string, then string, when_expr string, then_op string, then_value string"
 INTENT = f"rel_path string, name string, language string, visibility string, inputs array<struct<name:string,type:string>>, returns struct<type:string,explicit:boolean>, behavior array<struct<{CONDITION.replace(' string', ':string')}>>, effects array<struct<name:string,kind:string,basis:string>>, failures array<struct<code:string,kind:string>>"
@@ -222,14 +224,14 @@ def intents(path: str, text: str) -> list[dict]:
     return rows
 
 
-def _each(files: DataFrame, parse, schema: str) -> DataFrame:
+def _each(files: DataFrame, parse, schema: str, languages: tuple[str, ...] = ("python",)) -> DataFrame:
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [c.strip().split(" ")[0] for c in _top_level(schema)]
         for pdf in batches:
-            rows = [r for p, t in zip(pdf["rel_path"], pdf["content"], strict=True) for r in parse(p, t or "")]
+            rows = [r for p, t, x in zip(pdf["rel_path"], pdf["content"], pdf["language"], strict=True) for r in parse(p, t or "", x)]
             yield pd.DataFrame(rows, columns=columns)
 
-    return files.where("language = 'python'").select("rel_path", "content").mapInPandas(work, schema)
+    return files.where(F.col("language").isin(*languages)).select("rel_path", "content", "language").mapInPandas(work, schema)
 
 
 def _top_level(schema: str) -> list[str]:
@@ -244,11 +246,16 @@ def _top_level(schema: str) -> list[str]:
 
 
 def python_symbols(files: DataFrame) -> DataFrame:
-    return _each(files, symbols, SYMBOL)
+    return _each(files, lambda path, text, _: symbols(path, text), SYMBOL)
+
+
+def function_intents(files: DataFrame, languages: tuple[str, ...] = ("python", "go", "typescript")) -> DataFrame:
+    """The intents of all functions of files(rel_path, language, content) in these languages."""
+    return _each(files, lambda path, text, language: intents(path, text) if language == "python" else braces.intents(path, text, language), INTENT, languages)
 
 
 def python_intents(files: DataFrame) -> DataFrame:
-    return _each(files, intents, INTENT)
+    return function_intents(files, ("python",))
 
 
 #: Line patterns of declarations: group 1 is a receiver or empty, group 2 the name.

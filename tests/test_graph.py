@@ -83,6 +83,16 @@ def test_search_ranks_exact_labels_first(spark):
     assert found[0].id == "1" and {r.id for r in found} == {"1"}
 
 
+def test_many_queries_find_what_few_do(spark):
+    rng = random.Random(5)
+    names = ["".join(rng.choices("abcé_/", k=rng.randint(1, 9))) for _ in range(120)]
+    g = small(spark, [(str(k), str(k + 1), 1) for k in range(119)], labels={str(k): n for k, n in enumerate(names)})
+    asked = ["".join(rng.choices("abcé_ ", k=rng.randint(1, 7))) for _ in range(60)] + ["ab", "é"]
+    queries = spark.createDataFrame([(q,) for q in sorted(set(asked))], "query string")
+    shown = lambda few: sorted((r.query, r.id, r.score, r.rank) for r in search.search(g, queries, few=few).collect())
+    assert shown(1000) == shown(0) and len(shown(0)) > 50
+
+
 def test_cycle_settles(spark):
     g = small(spark, [("A", "B", 0.9), ("B", "C", 0.9)])
     anchors = spark.createDataFrame([("p", "symbol", "A", "high")], "project_id string, kind string, ref string, confidence string")

@@ -7,7 +7,7 @@ from loomgraph.operators import compile, intents, ir, merge, records
 from loomgraph.operators.merge import Versions
 from loomgraph.plans import index as plan
 from loomgraph.plans import order
-from loomgraph.sources import syntax
+from loomgraph.sources import extract, syntax
 from loomgraph.streaming import watch
 
 P = order.Plugin
@@ -168,3 +168,109 @@ def test_syntax_rows(spark):
     assert [(r.field, r.name, r.line, r.end_line) for r in f.collect()] == [("body", "f", 1, 2)]
     assert [r.type for r in syntax.children(nodes, f, "body").collect()] == ["Return"] and syntax.first_below(nodes, f, "Call").count() == 1
     assert records.token_hash("t") == "e3b98a4da31a127d4bde6e43033f66ba274cab0eb7eb1c70ec41402bf6273dd8"
+
+
+GO = """package shop
+import (
+	"errors"
+	"net/http"
+	yaml "gopkg.in/yaml.v2"
+	"github.com/x/bar/v2"
+)
+var ErrGone = errors.New("gone")
+func (c *Cart) Load(ctx context.Context, id, name string, opts ...Option) (*Item, error) {
+	// if comment { }
+	if id == "" {
+		return nil, errors.New("empty_id")
+	}
+	if v, ok := c.m[id]; !ok && v.Count >= -1 {
+		log.Println("x")
+		return nil, ErrGone
+	} else if name != "b" || c.closed == true {
+		c.store.Save(id)
+	} else {
+		panic("bad state")
+	}
+	resp, err := http.Get("u" + id)
+	if err != nil { return nil, err }
+	switch name {
+	case "a", "b":
+		return one(), nil
+	default:
+		bar.Do(resp)
+	}
+	switch x := v.(type) {
+	case int:
+		return nil, fmt.Errorf("int %d", x)
+	}
+	go func() {
+		if inner { tracker.Emit(1) }
+	}()
+	return &Item{ID: id}, nil
+}
+func helper[T any](xs []T, f func(T) bool) map[string]interface{} {
+	for _, x := range xs {
+		if f(x) {
+			yaml.Marshal(x)
+		}
+	}
+	return nil
+}
+func plain(int, string) error { return errors.New("p") }
+"""
+
+TS = """import axios, { get as fetchIt, type T } from "axios"
+import * as fs from 'fs'
+export async function load(id: string, n?: number, ...rest: string[]): Promise<{a: number}> {
+  if (!id) throw new Error("empty id");
+  if (n === undefined || n < -3) {
+    return axios.get(id)
+  } else {
+    console.log("no")
+  }
+  switch (id) {
+    case "x":
+      fs.writeFileSync(id, "y");
+      break;
+    default:
+      throw new NotFound()
+  }
+  const cb = (z) => { if (z) { return 1 } }
+  items.forEach(function (q) { if (q) save(q) })
+  try { await fetchIt() } catch (e) { throw e }
+  return { a: n }
+}
+const add = (a: number, b = 2): number => a + b
+export const each = async (xs) => {
+  if (xs.length > 0 && xs.ok)
+    return JSON.parse(xs)
+  other.update(xs)
+}
+class K { m() { if (a) { return 1 } } }
+function two({ a, b }: Props, cb: (x: number) => void): void {
+  if (a) { cb(1) } else if (b) { throw "late" }
+}
+"""
+
+
+def test_go_and_typescript_intents(spark):
+    files = spark.createDataFrame([("a.go", "go", GO), ("a.ts", "typescript", TS), ("bad.go", "go", "func f( {"), ("bad.ts", "typescript", "function ( { ] if"), ("none.ts", "typescript", None)], "rel_path string, language string, content string")
+    got = {r.name: r for r in extract.function_intents(files).collect()}
+    assert set(got) == {"Load", "helper", "plain", "load", "add", "each", "two"}
+    load = got["Load"]
+    assert (load.visibility, load.returns.type, [(i["name"], i["type"]) for i in load.inputs]) == ("public", "(*Item, error)", [("ctx", "context.Context"), ("id", "string"), ("name", "string"), ("opts", "...Option")])
+    assert [(b["when"], b["then_op"], b["then_value"]) for b in load.behavior] == [
+        ('id == ""', "return", 'nil, errors.New("empty_id")'), ("!ok && v.Count >= -1", "return", "nil, ErrGone"), ('name != "b" || c.closed == true', "invoke", "c.store.Save"), ("else", "throw", "bad state"),
+        ("err != nil", "return", "nil, err"), ('name == "a" || name == "b"', "return", "one(), nil"), ("else", "invoke", "bar.Do"), ("v is int", "return", 'nil, fmt.Errorf("int %d", x)'),
+    ]
+    assert load.behavior[0]["when_expr"] == '{"op":"==","args":[{"op":"path","text":"id"},{"op":"lit","text":"\\"\\""}]}'
+    assert [(e["name"], e["kind"], e["basis"]) for e in load.effects] == [("bar.Do", "unclassified", "heuristic"), ("c.store.Save", "mutation", "heuristic"), ("http.Get", "network", "resolved"), ("tracker.Emit", "mutation", "heuristic")]
+    assert [(f.code, f.kind) for f in load.failures] == [("ErrGone", "sentinel"), ("bad state", "constructed"), ("empty_id", "constructed"), ("err", "propagated"), ("int %d", "constructed")]
+    assert got["helper"].returns.type == "map[string]interface{}" and got["helper"].visibility == "private" and [(f.code, f.kind) for f in got["plain"].failures] == [("p", "constructed")]
+    ts = got["load"]
+    assert (ts.visibility, ts.returns.type, [(i["name"], i["type"]) for i in ts.inputs]) == ("public", "Promise<{a: number}>", [("id", "string"), ("n", "number"), ("rest", "string[]")])
+    assert [(b["when"], b["then_op"], b["then_value"]) for b in ts.behavior] == [("!id", "throw", "empty id"), ("n === undefined || n < -3", "return", "axios.get(id)"), ("else", "invoke", "console.log"), ('id === "x"', "invoke", "fs.writeFileSync"), ("else", "throw", "NotFound")]
+    assert [(e["name"], e["kind"]) for e in ts.effects] == [("axios.get", "network"), ("fs.writeFileSync", "io"), ("save", "mutation")]
+    assert [(f.code, f.kind) for f in ts.failures] == [("NotFound", "sentinel"), ("e", "propagated"), ("empty id", "constructed")]
+    assert got["add"].returns.type == "number" and got["each"].visibility == "public" and [b["when"] for b in got["each"].behavior] == ["xs.length > 0 && xs.ok"]
+    assert [(b["when"], b["then_value"]) for b in got["two"].behavior] == [("a", "cb"), ("b", "late")] and [i["name"] for i in got["two"].inputs] == ["{ a, b }", "cb"]
