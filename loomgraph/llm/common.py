@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,9 +33,32 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+#: Paths written inside each open block of cleaned().
+_OPEN: list[list[str]] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes, in the end, what was written inside the block, apart from paths that the caller takes out of the list."""
+    _OPEN.append([])
+    try:
+        yield _OPEN[-1]
+    finally:
+        for path in _OPEN.pop():
+            delete(spark, path)
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:

@@ -207,8 +207,11 @@ def links(prints: DataFrame, most: int = MOST_BUCKET, shown: int = SHOWN) -> Dat
 
 def components(edges: DataFrame, name: str = "edges") -> DataFrame:
     """node long, root long: each node of edges(a, b) with its component's least node; alternating star steps until nothing changes."""
-    edges = common.settle(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name)
-    seen = None
+    spark = edges.sparkSession
+    path = common.scratch(spark, name)
+    edges.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).where("a <> b").distinct().write.parquet(path)
+    read = lambda at: spark.read.schema("a long, b long").parquet(at)
+    edges, seen = read(path), None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -217,7 +220,10 @@ def components(edges: DataFrame, name: str = "edges") -> DataFrame:
         # small star: the node and its smaller neighbours point to the least of these
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        edges = common.settle(small, name)
+        before, path = path, common.scratch(spark, name)
+        small.write.parquet(path)
+        edges = read(path)
+        common.delete(spark, before)  # a round's table is all that the next one needs
         sums = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if (sums.n, sums.s) == seen:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -2,8 +2,9 @@
 
 Every window of WINDOW words of a document holds one of its aligned blocks of BLOCK words, as WINDOW = 2 x BLOCK - 1. So the
 aligned blocks are indexed, every rolling block of every document probes that index, and where two documents meet in a block,
-the hit is extended: the windows around it are compared by a strong key (80 bits), which finds maximal exact repeats, and each
-repeat keeps its copy in the document with the least doc_id.
+the hit is extended to both sides: the windows around it are compared by keys of 128 bits, window by window, which gives the
+maximal exact repeat (for 10^13 windows two different ones have equal keys with a chance of 10^-13), and each repeat keeps its copy
+in the document with the least doc_id.
 
 Documents are dealt into batches of ascending doc_id ranges. A batch sends one sorted list of short block hashes to each hash
 bucket; the bucket answers with a bit per entry. The batch then sends the strong keys around its hits the same way, and the
@@ -96,16 +97,16 @@ class Batch:
         return at, entry, values, flags
 
     def repeats(self, hit: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Windows around hits: their places, entries, and the entries' sorted keys (64 and 16 bits)."""
+        """Windows around hits: their places, entries, and the entries' sorted keys (64 bits and 64 more)."""
         near = np.zeros(len(self.w) + WINDOW + 1, dtype=np.int64)
         marks = at[hit]
         np.add.at(near, np.maximum(marks - BLOCK + 1, 0), 1)
         np.add.at(near, marks + 1, -1)
         places = np.flatnonzero((np.cumsum(near)[: len(self.w)] > 0) & (self.left >= WINDOW))
         if not len(places):
-            return places, places, np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.uint16)
+            return places, places, np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.uint64)
         a = _rolling(self.w, WINDOW, 0xD6E8FEB86659FD93)[places]
-        b = (_rolling(self.w, WINDOW, 0xA0761D6478BD642F)[places] >> np.uint64(48)).astype(np.uint16)
+        b = _rolling(self.w, WINDOW, 0xA0761D6478BD642F)[places]
         order = np.lexsort((b, a))
         new = np.ones(len(order), dtype=bool)
         new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
@@ -183,7 +184,7 @@ def _answer_repeats(table):
     """Which keys occur in an earlier batch."""
     rows = table.to_pylist()
     a = np.concatenate([np.frombuffer(r["body"], dtype="<u8", count=r["n"]) for r in rows])
-    b = np.concatenate([np.frombuffer(r["body"], dtype="<u2", count=r["n"], offset=8 * r["n"]) for r in rows])
+    b = np.concatenate([np.frombuffer(r["body"], dtype="<u8", count=r["n"], offset=8 * r["n"]) for r in rows])
     batch = np.repeat([r["batch"] for r in rows], [r["n"] for r in rows])
     order = np.lexsort((batch, b, a))
     earlier = np.zeros(len(a), dtype=bool)
@@ -212,7 +213,7 @@ def _ask_repeats(buckets: int):
         _, _, _, a, b = _found(table, replies, buckets)
         order, bucket = _strong_order(a, buckets)
         a, b = a[order], b[order]
-        return pa.Table.from_pylist(_rows(key[0].as_py(), 2, bucket, lambda i, j: a[i:j].astype("<u8").tobytes() + b[i:j].astype("<u2").tobytes()), schema=SENT_ARROW)
+        return pa.Table.from_pylist(_rows(key[0].as_py(), 2, bucket, lambda i, j: a[i:j].astype("<u8").tobytes() + b[i:j].astype("<u8").tobytes()), schema=SENT_ARROW)
 
     return ask
 

@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -55,4 +57,24 @@ def test_stages_at_the_edge(spark, sf):
 
 
 def test_run(spark, sf):
+    at = Path(corpus_pipeline.common.shared_dir(spark).removeprefix("file:").replace("//", "/"))
+    before = {p.name for p in at.iterdir()}
     assert set(corpus_pipeline.run(spark, sf).columns) >= {"doc_id", "lang", "source", "n_chars", "ids", "decoded"}
+    left = {p.name for p in at.iterdir()} - before
+    assert len(left) == 1 and left.pop().startswith("tokens-")  # the result alone stays
+
+
+def test_no_folder_of_one_machine_on_a_cluster(spark, monkeypatch):
+    from loomgraph.llm import common
+    from loomgraph.sources import tables
+
+    class Context:
+        master = "spark://host:7077"
+
+        class _jsc:
+            sc = staticmethod(lambda: type("S", (), {"getCheckpointDir": lambda self: type("O", (), {"isDefined": lambda self: False})()})())
+
+    fake = type("F", (), {"sparkContext": Context, "conf": type("C", (), {"get": staticmethod(lambda *_: None)})})
+    for shared in (common.shared_dir, tables.shared_folder):
+        with pytest.raises(RuntimeError, match="checkpoint"):
+            shared(fake)
