@@ -763,7 +763,9 @@ def _sources(spark, sf) -> DataFrame:
     text = F.lit("\n".join(lines))
     for mark, col in (("{k}", "p_partkey"), ("{n}", "p_size"), ("{b}", "p_brand")):
         text = F.replace(text, F.lit(mark), F.col(col).cast("string"))
-    return p.select(F.concat(F.lit("parts/m"), "p_partkey", F.lit(".py")).alias("rel_path"), F.lit("python").alias("language"), text.alias("content"))
+    made = p.select(F.concat(F.lit("parts/m"), "p_partkey", F.lit(".py")).alias("rel_path"), F.lit("python").alias("language"), text.alias("content"))
+    # the table is one small file, and parsing is what takes time
+    return made.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "rel_path")
 
 
 @plain("""SELECT 'parts/m'||p_partkey||'.py' AS rel_path, type, replace(replace(canonical, '@', 'parts.m'||p_partkey), '#', p_partkey::VARCHAR) AS canonical_id, kind, exported, line_start FROM part,

@@ -58,6 +58,23 @@ def graph_of(found: DataFrame, project: str, run: str) -> Extraction:
     return Extraction(nodes, edges, owners)
 
 
+IIR = "rel_path string, project_id string, node_id string, kind string, language string, payload string, source_hash string, run string"
+
+
+def observed(files: DataFrame, project: str, run: str) -> DataFrame:
+    """The intents of the functions of files(rel_path, language, hash, content) as records on their symbols; one that is not whole ends the run."""
+    found = extract.function_intents(files)
+    stem = F.regexp_replace(F.regexp_replace(F.regexp_replace("rel_path", r"\.pyi?$", ""), "/", "."), r"\.__init__$", "")
+    label = F.concat_ws(".", "owner", "name")
+    whole = (F.trim("name") != "") & ~F.exists("inputs", lambda x: F.trim(x["name"]) == "") & ~F.exists("behavior", lambda b: (F.trim(b["when"]) == "") | (F.trim(b["then"]) == ""))
+    name = F.when(F.coalesce(whole, F.lit(False)), F.concat_ws(":", F.when(F.col("language") == "python", stem).otherwise(F.col("rel_path")), label)).otherwise(F.raise_error(F.concat(F.lit("an intent that is not whole in "), "rel_path")).cast("string"))
+    body = F.to_json(F.struct(F.lit("FunctionIntent").alias("kind"), "name", "language", F.lit("observed").alias("origin"), "visibility", "inputs", "returns", "behavior", F.col("effects").alias("sideEffects"), F.col("failures").alias("failureModes")))
+    rows = found.select("rel_path", F.lit(project).alias("project_id"), node_id(F.lit(project), F.lit("symbol"), name).alias("node_id"), F.lit("extracted").alias("kind"), "language", body.alias("payload"))
+    # a name that a file defines twice is one symbol; of its intents the first in text order of the payload is kept
+    first = rows.groupBy("rel_path", "project_id", "node_id", "kind", "language").agg(F.min("payload").alias("payload"))
+    return first.join(files.select("rel_path", F.col("hash").alias("source_hash")), "rel_path").withColumn("run", F.lit(run))
+
+
 class FailedRun(RuntimeError):
     """A run that was given up; the store has it in its ledger, and the graph of the run before it."""
 
@@ -82,7 +99,7 @@ def index(spark: SparkSession, root: str, store: merge.Versions, project: str, r
     except Exception as e:
         failed = {"runs": _ledger(spark, store, project, run, "failed", f"{type(e).__name__}: {e}"[:2000])}
         if not store.current():
-            failed |= {n: spark.createDataFrame([], s) for n, s in (("nodes", NODES), ("edges", EDGES), ("owners", OWNERS), ("hashes", HASHES))}
+            failed |= {n: spark.createDataFrame([], s) for n, s in (("nodes", NODES), ("edges", EDGES), ("owners", OWNERS), ("hashes", HASHES), ("iir", IIR))}
         store.publish(failed)
         raise FailedRun(f"run {run} was given up") from e
 
@@ -112,10 +129,14 @@ def _index(spark: SparkSession, root: str, store: merge.Versions, project: str,
     gone = F.when(F.col("action") == "delete", "deleted")
     files = (diff if only is not None else diff.where("action <> 'delete'")).select("rel_path", gone.when(F.col("action") == "process", "indexed").otherwise("walked").alias("status"))
     staged = merge.State(found.nodes, found.edges, found.owners, seen.join(todo.select("rel_path"), "rel_path", "left_semi"))
+    lifted = settle(observed(todo, project, run), "intents")
+    kept = store.read("iir").join(diff.where("action <> 'skip'").select("rel_path"), "rel_path", "left_anti") if known and store.has("iir") else empty(IIR)
+    if known and store.has("iir") and full and only is None:
+        kept = kept.join(listing.select("rel_path"), "rel_path", "left_semi")
     out = merge.reconcile(live, staged, files, run, "paths" if only is not None else "full" if full or last is None else "incremental")
     counts = {r.action: r["count"] for r in diff.groupBy("action").count().collect()}
     ord_ = store.current() + 1
-    store.publish({"nodes": out.nodes, "edges": out.edges, "owners": out.owners, "hashes": out.hashes, "runs": _ledger(spark, store, project, run, "completed")})
+    store.publish({"nodes": out.nodes, "edges": out.edges, "owners": out.owners, "hashes": out.hashes, "iir": kept.select(*lifted.columns).unionByName(lifted), "runs": _ledger(spark, store, project, run, "completed")})
     return {"version": ord_, "processed": counts.get("process", 0), "skipped": counts.get("skip", 0), "deleted": counts.get("delete", 0)}
 
 

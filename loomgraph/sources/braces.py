@@ -354,8 +354,8 @@ class Source:
             k += 1
         return k
 
-    def functions(self) -> Iterator[tuple[str, bool, tuple[int, int], tuple[int, int], tuple[int, int]]]:
-        """Name, whether it is public, and the tokens of parameters, result and body, of functions outside all others."""
+    def functions(self) -> Iterator[tuple[str, str | None, bool, tuple[int, int], tuple[int, int], tuple[int, int]]]:
+        """Name, type of the receiver, whether it is public, and the tokens of parameters, result and body, of functions outside all others."""
         k = 0
         while k < len(self.t):
             if self.go and self.is_(k, "func") and self.t[k].first:
@@ -367,7 +367,8 @@ class Source:
                     close = self.match.get(start, start)
                     body = self.body(at, len(self.t)) if start == at + 1 else self.body(start - 1, len(self.t))
                     if body is not None and close > start:
-                        yield name, name[:1].isupper(), (start + 1, close), (close + 1, body), (body + 1, self.match[body])
+                        owner = next((self.t[i].text for i in range(k + 1, at) if self.t[i].kind == "word" and not self.is_(i - 1, "(", "[") or self.is_(i - 1, "(") and self.is_(i + 1, ")") and self.t[i].kind == "word"), None)
+                        yield name, owner, name[:1].isupper(), (start + 1, close), (close + 1, body), (body + 1, self.match[body])
                         k = self.match[body]
             elif not self.go and self.t[k].first and not self.is_(k, "}"):
                 public, at = self.is_(k, "export"), k
@@ -378,12 +379,12 @@ class Source:
                     start = self.find(at, len(self.t), "(", "{", ";")
                     body = self.body(at, len(self.t)) if self.is_(start, "(") else None
                     if body is not None and self.t[at].kind == "word":
-                        yield self.t[at].text, public, (start + 1, self.match[start]), (self.match[start] + 1, body), (body + 1, self.match[body])
+                        yield self.t[at].text, None, public, (start + 1, self.match[start]), (self.match[start] + 1, body), (body + 1, self.match[body])
                         k = self.match[body]
                 elif self.is_(at, "const", "let", "var"):
                     made = self._value(at + 1)
                     if made:
-                        yield self.t[at + 1].text, public, *made
+                        yield self.t[at + 1].text, None, public, *made
                         k = max(k, made[2][1] - 1)
             if k in self.match and self.match[k] > k:
                 k = self.match[k]
@@ -504,7 +505,7 @@ def intents(path: str, text: str, language: str) -> list[dict]:
 
 def _intents(path: str, s: Source) -> list[dict]:
     imports, rows, language = s.imports(), [], s.language
-    for name, public, params, result, body in s.functions():
+    for name, owner, public, params, result, body in s.functions():
         returns = s.result(*result)
-        rows.append({"rel_path": path, "name": name, "language": language, "visibility": "public" if public else "private", "inputs": s.inputs(*params), "returns": returns, "behavior": s.clauses(*body), "effects": s.effects(*body, imports), "failures": s.failures(*body, returns["type"])})
+        rows.append({"rel_path": path, "name": name, "owner": owner, "language": language, "visibility": "public" if public else "private", "inputs": s.inputs(*params), "returns": returns, "behavior": s.clauses(*body), "effects": s.effects(*body, imports), "failures": s.failures(*body, returns["type"])})
     return rows

@@ -18,7 +18,7 @@ from . import braces
 
 SYMBOL = "rel_path string, type string, canonical_id string, label string, kind string, exported boolean, line_start int, line_end int, detail string"
 CONDITION = "when string, then string, when_expr string, then_op string, then_value string"
-INTENT = f"rel_path string, name string, language string, visibility string, inputs array<struct<name:string,type:string>>, returns struct<type:string,explicit:boolean>, behavior array<struct<{CONDITION.replace(' string', ':string')}>>, effects array<struct<name:string,kind:string,basis:string>>, failures array<struct<code:string,kind:string>>"
+INTENT = f"rel_path string, name string, owner string, language string, visibility string, inputs array<struct<name:string,type:string>>, returns struct<type:string,explicit:boolean>, behavior array<struct<{CONDITION.replace(' string', ':string')}>>, effects array<struct<name:string,kind:string,basis:string>>, failures array<struct<code:string,kind:string>>"
 
 #: Comparison operators as the model writes them.
 COMPARE = {ast.Eq: "==", ast.NotEq: "!=", ast.Lt: "<", ast.LtE: "<=", ast.Gt: ">", ast.GtE: ">=", ast.Is: "==", ast.IsNot: "!="}
@@ -220,7 +220,7 @@ def intents(path: str, text: str) -> list[dict]:
         if owner and args and args[0][0] in {"self", "cls"}:
             args = args[1:]
         failures = dict(x for n in ast.walk(f) if isinstance(n, ast.Raise) and (x := _failure(n)))
-        rows.append({"rel_path": path, "name": f.name, "language": "python", "visibility": "public" if exported(f.name) else "private", "inputs": [{"name": n, "type": ast.unparse(t) if t else "unknown"} for n, t in args], "returns": {"type": ast.unparse(f.returns) if f.returns else "", "explicit": f.returns is not None}, "behavior": list(_clauses(f, text)), "effects": _effects(f, imports), "failures": [{"code": c, "kind": failures[c]} for c in sorted(failures)]})
+        rows.append({"rel_path": path, "name": f.name, "owner": owner, "language": "python", "visibility": "public" if exported(f.name) else "private", "inputs": [{"name": n, "type": ast.unparse(t) if t else "unknown"} for n, t in args], "returns": {"type": ast.unparse(f.returns) if f.returns else "", "explicit": f.returns is not None}, "behavior": list(_clauses(f, text)), "effects": _effects(f, imports), "failures": [{"code": c, "kind": failures[c]} for c in sorted(failures)]})
     return rows
 
 

@@ -16,10 +16,12 @@ def test_index_follows_the_tree(spark, tmp_path):
     assert run("r1") == {"version": 1, "processed": 3, "skipped": 0, "deleted": 0}
     labels = lambda: {r.label for r in store.read("nodes").where("type = 'symbol'").collect()}
     assert plan.ready(store) and labels() == {"one", "two", "three", "Cart.Load"}
+    lifted = lambda: {(r.rel_path, r.label) for r in store.read("iir").join(store.read("nodes").withColumnRenamed("id", "node_id"), "node_id").collect()}
+    assert lifted() == {("a.py", "one"), ("a.py", "two"), ("b.py", "three"), ("c.go", "Cart.Load")}
     (src / "a.py").write_text("import os\n\ndef one():\n    return 1\n")
     (src / "b.py").unlink()
     assert run("r2") == {"version": 2, "processed": 1, "skipped": 1, "deleted": 1}
-    assert labels() == {"one", "Cart.Load"} and plan.dangling(store).count() == 0
+    assert labels() == {"one", "Cart.Load"} and plan.dangling(store).count() == 0 and lifted() == {("a.py", "one"), ("c.go", "Cart.Load")}
     assert {r.canonical_id for r in store.read("nodes").where("kind = 'import'").collect()} == {"os", "fmt"}
     assert run("r3") == {"version": 3, "processed": 0, "skipped": 2, "deleted": 0} and labels() == {"one", "Cart.Load"}
     kg = KnowledgeGraph.of_store(spark, store)
