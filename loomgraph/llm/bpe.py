@@ -30,7 +30,9 @@ SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Latin letters, all of them in Unicode's class L.
 LATIN = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 #: Chunks and pre-tokens that a task keeps; beyond it the tables start anew, and a task's end frees them for the next stage.
-KEPT = 400_000
+KEPT = 250_000
+#: Pre-tokens that are laid out and indexed together.
+AT_ONCE = 100_000
 #: Texts are encoded in groups of at least so many characters.
 GROUP_CHARS = 4_000_000
 
@@ -234,7 +236,9 @@ class Encoder:
         known, is_word, is_latin = self.tokens, self.is_word, self.is_latin
         split = [[lead + c] if is_word(c) else self.latin_tokens_of(lead + c) if is_latin(c) else self.tokens_of(lead + c) for c in chunks]
         fresh = list({t for tokens in split for t in tokens}.difference(known))
-        known.update(zip(fresh, self.encode_tokens([t.encode() for t in fresh]), strict=True))
+        for k in range(0, len(fresh), AT_ONCE):
+            some = fresh[k : k + AT_ONCE]
+            known.update(zip(some, self.encode_tokens([t.encode() for t in some]), strict=True))
         table.update(zip(chunks, [known[t[0]] if len(t) == 1 else b"".join([known[x] for x in t]) for t in split], strict=True))
 
 
@@ -288,7 +292,7 @@ def encode_column(df: DataFrame, path: str, text: str = "text") -> DataFrame:
         encoder.forget()
 
     schema = T.StructType([*given.schema.fields[:at_text], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
-    return given.mapInArrow(work, schema).toDF(*kept, "ids", "decoded")
+    return given.mapInArrow(common.released(work), schema).toDF(*kept, "ids", "decoded")
 
 
 def digests(df: DataFrame, path: str) -> DataFrame:
@@ -311,7 +315,7 @@ def digests(df: DataFrame, path: str) -> DataFrame:
                 at += len(group)
         encoder.forget()
 
-    return df.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return df.select(F.col("doc_id").cast("long"), "text").mapInArrow(common.released(work), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def default_vocabulary() -> str:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +79,24 @@ def partitions_for(df: DataFrame, part_bytes: int = 128 << 20) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-size // part_bytes), 1 << 20) if size < 1 << 60 else 0)
 
 
+def released(work):
+    """work(batches), after which the task's Python worker gives what it has freed back to the machine.
+
+    Workers live on between tasks; without this they would hold what their largest task took.
+    """
+
+    @wraps(work)
+    def run(batches):
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not every C library has it
+            pass
+
+    return run
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The documents table, pruned to the columns named."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)

@@ -168,7 +168,7 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, most_rows: int = MOST_ROWS, p
             names, weights, bias, temperature = train(rows["text"].tolist(), rows["lang"].tolist(), fold)
             yield pd.DataFrame({"names": [names], "weights": [weights.tobytes()], "bias": [bias.tobytes()], "temperature": [temperature]})
 
-    got = sample.repartition(1).mapInPandas(work, "names array<string>, weights binary, bias binary, temperature double").first()
+    got = sample.repartition(1).mapInPandas(common.released(work), "names array<string>, weights binary, bias binary, temperature double").first()
     if got is None:
         return None
     k = len(got.names)
@@ -186,7 +186,7 @@ def identify(docs: DataFrame, model: tuple | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(group)), pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
                 at += len(group)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(common.released(work), "doc_id long, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, least: float = 0.5) -> DataFrame:
@@ -209,7 +209,7 @@ def accepted(docs: DataFrame, least: float = 0.5) -> DataFrame:
             yield batch.filter(pa.array(good, pa.bool_()))
 
     plain = common.plainly_named(docs)
-    return plain.mapInArrow(work, plain.schema).toDF(*docs.columns)
+    return plain.mapInArrow(common.released(work), plain.schema).toDF(*docs.columns)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple | Non
             at = np.flatnonzero(w.any(axis=1)).astype(np.int32)
             yield pd.DataFrame({"at": [at.tobytes()], "w": [w[at].tobytes()], "v": [v.tobytes()]})
 
-    got = found.repartition(1).mapInPandas(work, "at binary, w binary, v binary").first()
+    got = found.repartition(1).mapInPandas(common.released(work), "at binary, w binary, v binary").first()
     return (np.frombuffer(got.at, dtype=np.int32), np.frombuffer(got.w, dtype=np.float32).reshape(-1, len(HEADS)), np.frombuffer(got.v).reshape(-1, len(HEADS))) if got else None
 
 
@@ -147,7 +147,7 @@ def evidence(docs: DataFrame, model: tuple | None) -> DataFrame:
                 at += len(group)
 
     fields = ", ".join(f"p_{h} double" for h in HEADS)
-    return docs.select("doc_id", "text", "host", "path").mapInArrow(work, f"doc_id long, host string, path string, {fields}")
+    return docs.select("doc_id", "text", "host", "path").mapInArrow(common.released(work), f"doc_id long, host string, path string, {fields}")
 
 
 def _strength(groups: DataFrame, prior: Column, head: str) -> float:

@@ -46,7 +46,7 @@ SALTS = 16
 #: key, hashes of a sketch, rows that a row is compared with.
 NEAR_WORDS, ALIKE, BANDS, ROWS, BINS, BEFORE = 5, 0.78, 8, 3, 256, 8
 #: Words whose hashes a worker keeps.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 250_000
 #: Fingerprints of a bucket from which on it is split by the Golay keys of the third segment too, and the part of all
 #: fingerprints (one in so many) that shows which buckets those are.
 MOST_BUCKET, SHOWN = 20_000, 64
@@ -127,7 +127,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             prints = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(common.released(work), "doc_id long, fp long")
 
 
 def forest(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -355,7 +355,7 @@ def near_links(nodes: DataFrame) -> DataFrame:
             held = key[keep], mark[keep], rows[keep]
 
     dealt = shared.repartitionByRange(n, "key", "next", "mark").sortWithinPartitions("key", "next", "mark")
-    return dealt.select("key", "mark", "sketch").mapInArrow(linked, "a long, b long")
+    return dealt.select("key", "mark", "sketch").mapInArrow(common.released(linked), "a long, b long")
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -373,7 +373,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
                 at += len(group)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(prints.view(np.int64)), pa.array(marks.view(np.int64)), pa.array(some, pa.list_(pa.int64())), pa.array([x.tobytes() for x in sketch], pa.binary())], names=["doc_id", "fp", "mark", "bands", "sketch"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, fp long, mark long, bands array<bigint>, sketch binary")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(common.released(work), "doc_id long, fp long, mark long, bands array<bigint>, sketch binary")
     prints = common.settle(rows, "sketches")
     nodes = common.settle(prints.groupBy("mark").agg(F.min("doc_id").alias("first"), F.min(F.struct("fp", "bands", "sketch")).alias("s")).select("mark", "first", "s.*"), "texts")
     heads = common.settle(nodes.groupBy("fp").agg(F.min("mark").alias("head")), "classes")

@@ -268,7 +268,7 @@ def write_files(df: DataFrame, path: str, out: str, end_id: int = 2, shards: int
             yield closed()
 
     ordered = texts.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    ordered.mapInArrow(work, PAGE).write.option("compression", "uncompressed").parquet(out)
+    ordered.mapInArrow(common.released(work), PAGE).write.option("compression", "uncompressed").parquet(out)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
