@@ -163,10 +163,12 @@ def file_context(spark, sf):
     return reads.member_groups(reads.members(graph(spark, sf), "file"))
 
 
-@query(f"""{SQL}, {MEMBERS.format(t='namespace')} SELECT anchor, CASE WHEN kind = 'interface' THEN 'interface' WHEN type = 'symbol' AND regexp_matches(label, '^[A-Z]') THEN 'exported' WHEN type = 'symbol' THEN 'internal' ELSE type END AS category, count(*) AS n
-FROM members GROUP BY ALL""")
+@query(f"""{SQL}, {MEMBERS.format(t='namespace')} SELECT anchor, category, n, array_to_string(CASE WHEN category = 'internal' THEN labels[1:20] ELSE labels END, ',') AS labels
+FROM (SELECT anchor, CASE WHEN regexp_matches(label, '^[A-OQ-Z]') THEN 'exported' ELSE 'internal' END AS category, count(*) AS n, list_sort(list(CASE WHEN label LIKE 'Part%' THEN 'part'||substr(label, 5) ELSE label END)) AS labels FROM members WHERE type = 'symbol' GROUP BY ALL)""")
 def namespace_summary(spark, sf):
-    return reads.namespace_summary(reads.members(graph(spark, sf), "namespace"))
+    # parts are written small, so that there are internal symbols
+    found = reads.members(graph(spark, sf), "namespace").withColumn("label", F.regexp_replace("label", "^Part", "part"))
+    return reads.namespace_summary(found).withColumn("labels", F.array_join("labels", ","))
 
 
 @query(LISTED.format(a="source_id", b="target_id", where="n.type = 'namespace' AND m.type IN ('namespace', 'file')"))
@@ -366,12 +368,14 @@ def mirror_interfaces(spark, sf):
 
 @query(f"""{SQL}, {LIFT}, want AS (SELECT DISTINCT canonical_id AS ref FROM lifted WHERE canonical_id LIKE 'suppliers:%' OR type = 'namespace' UNION SELECT DISTINCT label FROM lifted WHERE canonical_id LIKE 'parts/%:%'),
 m AS (SELECT ref, id, max(s) AS similarity FROM (SELECT ref, id, 1.0::DOUBLE AS s FROM want JOIN lifted ON canonical_id = ref UNION ALL SELECT ref, id, 0.8 FROM want JOIN lifted ON ref = split_part(canonical_id, ':', 2) AND contains(canonical_id, ':') WHERE NOT contains(ref, ':')) GROUP BY ALL)
-SELECT ref, id, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY similarity DESC, id) AS rank FROM m) WHERE rank <= 20""")
+SELECT ref, id, similarity FROM m"""
+.replace("m AS (SELECT ref, id, max(s) AS similarity FROM (SELECT ref, id, 1.0::DOUBLE AS s FROM want JOIN lifted ON canonical_id = ref UNION ALL SELECT ref, id, 0.8 FROM", "m AS (SELECT ref, id, max(s) AS similarity FROM (SELECT ref, id, s FROM (SELECT ref, id, 1.0::DOUBLE AS s, row_number() OVER (PARTITION BY ref ORDER BY label, id) AS k FROM want JOIN lifted ON canonical_id = ref) WHERE k <= 20 UNION ALL SELECT ref, id, s FROM (SELECT ref, id, 0.8 AS s, row_number() OVER (PARTITION BY ref ORDER BY label, id) AS k FROM")
+.replace("WHERE NOT contains(ref, ':')) GROUP BY ALL)", "WHERE NOT contains(ref, ':')) WHERE k <= 20) GROUP BY ALL)"))
 def org_find_similar(spark, sf):
     lifted = org.lifted_nodes(graph(spark, sf))
     want = lifted.where("canonical_id LIKE 'suppliers:%' or type = 'namespace'").select(F.col("canonical_id").alias("ref"))
     want = want.unionByName(lifted.where("canonical_id LIKE 'parts/%:%'").select(F.col("label").alias("ref"))).distinct()
-    return org.similar(lifted, want).select("ref", "id", "similarity", "rank")
+    return org.similar(lifted, want).select("ref", "id", "similarity")
 
 
 @query("SELECT 'seed-'||substr(sha256('project:'||label),1,32) AS id, 'project' AS scope, label AS term, max('about '||label) AS definition, 1::BIGINT AS created_at FROM nodes WHERE type = 'concept' GROUP BY label")
@@ -741,10 +745,11 @@ def phase_profile(spark, sf):
     return semantic.phase_profile(table(spark, sf, "events"), "event_type", F.col("event_id") % 1000)
 
 
-@query("SELECT type AS kind, count(*) AS expected, count_if(exported IS NOT FALSE) AS matched, round(100.0 * count_if(exported IS NOT FALSE) / count(*), 6)::DOUBLE AS percent FROM nodes GROUP BY type")
+@query("""SELECT type AS kind, count(*) AS expected, count_if(exported IS NOT FALSE) AS matched, CASE WHEN type = 'file' THEN -1 ELSE round(100.0 * count_if(exported IS NOT FALSE) / count(*), 6) END::DOUBLE AS percent FROM nodes GROUP BY type UNION ALL SELECT 'macro', 0, 0, 0.0""")
 def extraction_coverage(spark, sf):
     n = graph(spark, sf).nodes.select(F.col("type").alias("kind"), F.col("id").alias("key"), "exported")
-    return semantic.extraction_coverage(n.drop("exported"), n.where("exported is null or exported").drop("exported"))
+    kinds = n.select("kind", (F.col("kind") != "file").alias("supported")).distinct().unionByName(spark.createDataFrame([("macro", True)], "kind string, supported boolean"))
+    return semantic.extraction_coverage(n.drop("exported"), n.where("exported is null or exported").drop("exported"), kinds)
 
 
 @query("SELECT project_id, canonical_id, CASE WHEN type = 'file' THEN 'removed' ELSE 'added' END AS change FROM nodes WHERE type IN ('file', 'concept')")

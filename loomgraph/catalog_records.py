@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .catalog import SQL, plain, query
 from .functions import ids
-from .operators import activation, analyzers, compile, intents, ir, merge, records
+from .operators import activation, analyzers, compile, intents, ir, merge, org, records, search
 from .plans import index, order
 from .sources import seeds, syntax
 from .sources.tables import graph, table
@@ -424,3 +424,49 @@ def lift_normalised(spark, sf):
     spans = F.when(k == 0, F.array(F.struct(F.lit("f").alias("path"), F.lit(9).alias("start"), F.lit(3).alias("end"), F.lit("x").alias("basis")))).otherwise(F.array().cast("array<struct<path:string,start:int,end:int,basis:string>>"))
     rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.lit("n").alias("node_id"), F.when(k == 2, F.lit(None)).when(k == 1, "v9").otherwise("v1").alias("version"), F.when(k == 2, F.lit(None)).when(k == 3, "unsupported").otherwise("modeled").alias("coverage"), F.lit("observed").alias("origin"), F.lit("f").alias("name"), F.lit("go").alias("language"), claims.alias("claims"), spans.alias("evidence"))
     return compile.normal_lift(rows).select("id", "error", "coverage", F.array_join(F.transform("claims", lambda c: c["kind"]), ",").alias("kinds"))
+
+
+SEMANTIC = "WITH r AS (SELECT event_id AS id, user_id % 30 AS unit_id, event_id % 9 AS revision, ts AS created_at, 'plan'||(user_id % 12) AS plan_revision_id FROM events)"
+
+
+@plain(f"""{SEMANTIC} SELECT 'history' AS by, id, row_number() OVER (PARTITION BY unit_id ORDER BY revision, created_at) AS place FROM r WHERE unit_id < 4 UNION ALL SELECT 'plan', id, row_number() OVER (PARTITION BY plan_revision_id ORDER BY created_at, id) FROM r WHERE plan_revision_id IN ('plan1', 'plan7')
+UNION ALL SELECT 'latest', arg_max(id, (revision, created_at)), 1 FROM r WHERE unit_id < 4 GROUP BY unit_id UNION ALL SELECT 'id', id, 0 FROM r WHERE id % 100 = 0""")
+def semantic_records(spark, sf):
+    k = F.col("user_id")
+    r = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.lit("p").alias("project_id"), (k % 30).alias("unit_id"), (F.col("event_id") % 9).alias("revision"), F.col("ts").alias("created_at"), F.concat(F.lit("plan"), k % 12).alias("plan_revision_id"))
+    shown = lambda df, by, place: df.select(F.lit(by).alias("by"), "id", place.cast("int").alias("place"))
+    units, plans = r.where("unit_id < 4"), spark.createDataFrame([("plan1",), ("plan7",)], "plan_revision_id string")
+    out = shown(records.plan_history(r, units), "history", F.col("place")).unionByName(shown(records.records_of_plans(r, plans), "plan", F.col("place")))
+    return out.unionByName(shown(records.latest_plans(r, units), "latest", F.lit(1))).unionByName(shown(records.plans_by_id(r, r.where("id % 100 = 0")), "id", F.lit(0)))
+
+
+@plain("""SELECT l_orderkey AS id, min(l_returnflag) AS kind, min(l_linestatus) AS owner, array_to_string(list_sort(list(DISTINCT 'k'||(l_linenumber % 3))), ',') AS keys,
+concat_ws(',', CASE WHEN count(DISTINCT l_returnflag) > 1 THEN 'kind' END, CASE WHEN count(DISTINCT l_linestatus) > 1 THEN 'owner' END, CASE WHEN count(DISTINCT CASE WHEN l_linenumber % 3 = 0 THEN l_quantity END) > 1 THEN 'k0' END, CASE WHEN count(DISTINCT CASE WHEN l_linenumber % 3 = 1 THEN l_quantity END) > 1 THEN 'k1' END, CASE WHEN count(DISTINCT CASE WHEN l_linenumber % 3 = 2 THEN l_quantity END) > 1 THEN 'k2' END) AS conflicts FROM lineitem GROUP BY 1""")
+def contribution_merge(spark, sf):
+    x = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_returnflag").alias("kind"), F.col("l_linestatus").alias("owner"), F.create_map(F.concat(F.lit("k"), F.col("l_linenumber") % 3), F.col("l_quantity").cast("string")).alias("properties"))
+    return merge.merged_contributions(x, "id", ["kind", "owner"]).select("id", "kind", "owner", F.array_join(F.array_sort(F.map_keys("properties")), ",").alias("keys"), F.array_join("conflicts", ",").alias("conflicts"))
+
+
+@plain("SELECT 'activation' AS what, o_orderkey AS id, 0 AS stale FROM orders WHERE o_orderkey % 5 > 0 UNION ALL SELECT 'weights', o_orderkey, 0 FROM orders WHERE o_orderkey % 7 > 0 UNION ALL SELECT 'iir', o_orderkey, 0 FROM orders WHERE o_orderkey % 5 > 0 OR o_orderkey % 2 = 0 UNION ALL SELECT 'artifacts', o_orderkey, CASE WHEN o_orderkey % 5 > 0 THEN 0 WHEN o_orderkey % 3 = 0 THEN 7 ELSE 9 END FROM orders")
+def cascaded_records(spark, sf):
+    k = F.col("o_orderkey")
+    o = table(spark, sf, "orders").select(k.alias("id"))
+    i = F.col("id")
+    made = merge.cascade_records(
+        o.where("id % 5 = 0"), o.select(i.alias("edge_id")), o.where("id % 7 > 0"), o.select(i.alias("node_id")), o.select(i.alias("node_id"), F.when(i % 2 == 0, "intended").otherwise("extracted").alias("kind")),
+        o.select("id", i.alias("unit_node_id"), F.when((i % 3 == 0) & (i % 5 == 0), 7).cast("long").alias("stale_at")), 9,
+    )
+    shown = lambda what, key, stale=F.lit(0): made[what].select(F.lit(what).alias("what"), F.col(key).alias("id"), stale.cast("int").alias("stale"))
+    return shown("activation", "node_id").unionByName(shown("weights", "edge_id")).unionByName(shown("iir", "node_id")).unionByName(shown("artifacts", "id", F.coalesce("stale_at", F.lit(0))))
+
+
+@query("SELECT 'x-'||substr(sha256(label), 1, 1) AS scope, label AS term FROM nodes WHERE type = 'concept' AND label <> 'building' GROUP BY label")
+def concept_removal(spark, sf):
+    seeds_ = graph(spark, sf).nodes.where("type = 'concept'").select(F.concat(F.lit("x-"), F.substring(F.sha2("label", 256), 1, 1)).alias("scope"), F.col("label").alias("term")).distinct()
+    return org.remove_concepts(seeds_, seeds_.where("term = 'building'").withColumn("term", F.lit("  Building ")))
+
+
+@query("""SELECT project_id, id, 'label exact:supplier1, canonical suffix:supplier1' AS reason FROM nodes WHERE lower(label) = 'supplier1'""")
+def search_reasons(spark, sf):
+    found = search.search(graph(spark, sf), spark.createDataFrame([("supplier1",)], "query string"))
+    return found.where("lower(label) = 'supplier1'").select("project_id", "id", "reason")

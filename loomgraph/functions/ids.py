@@ -30,6 +30,11 @@ def record_id(prefix: str, *parts: Column) -> Column:
     return F.concat(F.lit(f"{prefix}-"), _digest(*parts))
 
 
+def document_id(prefix: str, document: Column) -> Column:
+    """The id of a plan or another record by all that is in it: its canonical JSON, fields in the order of the struct."""
+    return F.concat(F.lit(f"{prefix}-"), F.substring(F.sha2(F.to_json(document), 256), 1, 32))
+
+
 def clamp(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 

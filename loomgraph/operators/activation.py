@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,21 +99,38 @@ def reset(activation: DataFrame) -> DataFrame:
     return activation.select("node_id", F.when(F.col("activation") > 0, 0.0).otherwise(F.col("activation")).alias("activation"), (F.col("peak") if "peak" in activation.columns else F.col("activation")).alias("peak"))
 
 
-def cycle(g: Graph, anchors: DataFrame, k: int = TOP, loops: int = LOOPS) -> DataFrame:
-    """Resolve, spread, strengthen, until the top k no longer change or the loops are used up. The driver sees k ids a round."""
+def activate(g: Graph, anchors: DataFrame, k: int = TOP) -> tuple[DataFrame, DataFrame]:
+    """The activation table after one pass over anchors, and the enriched top k: without anchors that exist, what is most active now."""
+    found = spread(g, _seeds(g, anchors, k))
+    table = merge_activation(g.activation, found.select(F.col("id").alias("node_id"), "activation"))
+    return table, enriched(g, top(found, k).select("id", "activation"))
+
+
+def _seeds(g: Graph, anchors: DataFrame, k: int) -> DataFrame:
     seeds = resolve_anchors(g, anchors).select(F.lit("all").alias("set"), "id", "activation")
     if seeds.isEmpty():
         seeds = g.activation.orderBy(F.desc("activation"), "node_id").limit(k).select(F.lit("all").alias("set"), F.col("node_id").alias("id"), "activation")
+    return seeds
+
+
+def cycle(g: Graph, anchors: DataFrame, k: int = TOP, loops: int = LOOPS, used: Callable[[DataFrame], float] | None = None) -> DataFrame:
+    """Resolve, spread, strengthen, until the top k no longer change, the loops are used up, or what is found takes 0.85 of the context.
+
+    used tells what share of the context the nodes of a round take. rounds and converged (the top k settled) are columns of the
+    result. The driver sees k ids a round.
+    """
+    seeds = _seeds(g, anchors, k)
     seen: set | None = None
-    best = None
-    for _ in range(loops):
+    best, rounds, converged = None, 0, False
+    for rounds in range(1, loops + 1):
         best = settle(top(spread(g, seeds), k), "top")
         now = {r.id for r in best.select("id").collect()}
-        if now == seen:
+        converged = now == seen
+        if converged or used is not None and used(best) >= CONTEXT:
             break
         seen = now
         g = with_weights(g, settle(hebbian(g, best), "weights").drop("co_activations"))
-    return best
+    return best.withColumns({"rounds": F.lit(rounds), "converged": F.lit(converged)})
 
 
 def with_weights(g: Graph, weights: DataFrame) -> Graph:

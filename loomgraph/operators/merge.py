@@ -62,6 +62,32 @@ def conflicts(contributions: DataFrame, key: str, columns: list[str]) -> DataFra
     return found.select(key, F.array_join(names, ",").alias("columns")).where("columns <> ''")
 
 
+def merged_contributions(rows: DataFrame, key: str, identity: list[str]) -> DataFrame:
+    """One row per key of rows(key, identity columns, properties map<string,string>): properties of all contributions together, and
+    conflicts, the identity columns and properties that they disagree on (a row with conflicts is not to be written)."""
+    clash = conflicts(rows, key, identity).select(key, F.split("columns", ",").alias("_columns"))
+    first = rows.groupBy(key).agg(*[F.min(c).alias(c) for c in identity])
+    parts = rows.select(key, F.explode("properties").alias("k", "v")).groupBy(key, "k").agg(F.min("v").alias("v"), F.count_distinct("v").alias("n"))
+    maps = parts.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("properties"), F.array_sort(F.collect_list(F.when(F.col("n") > 1, F.col("k")))).alias("_keys"))
+    none = F.array().cast("array<string>")
+    joined = first.join(maps, key, "left").join(clash, key, "left")
+    return joined.select(key, *identity, F.coalesce("properties", F.create_map().cast("map<string,string>")).alias("properties"), F.concat(F.coalesce("_columns", none), F.coalesce("_keys", none)).alias("conflicts"))
+
+
+def cascade_records(dead: DataFrame, weights: DataFrame, edges: DataFrame, activation: DataFrame, iir: DataFrame, artifacts: DataFrame, now: int) -> dict[str, DataFrame]:
+    """What the records are once the nodes of dead(id) are gone: weights of edges that are left (edges after cascade()), activation and
+    extracted intents of nodes that are left; artifacts of theirs stay, without a node and stale from now on."""
+    gone = dead.select(F.col("id").alias("node_id")).distinct()
+    hit = gone.select(F.col("node_id").alias("unit_node_id"), F.lit(True).alias("_hit"))
+    marked = artifacts.join(hit, "unit_node_id", "left").withColumns({"stale_at": F.when(F.col("_hit") & F.col("stale_at").isNull(), F.lit(now)).otherwise(F.col("stale_at")), "unit_node_id": F.when(F.col("_hit").isNull(), F.col("unit_node_id"))})
+    return {
+        "weights": weights.join(edges.select(F.col("id").alias("edge_id")), "edge_id", "left_semi"),
+        "activation": activation.join(gone, "node_id", "left_anti"),
+        "iir": iir.join(gone.withColumn("kind", F.lit("extracted")), ["node_id", "kind"], "left_anti").select(*iir.columns),
+        "artifacts": marked.select(*artifacts.columns),
+    }
+
+
 def prune_file(nodes: DataFrame, edges: DataFrame, kept: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges without the nodes of files(source_file) that are not in kept(id); namespaces and concepts stay."""
     local = nodes.join(files.select("source_file").distinct(), "source_file", "left_semi").where("type not in ('namespace', 'concept')")

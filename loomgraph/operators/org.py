@@ -57,13 +57,27 @@ def mirrors(g: Graph, least_label: int = 1) -> DataFrame:
     return ranked(both, ["source_node"], [F.col("target_node")], LIMITS["org"]).withColumn("weight", F.lit(0.5))
 
 
-def similar(org: DataFrame, wanted: DataFrame) -> DataFrame:
-    """For wanted(ref): nodes of that canonical id (1.0), and, for a ref without a colon, of one that ends with :ref (0.8)."""
-    exact = org.join(wanted.select(F.col("ref").alias("canonical_id"), "ref"), "canonical_id").withColumn("similarity", F.lit(1.0))
-    tail = org.withColumn("ref", F.regexp_extract("canonical_id", r":([^:]*)$", 1)).where("instr(canonical_id, ':') > 0")
-    suffix = tail.join(wanted.where("instr(ref, ':') = 0").select("ref"), "ref").withColumn("similarity", F.lit(0.8))
+def similar(org: DataFrame, wanted: DataFrame, kind: str | None = None) -> DataFrame:
+    """For wanted(ref): up to 20 nodes of that canonical id (1.0), and, for a ref without a colon, up to 20 of one that ends with
+    :ref (0.8), by label; of a type if one is given."""
+    org = org if kind is None else org.where(F.col("type") == kind)
+    first = lambda df: ranked(df, ["ref"], [F.asc("label"), F.asc("id")], LIMITS["org"]).drop("rank")
+    exact = first(org.join(wanted.select(F.col("ref").alias("canonical_id"), "ref").distinct(), "canonical_id")).withColumn("similarity", F.lit(1.0))
+    tail = org.where("instr(canonical_id, ':') > 0").withColumn("ref", F.regexp_extract("canonical_id", r":([^:]*)$", 1))
+    suffix = first(tail.join(wanted.where("instr(ref, ':') = 0").select("ref").distinct(), "ref")).withColumn("similarity", F.lit(0.8))
     both = exact.unionByName(suffix).groupBy("ref", "id", "project_id", "canonical_id").agg(F.max("similarity").alias("similarity"))
-    return ranked(both, ["ref"], [F.desc("similarity"), F.asc("id")], LIMITS["org"])
+    return both
+
+
+def across(found: DataFrame, project: str) -> DataFrame:
+    """What similar() found in other projects than one's own."""
+    return found.where(F.col("project_id") != project)
+
+
+def remove_concepts(seeds: DataFrame, terms: DataFrame) -> DataFrame:
+    """seeds(scope, term, ...) without those of terms(scope, term), whose terms are normalised as on adding."""
+    gone = terms.select("scope", term(F.col("term")).alias("term")).distinct()
+    return seeds.join(gone, ["scope", "term"], "left_anti").select(*seeds.columns)
 
 
 def seed_concepts(seeds: DataFrame, new: DataFrame) -> DataFrame:

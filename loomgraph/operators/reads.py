@@ -9,8 +9,9 @@ from ..sources.tables import Graph
 
 #: Edges that weigh no more than this are not followed.
 LEAST_WEIGHT = 0.05
-#: Edges that lead to a concept's implementors, and rows shown per anchor.
+#: Edges that lead to a concept's implementors, and rows shown per anchor and of its internal symbols.
 IMPLEMENTING = ["implements", "annotates", "co_activates"]
+INTERNALS = 20
 LIMITS = {"callers": 50, "callees": 50, "references": 100, "implementors": 50, "imports": 100, "members": 500, "dependencies": 100, "org": 20}
 
 
@@ -168,9 +169,12 @@ def member_groups(found: DataFrame) -> DataFrame:
 
 
 def namespace_summary(found: DataFrame) -> DataFrame:
-    """Members of namespaces by category: interfaces, exported symbols (capital first), others."""
-    category = F.when(F.col("kind") == "interface", "interface").when((F.col("type") == "symbol") & F.col("label").rlike("^[A-Z]"), "exported").when(F.col("type") == "symbol", "internal").otherwise(F.col("type"))
-    return found.groupBy("anchor", category.alias("category")).agg(F.count("*").alias("n"))
+    """Members of namespaces by category, with their number and labels: exported symbols (capital first), internal ones (the first
+    twenty shown), types and interfaces; found is members(), which has a bounded number of each anchor."""
+    category = F.when((F.col("type") == "symbol") & F.col("label").rlike("^[A-Z]"), "exported").when(F.col("type") == "symbol", "internal").when(F.col("type").isin("type", "interface"), F.col("type"))
+    labels = F.array_sort(F.collect_list("label"))
+    rows = found.groupBy("anchor", category.alias("category")).agg(F.count("*").alias("n"), labels.alias("labels")).where("category is not null")
+    return rows.withColumn("labels", F.when(F.col("category") == "internal", F.slice("labels", 1, INTERNALS)).otherwise(F.col("labels")))
 
 
 def status(g: Graph) -> DataFrame:

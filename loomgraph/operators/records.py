@@ -49,6 +49,25 @@ def enrichments_of_entities(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return scan(rows, wanted, ["entity_id"], ["created_at", "id"])
 
 
+def plans_by_id(plans: DataFrame, wanted: DataFrame) -> DataFrame:
+    return plans.join(wanted.select("id").distinct(), "id", "left_semi")
+
+
+def plan_history(plans: DataFrame, wanted: DataFrame) -> DataFrame:
+    """All revisions of the plans of wanted(project_id, unit_id), first ones first."""
+    return scan(plans, wanted, ["project_id", "unit_id"], ["revision", "created_at"])
+
+
+def latest_plans(plans: DataFrame, wanted: DataFrame) -> DataFrame:
+    last = scan(plans, wanted, ["project_id", "unit_id"], [F.desc("revision"), F.desc("created_at")])
+    return last.where("place = 1").drop("place")
+
+
+def records_of_plans(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Recipes, artifacts, verifications, approvals, test plans or repairs of wanted(plan_revision_id), by time and id."""
+    return scan(rows, wanted, ["plan_revision_id"], ["created_at", "id"])
+
+
 def projects_by(projects: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
     """Projects by id or git_url, or by a path of paths(project_id, path) if wanted has that joined on."""
     return projects.join(wanted.select(column).distinct(), column, "left_semi")

@@ -30,6 +30,19 @@ def score(tokens: Column, label: Column, canonical: Column, file: Column, kind:
     return total + F.when(kind == "symbol", 8).otherwise(0) + F.when(file != "", 5).otherwise(0) + F.when(line > 0, 3).otherwise(0)
 
 
+def reasons(tokens: Column, label: Column, canonical: Column, file: Column) -> Column:
+    """What of a node each token stands in, in the order of the ladders."""
+    label, canonical, file = F.lower(label), F.lower(canonical), F.lower(F.coalesce(file, F.lit("")))
+
+    def said(t: Column) -> Column:
+        a = F.when(label == t, F.concat(F.lit("label exact:"), t)).when(label.contains(t), F.concat(F.lit("label:"), t))
+        b = F.when(canonical == t, F.concat(F.lit("canonical exact:"), t)).when(F.endswith(canonical, t), F.concat(F.lit("canonical suffix:"), t)).when(canonical.contains(t), F.concat(F.lit("canonical:"), t))
+        return F.array(a, b, F.when(file.contains(t), F.concat(F.lit("file:"), t)))
+
+    found = F.array_compact(F.flatten(F.transform(tokens, said)))
+    return F.when(F.size(found) > 0, F.array_join(found, ", ")).otherwise("matched query")
+
+
 def _hits(nodes: DataFrame, q: DataFrame, few: int) -> DataFrame:
     """nodes with each query(query, tokens) a token of which stands in their ids, labels or files.
 
@@ -56,7 +69,7 @@ def search(g: Graph, queries: DataFrame, limit: int = 10, few: int = 64) -> Data
     q = queries.select("query", search_tokens(F.col("query")).alias("tokens")).where(F.size("tokens") > 0)
     first = ranked(_hits(g.nodes, q, few), ["query", "project_id"], [F.length("canonical_id"), F.col("id")], max(100, 12 * limit)).drop("rank")
     scored = first.withColumn("score", score(F.col("tokens"), F.col("label"), F.col("canonical_id"), F.col("source_file"), F.col("type"), F.col("line_start")))
-    return ranked(scored, ["query", "project_id"], [F.desc("score"), F.octet_length("canonical_id"), F.length("canonical_id"), F.col("id")], limit).drop("tokens")
+    return ranked(scored, ["query", "project_id"], [F.desc("score"), F.octet_length("canonical_id"), F.length("canonical_id"), F.col("id")], limit).withColumn("reason", reasons(F.col("tokens"), F.col("label"), F.col("canonical_id"), F.col("source_file"))).drop("tokens")
 
 
 def related(g: Graph, patterns: list[str], query: str = "", anchors: DataFrame | None = None, limit: int = 10) -> DataFrame:

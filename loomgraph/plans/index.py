@@ -136,8 +136,8 @@ def _index(spark: SparkSession, root: str, store: merge.Versions, project: str,
     out = merge.reconcile(live, staged, files, run, "paths" if only is not None else "full" if full or last is None else "incremental")
     counts = {r.action: r["count"] for r in diff.groupBy("action").count().collect()}
     ord_ = store.current() + 1
-    store.publish({"nodes": out.nodes, "edges": out.edges, "owners": out.owners, "hashes": out.hashes, "iir": kept.select(*lifted.columns).unionByName(lifted), "runs": _ledger(spark, store, project, run, "completed")})
-    return {"version": ord_, "processed": counts.get("process", 0), "skipped": counts.get("skip", 0), "deleted": counts.get("delete", 0)}
+    store.publish({"nodes": out.nodes, "edges": out.edges, "owners": out.owners, "hashes": out.hashes, "iir": kept.select(*lifted.columns).unionByName(lifted), "manifest": files.withColumn("run", F.lit(run)), "runs": _ledger(spark, store, project, run, "completed")})
+    return {"nodes": store.read("nodes").count(), "edges": store.read("edges").count()} | {"version": ord_, "processed": counts.get("process", 0), "skipped": counts.get("skip", 0), "deleted": counts.get("delete", 0)}
 
 
 #: Units and bounds of the bytes that are worked on at once, and how often what a file becomes is held.

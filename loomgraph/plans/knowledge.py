@@ -26,6 +26,17 @@ class KnowledgeGraph:
         none = lambda s: spark.createDataFrame([], s)
         return cls(spark, Graph(store.read("nodes"), store.read("edges"), none("edge_id string, weight double, source_class string"), none("node_id string, activation double")))
 
+    def substrate(self, project: str, canonical: str | None = None, types: tuple[str, ...] = (), limit: int = 20) -> DataFrame:
+        """What a plug-in may ask for: a node by canonical id, else concepts, else namespaces, else what is most active."""
+        if canonical is not None:
+            return reads.by_id(self.g, self.node_by_canonical(project, canonical))
+        for kind in types:
+            if kind == "concept":
+                return reads.concepts(self.g, project, "")
+            if kind == "namespace":
+                return self.g.nodes.where((F.col("project_id") == project) & (F.col("type") == "namespace")).orderBy("canonical_id", "id").limit(limit)
+        return reads.top_activated(self.g, limit).where(F.col("project_id") == project)
+
     def _ids(self, anchors: DataFrame | str | list[str]) -> DataFrame:
         if isinstance(anchors, DataFrame):
             return anchors

@@ -65,7 +65,8 @@ def symbols(path: str, text: str) -> list[dict]:
         elif isinstance(node, ast.ImportFrom):
             base = package.split(".") if package else []
             up = base[: len(base) - node.level + 1] if node.level else []
-            name = ".".join([*up, node.module] if node.module else up)
+            # one that climbs beyond the top keeps its own text, within its module
+            name = ".".join([*up, node.module] if node.module else up) or f"{module}:{'.' * node.level}"
             add("namespace", name, name, "relative" if node.level else "import", node, "." * node.level + (node.module or ""))
     for node in tree.body:
         if isinstance(node, ast.ClassDef):
