@@ -17,6 +17,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,11 +31,11 @@ SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Latin letters, all of them in Unicode's class L.
 LATIN = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 #: Chunks and pre-tokens that a task keeps; beyond it the tables start anew, and a task's end frees them for the next stage.
-KEPT = 250_000
+KEPT = 200_000
 #: Pre-tokens that are laid out and indexed together.
-AT_ONCE = 100_000
+AT_ONCE = 50_000
 #: Texts are encoded in groups of at least so many characters.
-GROUP_CHARS = 4_000_000
+GROUP_CHARS = 1_500_000
 
 
 def byte_chars() -> dict[int, str]:
@@ -266,6 +267,17 @@ def grouped(texts: Iterable, least: int = GROUP_CHARS) -> Iterator[list]:
         yield group
 
 
+def slices(texts: pa.Array, most_bytes: int = GROUP_CHARS) -> Iterator[tuple[int, int]]:
+    """Where to cut texts into runs of at most about so many bytes."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
+    at = 0
+    while at < len(texts):
+        before = sizes[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(sizes, before + most_bytes, side="right")))
+        yield at, to
+        at = to
+
+
 def decode(ids: np.ndarray, pieces: list[bytes]) -> str:
     """The text of ids; bytes that aren't UTF-8 become U+FFFD."""
     return b"".join(map(pieces.__getitem__, ids.tolist())).decode("utf-8", "replace")
@@ -280,11 +292,10 @@ def encode_column(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, v = _index_encoder(path)
         for batch in batches:
-            at = 0
-            for group in grouped(batch.column(at_text).to_pylist()):
+            for at, to in slices(batch.column(at_text)):
+                rows = batch.slice(at, to - at)
+                group = rows.column(at_text).to_pylist()
                 ids = [np.frombuffer(x, dtype="<u4") for x in encoder.encode([t or "" for t in group])]
-                rows = batch.slice(at, len(group))
-                at += len(group)
                 yield pa.RecordBatch.from_arrays(
                     [*(rows.column(k) for k in range(at_text)), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array([decode(x, v.bytes) for x in ids], pa.string())],
                     names=[*names, "ids", "decoded"],
@@ -303,8 +314,9 @@ def digests(df: DataFrame, path: str) -> DataFrame:
         decimal = [str(i) for i in range(len(v.bytes))]
         sha = hashlib.sha256
         for batch in batches:
-            doc, at = batch.column("doc_id"), 0
-            for group in grouped(batch.column("text").to_pylist()):
+            doc = batch.column("doc_id")
+            for at, to in slices(batch.column("text")):
+                group = batch.column("text").slice(at, to - at).to_pylist()
                 n, a, b = [], [], []
                 for x in encoder.encode([t or "" for t in group]):
                     ids = np.frombuffer(x, dtype="<u4").tolist()
@@ -312,7 +324,6 @@ def digests(df: DataFrame, path: str) -> DataFrame:
                     a.append(sha(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
                     b.append(sha(b"".join(map(v.bytes.__getitem__, ids)).decode("utf-8", "replace").encode()).hexdigest())
                 yield pa.RecordBatch.from_arrays([doc.slice(at, len(group)), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-                at += len(group)
         encoder.forget()
 
     return df.select(F.col("doc_id").cast("long"), "text").mapInArrow(common.released(work), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

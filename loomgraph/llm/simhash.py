@@ -324,10 +324,11 @@ class Forest:
 
 def near_links(nodes: DataFrame) -> DataFrame:
     """a long, b long: links among the texts of nodes(mark, bands array<long>, sketch binary) that are alike, enough to connect them."""
-    keyed = nodes.select("mark", "sketch", "bands", F.posexplode("bands").alias("band", "key"))
-    keyed = keyed.select("key", F.get("bands", (F.col("band") + 1) % BANDS).alias("next"), "mark", "sketch")
+    keyed = nodes.select("mark", "bands", F.posexplode("bands").alias("band", "key"))
+    keyed = keyed.select("key", F.get("bands", (F.col("band") + 1) % BANDS).alias("next"), "mark")
     keys = common.settle(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "near-keys")
-    shared = common.join_small(keyed, keys, ["key"])
+    # sketches go only where a key is shared
+    shared = common.join_small(keyed, keys, ["key"]).join(nodes.select("mark", "sketch"), "mark")
     n = common.partitions_for(nodes)
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .bpe import LATIN, SPACE, byte_chars, checked_settings, default_vocabulary
+from .bpe import LATIN, SPACE, byte_chars, checked_settings, default_vocabulary, slices
 
 BLOCK, PERCENTILE = 128, 90
 #: Chunks that a worker keeps in each of two generations; asking the library again is what costs most here.
@@ -215,17 +215,6 @@ def library_encoder(path: str) -> Library:
     return _LIBRARY[path]
 
 
-def slices(texts: pa.Array, most_bytes: int = GROUP_BYTES) -> Iterator[tuple[int, int]]:
-    """Where to cut texts into runs of at most about so many bytes."""
-    sizes = np.cumsum(pc.binary_length(texts).to_numpy())
-    at = 0
-    while at < len(texts):
-        before = sizes[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(sizes, before + most_bytes, side="right")))
-        yield at, to
-        at = to
-
-
 def write_files(df: DataFrame, path: str, out: str, end_id: int = 2, shards: int | None = None) -> None:
     """Write the ids of df(doc_id, text) and an end_id for each document, in ascending doc_id order, to the folder out."""
     texts = df.select(F.col("doc_id").cast("long"), "text")
@@ -248,7 +237,7 @@ def write_files(df: DataFrame, path: str, out: str, end_id: int = 2, shards: int
         pending = 0
         for batch in batches:
             doc_ids, given = batch.column("doc_id").to_pylist(), batch.column("text").fill_null("")
-            for a, b in slices(given):
+            for a, b in slices(given, GROUP_BYTES):
                 ids, n = encoder.encode(given.slice(a, b - a), end_id)
                 ends = np.cumsum(n)
                 at = 0  # documents of this run that are in pages
