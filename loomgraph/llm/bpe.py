@@ -30,12 +30,12 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Latin letters, all of them in Unicode's class L.
 LATIN = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ"
-#: Chunks and pre-tokens that a task keeps; beyond it the tables start anew, and a task's end frees them for the next stage.
-KEPT = 200_000
+#: Chunks (pre-tokens among them) that a task keeps; beyond it the tables start anew, and a task's end frees them for the next stage.
+KEPT = 800_000
 #: Pre-tokens that are laid out and indexed together.
 AT_ONCE = 50_000
 #: Texts are encoded in groups of at least so many characters.
-GROUP_CHARS = 1_500_000
+GROUP_CHARS = 2_500_000
 
 
 def byte_chars() -> dict[int, str]:
@@ -182,7 +182,6 @@ class Encoder:
         self.latin_tokens_of = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[0-9]+| ?[^\s{LATIN}0-9]+").findall
         self.bare: dict[str, bytes] = {}  # chunks without a space before them
         self.spaced: dict[str, bytes] = {}  # chunks after a space, which the key leaves out
-        self.tokens: dict[str, bytes] = {}
 
     def _pieces(self, text: str) -> Iterator[tuple[dict | None, list[str] | str]]:
         """The chunks of a text in order, each list with the table that it belongs to."""
@@ -210,7 +209,7 @@ class Encoder:
 
     def forget(self) -> None:
         """Free what is kept between calls."""
-        for table in (self.bare, self.spaced, self.tokens):
+        for table in (self.bare, self.spaced):
             table.clear()
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -218,8 +217,6 @@ class Encoder:
         if len(self.bare) + len(self.spaced) > self.kept:
             self.bare.clear()
             self.spaced.clear()
-        if len(self.tokens) > self.kept:
-            self.tokens.clear()
         plans = [list(self._pieces(t)) for t in texts]
         bare, spaced = set(), set()
         for plan in plans:
@@ -232,15 +229,28 @@ class Encoder:
         self._learn(self.spaced, list(spaced.difference(self.spaced)), " ")
         return [b"".join([b"".join(map(table.__getitem__, words)) if table is not None else self.special[words] for table, words in plan]) for plan in plans]
 
+    def _place(self, token: str) -> tuple[dict[str, bytes], str]:
+        """Where a pre-token is kept: with the chunk of the same text."""
+        return (self.spaced, token[1:]) if token[0] == " " else (self.bare, token)
+
     def _learn(self, table: dict[str, bytes], chunks: list[str], lead: str) -> None:
         """Add chunks to their table, asking once for each pre-token not known yet."""
-        known, is_word, is_latin = self.tokens, self.is_word, self.is_latin
+        is_word, is_latin, place = self.is_word, self.is_latin, self._place
         split = [[lead + c] if is_word(c) else self.latin_tokens_of(lead + c) if is_latin(c) else self.tokens_of(lead + c) for c in chunks]
-        fresh = list({t for tokens in split for t in tokens}.difference(known))
-        for k in range(0, len(fresh), AT_ONCE):
-            some = fresh[k : k + AT_ONCE]
-            known.update(zip(some, self.encode_tokens([t.encode() for t in some]), strict=True))
-        table.update(zip(chunks, [known[t[0]] if len(t) == 1 else b"".join([known[x] for x in t]) for t in split], strict=True))
+        fresh = dict.fromkeys([s[0] for s in split if len(s) == 1])
+        for t in {t for s in split if len(s) > 1 for t in s}:
+            at, key = place(t)
+            if key not in at:
+                fresh[t] = None
+        todo = list(fresh)
+        for k in range(0, len(todo), AT_ONCE):
+            some = todo[k : k + AT_ONCE]
+            for t, ids in zip(some, self.encode_tokens([t.encode() for t in some]), strict=True):
+                at, key = place(t)
+                at[key] = ids
+        for c, s in zip(chunks, split, strict=True):
+            if len(s) > 1 or c not in table:  # white space that begins with a space is kept in the other table first
+                table[c] = b"".join([at[key] for at, key in map(place, s)])
 
 
 _ENCODERS: dict[tuple, tuple] = {}
