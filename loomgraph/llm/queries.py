@@ -6,6 +6,8 @@ from .bpe import op1_bpe
 from .fingerprints import op4_fingerprints
 from .langid import op6_language_id
 from .mixing import op5_mixing
+from .phrases import ORACLE as PHRASES_SQL
+from .phrases import op13_phrases
 from .pii import op7_pii
 from .quality import op3_quality
 from .simhash import op10_simhash
@@ -14,9 +16,10 @@ from .token_files import op2_token_files
 from .topk import op8_topk
 from .turns import op12_turns
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_files, op3_quality, op4_fingerprints, op5_mixing, op6_language_id, op7_pii, op8_topk, op9_substrings, op10_simhash, op12_turns)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_files, op3_quality, op4_fingerprints, op5_mixing, op6_language_id, op7_pii, op8_topk, op9_substrings, op10_simhash, op12_turns, op13_phrases)}
 
 ORACLES: dict[str, str] = {
+    "op13_phrases": PHRASES_SQL,
     "op8_topk": """WITH v AS (SELECT vec_id, min(list_transform(embedding, lambda x: floor(256 * x::DOUBLE))) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id),
 s AS (SELECT q.vec_id AS query_id, d.vec_id, list_dot_product(q.e, d.e)::BIGINT AS score FROM v q JOIN v d ON q.vec_id <> d.vec_id AND len(q.e) = len(d.e) WHERE q.vec_id % 50 = 0)
