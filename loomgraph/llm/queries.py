@@ -14,9 +14,10 @@ from .simhash import op10_simhash
 from .substrings import op9_substrings
 from .token_files import op2_token_files
 from .topk import op8_topk
+from .toxicity import op11_toxicity
 from .turns import op12_turns
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_files, op3_quality, op4_fingerprints, op5_mixing, op6_language_id, op7_pii, op8_topk, op9_substrings, op10_simhash, op12_turns, op13_phrases)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_files, op3_quality, op4_fingerprints, op5_mixing, op6_language_id, op7_pii, op8_topk, op9_substrings, op10_simhash, op11_toxicity, op12_turns, op13_phrases)}
 
 ORACLES: dict[str, str] = {
     "op13_phrases": PHRASES_SQL,
