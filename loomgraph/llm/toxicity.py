@@ -39,8 +39,9 @@ LEXICONS, PATTERNS = 12, 12
 #: Style voters: many words in upper case, words beside themselves, marks that are not of sentences, runs of ! and ?.
 STYLES = 4
 VOTERS = LEXICONS + PATTERNS + STYLES
-#: Correlation from which a pair of voters counts as dependent, rounds of the fit, least probability, and how sure a label is.
-CORRELATED, ROUNDS, LEAST_P, SURE = 0.1, 20, 1e-4, 0.99
+#: Correlation from which a pair of voters counts as dependent, rounds of the fit, least probability, how sure a label is,
+#: and how many labels tell as much of a voter as all other voters.
+CORRELATED, ROUNDS, LEAST_P, SURE, DOUBT = 0.1, 20, 1e-4, 0.99, 1000
 EPOCHS, RATE, RIDGE = 12, 0.1, 1e-5
 AROUND = ".,!?;:|$%&*#\"'()"
 #: Words whose units a task remembers.
@@ -138,8 +139,8 @@ class LabelModel:
             rest = covariance - c * np.outer(delta, delta)
             free = off & (np.abs(rest) / np.outer(spread, spread) < CORRELATED)
             other = np.where(free, c * delta[None, :], 0)
-            # the label is a voter whose difference is 1, seen in fewer documents
-            known = c * c * min(1.0, labelled / n)
+            # the label is a voter whose difference is 1, the more to be believed the more of it there is
+            known = c * c * labelled / (labelled + DOUBT)
             delta = ((covariance * other).sum(axis=1) + known * gold) / ((other**2).sum(axis=1) + known)
         kept = lambda p: np.clip(p, LEAST_P, 1 - LEAST_P)
         self.share, self.delta = share, delta
