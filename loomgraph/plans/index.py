@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import inspect
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,10 +12,16 @@ from pyspark.sql import functions as F
 from ..functions.ids import edge_id, node_id
 from ..operators import merge, reads
 from ..operators.traverse import settle
-from ..sources import extract, walk
+from ..sources import braces, declare, effects, extract, walk
+
+
+def version_of(*modules) -> str:
+    """A version that changes with the text of the modules."""
+    return hashlib.sha256("".join(map(inspect.getsource, modules)).encode()).hexdigest()[:16]
+
 
 #: What extractors depend on; another value makes every file count as changed.
-EXTRACTORS = {"python": "ast-1", "go": "lines-1", "typescript": "lines-1"}
+EXTRACTORS = {"python": version_of(extract, effects), **dict.fromkeys(("go", "typescript"), version_of(extract, effects, braces, declare))}
 NODES = "id string, project_id string, type string, label string, canonical_id string, source_class string, source_file string, kind string, exported boolean, line_start long, line_end long"
 EDGES = "id string, project_id string, source_id string, target_id string, type string, source_class string"
 OWNERS, HASHES = "rel_path string, id string, run string", "rel_path string, hash string"
@@ -32,18 +39,21 @@ class Extraction:
 
 
 def symbols(files: DataFrame) -> DataFrame:
-    """rel_path, type, canonical_id, label, kind, exported, line_start, line_end over all languages."""
-    py = extract.python_symbols(files).drop("detail")
-    d = extract.declared(files)
+    """rel_path, type, canonical_id, label, kind, exported, line_start, line_end, bases over all languages; bases: canonical ids that the classes which one extends have in its file."""
+    py = extract.python_symbols(files)
+    named = F.filter(F.from_json(F.get_json_object("detail", "$.bases"), "array<string>"), lambda b: b.rlike(r"^\w+$"))
+    py = py.withColumn("bases", F.transform(named, lambda b: F.concat_ws(":", F.substring_index("canonical_id", ":", 1), b))).drop("detail")
+    d = extract.declarations(files)
     name = F.when(F.col("receiver") != "", F.concat_ws(".", "receiver", "label")).otherwise(F.col("label"))
     space = F.col("kind").isin("import", "package")
-    other = d.select("rel_path", F.when(space, "namespace").otherwise("symbol").alias("type"), F.when(space, F.col("label")).otherwise(F.concat_ws(":", "rel_path", name)).alias("canonical_id"), name.alias("label"), "kind", F.when(~space, F.col("exported")).alias("exported"), F.col("line").alias("line_start"), F.col("line").alias("line_end"))
-    plain = files.where(F.coalesce("language", F.lit("")) != "python").select("rel_path", F.lit("file").alias("type"), F.col("rel_path").alias("canonical_id"), F.element_at(F.split("rel_path", "/"), -1).alias("label"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("boolean").alias("exported"), F.lit(None).cast("int").alias("line_start"), F.lit(None).cast("int").alias("line_end"))
+    base = F.when(F.col("base") != "", F.array(F.concat_ws(":", "rel_path", "base")))
+    other = d.select("rel_path", F.when(space, "namespace").otherwise("symbol").alias("type"), F.when(space, F.col("label")).otherwise(F.concat_ws(":", "rel_path", name)).alias("canonical_id"), name.alias("label"), "kind", F.when(~space, F.col("exported")).alias("exported"), "line_start", "line_end", base.alias("bases"))
+    plain = files.where(F.coalesce("language", F.lit("")) != "python").select("rel_path", F.lit("file").alias("type"), F.col("rel_path").alias("canonical_id"), F.element_at(F.split("rel_path", "/"), -1).alias("label"), *[F.lit(None).cast(t).alias(c) for c, t in (("kind", "string"), ("exported", "boolean"), ("line_start", "int"), ("line_end", "int"), ("bases", "array<string>"))])
     return py.unionByName(other).unionByName(plain)
 
 
 def graph_of(found: DataFrame, project: str, run: str) -> Extraction:
-    """Nodes, edges (file defines symbol, contains its module, imports a namespace) and who owns them; found is symbols()."""
+    """Nodes, edges (file defines symbol, contains its module, imports a namespace; class extends class) and who owns them; found is symbols()."""
     p = F.lit(project)
     rows = found.withColumns({"id": node_id(p, F.col("type"), F.col("canonical_id")), "file_id": node_id(p, F.lit("file"), F.col("rel_path"))})
     # several files may name one namespace: the first by path describes it
@@ -52,8 +62,12 @@ def graph_of(found: DataFrame, project: str, run: str) -> Extraction:
     nodes = first.select("id", p.alias("project_id"), "r.type", "r.label", "r.canonical_id", F.lit("structural").alias("source_class"), F.when(~shared, F.col("r.rel_path")).alias("source_file"), "r.kind", "r.exported", F.col("r.line_start").cast("long").alias("line_start"), F.col("r.line_end").cast("long").alias("line_end"))
     kind = F.when(F.col("type") == "symbol", "defines").when(F.col("kind").isin("import", "relative"), "imports").otherwise("contains")
     links = rows.where("type <> 'file'").select(F.col("file_id").alias("source_id"), F.col("id").alias("target_id"), kind.alias("type"), "rel_path").distinct()
+    # a class of the same file is what a base names; others are not guessed at
+    bases = rows.select("id", "rel_path", F.explode("bases").alias("base")).select(F.col("id").alias("source_id"), node_id(p, F.lit("symbol"), F.col("base")).alias("target_id"), F.lit("extends").alias("type"), "rel_path").distinct()
+    links = links.unionByName(bases.join(rows.where("kind = 'class'").select(F.col("id").alias("target_id"), "rel_path").distinct(), ["target_id", "rel_path"], "left_semi").select(*links.columns))
     links = links.withColumn("id", edge_id(F.col("source_id"), F.col("type"), F.col("target_id")))
-    edges = links.select("id", p.alias("project_id"), "source_id", "target_id", "type", F.lit("structural").alias("source_class")).dropDuplicates(["id"])
+    source = F.when(F.col("type") == "extends", "speculative").otherwise("structural").alias("source_class")
+    edges = links.select("id", p.alias("project_id"), "source_id", "target_id", "type", source).dropDuplicates(["id"])
     owners = rows.select("rel_path", "id").unionByName(links.select("rel_path", "id")).distinct().withColumn("run", F.lit(run))
     return Extraction(nodes, edges, owners)
 
@@ -129,7 +143,8 @@ def _index(spark: SparkSession, root: str, store: merge.Versions, project: str,
     gone = F.when(F.col("action") == "delete", "deleted")
     files = (diff if only is not None else diff.where("action <> 'delete'")).select("rel_path", gone.when(F.col("action") == "process", "indexed").otherwise("walked").alias("status"))
     staged = merge.State(found.nodes, found.edges, found.owners, seen.join(todo.select("rel_path"), "rel_path", "left_semi"))
-    lifted = settle(observed(todo, project, run), "intents")
+    # an intent is of a symbol that the run has found
+    lifted = settle(observed(todo, project, run).join(found.nodes.where("type = 'symbol'").select(F.col("id").alias("node_id")), "node_id", "left_semi").select(*[c.split(" ")[0] for c in IIR.split(", ")]), "intents")
     kept = store.read("iir").join(diff.where("action <> 'skip'").select("rel_path"), "rel_path", "left_anti") if known and store.has("iir") else empty(IIR)
     if known and store.has("iir") and full and only is None:
         kept = kept.join(listing.select("rel_path"), "rel_path", "left_semi")

@@ -33,6 +33,32 @@ COMPARE = ["<", "<=", ">", ">=", "==", "!=", "===", "!=="]
 NO_CALL = {"if", "for", "switch", "func", "function", "return", "catch", "while", "typeof", "range", "select", "case", "map", "chan", "interface", "struct", "throw", "await", "in", "of", "new", "else", "go", "defer", "yield", "async", "do", "with", "var", "let", "const", "type"}
 
 
+REGEX = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[*])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])*/[a-z]*")
+BEFORE_REGEX = ["return", "typeof", "case", "in", "of", "delete", "void", "throw", "new", "else", "do", "await", "yield"]
+
+
+def template_end(text: str, at: int) -> int:
+    """Where the template literal that begins at `at` ends; templates may stand in its substitutions."""
+    k, depth = at + 1, 0
+    while k < len(text):
+        c = text[k]
+        if c == "\\":
+            k += 1
+        elif depth == 0 and c == "`":
+            return k + 1
+        elif depth == 0 and text.startswith("${", k):
+            depth, k = 1, k + 1
+        elif depth and c == "`":
+            k = template_end(text, k) - 1
+        elif depth and c in "\"'":
+            m = TOKEN.match(text, k)
+            k = m.end() - 1 if m and m.lastgroup == "string" else k
+        elif depth:
+            depth += (c == "{") - (c == "}")
+        k += 1
+    return len(text)
+
+
 @dataclass
 class Token:
     kind: str
@@ -49,15 +75,19 @@ class Source:
     def __init__(self, text: str, language: str):
         self.text, self.language, self.go = text, language, language == "go"
         self.t: list[Token] = []
-        line, first = 1, True
-        for m in TOKEN.finditer(text):
-            kind = m.lastgroup
+        line, first, at = 1, True, 0
+        while m := TOKEN.match(text, at):
+            kind, at = m.lastgroup, m.end()
+            if not self.go and m.group() == "/" and self._regex_may_begin() and (r := REGEX.match(text, m.start())):
+                kind, at = "string", r.end()
+            elif not self.go and text[m.start()] == "`":
+                kind, at = "string", template_end(text, m.start())
             if kind == "nl":
                 first = True
             elif kind != "skip":
-                self.t.append(Token(kind, m.group(), m.start(), m.end(), line, first))
+                self.t.append(Token(kind, text[m.start() : at], m.start(), at, line, first))
                 first = False
-            line += m.group().count("\n")
+            line += text.count("\n", m.start(), at)
         self.match: dict[int, int] = {}
         stack: list[int] = []
         for k, x in enumerate(self.t):
@@ -66,6 +96,13 @@ class Source:
             elif x.kind == "mark" and x.text in CLOSE and stack and OPEN.index(self.t[stack[-1]].text) == CLOSE.index(x.text):
                 self.match[k], self.match[stack.pop()] = stack[-1], k
 
+    def _regex_may_begin(self) -> bool:
+        """Whether a slash after the last token begins a pattern, not a division."""
+        if not self.t:
+            return True
+        x = self.t[-1]
+        return x.text in BEFORE_REGEX if x.kind == "word" else x.kind == "mark" and x.text not in (")", "]", "}", "++", "--")
+
     def is_(self, k: int, *texts: str) -> bool:
         return 0 <= k < len(self.t) and self.t[k].kind != "string" and self.t[k].text in texts
 
@@ -393,7 +430,7 @@ class Source:
     def _value(self, at: int) -> tuple | None:
         """Parameters, result and body of the function that a name at token `at` is set to."""
         n = len(self.t)
-        if at >= n or self.t[at].kind != "word":
+        if at >= n or self.t[at].kind != "word" or not self.is_(at + 1, "=", ":"):
             return None
         k = self.find(at + 1, min(n, at + 200), "=", ";") + 1
         if not self.is_(k - 1, "="):

@@ -1,7 +1,7 @@
 """Symbols and intents from source text.
 
 Python is parsed with the standard library's ast, in Arrow batches, one file at a time; a file that does not parse gives its
-file node only. Go and TypeScript declarations are found by line patterns as SQL expressions, their intents by brackets (braces).
+file node only. Go and TypeScript are read by their tokens: declarations scope by scope (declare), intents by brackets (braces).
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import braces
+from . import braces, declare
 
 SYMBOL = "rel_path string, type string, canonical_id string, label string, kind string, exported boolean, line_start int, line_end int, detail string"
 CONDITION = "when string, then string, when_expr string, then_op string, then_value string"
@@ -259,21 +259,9 @@ def python_intents(files: DataFrame) -> DataFrame:
     return function_intents(files, ("python",))
 
 
-#: Line patterns of declarations: group 1 is a receiver or empty, group 2 the name.
-DECLARATIONS = {
-    "go": {"function": r"^func ()(\w+)\(", "method": r"^func \(\w* ?\*?(\w+)\) (\w+)\(", "struct": r"^type ()(\w+) struct\b", "interface": r"^type ()(\w+) interface\b", "import": r'^(?:import |\t)(?:\w+ )?()"([^"]+)"$', "package": r"^package ()(\w+)"},
-    "typescript": {"function": r"^(?:export )?(?:default )?(?:async )?function ()(\w+)", "arrow": r"^(?:export )?const ()(\w+)\s*(?::[^=]+)?=\s*(?:async )?\(?[^=]*\)?\s*=>", "class": r"^(?:export )?(?:default )?(?:abstract )?class ()(\w+)", "interface": r"^(?:export )?interface ()(\w+)", "type": r"^(?:export )?type ()(\w+)\s*=", "enum": r"^(?:export )?(?:const )?enum ()(\w+)", "import": r"^import .*()['\"]([^'\"]+)['\"]"},
-}
-
-
-def declared(files: DataFrame) -> DataFrame:
-    """rel_path, kind, receiver, label, exported, line of Go and TypeScript declarations; expressions only."""
-    lines = files.where(F.col("language").isin(list(DECLARATIONS))).select("rel_path", "language", F.posexplode(F.split("content", "\r?\n")).alias("k", "line"))
-    found = []
-    for lang, kinds in DECLARATIONS.items():
-        for kind, pattern in kinds.items():
-            hit = (F.col("language") == lang) & F.col("line").rlike(pattern)
-            found.append(F.when(hit, F.struct(F.lit(kind).alias("kind"), F.regexp_extract("line", pattern, 1).alias("receiver"), F.regexp_extract("line", pattern, 2).alias("label"))))
-    rows = lines.withColumn("d", F.explode(F.array_compact(F.array(*found))))
-    seen = F.when(F.col("language") == "go", F.col("d.label").rlike("^[A-Z]")).otherwise(F.col("line").rlike("^export "))
-    return rows.select("rel_path", "d.kind", "d.receiver", "d.label", seen.alias("exported"), (F.col("k") + 1).alias("line"))
+DECLARED = "rel_path string, kind string, receiver string, label string, exported boolean, base string, line_start int, line_end int"
+
+
+def declarations(files: DataFrame) -> DataFrame:
+    """What files(rel_path, language, content) in Go and TypeScript declare; base is the class that one extends, if it is named."""
+    return _each(files, declare.declarations, DECLARED, ("go", "typescript"))
