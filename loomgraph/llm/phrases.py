@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,42 +49,50 @@ class Known(dict):
         return n
 
 
-def admitted(names: list[bytes], lang: bytes, bits: np.ndarray) -> np.ndarray:
-    """Which phrases have their bit set."""
-    at = places(names, lang, len(bits) * 8)
-    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+def hashes(words: list[bytes], lang: bytes) -> np.ndarray:
+    seed = xxhash.xxh64_intdigest(lang)
+    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), dtype=np.uint64, count=len(words))
 
 
-def places(names: list[bytes], lang: bytes, n_bits: int) -> np.ndarray:
-    seed = xxhash.xxh64_intdigest(lang)
-    return np.fromiter((xxhash.xxh64_intdigest(x, seed) for x in names), dtype=np.uint64, count=len(names)) & np.uint64(n_bits - 1)
+def extended(h: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The hash of a phrase of hash h with one more word, of hash last."""
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + last
+    return h ^ (h >> np.uint64(32))
+
+
+def admitted(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which hashes have their bit set."""
+    at = h & np.uint64(len(bits) * 8 - 1)
+    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def summed(texts: list[bytes], lang: bytes, maps: list[np.ndarray]) -> tuple[list[bytes], np.ndarray]:
+def summed(texts: list[bytes], lang: bytes, maps: list[np.ndarray]) -> tuple[pa.Array, np.ndarray]:
     """The grams of one level more than there are maps, and how often each occurs in the texts; with words, the empty one: their number."""
     known = Known()
     parts = b"\n".join(texts).lower().translate(PLAIN).replace(b"\n", b" \n ").split(b" ")
-    at = np.fromiter(map(known.__getitem__, parts), dtype=np.int64, count=len(parts))
+    gram = np.fromiter(map(known.__getitem__, parts), dtype=np.int64, count=len(parts))
     del parts
-    words = list(known)
-    gram, names, last = at[at != 1], words, np.arange(len(words))
+    words = pa.array(known, pa.binary())
+    gram = gram[gram != 1]
     if not maps:
         counts = np.bincount(gram, minlength=len(words))
         counts[1] = counts[2:].sum()
         return words[1:], counts[1:]
+    word = hashes(list(known), lang)
+    # of each gram its words and its hash; number 0 is no gram
+    of, h = [np.arange(len(words))], word
     for level, bits in enumerate(maps):
-        # number 0 is no gram
-        good = admitted(names, lang, bits)
+        good = admitted(h, bits)
         good[: 2 if level == 0 else 1] = False
         gram = np.where(good[gram], gram, 0)
         live = np.flatnonzero((gram[:-1] > 0) & (gram[1:] > 0))
-        pairs, entry, counts = np.unique(gram[live] * len(names) + gram[live + 1], return_inverse=True, return_counts=True)
-        head, tail = pairs // len(names), last[pairs % len(names)]
-        names = [b"", *(names[a] + b" " + words[b] for a, b in zip(head.tolist(), tail.tolist(), strict=True))]
-        last = np.concatenate([[0], tail])
+        pairs, entry, counts = np.unique(gram[live] * len(h) + gram[live + 1], return_inverse=True, return_counts=True)
+        head, tail = pairs // len(h), of[-1][pairs % len(h)]
+        h = np.concatenate([h[:1], extended(h[head], word[tail])])
+        of = [np.concatenate([[0], x]) for x in (*(x[head] for x in of), tail)]
         gram = np.zeros(max(len(gram) - 1, 0), dtype=np.int64)
         gram[live] = entry + 1
-    return names[1:], counts
+    return pc.binary_join_element_wise(*[words.take(pa.array(x[1:])) for x in of], b" "), counts
 
 
 def _runs(text: bytes) -> Iterator[bytes]:
@@ -107,7 +116,7 @@ def _counter(maps: list):
             for lang, texts in held.items():
                 names, counts = summed(texts, lang.encode(), values)
                 if len(names):
-                    yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(names), dtype=np.int32))), pa.array(names, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], schema=COUNTED)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(names), dtype=np.int32))), names.cast(pa.string()), pa.array(counts, pa.int64())], schema=COUNTED)
             held.clear()
 
         for batch in batches:
@@ -137,11 +146,16 @@ def bit_map(frequent: DataFrame) -> np.ndarray:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, phrases = batch.column("lang"), batch.column("phrase").cast(pa.binary())
-            at = [np.zeros(0, dtype=np.uint64)]
+            langs, phrases, at = batch.column("lang"), batch.column("phrase").cast(pa.binary()), [np.zeros(0, dtype=np.uint64)]
             for lang in langs.unique():
-                mine = phrases.filter(pa.compute.equal(langs, lang)).to_pylist()
-                at.append(places(mine, lang.as_py().encode(), n_bits))
+                split = pc.split_pattern(phrases.filter(pc.equal(langs, lang)), b" ")
+                known = Known()
+                word = np.fromiter(map(known.__getitem__, split.flatten().to_pylist()), dtype=np.int64).reshape(len(split), -1)
+                of = hashes(list(known), lang.as_py().encode())
+                h = of[word[:, 0]]
+                for k in range(1, word.shape[1]):
+                    h = extended(h, of[word[:, k]])
+                at.append(h & np.uint64(n_bits - 1))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(at).astype(np.int64))], names=["at"])
 
     # at most a row per 64 bits comes to the driver
@@ -166,7 +180,7 @@ def levels(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple
 
 def scored(found: list[DataFrame]) -> DataFrame:
     """lang, phrase, a, l, r, score of every phrase of several words, by its lowest-scoring cut (the first of equals)."""
-    cuts = None
+    cuts, longest = None, len(found)
     for size in range(2, len(found) + 1):
         ks = F.explode(F.sequence(F.lit(1), F.lit(size - 1))).alias("k")
         part = found[size - 1].select("lang", "phrase", F.col("f").alias("a"), ks).withColumn("words", F.split("phrase", " "))
@@ -177,10 +191,14 @@ def scored(found: list[DataFrame]) -> DataFrame:
         parts = parts.unionByName(level)
     left = parts.select("lang", F.col("phrase").alias("first"), F.col("f").alias("l"))
     right = parts.select("lang", F.col("phrase").alias("rest"), F.col("f").alias("r"))
-    both = common.join_small(common.join_small(cuts, left, ["lang", "first"]), right, ["lang", "rest"])
+    # what a word begins or ends is no more than its language's frequent phrases; AQE splits what is hot in it
+    both = cuts.join(left, ["lang", "first"]).join(right, ["lang", "rest"])
     whole = lambda c: F.col(c).cast("decimal(19,0)")
     both = both.withColumns({"top": whole("a") * whole("a") * F.lit(1_000_000).cast("decimal(7,0)"), "below": whole("l") * whole("r")}).withColumn("score", F.expr("top div below"))
-    return both.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut")).select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
+    # a score is at most 1,000,000, so score and cut fit in one number
+    both = both.withColumn("cut", F.col("score") * longest + F.col("k"))
+    best = both.groupBy("lang", "phrase", "a").agg(F.min("cut").alias("cut"), F.min_by("l", "cut").alias("l"), F.min_by("r", "cut").alias("r"))
+    return best.select("lang", "phrase", "a", "l", "r", F.floor(F.col("cut") / longest).alias("score"))
 
 
 def shadows(found: list[DataFrame]) -> DataFrame:
