@@ -200,13 +200,13 @@ FROM found f LEFT JOIN acts a ON a.node_id = f.id) WHERE rank <= 50"""
 @query(f"{SQL}, {REACH.format(a='source_id', b='target_id', seeds=ORDERS)} {REACHED}")
 def callees_3hop(spark, sf):
     g = graph(spark, sf)
-    return traverse.reached_nodes(g, g.nodes.where(ORDERS)).select("seed", "id", "hops", "activation", "rank")
+    return traverse.reached(g, g.nodes.where(ORDERS)).select("seed", "id", "hops", "activation", "rank")
 
 
 @query(f"""{SQL}, {REACH.format(a='target_id', b='source_id', seeds="canonical_id LIKE 'suppliers:%'")} {REACHED}""")
 def callers_3hop(spark, sf):
     g = graph(spark, sf)
-    return traverse.reached_nodes(g, g.nodes.where("canonical_id LIKE 'suppliers:%'"), reverse=True).select("seed", "id", "hops", "activation", "rank")
+    return traverse.reached(g, g.nodes.where("canonical_id LIKE 'suppliers:%'"), reverse=True).select("seed", "id", "hops", "activation", "rank")
 
 
 @query(f"""{SQL}, {REACH.format(a='source_id', b='target_id', seeds=ORDERS)} SELECT substr(sha256(seed||':calls:'||id),1,32) AS id, seed AS source_id, id AS target_id, 'speculative' AS source_class FROM found

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import activation_confidence, confidence_activation
-from ..sources.tables import Graph, short
+from ..sources.tables import Graph, bucketed, short
 from .reads import ranked, weighted
-from .traverse import settle
+from .traverse import laid_out, settle
 
 #: Fixed values of the model.
 DECAY, THRESHOLD, DEPTH = 0.6, 0.1, 6
@@ -50,20 +50,20 @@ def spread(g: Graph, seeds: DataFrame) -> DataFrame:
     An edge passes on activation x 0.6 x weight (0.5 where that is not positive, 1 without a weight row). With weights and seeds of
     at most 1, 0.6^5 < 0.1, so the frontier dies within the depth.
     """
-    e = weighted(g).select(F.col("source_id").alias("id"), "target_id", F.when(F.col("weight") <= 0, 0.5).otherwise(F.col("weight")).alias("w"))
-    frontier = settle(seeds.groupBy("set", "id").agg(F.max("activation").alias("activation")), "seeds")
-    seen = frontier  # what each round found; the best of it is taken once, in the end
+    w = F.when(F.col("weight") <= 0, 0.5).otherwise(F.col("weight"))
+    steps = laid_out(g, "weighted", weighted(g).select(F.col("source_id").alias("node"), F.col("target_id").alias("next"), w.alias("w")))
+    # what is known stays in buckets of set and id; a round moves only what it passes on
+    best = bucketed(seeds.groupBy("set", "id").agg(F.max("activation").alias("activation")).withColumn("round", F.lit(0)), ["set", "id"], "best")
     for k in range(DEPTH):
-        passed = frontier.join(e, "id").select("set", F.col("target_id").alias("id"), (F.col("activation") * DECAY * F.col("w")).alias("activation")).where(F.col("activation") >= THRESHOLD)
-        passed = passed.groupBy("set", "id").agg(F.max("activation").alias("activation"))
-        if k:  # a path back may be no better than what is there
-            known = seen.groupBy("set", "id").agg(F.max("activation").alias("known"))
-            passed = passed.join(known, ["set", "id"], "left").where("known is null or activation > known").drop("known")
-        frontier = settle(passed, "better")
+        frontier = best.where(F.col("round") == k).select("set", F.col("id").alias("node"), "activation")
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
-    return settle(seen.groupBy("set", "id").agg(F.max("activation").alias("activation")), "best")
+        passed = steps.from_(frontier).select("set", F.col("next").alias("id"), (F.col("activation") * DECAY * F.col("w")).alias("passed")).where(F.col("passed") >= THRESHOLD)
+        passed = passed.groupBy("set", "id").agg(F.max("passed").alias("passed"))
+        # a path back may be no better than what is there
+        better = F.col("passed").isNotNull() & (F.col("activation").isNull() | (F.col("passed") > F.col("activation")))
+        best = bucketed(best.join(passed, ["set", "id"], "full").select("set", "id", F.greatest("activation", "passed").alias("activation"), F.when(better, k + 1).otherwise(F.col("round")).alias("round")), ["set", "id"], "best", dealt=True)
+    return best.select("set", "id", "activation")
 
 
 def top(found: DataFrame, k: int = TOP) -> DataFrame:

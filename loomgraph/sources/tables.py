@@ -27,12 +27,16 @@ SHORT = 20_000
 
 @dataclass
 class Graph:
-    """Edges may carry their weight (null: no weight row); else it is looked up in weights."""
+    """Edges may carry their weight (null: no weight row); else it is looked up in weights.
+
+    home names where the graph is written, if it is: layouts of its rows are then kept beside it and used again.
+    """
 
     nodes: DataFrame
     edges: DataFrame
     weights: DataFrame
     activation: DataFrame
+    home: str = ""
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -61,11 +65,32 @@ def scratch(spark: SparkSession, name: str) -> str:
 def clean(spark: SparkSession) -> None:
     """Delete everything that this process has written to the shared folder: graphs and intermediate tables."""
     _BUILT.clear()
+    KEPT.clear()
+    while _NAMED:
+        spark.sql(f"DROP TABLE IF EXISTS {_NAMED.pop()}")
     while _WRITTEN:
         path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Layouts of written graphs, by the graph's home and their name.
+KEPT: dict[tuple[str, str], object] = {}
+_NAMED: list[str] = []
+
+
+def bucketed(df: DataFrame, on: list[str], name: str, dealt: bool = False) -> DataFrame:
+    """df written in buckets of the columns `on`: a join on these reads it where it lies, without a shuffle.
+
+    There are as many buckets as the session's shuffles have partitions. dealt: df is laid out so already, as a join on these columns is.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch(spark, name)
+    _NAMED.append(f"{name}_{uuid.uuid4().hex}")
+    (df if dealt else df.repartition(n, *on)).write.bucketBy(n, *on).option("path", path).saveAsTable(_NAMED[-1])
+    return spark.table(_NAMED[-1])
+
+
 def short(df: DataFrame, rows: int = SHORT) -> DataFrame:
     """df marked for broadcast if it has at most so many rows; left to the optimizer otherwise."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -172,7 +197,7 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     nodes = spark.read.parquet(f"{path}/nodes").select(*NODE)
     both = spark.read.parquet(f"{path}/edges")
     weights = both.where("weight is not null").select(F.col("id").alias("edge_id"), "weight", "source_class")
-    return Graph(nodes, both.select("id", "project_id", "source_id", "target_id", "type", "source_class", "weight"), weights, spark.read.parquet(f"{path}/activation"))
+    return Graph(nodes, both.select("id", "project_id", "source_id", "target_id", "type", "source_class", "weight"), weights, spark.read.parquet(f"{path}/activation"), path)
 
 
 #: The same projection as SQL common table expressions.

@@ -213,3 +213,32 @@ def test_prefix_and_contains_ignore_case(spark):
     g = small(spark, [("A", "B", 1)], labels={"A": "Pkg/One", "B": "pkg_two%"})
     assert [r.id for r in reads.prefixed(g, "p", "pkg/").collect()] == ["A"] and [r.id for r in reads.containing(g, "p", "_TWO%").collect()] == ["B"]
     assert reads.escape_like("a_b%\\") == "a\\_b\\%\\\\"
+
+
+def test_steps_lie_where_they_are_joined(spark, sf):
+    g = tables.graph(spark, sf)
+    for reverse in (False, True):
+        steps = traverse.calls(g, reverse)
+        frontier = g.nodes.where("type = 'symbol'").select(F.col("id").alias("seed"), F.col("id").alias("node"))
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            plan = steps.from_(frontier)._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+
+
+def test_hubs_are_dealt_to_parts(spark, tmp_path):
+    rng = random.Random(3)
+    edges = [("hub", f"n{k}", 1.0) for k in range(300)] + [(f"n{rng.randrange(300)}", f"n{rng.randrange(300)}", 1.0) for _ in range(200)] + [("s", "hub", 1.0)]
+    g = small(spark, sorted(set(edges)))
+    g.home = str(tmp_path)
+    plain = tables.Graph(g.nodes, g.edges, g.weights, g.activation)
+    rows = traverse.calls(plain).rows
+    steps = traverse.laid_out(g, "steps", rows, hub=40)
+    assert steps.on == ["node", "part"] and [tuple(r) for r in steps.hubs.collect()] == [("hub", 8)]
+    assert steps.rows.where("node = 'hub'").select("part").distinct().count() == 8
+    seeds_ = spark.createDataFrame([("s",), ("hub",), ("n1",)], "id string")
+    shown = lambda st: sorted(map(tuple, traverse.reach(st, seeds_, 3).collect()))
+    assert shown(steps) == shown(traverse.Steps(rows, ["node"])) and len(shown(steps)) > 600
+    assert traverse.laid_out(g, "steps", rows, hub=40) is steps
