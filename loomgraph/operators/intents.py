@@ -61,11 +61,13 @@ def compare_return(a: Column, b: Column, language: Column) -> Column:
 
 
 def compare_effects(a: Column, b: Column) -> Column:
-    """Effects that only one side has; null on the declaring side means nothing was declared."""
-    declared = F.transform(F.coalesce(a, F.array().cast("array<struct<name:string,basis:string>>")), lambda e: e["name"])
+    """Effects that only one side has; null on the declaring side declares none, so what is observed is undeclared."""
+    none = F.array().cast("array<struct<name:string,basis:string>>")
+    a, b = F.coalesce(a, none), F.coalesce(b, none)
+    declared = F.transform(a, lambda e: e["name"])
     undeclared = F.transform(F.filter(b, lambda e: ~F.array_contains(declared, e["name"])), lambda e: finding("undeclared_effect", F.when(e["basis"] == "resolved", "error").otherwise("warning"), e["name"], None, e["name"]))
     undetected = F.transform(F.array_except(declared, F.transform(b, lambda e: e["name"])), lambda n: finding("undetected_effect", "error", n, n))
-    return F.when(a.isNull(), F.array().cast(f"array<{FINDING}>")).otherwise(F.concat(undeclared, undetected))
+    return F.concat(undeclared, undetected)
 
 
 def compare_failures(a: Column, b: Column) -> Column:
@@ -78,17 +80,70 @@ def compare_failures(a: Column, b: Column) -> Column:
 
 
 def compare_behaviour(a: Column, b: Column) -> Column:
-    """Branches: fewer seen is a warning, more an info; as many are compared in order by canonical expressions."""
-    pairs = F.arrays_zip(a.alias("i"), b.alias("o"))
+    """Branches. None declared claims nothing, none seen can't be compared; fewer seen is a warning, more an info. As many are
+    compared in order: a condition or a consequence that differs is a warning, a condition that has no expression can't be compared."""
 
-    def differs(p: Column, k: Column) -> Column:
-        i, o, path = p["i"], p["o"], F.concat(F.lit("behavior/"), k.cast("string"))
+    def differs(i: Column, o: Column, at: Column) -> Column:
+        path = F.concat(F.lit("behavior/"), at.cast("string"))
         unsure = i["when_expr"].isNull() | o["when_expr"].isNull()
-        other = (i["when_expr"] != o["when_expr"]) | ~i["then_op"].eqNullSafe(o["then_op"]) | (i["then_value"].isNotNull() & ~i["then_value"].eqNullSafe(o["then_value"]))
-        return F.when(unsure, finding("unsupported_comparison", "info", path)).when(other, finding("behavior", "error", path, i["when_expr"], o["when_expr"]))
+        told = i["then_op"].isNotNull() & o["then_op"].isNotNull()
+        other = ~i["then_op"].eqNullSafe(o["then_op"]) | ~i["then_value"].eqNullSafe(o["then_value"])
+        when = F.when(unsure, finding("unsupported_comparison", "info", path)).when(i["when_expr"] != o["when_expr"], finding("behavior", "warning", path, i["when_expr"], o["when_expr"]))
+        shown = lambda x: F.concat_ws(" ", x["then_op"], x["then_value"])
+        return F.array_compact(F.array(when, F.when(~unsure & told & other, finding("behavior_then", "warning", path, shown(i), shown(o)))))
 
     n, m = F.size(a), F.size(b)
-    return F.when(m < n, F.array(finding("behavior_count", "warning", "behavior", n, m))).when(m > n, F.array(finding("behavior_count", "info", "behavior", n, m))).otherwise(F.array_compact(F.transform(pairs, differs)))
+    pairs = F.flatten(F.transform(F.arrays_zip(a.alias("i"), b.alias("o")), lambda p, k: differs(p["i"], p["o"], k)))
+    counts = lambda severity: F.array(finding("behavior_count", severity, "behavior", n, m))
+    return F.when(n == 0, F.array().cast(f"array<{FINDING}>")).when(m == 0, F.array(finding("unsupported_comparison", "info", "behavior", n, m))).when(m < n, counts("warning")).when(m > n, counts("info")).otherwise(pairs)
+
+
+MATCH = "struct<kind:string,path:string>"
+
+
+def _agrees(condition: Column, path: Column | str, exact: Column | None = None) -> Column:
+    kind = F.lit("exact_match") if exact is None else F.when(exact, "exact_match").otherwise("acceptable_equivalent")
+    made = F.struct(kind.alias("kind"), (F.lit(path) if isinstance(path, str) else path).alias("path"))
+    return F.when(condition, F.array(made)).otherwise(F.array().cast(f"array<{MATCH}>"))
+
+
+def matched_names(a: Column, b: Column) -> Column:
+    return F.concat(_agrees(a["name"].eqNullSafe(b["name"]), "name"), _agrees(a["visibility"].eqNullSafe(b["visibility"]), "visibility"))
+
+
+def matched_inputs(a: Column, b: Column, language: Column) -> Column:
+    """Inputs that agree: exactly, or by types that are written otherwise; where a type is unknown the name alone agrees."""
+
+    def one(x: Column) -> Column:
+        other = F.get(F.filter(b["inputs"], lambda y: y["name"] == x["name"]), F.lit(0))
+        unknown = (x["type"] == "unknown") | (other["type"] == "unknown")
+        same = unknown | (canonical_type(language, x["type"]) == canonical_type(language, other["type"]))
+        return _agrees(other.isNotNull() & same, x["name"], unknown | (x["type"] == other["type"]))
+
+    return F.flatten(F.transform(a["inputs"], one))
+
+
+def matched_return(a: Column, b: Column, language: Column) -> Column:
+    both = F.coalesce(a["explicit"], F.lit(False)) & F.coalesce(b["explicit"], F.lit(True))
+    return _agrees(both & (canonical_type(language, a["type"]) == canonical_type(language, b["type"])), "returns", a["type"] == b["type"])
+
+
+def matched_effects(a: Column, b: Column) -> Column:
+    return _agrees(F.size(compare_effects(a, b)) == 0, "effects")
+
+
+def matched_failures(a: Column, b: Column) -> Column:
+    return _agrees((F.size(a) > 0) & (F.size(F.array_except(a, b)) == 0) & (F.size(F.array_except(b, a)) == 0), "failures")
+
+
+def matched_behaviour(a: Column, b: Column) -> Column:
+    return _agrees((F.size(a) > 0) & (F.size(compare_behaviour(a, b)) == 0), "behavior")
+
+
+def report(matches: list[Column], findings: list[Column]) -> Column:
+    """What agrees, what does not, and the verdict: a passing report says what it rests on."""
+    found = F.concat(*findings)
+    return F.struct(F.concat(*matches).alias("matches"), found.alias("findings"), verdict(found).alias("verdict"))
 
 
 def verdict(findings: Column) -> Column:
