@@ -34,7 +34,9 @@ PATTERNS = {
 }
 #: What a text must hold for a kind to be sought.
 HINTS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
-TERM = r"[\p{L}\p{N}][\p{L}\p{N}'_-]{2,}+"
+TERM = r"[\p{L}\p{N}][\p{L}\p{N}'_-]*+"
+#: Code points of the parts that a text's spans are worked into, and how many parts first share a choice of spans.
+PART, PARTS = 1000, 32
 #: Pieces of a text that end where no term goes on.
 PIECE = r"(?s).{1,1000}(?![\p{L}\p{N}'_-])|.[\p{L}\p{N}'_-]*+"
 PRIOR, GENERALISE, REMOVE = 0.5, 0.9, 0.98
@@ -98,9 +100,39 @@ def base_spans(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("base", F.concat(*map(checked, PATTERNS)).cast(f"array<{SPAN}>")).drop(*[f"_{k}" for k in PATTERNS])
 
 
+def by_part(text: Column, spans: Column, work) -> Column:
+    """work(part, lo, near) for each part of a text, put together: lo is where the part begins, near the spans that reach into it.
+
+    Spans are first chosen for PARTS parts together, so what is done for each span does not grow with the text.
+    """
+    within = lambda lo, size: lambda s: (s["start"] < lo + size) & (s["end"] > lo)
+
+    def joined(parts: Column) -> Column:
+        def some(k: Column) -> Column:
+            lo = k * (PART * PARTS)
+            near = F.array(F.filter(spans, within(lo, PART * PARTS)))
+            each = lambda close: F.transform(F.slice(parts, k * PARTS + 1, PARTS), lambda part, i: work(part, lo + i * PART, F.filter(close, within(lo + i * PART, PART))))
+            return F.array_join(F.get(F.transform(near, each), F.lit(0)), "")
+
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / PARTS).cast("int")), some), "")
+
+    # one-element arrays bind what an inner function would otherwise compute for each element again
+    parts = F.array(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0)))
+    return F.when(F.size(spans) == 0, text).otherwise(F.get(F.transform(parts, joined), F.lit(0)))
+
+
 def outside(text: Column, base: Column) -> Column:
     """text with blanks for its base spans, so that all else keeps its place."""
-    return F.aggregate(base, text, lambda t, s: F.overlay(t, F.repeat(F.lit(" "), s["end"] - s["start"]), s["start"] + 1, s["end"] - s["start"]))
+
+    def blanked(part: Column, lo: Column, near: Column) -> Column:
+        def one(t: Column, s: Column) -> Column:
+            first = F.greatest(s["start"] - lo, F.lit(0))
+            n = F.least(s["end"] - lo, F.lit(PART)) - first
+            return F.overlay(t, F.repeat(F.lit(" "), n), first + 1, n)
+
+        return F.aggregate(near, part, one)
+
+    return by_part(text, base, blanked)
 
 
 def _words(kept: DataFrame, *columns: Column | str) -> DataFrame:
@@ -180,24 +212,23 @@ def sanitise(docs: DataFrame) -> DataFrame:
     others = [c for c in docs.columns if c not in {"doc_id", "text"}]
     renamed = docs.select("doc_id", "text", *[common.quoted(c).alias(f"_c{k}") for k, c in enumerate(others)], F.isnull("text").alias("_null"))
     found = find(renamed, (*[f"_c{k}" for k in range(len(others))], "_null"))
-    spans = F.array_sort(F.transform(F.concat("base", "extra"), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), s["kind"].alias("kind"))))
-    none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
+    sorted_ = F.array_sort(F.transform(F.concat("base", "extra"), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), s["kind"].alias("kind"))))
+    found = found.withColumn("sorted", F.transform(sorted_, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), s["kind"].alias("kind"))))
+    label = F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv])
 
-    def joined(done: Column, s: Column) -> Column:
-        last = F.get(done, F.size(done) - 1)
-        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], -s["end"]).alias("end"), last["kind"].alias("kind"))
-        one = F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), s["kind"].alias("kind"))
-        return F.when((F.size(done) > 0) & (s["start"] < last["end"]), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(wider))).otherwise(F.concat(done, F.array(one)))
+    def labelled(part: Column, lo: Column, near: Column) -> Column:
+        # a span that begins in a part before this one has its label there
+        begun = F.array_max(F.transform(F.filter(near, lambda s: s["start"] < lo), lambda s: s["end"] - lo))
+        start = F.struct(F.lit("").alias("out"), F.coalesce(begun, F.lit(0)).alias("upto"))
 
-    found = found.withColumn("merged", F.aggregate(spans, none, joined))
-    label = F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv])
+        def one(done: Column, s: Column) -> Column:
+            at, end = s["start"] - lo, s["end"] - lo
+            apart = F.struct(F.concat(done["out"], F.substring(part, done["upto"] + 1, at - done["upto"]), F.element_at(label, s["kind"])).alias("out"), end.alias("upto"))
+            return F.when(at < 0, done).when(at >= done["upto"], apart).otherwise(F.struct(done["out"].alias("out"), F.greatest(done["upto"], end).alias("upto")))
 
-    def piece(m: Column, i: Column) -> Column:
-        end = F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("merged"), i - 1)["end"])
-        return F.concat(F.substring(F.col("text"), end + 1, m["start"] - end), F.element_at(label, m["kind"]))
+        return F.aggregate(near, start, one, lambda done: F.concat(done["out"], F.substring(part, done["upto"] + 1, F.lit(PART))))
 
-    tail = F.expr("substring(text, element_at(merged, -1).end + 1)")
-    text = F.when(F.col("_null"), F.lit(None)).when(F.size("merged") == 0, F.col("text")).otherwise(F.concat(F.array_join(F.transform("merged", piece), ""), tail))
+    text = F.when(~F.col("_null"), by_part(F.col("text"), F.col("sorted"), labelled))
     names = {c: F.col(f"_c{k}") for k, c in enumerate(others)} | {"doc_id": F.col("doc_id"), "text": text}
     return found.select(*[names[c].alias(c) for c in docs.columns])
 
