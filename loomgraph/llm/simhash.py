@@ -11,10 +11,12 @@ and only a spanning forest of verified links leaves a bucket. Components come fr
 steps over settled edge tables; nothing is gathered on the driver.
 
 The pipeline's stage (near_copies) takes these links and, beside them, texts whose shingles of five words are alike by 0.8 or
-more, which two bits seldom reach. Their candidates share one of BANDS keys of ROWS least shingle hashes each; the rows of a key
-are sorted by the next key too, so that alike texts lie side by side, dealt by range, so that a large group spreads over many
-tasks, and each is compared with the first and the last few before it by a sketch of BINS least hashes (its estimate of the
-similarity errs by 0.025 for long texts, less for short ones). Of two texts alike by 0.8, 99.7 of 100 share a key.
+more, which two bits seldom reach. Their candidates share one of BANDS keys of ROWS least shingle hashes each and are verified
+by a sketch of BINS least hashes (its estimate of the similarity errs by 0.025 for long texts, less for short ones). The rows of a
+key are sorted by the next key too, so that alike texts lie side by side, dealt by range, so that a large group spreads over many
+tasks, and each is compared with the first and the last few before it, which joins large groups in one pass. What share a key and
+are in different trees after that are compared block by block, so no candidate is passed over. Of two texts alike by 0.8, 99.7 of
+100 share a key.
 
 Null texts have no words, as empty ones; documents without words have fingerprint zero and are linked like any other. Null
 doc_ids count as larger than all others when the smallest is sought. Repeated rows stay.
@@ -43,8 +45,8 @@ GENERATOR = 0b101011100011
 TURN = 1 << 16
 SALTS = 16
 #: Near copies: words of a shingle, similarity from which two texts are near copies by the estimate, keys and least hashes of a
-#: key, hashes of a sketch, rows that a row is compared with.
-NEAR_WORDS, ALIKE, BANDS, ROWS, BINS, BEFORE = 5, 0.78, 8, 3, 256, 8
+#: key, hashes of a sketch, rows that a row is compared with at first, and rows of a block in which the rest are compared.
+NEAR_WORDS, ALIKE, BANDS, ROWS, BINS, BEFORE, BLOCK = 5, 0.78, 8, 3, 256, 8, 4096
 #: Words whose hashes a worker keeps.
 KEPT_WORDS = 250_000
 #: Fingerprints of a bucket from which on it is split by the Golay keys of the third segment too, and the part of all
@@ -322,20 +324,33 @@ class Forest:
         return p != q
 
 
-def near_links(nodes: DataFrame) -> DataFrame:
-    """a long, b long: links among the texts of nodes(mark, bands array<long>, sketch binary) that are alike, enough to connect them."""
+def shared_keys(nodes: DataFrame) -> DataFrame:
+    """key, next, mark: the keys of nodes(mark, bands array<long>) that several of them have."""
     keyed = nodes.select("mark", "bands", F.posexplode("bands").alias("band", "key"))
     keyed = keyed.select("key", F.get("bands", (F.col("band") + 1) % BANDS).alias("next"), "mark")
     keys = common.settle(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "near-keys")
-    # sketches go only where a key is shared
-    shared = common.join_small(keyed, keys, ["key"]).join(nodes.select("mark", "sketch"), "mark")
+    return common.settle(common.join_small(keyed, keys, ["key"]), "shared-keys")
+
+
+def _sketched(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, BINS)
+
+
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def near_links(nodes: DataFrame, shared: DataFrame) -> DataFrame:
+    """a long, b long: links among alike texts of nodes(mark, sketch binary) that lie near each other under a key of shared_keys().
+
+    They join what is plainly one group in one pass; apart_links() finds what they leave out.
+    """
     n = common.partitions_for(nodes)
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, held = Forest(), None  # held: the last rows, with the first row of the last key before them
         for batch in batches:
             key, mark = (batch.column(c).to_numpy() for c in ("key", "mark"))
-            rows = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, BINS)
+            rows = _sketched(batch)
             if held is not None:
                 key, mark, rows = np.concatenate([held[0], key]), np.concatenate([held[1], mark]), np.concatenate([held[2], rows])
             start = np.maximum.accumulate(np.where(np.diff(key, prepend=key[:1] - 1) != 0, np.arange(len(key)), 0))
@@ -351,14 +366,58 @@ def near_links(nodes: DataFrame) -> DataFrame:
                             left.append(x)
                             right.append(y)
             if left:
-                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], schema=LINKS)
             keep = np.unique(np.concatenate([[start[-1]], at[max(0, len(at) - BEFORE) :]])) if len(at) else at
             held = key[keep], mark[keep], rows[keep]
 
-    dealt = shared.repartitionByRange(n, "key", "next", "mark").sortWithinPartitions("key", "next", "mark")
+    dealt = shared.join(nodes.select("mark", "sketch"), "mark").repartitionByRange(n, "key", "next", "mark").sortWithinPartitions("key", "next", "mark")
     return dealt.select("key", "mark", "sketch").mapInArrow(common.released(linked), "a long, b long")
 
 
+def apart_links(nodes: DataFrame, shared: DataFrame, roots: DataFrame, block: int = BLOCK) -> DataFrame:
+    """a long, b long: links between alike texts that share a key and are in different trees of roots(node, root), enough to connect them.
+
+    Keys under which all is one tree are done. The texts of any other key are compared, whatever their number: dealt to blocks of
+    about `block`, every two blocks meet in a task, which holds no more than these and compares what is in different trees.
+    """
+    rooted = shared.select("key", "mark").join(roots, F.col("mark") == F.col("node"), "left").select("key", "mark", F.coalesce("root", "mark").alias("root"))
+    rooted = common.settle(rooted, "rooted")
+    mixed = common.settle(rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "mixed-keys")
+    rows = common.join_small(rooted, mixed, ["key"]).withColumn("own", F.pmod(F.xxhash64("mark"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "mark", "root").join(nodes.select("mark", "sketch"), "mark")
+
+    def compared(own: np.ndarray, mark: np.ndarray, root: np.ndarray, sketch: np.ndarray, forest: Forest) -> Iterator[tuple[int, int]]:
+        if (root == root[0]).all():
+            return
+        first, last = np.flatnonzero(own == own.min()), np.flatnonzero(own == own.max())
+        for x in first.tolist():
+            left = last[(root[last] != root[x]) & ((last > x) | (own[last] != own[x]))]
+            for k in range(0, len(left), 4096):
+                some = left[k : k + 4096]
+                for y in some[alike(np.broadcast_to(sketch[x], (len(some), BINS)), sketch[some]) >= ALIKE].tolist():
+                    if forest.join(int(root[x]), int(root[y])):
+                        yield int(mark[x]), int(mark[y])
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, held = Forest(), None
+        for batch in batches:
+            rows = [batch.column(c).to_numpy() for c in ("key", "i", "j", "own", "mark", "root")] + [_sketched(batch)]
+            if held is not None:
+                rows = [np.concatenate([a, b]) for a, b in zip(held, rows, strict=True)]
+            ends = np.flatnonzero(np.any([np.diff(c) != 0 for c in rows[:3]], axis=0)) + 1 if len(rows[0]) else np.zeros(0, dtype=np.int64)
+            cuts = [0, *ends.tolist()]
+            found = [x for a, b in zip(cuts, cuts[1:], strict=False) for x in compared(*(c[a:b] for c in rows[3:]), forest)]
+            held = [c[cuts[-1] :] for c in rows]  # the last group may go on
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], schema=LINKS)
+        if held is not None and len(held[0]) and (found := list(compared(*held[3:], forest))):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], schema=LINKS)
+
+    dealt = rows.repartition(common.partitions_for(nodes), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.select("key", "i", "j", "own", "mark", "root", "sketch").mapInArrow(common.released(linked), "a long, b long")
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, component_id (least doc_id reachable) of docs(doc_id, text): linked are fingerprints at two bits and texts alike by five words."""
 
@@ -381,7 +440,13 @@ def near_copies(docs: DataFrame) -> DataFrame:
     a, b = (heads.select(F.col("fp").alias(x), F.col("head").alias(f"head_{x}")) for x in ("a", "b"))
     near = links(heads.select("fp")).join(a, "a").join(b, "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
     own = nodes.select("fp", "mark").join(heads, "fp").where("mark <> head").select(F.col("mark").alias("a"), F.col("head").alias("b"))
-    roots = components(near.unionByName(own).unionByName(near_links(nodes.select("mark", "bands", "sketch"))), "near-links")
+    shared = shared_keys(nodes.select("mark", "bands"))
+    sketched = nodes.select("mark", "sketch")
+    found = common.settle(near.unionByName(own).unionByName(near_links(sketched, shared)), "found-links")
+    roots = common.settle(components(found, "near-links"), "roots")
+    more = common.settle(apart_links(sketched, shared, roots), "more-links")
+    if not more.isEmpty():
+        roots = components(found.unionByName(more), "near-links")
     grouped_ = nodes.select("mark", "first").join(roots, F.col("mark") == F.col("node"), "left").select("mark", "first", F.coalesce("root", "mark").alias("root"))
     named = common.settle(grouped_.join(grouped_.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("mark", "component_id"), "components")
     return common.join_small(prints.select("doc_id", "mark"), named, ["mark"], rows=0).select("doc_id", "component_id")

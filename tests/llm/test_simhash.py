@@ -145,3 +145,50 @@ def test_large_buckets_are_split(spark):
     df = spark.createDataFrame([(x,) for x in signed], "fp long")
     plain, split = ({r.node: r.root for r in simhash.components(simhash.links(df, **how)).collect()} for how in ({}, {"most": 3, "shown": 1}))
     assert plain == split and len(set(plain.values())) < len(plain)
+
+
+def test_all_candidates_of_a_key_are_compared(spark):
+    """Alike texts far apart under a key, among many that are not alike: every tree is found, whatever the blocks."""
+    rng = np.random.default_rng(5)
+    sketches = rng.integers(1, 256, (120, simhash.BINS), dtype=np.uint8)
+    for k in range(0, 100, 5):  # chains of alike texts over the whole key
+        sketches[(k + 60) % 120] = sketches[k]
+        sketches[(k + 60) % 120, :40] = rng.integers(1, 256, 40)
+    want = {}
+    close = [(x, y) for x in range(120) for y in range(x) if simhash.alike(sketches[x : x + 1], sketches[y : y + 1])[0] >= simhash.ALIKE]
+    forest = simhash.Forest()
+    for x, y in close:
+        forest.join(x, y)
+    want = {x: forest.root(x) for x in range(120)}
+    rows = [(x, [77, 1000 + x % 9], sketches[x].tobytes()) for x in range(120)]
+    nodes = spark.createDataFrame(rows, "mark long, bands array<long>, sketch binary")
+    shared = simhash.shared_keys(nodes.select("mark", "bands"))
+    none = spark.createDataFrame([], "node long, root long")
+    some = spark.createDataFrame([(x, want[x]) for x in range(0, 120, 2)], "node long, root long")
+    for block, roots in ((4096, none), (7, none), (50, some)):
+        got = simhash.Forest()
+        for r in roots.collect():
+            got.join(r.node, r.root)
+        for r in simhash.apart_links(nodes.select("mark", "sketch"), shared, roots, block).collect():
+            assert (max(r.a, r.b), min(r.a, r.b)) in close
+            got.join(r.a, r.b)
+        assert {x: got.root(x) for x in range(120)} == want and len(set(want.values())) < 110
+
+
+def test_recall_of_near_copies(spark):
+    """Of the pairs of different texts on sf0.1 that are alike by 0.8 or more at least nine in ten are in one component."""
+    rows = {}
+    for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").collect():
+        rows.setdefault(" ".join((r.text or "").lower().split()), r.doc_id)
+    sets = {d: shingles(t) for t, d in rows.items()}
+    holders = {}
+    for d, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(d)
+    near = {(min(a, b), max(a, b)) for h in holders.values() if 1 < len(h) <= 300 for i, a in enumerate(h) for b in h[:i]}
+    pairs = [(a, b) for a, b in near if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    docs = spark.createDataFrame([(d, t) for t, d in rows.items()], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    found = sum(got[a] == got[b] for a, b in pairs)
+    print("pairs alike by 0.8", len(pairs), "linked", found)
+    assert len(pairs) > 20 and found >= 0.9 * len(pairs)
