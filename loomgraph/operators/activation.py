@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import activation_confidence, confidence_activation
-from ..sources.tables import Graph, bucketed, short
+from ..sources.tables import Graph, bucketed
+from .grams import FEW, holding
 from .reads import ranked, weighted
 from .traverse import laid_out, settle
 
@@ -18,7 +19,7 @@ RATE, FLOOR, CEILING, PROMOTE, FADE = 0.1, 0.01, 1.0, 0.4, 0.99
 TOP, LOOPS, CONTEXT = 30, 8, 0.85
 
 
-def resolve_anchors(g: Graph, anchors: DataFrame) -> DataFrame:
+def resolve_anchors(g: Graph, anchors: DataFrame, few: int = FEW) -> DataFrame:
     """anchor, id, activation for anchors(project_id, kind, ref, confidence).
 
     Symbols match exactly, else the five shortest that contain the reference; namespaces by prefix (20); concepts by contents;
@@ -29,15 +30,22 @@ def resolve_anchors(g: Graph, anchors: DataFrame) -> DataFrame:
     # the exact branch is an equi-join; only what it leaves goes through the others, project by project
     exact = a.where("kind = 'symbol'").join(n.where("node_type = 'symbol'").withColumn("ref", F.col("canonical_id")), ["project_id", "ref"])
     left = a.where("kind = 'symbol'").join(exact.select("anchor", "project_id").distinct(), ["anchor", "project_id"], "left_anti")
-    within = lambda side: F.contains(F.lower("canonical_id"), F.lower("ref")) if side else F.startswith(F.lower("canonical_id"), F.lower("ref"))
+    names, both = F.lower("canonical_id"), F.lower(F.concat_ws("\n", "canonical_id", "label"))
+
+    def meets(rows: DataFrame, name: str, hay: Column, condition: Column) -> DataFrame:
+        """rows of anchors with the nodes of their project that hold the reference and meet the condition."""
+        asked = rows.withColumn("needle", F.lower("ref"))
+        return holding(g, asked, name, hay, few).join(asked, ["project_id", "needle"]).join(n, ["id", "project_id"]).where(condition)
 
     def cut(df: DataFrame, order: list, k: int) -> DataFrame:
         return ranked(df, ["project_id", "anchor"], order, k).drop("rank")
 
-    fuzzy = cut(short(left).join(n.where("node_type = 'symbol'"), "project_id").where(within(True)), [F.length("canonical_id"), F.col("id")], 5)
-    spaces = cut(short(a.where("kind = 'namespace'")).join(n.where("node_type = 'namespace'"), "project_id").where(within(False)), [F.col("canonical_id"), F.col("id")], 20)
-    ideas = short(a.where("kind = 'concept'")).join(n.where("node_type = 'concept'"), "project_id").where(within(True) | F.contains(F.lower("label"), F.lower("ref")))
-    files = short(a.where("kind = 'file'")).join(n, "project_id").where(within(False))
+    starts = F.startswith(names, F.lower("ref"))
+    within = F.contains(names, F.lower("ref")) | F.contains(F.lower("label"), F.lower("ref"))
+    fuzzy = cut(meets(left, "canonical", names, F.col("node_type") == "symbol"), [F.length("canonical_id"), F.col("id")], 5)
+    spaces = cut(meets(a.where("kind = 'namespace'"), "canonical", names, (F.col("node_type") == "namespace") & starts), [F.col("canonical_id"), F.col("id")], 20)
+    ideas = meets(a.where("kind = 'concept'"), "labels", both, (F.col("node_type") == "concept") & within)
+    files = meets(a.where("kind = 'file'"), "canonical", names, starts)
     found = exact.select("project_id", "anchor", "id", "confidence")
     for part in (fuzzy, spaces, ideas, files):
         found = found.unionByName(part.select("project_id", "anchor", "id", "confidence"))

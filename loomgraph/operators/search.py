@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import search_tokens
 from ..sources.tables import Graph, short
+from .grams import FEW, holding
 from .reads import ranked
 
 #: Patterns of related nodes, in the order in which they are tried.
@@ -43,31 +44,26 @@ def reasons(tokens: Column, label: Column, canonical: Column, file: Column) -> C
     return F.when(F.size(found) > 0, F.array_join(found, ", ")).otherwise("matched query")
 
 
-def _hits(nodes: DataFrame, q: DataFrame, few: int) -> DataFrame:
+def _hits(g: Graph, q: DataFrame, few: int) -> DataFrame:
     """nodes with each query(query, tokens) a token of which stands in their ids, labels or files.
 
-    A few queries are met by one scan; many go through the triples of characters that nodes hold: a token is looked up by one of
-    its own, and what that finds is checked. Tokens of two bytes have none and are always scanned for.
+    A few queries are met by one scan; many look their tokens up in posting lists of the projects.
     """
     hit = lambda c: F.exists("tokens", lambda t: F.contains(F.lower(c), t))
     found = hit(F.col("canonical_id")) | hit(F.col("label")) | hit(F.coalesce("source_file", F.lit("")))
     if q.limit(few + 1).count() <= few:
-        return nodes.join(F.broadcast(q), found)
+        return g.nodes.join(F.broadcast(q), found)
     hay = F.lower(F.concat_ws("\n", "canonical_id", "label", F.coalesce("source_file", F.lit(""))))
-    triples = F.transform(F.sequence(F.lit(1), F.greatest(F.length(hay) - 2, F.lit(1))), lambda i: F.substring(hay, i, F.lit(3)))
-    held = nodes.select("id", "project_id", F.explode(F.array_distinct(triples)).alias("triple"), hay.alias("hay"))
-    token = q.select("query", F.explode("tokens").alias("token"))
-    asked = token.where("length(token) >= 3").withColumn("triple", F.expr("substring(token, greatest(1, cast(length(token) / 2 as int)), 3)"))
-    pairs = held.join(asked, "triple").where(F.contains("hay", F.col("token"))).select("id", "project_id", "query")
-    brief = token.where("length(token) < 3").groupBy("query").agg(F.collect_set("token").alias("tokens"))
-    pairs = pairs.unionByName(nodes.join(short(brief), found).select("id", "project_id", "query")).distinct()
-    return nodes.join(pairs, ["id", "project_id"]).join(q, "query")
+    token = q.select("query", F.explode("tokens").alias("needle"))
+    asked = token.select(F.lit("").alias("project_id"), "needle")
+    pairs = holding(g, asked, "names", hay, 0, everywhere=True).join(token, "needle").select("id", "query").distinct()
+    return g.nodes.join(pairs, "id").join(q, "query")
 
 
-def search(g: Graph, queries: DataFrame, limit: int = 10, few: int = 64) -> DataFrame:
+def search(g: Graph, queries: DataFrame, limit: int = 10, few: int = FEW) -> DataFrame:
     """Per row of queries(query) and project: the best nodes. A first cut keeps the max(100, 12 limit) shortest canonical ids."""
     q = queries.select("query", search_tokens(F.col("query")).alias("tokens")).where(F.size("tokens") > 0)
-    first = ranked(_hits(g.nodes, q, few), ["query", "project_id"], [F.length("canonical_id"), F.col("id")], max(100, 12 * limit)).drop("rank")
+    first = ranked(_hits(g, q, few), ["query", "project_id"], [F.length("canonical_id"), F.col("id")], max(100, 12 * limit)).drop("rank")
     scored = first.withColumn("score", score(F.col("tokens"), F.col("label"), F.col("canonical_id"), F.col("source_file"), F.col("type"), F.col("line_start")))
     return ranked(scored, ["query", "project_id"], [F.desc("score"), F.octet_length("canonical_id"), F.length("canonical_id"), F.col("id")], limit).withColumn("reason", reasons(F.col("tokens"), F.col("label"), F.col("canonical_id"), F.col("source_file"))).drop("tokens")
 
