@@ -1,6 +1,6 @@
 """Exact top-k inner products by dual-tree search over cover trees.
 
-Vectors are dealt to pivots (a bounded sample of them), and each pivot's to blocks of about BLOCK_ROWS rows by a hash of vec_id,
+Vectors are dealt to pivots (a bounded sample of them), and each pivot's to blocks of about BLOCK_ROWS rows by a hash of the row,
 so a block's size does not grow with the data. Each block's data and the queries sent to it get a cover tree each. A node has a
 centre, the radius that holds its points, and children around centres chosen farthest first, the node's own among them (nesting):
 all points lie within the level's radius of their child's centre (covering), and the centres at least as far apart (separation).
@@ -10,7 +10,8 @@ block; the kth score found there prunes whole pivots by centre and radius, and t
 left. There are at most MOST_BLOCKS pivots, so what the driver holds is bounded.
 
 Scores are integers held in doubles, exact below 2^53. Vectors that are null or hold a null or non-finite component take no part, nor do
-rows without a vec_id. Of rows with one vec_id the least vector counts. Vectors are compared with those of their own length.
+rows without a vec_id. Every row is a candidate for every query but itself, rows of one vec_id among them, and a query for each
+row whose vec_id is asked for. Vectors are compared with those of their own length.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from . import common
 
 K, EVERY, SCALE = 5, 50, 256
 BLOCK_ROWS, MOST_BLOCKS, LEAF, FAN = 4096, 1024, 128, 16
-RESULT = "query_id long, vec_id long, score double"
+RESULT = "query long, query_id long, vec_id long, score double"
 
 
 class Node:
@@ -102,12 +103,16 @@ def search(queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, data:
 
 def _block_search(queries: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
     if not len(queries) or not len(data):
-        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
+        return pd.DataFrame({c: pd.Series(dtype="int64") for c in ("query", "query_id", "vec_id")} | {"score": pd.Series(dtype="float64")})
+    # rows are told apart by their place in the order of ties
+    data = data.sort_values(["vec_id", "row"])
+    place = {x: k for k, x in enumerate(data["row"].tolist())}
     q, d = np.stack(queries["v"].to_numpy()), np.stack(data["v"].to_numpy())
-    who = queries["query_id"].to_numpy()
-    score, best = search(q, who, queries["floor"].to_numpy(), d, data["vec_id"].to_numpy())
+    own = np.array([place.get(x, -2) for x in queries["query"].tolist()], dtype=np.int64)
+    score, best = search(q, own, queries["floor"].to_numpy(), d, np.arange(len(data)))
     good = ~np.isneginf(score)
-    return pd.DataFrame({"query_id": np.repeat(who, K).reshape(-1, K)[good], "vec_id": best[good], "score": score[good]})
+    each = lambda c: np.repeat(queries[c].to_numpy(), K).reshape(-1, K)[good]
+    return pd.DataFrame({"query": each("query"), "query_id": each("query_id"), "vec_id": data["vec_id"].to_numpy()[best[good]], "score": score[good]})
 
 
 def top_k(vectors: DataFrame, every: int = EVERY, scale: int = SCALE, block_rows: int = BLOCK_ROWS, most_blocks: int = MOST_BLOCKS) -> DataFrame:
@@ -115,9 +120,9 @@ def top_k(vectors: DataFrame, every: int = EVERY, scale: int = SCALE, block_rows
     spark = vectors.sparkSession
     fine = F.col("vec_id").isNotNull() & F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & (F.size("embedding") > 0)
     whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("double"))
-    clean = common.settle(vectors.where(fine).select(F.col("vec_id").cast("long"), whole.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
+    clean = common.settle(vectors.where(fine).select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long"), whole.alias("v")), "vectors")
     n = clean.count()
-    pivots = clean.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(1, min(most_blocks, n // block_rows))).collect()
+    pivots = clean.orderBy(F.xxhash64("vec_id", "row"), "row").limit(max(1, min(most_blocks, n // block_rows))).collect()
     by_length = {k: np.array([r.v for r in pivots if len(r.v) == k]) for k in {len(r.v) for r in pivots}}
     at_length = {k: [i for i, r in enumerate(pivots) if len(r.v) == k] for k in by_length}
 
@@ -134,13 +139,13 @@ def top_k(vectors: DataFrame, every: int = EVERY, scale: int = SCALE, block_rows
                     pivot[rows], away[rows] = np.array(at_length[k])[near], np.sqrt(((v - p[near]) ** 2).sum(axis=1))
                 else:
                     pivot[rows], away[rows] = -k, np.sqrt((v**2).sum(axis=1))  # around zero
-            yield pd.DataFrame({"vec_id": pdf["vec_id"], "v": pdf["v"], "pivot": pivot, "away": away, "length": length.astype(np.int32)})
+            yield pd.DataFrame({"row": pdf["row"], "vec_id": pdf["vec_id"], "v": pdf["v"], "pivot": pivot, "away": away, "length": length.astype(np.int32)})
 
-    dealt = common.settle(clean.mapInPandas(deal, "vec_id long, v array<double>, pivot int, away double, length int"), "dealt")
+    dealt = common.settle(clean.mapInPandas(deal, "row long, vec_id long, v array<double>, pivot int, away double, length int"), "dealt")
     groups = dealt.groupBy("pivot", "length").agg(F.count("*").alias("n"), F.max("away").alias("away")).collect()  # a row per pivot
     split = spark.createDataFrame([(r.pivot, r.length, -(-r.n // block_rows)) for r in groups] or [(0, 0, 1)], "pivot int, length int, parts int")
     # at most one row per pivot is broadcast
-    blocks = dealt.join(F.broadcast(split), ["pivot", "length"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).drop("parts")
+    blocks = dealt.join(F.broadcast(split), ["pivot", "length"]).withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")).drop("parts")
     blocks = common.settle(blocks, "blocks")
     # pivots by length: their numbers, centres (zero where no pivot has that length) and radii
     around: dict[int, tuple] = {}
@@ -149,10 +154,10 @@ def top_k(vectors: DataFrame, every: int = EVERY, scale: int = SCALE, block_rows
         centres = np.array([np.asarray(pivots[r.pivot].v) if r.pivot >= 0 else np.zeros(k) for r in mine])
         around[k] = np.array([r.pivot for r in mine], dtype=np.int32), centres, np.array([r.away for r in mine])
     keys = ["pivot", "part", "length"]
-    queries = blocks.where(F.col("vec_id") % every == 0).withColumn("floor", F.lit(float("-inf"))).withColumnRenamed("vec_id", "query_id")
+    queries = blocks.where(F.col("vec_id") % every == 0).withColumn("floor", F.lit(float("-inf"))).withColumnsRenamed({"vec_id": "query_id", "row": "query"})
     at_home = common.settle(queries.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInPandas(_block_search, RESULT), "at-home")
-    kth = at_home.groupBy("query_id").agg(F.when(F.count("*") >= K, F.min("score")).otherwise(float("-inf")).alias("floor"))
-    asking = queries.drop("floor").join(kth, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    kth = at_home.groupBy("query").agg(F.when(F.count("*") >= K, F.min("score")).otherwise(float("-inf")).alias("floor"))
+    asking = queries.drop("floor").join(kth, "query", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
 
     def send(parts):
         for pdf in parts:
@@ -164,14 +169,14 @@ def top_k(vectors: DataFrame, every: int = EVERY, scale: int = SCALE, block_rows
                     v = np.stack(some["v"].to_numpy())
                     bound = v @ centres.T + np.sqrt((v**2).sum(axis=1))[:, None] * radius
                     q, p = np.nonzero(bound + np.abs(bound) * 1e-9 + 1e-3 >= some["floor"].to_numpy()[:, None])
-                    found = some.iloc[q][["query_id", "v", "floor", "pivot", "part", "length"]]
+                    found = some.iloc[q][["query", "query_id", "v", "floor", "pivot", "part", "length"]]
                     out.append(found.rename(columns={"pivot": "home", "part": "home_part"}).assign(pivot=number[p]))
-            yield pd.concat(out) if out else pd.DataFrame(columns=["query_id", "v", "floor", "home", "home_part", "length", "pivot"])
+            yield pd.concat(out) if out else pd.DataFrame(columns=["query", "query_id", "v", "floor", "home", "home_part", "length", "pivot"])
 
-    sent = asking.mapInPandas(send, "query_id long, v array<double>, floor double, home int, home_part int, length int, pivot int")
+    sent = asking.mapInPandas(send, "query long, query_id long, v array<double>, floor double, home int, home_part int, length int, pivot int")
     sent = sent.join(F.broadcast(split), ["pivot", "length"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("pivot <> home or part <> home_part")
-    away = sent.select(*keys, "query_id", "v", "floor").groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInPandas(_block_search, RESULT)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    away = sent.select(*keys, "query", "query_id", "v", "floor").groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInPandas(_block_search, RESULT)
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     ranked = at_home.unionByName(away).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= K)
     return ranked.select("query_id", F.col("rank").cast("int"), "vec_id", F.col("score").cast("long"))
 

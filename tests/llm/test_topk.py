@@ -8,14 +8,15 @@ SCHEMA = "vec_id long, embedding array<float>"
 
 
 def brute(rows):
-    fine = {}
+    """Every row but the query's own is a candidate."""
+    fine = []
     for i, v in rows:
         if i is not None and v and all(x is not None and math.isfinite(x) for x in v):
-            fine[i] = [math.floor(256 * float(np.float32(x))) for x in v]
+            fine.append((i, [math.floor(256 * float(np.float32(x))) for x in v]))
     out = []
-    for q in fine:
+    for at, (q, a) in enumerate(fine):
         if q % 50 == 0:
-            found = sorted((-sum(a * b for a, b in zip(fine[q], v, strict=True)), i) for i, v in fine.items() if i != q and len(v) == len(fine[q]))
+            found = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for k, (i, b) in enumerate(fine) if k != at and len(b) == len(a))
             out += [(q, k + 1, i, -s) for k, (s, i) in enumerate(found[:5])]
     return sorted(out)
 
@@ -34,7 +35,9 @@ def test_blocks_copies_and_edges(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     assert sorted(map(tuple, topk.top_k(df, block_rows=100, most_blocks=8).collect())) == brute(rows)
     assert topk.top_k(df.limit(0)).count() == 0
-    assert sorted(map(tuple, topk.top_k(df.unionAll(df), block_rows=100).collect())) == brute(rows)
+    assert sorted(map(tuple, topk.top_k(df.unionAll(df), block_rows=100).collect())) == brute(rows * 2)
+    one = [(100, (rng.normal(size=8)).tolist()) for _ in range(300)] + [(k, (rng.normal(size=8)).tolist()) for k in range(100)]  # one vec_id on most rows
+    assert sorted(map(tuple, topk.top_k(spark.createDataFrame(one, SCHEMA), block_rows=64, most_blocks=4).collect())) == brute(one)
 
 
 def test_trees_cover_separate_and_nest():
