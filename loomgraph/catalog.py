@@ -95,6 +95,15 @@ W = "SELECT e.id, e.source_id, e.target_id, e.type, coalesce(w.weight, 1.0) AS w
 EDGE = ["id", "source_id", "target_id", "type", "weight"]
 
 
+@query("SELECT e.id, e.source_id, e.target_id, e.type, coalesce(w.weight, 1.0) AS weight FROM edges e LEFT JOIN weights w ON e.id = w.edge_id JOIN nodes n ON n.id = e.target_id AND n.type = 'concept' WHERE e.type = 'annotates'")
+def edge_by_id(spark, sf):
+    """Edges of known ids: what orders are annotated with, each looked up by the id that its ends give it."""
+    g, (_, o) = graph(spark, sf), tables.orders(spark, sf)
+    named = lambda kind, c: ids.node_id(F.col("p"), F.lit(kind), F.col(c))
+    wanted = o.select(ids.edge_id(named("symbol", "sym"), F.lit("annotates"), named("concept", "seg")).alias("id"))
+    return reads.edges_by_id(g, wanted).select(*EDGE)
+
+
 @query(f"SELECT * FROM ({W}) WHERE source_id IN (SELECT id FROM nodes WHERE type = 'file')")
 def edges_from(spark, sf):
     g = graph(spark, sf)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -195,13 +196,16 @@ class Versions:
             return 0
         return self.spark.read.schema("version long, tables string").parquet(f"{self.root}/_pointer").agg(F.max("version")).first()[0] or 0
 
-    def publish(self, tables: dict[str, DataFrame]) -> int:
-        """Write all tables, then the pointer; tables not given are carried over from the version before."""
+    def publish(self, tables: dict[str, DataFrame | Callable[[], DataFrame]]) -> int:
+        """Write all tables in order, then the pointer; tables not given are carried over from the version before.
+
+        A table may be given as a function, which is called when those before it are written (and what they observe is known).
+        """
         last = self.current()
         at = dict(self._places(last)) if last else {}
         for name, df in tables.items():
             path = f"{self.root}/v{last + 1}/{name}"
-            df.write.mode("overwrite").parquet(path)
+            (df() if callable(df) else df).write.mode("overwrite").parquet(path)
             at[name] = path
         self.spark.createDataFrame([(last + 1, json.dumps(at))], "version long, tables string").coalesce(1).write.mode("append").parquet(f"{self.root}/_pointer")
         return last + 1

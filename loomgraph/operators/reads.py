@@ -72,6 +72,11 @@ def weighted(g: Graph, require_weight: bool = False) -> DataFrame:
     return joined if require_weight else joined.withColumn("weight", F.coalesce("weight", F.lit(1.0)))
 
 
+def edges_by_id(g: Graph, ids: DataFrame) -> DataFrame:
+    """The edges of ids(id), with their weight."""
+    return weighted(g).join(ids.select("id").distinct(), "id", "left_semi")
+
+
 def edges_from(g: Graph, anchors: DataFrame) -> DataFrame:
     return weighted(g).join(anchors.select(F.col("id").alias("source_id")).distinct(), "source_id", "left_semi")
 

@@ -6,7 +6,7 @@ import hashlib
 import inspect
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import edge_id, node_id
@@ -93,12 +93,14 @@ class FailedRun(RuntimeError):
     """A run that was given up; the store has it in its ledger, and the graph of the run before it."""
 
 
-RUNS = "ord long, run string, project_id string, fingerprint string, status string, error string"
+RUNS = "ord long, run string, project_id string, fingerprint string, status string, error string, files long, bytes long, nodes long, edges long"
 
 
-def _ledger(spark: SparkSession, store: merge.Versions, project: str, run: str, status: str, error: str | None = None) -> DataFrame:
-    row = spark.createDataFrame([(store.current() + 1, run, project, fingerprint(), status, error)], RUNS)
-    return store.read("runs").unionByName(row) if store.current() else row
+def _ledger(spark: SparkSession, store: merge.Versions, project: str, run: str, status: str, error: str | None = None, stats: dict[str, int] | None = None) -> DataFrame:
+    """The runs so far and this one; files and bytes are what was listed, nodes and edges what the version holds."""
+    told = [(stats or {}).get(c) for c in ("files", "bytes", "nodes", "edges")]
+    row = spark.createDataFrame([(store.current() + 1, run, project, fingerprint(), status, error, *told)], RUNS)
+    return row.unionByName(store.read("runs"), allowMissingColumns=True) if store.current() else row
 
 
 def index(spark: SparkSession, root: str, store: merge.Versions, project: str, run: str, full: bool = False, globs: list[str] | None = None, only: list[str] | None = None) -> dict[str, int]:
@@ -135,7 +137,9 @@ def _index(spark: SparkSession, root: str, store: merge.Versions, project: str,
         asked = walk.paths(listing, spark.createDataFrame([(p,) for p in only], "rel_path string"))
         listing = asked.where(~F.col("deleted")).select("rel_path", "language", "hash", "content")
         hashes = hashes.join(asked.select("rel_path"), "rel_path", "left_semi")
-    listing = settle(listing, "listing")
+    # what is written is counted as it is written
+    read, nodes, edges = Observation("listing"), Observation("nodes"), Observation("edges")
+    listing = settle(listing.observe(read, F.count(F.lit(1)).alias("files"), F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).alias("bytes")), "listing")
     seen = listing.select("rel_path", "hash")
     diff = settle(merge.file_diff(seen, hashes), "diff")
     todo = listing.join(diff.where("action = 'process'"), "rel_path", "left_semi")
@@ -151,8 +155,17 @@ def _index(spark: SparkSession, root: str, store: merge.Versions, project: str,
     out = merge.reconcile(live, staged, files, run, "paths" if only is not None else "full" if full or last is None else "incremental")
     counts = {r.action: r["count"] for r in diff.groupBy("action").count().collect()}
     ord_ = store.current() + 1
-    store.publish({"nodes": out.nodes, "edges": out.edges, "owners": out.owners, "hashes": out.hashes, "iir": kept.select(*lifted.columns).unionByName(lifted), "manifest": files.withColumn("run", F.lit(run)), "runs": _ledger(spark, store, project, run, "completed")})
-    return {"nodes": store.read("nodes").count(), "edges": store.read("edges").count()} | {"version": ord_, "processed": counts.get("process", 0), "skipped": counts.get("skip", 0), "deleted": counts.get("delete", 0)}
+    stats: dict[str, int] = {}
+
+    def completed() -> DataFrame:
+        stats.update(read.get | nodes.get | edges.get)
+        return _ledger(spark, store, project, run, "completed", stats=stats)
+
+    store.publish({
+        "nodes": out.nodes.observe(nodes, F.count(F.lit(1)).alias("nodes")), "edges": out.edges.observe(edges, F.count(F.lit(1)).alias("edges")), "owners": out.owners, "hashes": out.hashes,
+        "iir": kept.select(*lifted.columns).unionByName(lifted), "manifest": files.withColumn("run", F.lit(run)), "runs": completed,
+    })
+    return stats | {"version": ord_, "processed": counts.get("process", 0), "skipped": counts.get("skip", 0), "deleted": counts.get("delete", 0)}
 
 
 #: Units and bounds of the bytes that are worked on at once, and how often what a file becomes is held.

@@ -45,6 +45,9 @@ class KnowledgeGraph:
     def node_by_id(self, ids) -> DataFrame:
         return reads.by_id(self.g, self._ids(ids))
 
+    def edge_by_id(self, ids) -> DataFrame:
+        return reads.edges_by_id(self.g, self._ids(ids))
+
     def node_by_canonical(self, project: str, canonical: str) -> DataFrame:
         return reads.by_canonical(self.g, self.spark.createDataFrame([(project, canonical)], "project_id string, canonical_id string"))
 

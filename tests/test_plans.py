@@ -38,3 +38,17 @@ def test_facade_over_tables(spark, sf):
     assert kg.activation_of("nothing").first().activation == 0.0
     brand = kg.nodes_prefix("p1", "parts/", 1).first().canonical_id
     assert kg.org_find_similar(brand).first().similarity == 1.0
+
+
+def test_ledger_counts_what_was_written(spark, tmp_path):
+    src, store = tmp_path / "src", Versions(spark, f"file://{tmp_path}/store")
+    src.mkdir()
+    (src / "a.py").write_text("def one():\n    pass\n")
+    (src / "b.go").write_text("package b\n\nfunc F() {}\n")
+    found = plan.index(spark, f"file://{src}", store, "p", "r1")
+    (src / "b.go").unlink()
+    later = plan.index(spark, f"file://{src}", store, "p", "r2")
+    assert found["files"] == 2 and found["bytes"] == 20 + 23 and found["nodes"] > later["nodes"] == store.read("nodes").count() and later["edges"] == store.read("edges").count()
+    rows = {r.run: (r.files, r.bytes, r.nodes, r.edges) for r in store.read("runs").collect()}
+    assert rows == {"r1": tuple(found[c] for c in ("files", "bytes", "nodes", "edges")), "r2": tuple(later[c] for c in ("files", "bytes", "nodes", "edges"))}
+    assert [r.source_id for r in KnowledgeGraph.of_store(spark, store).edge_by_id([store.read("edges").first().id]).collect()] == [store.read("edges").first().source_id]
