@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
+from ..operators.merge import Versions
+from ..plans import index
 from ..sources.walk import SKIPPED
 
 Listing = dict[str, list[int]]
@@ -122,3 +124,18 @@ def tree_changes(spark: SparkSession, root: str, project: str, state: str, whole
     spark.dataSource.register(TreeChanges)
     found = spark.readStream.format("tree_changes").option("root", root).option("state", state).option("from", "nothing" if whole else "now").load()
     return found.select(F.lit(project).alias("project"), "path", "kind", "ts", "event_id")
+
+
+def follow(spark: SparkSession, root: str, project: str, store: Versions, state: str, checkpoint: str, every: str = "500 milliseconds"):
+    """A running query that brings the store up to date with a tree: what changed within `every` is one run of the index over those paths.
+
+    A batch that is told again after a restart finds hashes as they are and changes nothing.
+    """
+
+    def publish(batch: DataFrame, number: int) -> None:
+        paths = [r.path for r in batch.select("path").distinct().collect()]  # of one interval
+        if paths:
+            index.index(spark, root, store, project, f"watch-{number}", only=sorted(paths))
+
+    found = tree_changes(spark, root, project, state)
+    return found.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(processingTime=every).foreachBatch(publish).start()

@@ -2,6 +2,8 @@
 
 import os
 
+from loomgraph.operators.merge import Versions
+from loomgraph.plans import index
 from loomgraph.streaming import tree, watch
 
 
@@ -73,3 +75,22 @@ def test_what_a_batch_brought_can_be_told_again(tmp_path):
     assert reader.read(last)[1] == last and list(reader.read(last)[0]) == []
     reader.commit(last)
     assert sorted(p.name for p in (tmp_path / "state").iterdir()) == ["2.json"]
+
+
+def test_the_store_follows_the_tree(spark, tmp_path):
+    root, store = tmp_path / "src", Versions(spark, f"file://{tmp_path}/store")
+    (root / "sub").mkdir(parents=True)
+    (root / "a.py").write_text("def one():\n    pass\n")
+    (root / "b.py").write_text("def two():\n    pass\n")
+    index.index(spark, f"file://{root}", store, "p", "r1")
+    symbols = lambda: {(r.source_file, r.label) for r in store.read("nodes").where("type = 'symbol'").collect()}
+    query = tree.follow(spark, f"file://{root}", "p", store, f"file://{tmp_path}/state", f"{tmp_path}/checkpoint", "100 milliseconds")
+    try:
+        query.processAllAvailable()
+        (root / "a.py").unlink()
+        (root / "b.py").rename(root / "sub/b.py")
+        (root / "c.go").write_text("package c\n\nfunc Three() {}\n")
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert symbols() == {("sub/b.py", "two"), ("c.go", "Three")} and index.dangling(store).count() == 0
