@@ -305,6 +305,17 @@ def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (same - 1 / 255) / (1 - 1 / 255)
 
 
+def near(a: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Which rows are alike sketch a; those that are far from it in a quarter of their places, where that tells, are not looked at further."""
+    few = BINS // 4
+    some = ((a[:few] > 0) | (rows[:, :few] > 0)).sum(axis=1)
+    same = ((a[:few] == rows[:, :few]) & (a[:few] > 0)).sum(axis=1)
+    left = np.flatnonzero((some < few * 3 // 4) | (2 * same >= some))
+    found = np.zeros(len(rows), dtype=bool)
+    found[left] = alike(np.broadcast_to(a, (len(left), BINS)), rows[left]) >= ALIKE
+    return found
+
+
 class Forest:
     """Links of which only those that join two trees are kept."""
 
@@ -388,15 +399,16 @@ def apart_links(nodes: DataFrame, shared: DataFrame, roots: DataFrame, block: in
     rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "mark", "root").join(nodes.select("mark", "sketch"), "mark")
 
     def compared(own: np.ndarray, mark: np.ndarray, root: np.ndarray, sketch: np.ndarray, forest: Forest) -> Iterator[tuple[int, int]]:
-        if (root == root[0]).all():
-            return
+        tree = np.array([forest.root(x) for x in root.tolist()], dtype=np.int64)  # what links found so far make of the trees
         first, last = np.flatnonzero(own == own.min()), np.flatnonzero(own == own.max())
         for x in first.tolist():
-            left = last[(root[last] != root[x]) & ((last > x) | (own[last] != own[x]))]
-            for k in range(0, len(left), 4096):
-                some = left[k : k + 4096]
-                for y in some[alike(np.broadcast_to(sketch[x], (len(some), BINS)), sketch[some]) >= ALIKE].tolist():
+            left = last[(tree[last] != tree[x]) & ((last > x) | (own[last] != own[x]))]
+            for k in range(0, len(left), 1024):
+                some = left[k : k + 1024]
+                some = some[tree[some] != tree[x]]
+                for y in some[near(sketch[x], sketch[some])].tolist():
                     if forest.join(int(root[x]), int(root[y])):
+                        tree[tree == tree[y]] = tree[x]
                         yield int(mark[x]), int(mark[y])
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
