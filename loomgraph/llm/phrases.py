@@ -30,8 +30,8 @@ from . import common
 LEAST, LONGEST, TOP = 10, 3, 2000
 #: A phrase goes if a longer one that holds it has at least this share, in percent, of its occurrences.
 SHADOW = 50
-#: Bytes of text whose n-grams are summed at once, and how many bits the map of a level's frequent phrases has.
-GROUP_BYTES, LEAST_BITS, MOST_BITS, BITS_EACH = 8_000_000, 1 << 20, 1 << 29, 32
+#: Bytes of text whose n-grams are summed at once, rows of them that are sent on together, and how many bits the map of a level's frequent phrases has.
+GROUP_BYTES, SENT_ROWS, LEAST_BITS, MOST_BITS, BITS_EACH = 5_000_000, 100_000, 1 << 20, 1 << 29, 32
 MARK = re.compile(rb"[.,;:!?\x0A-\x0D]")
 #: Marks become line ends and tabs blanks.
 PLAIN = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
@@ -115,8 +115,9 @@ def _counter(maps: list):
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, texts in held.items():
                 names, counts = summed(texts, lang.encode(), values)
-                if len(names):
-                    yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(names), dtype=np.int32))), names.cast(pa.string()), pa.array(counts, pa.int64())], schema=COUNTED)
+                for k in range(0, len(names), SENT_ROWS):
+                    some = names[k : k + SENT_ROWS].cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(some), dtype=np.int32))), some, pa.array(counts[k : k + SENT_ROWS], pa.int64())], schema=COUNTED)
             held.clear()
 
         for batch in batches:
