@@ -91,7 +91,8 @@ def topk_activated(spark, sf):
     return reads.top_activated(graph(spark, sf), activation.TOP).select("project_id", "id", "activation", "rank")
 
 
-W = "SELECT e.id, e.source_id, e.target_id, e.type, coalesce(w.weight, 1.0) AS weight FROM edges e LEFT JOIN weights w ON e.id = w.edge_id"
+#: The weight rows are those of calls and of most other edges (see the projection's SQL), so a weighted edge takes no join.
+W = "SELECT id, source_id, target_id, type, CASE WHEN type = 'calls' OR substr(id, 1, 1) <> '0' THEN w ELSE 1.0 END AS weight FROM e2"
 EDGE = ["id", "source_id", "target_id", "type", "weight"]
 
 
@@ -122,7 +123,7 @@ def edges_between(spark, sf):
     return reads.edges_between(g, g.edges.where("type = 'calls'").select(F.col("target_id").alias("a"), F.col("source_id").alias("b"))).select(*EDGE)
 
 
-@query("SELECT e.id, e.source_id, e.target_id, e.type, w.weight FROM edges e JOIN weights w ON e.id = w.edge_id JOIN acts a ON a.node_id = e.source_id WHERE a.activation > 0.5")
+@query("SELECT e.id, e.source_id, e.target_id, e.type, e.w AS weight FROM e2 e JOIN acts a ON a.node_id = e.source_id WHERE a.activation > 0.5 AND (e.type = 'calls' OR substr(e.id, 1, 1) <> '0')")
 def activated_edges(spark, sf):
     return reads.activated_edges(graph(spark, sf), 0.5).select(*EDGE)
 
