@@ -28,6 +28,16 @@ PHASES = ["resolve", "enrich", "constrain", "preGenerate", "verify", "repair"]
 SEVERITIES = ["info", "warning", "error"]
 COVERAGES = ["modeled", "partial", "unsupported"]
 LIFT_VERSION = PACK_VERSION = "v1"
+#: What questions, claims and findings say; {} is what they are about.
+PROMPTS = {
+    "coverage": "Plugin lift coverage is {}.",
+    "target": "Which existing symbol should this change target, or should it create a new symbol?",
+    "binding": "Which symbol satisfies the required {} role?",
+    "failure strategy": "How should provider or domain failures be represented and propagated?",
+    "approval": "Approve policy {} before generation.",
+    "policy conflict": "mandatory policy conflict for {}",
+    "resolve conflict": "Resolve the blocked policy or resolution conflict before rendering.",
+}
 #: The policies that every change of state is held to.
 MUTATION_POLICIES = [
     {"id": "semantic.mutation.audit", "version": "v1", "phase": "constrain", "priority": 10, "severity": "error", "claim_kinds": ["effect.mutation"], "add": ("audit", "audit.publish", True)},
@@ -39,6 +49,12 @@ def _none(kind: str) -> Column:
     return F.array().cast(kind)
 
 
+def _said(name: str, about: Column | str) -> Column:
+    """A prompt about something."""
+    before, after = PROMPTS[name].split("{}")
+    return F.concat(F.lit(before), F.lit(about) if isinstance(about, str) else about, F.lit(after))
+
+
 def _struct(**fields: Column | str) -> Column:
     return F.struct(*[(F.lit(v) if isinstance(v, str) else v).alias(k) for k, v in fields.items()])
 
@@ -69,7 +85,7 @@ def normal_lift(lifted: DataFrame) -> DataFrame:
     old = blank("version") & blank("coverage") & (F.size(given) == 0) & (F.size(F.coalesce("evidence", F.array().cast("array<struct<path:string,start:int,end:int,basis:string>>"))) == 0)
     rows = lifted.withColumns({"version": F.when(old, LIFT_VERSION).otherwise(F.col("version")), "coverage": F.when(old, "partial").otherwise(F.col("coverage")), "claims": once, "evidence": F.array_sort(spans)})
     told = F.exists("claims", lambda c: c["kind"].isin("unknown", "unsupported"))
-    own = _struct(id="lift-coverage", kind=F.when(F.col("coverage") == "unsupported", "unsupported").otherwise("unknown"), statement=F.concat(F.lit("Plugin lift coverage is "), "coverage", F.lit(".")))
+    own = _struct(id="lift-coverage", kind=F.when(F.col("coverage") == "unsupported", "unsupported").otherwise("unknown"), statement=_said("coverage", F.col("coverage")))
     partly = F.col("coverage").isin("partial", "unsupported") & ~told
     rows = rows.withColumn("claims", F.array_sort(F.when(partly, F.concat("claims", F.array(own))).otherwise(F.col("claims"))))
     error = (
@@ -94,13 +110,13 @@ def shaped(requests: DataFrame) -> DataFrame:
     requests(plan_id, unit, intent, needed array<id, prompt, blocking>, needs_strategy boolean): a unit without a node asks for its
     target, each needed binding is asked for, and a failure strategy where one is required and no failure is declared.
     """
-    target = F.when(F.coalesce(F.col("unit.node_id"), F.lit("")) == "", _struct(id="target-symbol", prompt="Which existing symbol should this change target, or should it create a new symbol?", blocking=F.lit(True)))
+    target = F.when(F.coalesce(F.col("unit.node_id"), F.lit("")) == "", _struct(id="target-symbol", prompt=PROMPTS["target"], blocking=F.lit(True)))
 
     def binding(n: Column) -> Column:
         key = F.when(F.coalesce(n["id"], F.lit("")) == "", record_id("binding", n["prompt"])).otherwise(n["id"])
-        return _struct(id=F.concat(F.lit("binding-"), key), prompt=F.when(F.coalesce(n["prompt"], F.lit("")) == "", F.concat(F.lit("Which symbol satisfies the required "), key, F.lit(" role?"))).otherwise(n["prompt"]), blocking=n["blocking"])
+        return _struct(id=F.concat(F.lit("binding-"), key), prompt=F.when(F.coalesce(n["prompt"], F.lit("")) == "", _said("binding", key)).otherwise(n["prompt"]), blocking=n["blocking"])
 
-    strategy = F.when(F.coalesce("needs_strategy", F.lit(False)) & (F.coalesce(F.size("intent.failure_modes"), F.lit(0)) <= 0), _struct(id="failure-strategy", prompt="How should provider or domain failures be represented and propagated?", blocking=F.lit(True)))
+    strategy = F.when(F.coalesce("needs_strategy", F.lit(False)) & (F.coalesce(F.size("intent.failure_modes"), F.lit(0)) <= 0), _struct(id="failure-strategy", prompt=PROMPTS["failure strategy"], blocking=F.lit(True)))
     asked = F.concat(F.array_compact(F.array(target)), F.transform(F.coalesce("needed", F.array().cast(QUESTIONS)), binding), F.array_compact(F.array(strategy))).cast(QUESTIONS)
     return requests.withColumn("questions", asked).withColumn("lifecycle", F.when(blocked(F.col("questions")), "resolving").otherwise("resolved"))
 
@@ -164,12 +180,12 @@ def apply_policies(plans: DataFrame, policies: list[dict]) -> DataFrame:
                 clash = F.exists("obligations", lambda o: (o["kind"] == kind) & (o["requirement"] != requirement))
             made = _struct(id=record_id("obligation", F.col("plan_id"), F.lit(p["id"]), F.lit(kind)), kind=kind, requirement=requirement, state="declared", producer=p.get("producer") or p["id"])
             obligations = F.when(~clash, F.array(made)).otherwise(_none(OBLIGATIONS)).cast(OBLIGATIONS)
-            message = f"mandatory policy conflict for {kind}"
+            message = PROMPTS["policy conflict"].format(kind)
             questions = F.when(clash, F.array(_struct(id=record_id("question", F.col("plan_id"), F.lit("conflict"), F.lit(p["id"])), prompt=message, blocking=F.lit(True)))).otherwise(_none(QUESTIONS))
         if p.get("require_approval"):
-            asked = F.array(_struct(id=record_id("question", F.col("plan_id"), F.lit("approval"), F.lit(p["id"])), prompt=f"Approve policy {p['id']} before generation.", blocking=F.lit(True)))
+            asked = F.array(_struct(id=record_id("question", F.col("plan_id"), F.lit("approval"), F.lit(p["id"])), prompt=_said("approval", p["id"]), blocking=F.lit(True)))
             questions = F.when(clash, questions).otherwise(asked)
-        said = F.when(clash, F.array(_struct(policy=p["id"], severity="error", message=f"mandatory policy conflict for {p['add'][0] if p.get('add') else ''}")))
+        said = F.when(clash, F.array(_struct(policy=p["id"], severity="error", message=PROMPTS["policy conflict"].format(p["add"][0] if p.get("add") else ""))))
         if p.get("supersedes"):
             said = said.otherwise(F.array(_struct(policy=p["id"], severity="info", message=f"Policy explicitly supersedes {', '.join(p['supersedes'])}.")))
         outcome = F.when(~fits, "skipped").when(clash, "conflict").otherwise("applied")
@@ -298,7 +314,7 @@ def repair_plans(plans: DataFrame, findings: DataFrame, reports: DataFrame, earl
     found = open_.groupBy("plan_id").agg(F.array_sort(F.collect_list(change)).alias("changes"), F.bool_or(F.col("result") == "violated").alias("bad"))
     rows = reports.join(plans.select("plan_id", "lifecycle"), "plan_id").join(found, "plan_id", "left")
     none = F.array().cast(CHANGES)
-    conflict = F.array(_struct(place=F.lit(-1), kind="plan_question", operation="resolve_conflict", target=F.col("plan_id"), requirement="Resolve the blocked policy or resolution conflict before rendering."))
+    conflict = F.array(_struct(place=F.lit(-1), kind="plan_question", operation="resolve_conflict", target=F.col("plan_id"), requirement=PROMPTS["resolve conflict"]))
     kind = F.when(F.col("lifecycle") == "blocked", "user_decision_required").when(F.col("status") == "inconclusive", "insufficient_evidence").when(F.coalesce("bad", F.lit(False)), "implementation_divergence").otherwise("insufficient_evidence")
     changes = F.when(F.col("lifecycle") == "blocked", conflict.cast(CHANGES)).when(F.col("status") == "inconclusive", none).otherwise(F.coalesce(F.col("changes").cast(CHANGES), none))
     made = rows.select("plan_id", kind.alias("class"), changes.alias("changes"), "verification_id")
