@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ids import activation_confidence, confidence_activation
-from ..sources.tables import Graph, bucketed
+from ..functions.ids import activation_confidence, confidence_activation, packed, unpacked
+from ..sources.tables import Graph, bucketed, forget
 from .grams import FEW, holding
 from .reads import ranked, weighted
 from .traverse import laid_out, settle
@@ -60,18 +60,20 @@ def spread(g: Graph, seeds: DataFrame) -> DataFrame:
     """
     w = F.when(F.col("weight") <= 0, 0.5).otherwise(F.col("weight"))
     steps = laid_out(g, "weighted", weighted(g).select(F.col("source_id").alias("node"), F.col("target_id").alias("next"), w.alias("w")))
-    # what is known stays in buckets of set and id; a round moves only what it passes on
-    best = bucketed(seeds.groupBy("set", "id").agg(F.max("activation").alias("activation")).withColumn("round", F.lit(0)), ["set", "id"], "best")
+    # what is known stays in buckets of set and id, both packed; a round moves only what it passes on
+    start = seeds.groupBy(packed(F.col("set")).alias("set"), packed(F.col("id")).alias("id")).agg(F.max("activation").alias("activation"))
+    best = bucketed(start.withColumn("round", F.lit(0)), ["set", "id"], "best", dealt=True)
     for k in range(DEPTH):
-        frontier = best.where(F.col("round") == k).select("set", F.col("id").alias("node"), "activation")
+        frontier = best.where(F.col("round") == k).select("set", unpacked(F.col("id")).alias("node"), "activation")
         if frontier.isEmpty():
             break
-        passed = steps.from_(frontier).select("set", F.col("next").alias("id"), (F.col("activation") * DECAY * F.col("w")).alias("passed")).where(F.col("passed") >= THRESHOLD)
+        passed = steps.from_(frontier).select("set", packed(F.col("next")).alias("id"), (F.col("activation") * DECAY * F.col("w")).alias("passed")).where(F.col("passed") >= THRESHOLD)
         passed = passed.groupBy("set", "id").agg(F.max("passed").alias("passed"))
         # a path back may be no better than what is there
         better = F.col("passed").isNotNull() & (F.col("activation").isNull() | (F.col("passed") > F.col("activation")))
-        best = bucketed(best.join(passed, ["set", "id"], "full").select("set", "id", F.greatest("activation", "passed").alias("activation"), F.when(better, k + 1).otherwise(F.col("round")).alias("round")), ["set", "id"], "best", dealt=True)
-    return best.select("set", "id", "activation")
+        before, best = best, bucketed(best.join(passed, ["set", "id"], "full").select("set", "id", F.greatest("activation", "passed").alias("activation"), F.when(better, k + 1).otherwise(F.col("round")).alias("round")), ["set", "id"], "best", dealt=True)
+        forget(before)
+    return best.select(unpacked(F.col("set")).alias("set"), unpacked(F.col("id")).alias("id"), "activation")
 
 
 def top(found: DataFrame, k: int = TOP) -> DataFrame:
