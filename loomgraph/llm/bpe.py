@@ -36,6 +36,8 @@ KEPT = 800_000
 AT_ONCE = 50_000
 #: Texts are encoded in groups of at least so many characters.
 GROUP_CHARS = 2_500_000
+#: The same two for texts that are encoded in a column, beside all else that a pipeline's executors hold.
+COLUMN_KEPT, COLUMN_CHARS = 100_000, 500_000
 
 
 def byte_chars() -> dict[int, str]:
@@ -256,12 +258,12 @@ class Encoder:
 _ENCODERS: dict[tuple, tuple] = {}
 
 
-def _index_encoder(path: str) -> tuple[Encoder, Vocabulary]:
+def _index_encoder(path: str, kept: int = KEPT) -> tuple[Encoder, Vocabulary]:
     """This worker's encoder for a vocabulary file."""
-    if path not in _ENCODERS:
+    if (path, kept) not in _ENCODERS:
         v = Vocabulary(path)
-        _ENCODERS[path] = Encoder(PairIndex(v).encode, v.special), v
-    return _ENCODERS[path]
+        _ENCODERS[path, kept] = Encoder(PairIndex(v).encode, v.special, kept), v
+    return _ENCODERS[path, kept]
 
 
 def grouped(texts: Iterable, least: int = GROUP_CHARS) -> Iterator[list]:
@@ -293,16 +295,16 @@ def decode(ids: np.ndarray, pieces: list[bytes]) -> str:
     return b"".join(map(pieces.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-def encode_column(df: DataFrame, path: str, text: str = "text") -> DataFrame:
+def encode_column(df: DataFrame, path: str, text: str = "text", kept_chunks: int = COLUMN_KEPT, chars: int = COLUMN_CHARS) -> DataFrame:
     """df without `text`, with ids array<int> and decoded string. Clashing columns of df named ids or decoded are replaced."""
     kept = [c for c in df.columns if c.lower() not in {text, "ids", "decoded"}]
     given = common.plainly_named(df.select(*map(common.quoted, kept), F.col(text)))
     at_text, names = len(kept), given.columns[: len(kept)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, v = _index_encoder(path)
+        encoder, v = _index_encoder(path, kept_chunks)
         for batch in batches:
-            for at, to in slices(batch.column(at_text)):
+            for at, to in slices(batch.column(at_text), chars):
                 rows = batch.slice(at, to - at)
                 group = rows.column(at_text).to_pylist()
                 ids = [np.frombuffer(x, dtype="<u4") for x in encoder.encode([t or "" for t in group])]

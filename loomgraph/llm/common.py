@@ -123,10 +123,11 @@ def plainly_named(df: DataFrame) -> DataFrame:
 def join_small(df: DataFrame, side: DataFrame, on: list[str], how: str = "inner", salts: int = 16, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join a settled side with one row per key to df, whose keys may be skewed and null-free.
 
-    A side of at most `rows` rows is broadcast; a larger one is copied to `salts` salts, so that a hot key of df spreads.
+    A side of at most `rows` rows is broadcast; a larger one is copied to `salts` salts, so that a hot key of df spreads, and joined by
+    sorting: its size as a file, which the optimizer goes by, says nothing of its copies.
     """
     if side.limit(rows + 1).count() <= rows:
         return df.join(F.broadcast(side), on, how)
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts)).cast("int")
     copies = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return df.withColumn("_salt", salt).join(copies, [*on, "_salt"], how).drop("_salt")
+    return df.withColumn("_salt", salt).join(copies.hint("merge"), [*on, "_salt"], how).drop("_salt")

@@ -458,7 +458,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     found = near_copies(docs).groupBy("doc_id").agg(F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("first"))
     gone = common.settle(found.where("not first").select("doc_id"), "copies")
     key = common.unused(docs, "_id")
-    kept = docs.join(gone.select(F.col("doc_id").alias(key)), F.col("doc_id").cast("long").eqNullSafe(F.col(key)), "left_anti")
+    kept = docs.join(gone.select(F.col("doc_id").alias(key)).hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col(key)), "left_anti")
     return kept.select(*map(common.quoted, docs.columns))
 
 
