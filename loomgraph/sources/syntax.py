@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NODE = "rel_path string, id int, parent int, last int, place int, field string, type string, name string, line int, col int, end_line int, end_col int"
+#: Rows, of whole files, that are handed on together, or a few more.
+AT_ONCE = 20_000
 #: Nodes that begin a scope of their own.
 SCOPES = ["FunctionDef", "AsyncFunctionDef", "Lambda"]
 
@@ -39,16 +41,27 @@ def _rows(path: str, text: str) -> list[tuple]:
     return rows
 
 
-def syntax(files: DataFrame) -> DataFrame:
-    """A row per node of the Python files of files(rel_path, language, content); none for a file that does not parse."""
+def frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of many files at once: a frame for each would take longer than its parsing."""
+    names = [x.split(" ")[0] for x in NODE.split(", ")]
+
+    def made(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=names).astype({c: "Int32" for c in ("line", "col", "end_line", "end_col")})
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split(" ")[0] for x in NODE.split(", ")]
-        for pdf in batches:
-            for p, t in zip(pdf["rel_path"], pdf["content"], strict=True):
-                yield pd.DataFrame(_rows(p, t or ""), columns=names).astype({c: "Int32" for c in ("line", "col", "end_line", "end_col")})
+    rows: list[tuple] = []
+    for pdf in batches:
+        for p, t in zip(pdf["rel_path"], pdf["content"], strict=True):
+            rows += _rows(p, t or "")
+            if len(rows) >= AT_ONCE:
+                yield made(rows)
+                rows = []
+    if rows:
+        yield made(rows)
 
-    return files.where("language = 'python'").select("rel_path", "content").mapInPandas(work, NODE)
+
+def syntax(files: DataFrame) -> DataFrame:
+    """A row per node of the Python files of files(rel_path, language, content); none for a file that does not parse."""
+    return files.where("language = 'python'").select("rel_path", "content").mapInPandas(frames, NODE)
 
 
 def below(nodes: DataFrame, roots: DataFrame, own_scope: bool = False) -> DataFrame:
