@@ -346,21 +346,22 @@ def repair_loop(sources: DataFrame, verify: Callable[[DataFrame], DataFrame], pr
     """unit, source, status, attempts, converged after at most `most` repairs of sources(unit, source).
 
     verify gives unit, status; propose gives unit, proposed for those that failed; approve gives the units that may be changed (all
-    without it). What passed, can't be told or was not approved is left as it is; rounds go over all units at once.
+    without it). What passed, can't be told or was not approved is left as it is; rounds go over all units at once. Units are joined
+    by sorting: tables of a few columns take little room as files, by which Spark would have them pass through the driver.
     """
     from .traverse import settle
 
     left = settle(sources.select("unit", "source").withColumn("attempts", F.lit(0)), "repair")
     done = None
     for attempt in range(most + 1):
-        judged = settle(left.join(verify(left.select("unit", "source")).select("unit", "status"), "unit"), "judged")
+        judged = settle(left.join(verify(left.select("unit", "source")).select("unit", "status").hint("merge"), "unit"), "judged")
         failed = judged.where("status = 'failed'")
         ended = judged.where("status <> 'failed'") if attempt < most else judged
         done = ended if done is None else done.unionByName(ended)
         if attempt == most or failed.isEmpty():
             break
-        proposed = settle(failed.join(propose(failed.select("unit", "source")).select("unit", "proposed"), "unit"), "proposed")
-        fine = proposed if approve is None else proposed.join(approve(proposed).select("unit").distinct(), "unit", "left_semi")
-        done = done.unionByName(failed.join(fine.select("unit"), "unit", "left_anti"))
+        proposed = settle(failed.join(propose(failed.select("unit", "source")).select("unit", "proposed").hint("merge"), "unit"), "proposed")
+        fine = proposed if approve is None else proposed.join(approve(proposed).select("unit").distinct().hint("merge"), "unit", "left_semi")
+        done = done.unionByName(failed.join(fine.select("unit").hint("merge"), "unit", "left_anti"))
         left = settle(fine.select("unit", F.col("proposed").alias("source"), (F.col("attempts") + 1).alias("attempts")), "repair")
     return done.withColumn("converged", F.col("status") == "passed")
