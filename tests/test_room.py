@@ -1,13 +1,12 @@
 """What graphs and traversals leave on disk."""
 
-import glob
 import os
 
 from pyspark.sql import functions as F
 
 from loomgraph.functions import ids
-from loomgraph.operators import activation, traverse
-from loomgraph.sources import tables
+from loomgraph.operators import activation, compile, reads, traverse
+from loomgraph.sources import syntax, tables
 
 
 def test_ids_are_packed_and_unpacked(spark):
@@ -22,7 +21,7 @@ def test_a_graph_keeps_neither_lines_nor_edge_ids(spark, sf):
     tables.clean(spark)
     g = tables.graph(spark, sf)
     home = g.home.removeprefix("file:").replace("///", "/")
-    assert not glob.glob(os.path.join(os.path.dirname(home), "lines-*")) and not os.path.exists(f"{home}/lines")
+    assert not any("/lines-" in path for path in tables._WRITTEN) and not os.path.exists(f"{home}/lines")
     assert set(spark.read.parquet(f"{g.home}/edges").columns) == {"project_id", "source_id", "target_id", "type", "weight"}
     made = g.edges.where(F.col("id") != ids.edge_id(F.col("source_id"), F.col("type"), F.col("target_id")))
     assert made.isEmpty() and g.edges.count() == g.edges.select("id").distinct().count() > 0
@@ -35,8 +34,7 @@ def test_spreading_leaves_one_table_and_no_shuffle_files(spark, sf):
     before = spark.conf.get(key)
     seeds = g.activation.limit(50).select(F.col("node_id").alias("set"), F.col("node_id").alias("id"), "activation")
     assert activation.spread(g, seeds).count() > 50
-    shared = tables.shared_folder(spark).removeprefix("file:").replace("///", "/")
-    assert len(glob.glob(f"{shared}/best-*")) == 1 and spark.conf.get(key) == before
+    assert sum("/best-" in path for path in tables._WRITTEN) == 1 and spark.conf.get(key) == before
     context = spark.sparkContext._jsc.sc()
     local = [x.toString() for x in context.env().blockManager().diskBlockManager().localDirs()]
     for df in (g.edges.groupBy("target_id").count(), g.edges.groupBy("source_id").count()):
@@ -44,3 +42,33 @@ def test_spreading_leaves_one_table_and_no_shuffle_files(spark, sf):
         n = held()
         traverse.settle(df, "counts")
         assert held() <= n
+
+
+def test_edges_move_without_their_ids(spark, sf):
+    g = tables.graph(spark, sf)
+    pairs = g.edges.where("type = 'calls'").select(F.col("target_id").alias("a"), F.col("source_id").alias("b"))
+    found = reads.edges_between(g, pairs)
+    assert "lo" not in found.columns and sorted(found.columns) == sorted(reads.weighted(g).columns)
+    assert found.exceptAll(g.edges.withColumn("weight", F.coalesce("weight", F.lit(1.0))).where("type = 'calls'").select(*found.columns)).isEmpty()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.index("sha2") < plan.index("SortMergeJoin")  # the root of a plan comes first
+
+
+def test_repairs_pass_no_units_through_the_driver(spark):
+    units = spark.range(1000).selectExpr("id as unit", "repeat('x', cast(id % 5 as int)) as source")
+    verify = lambda df: df.selectExpr("unit", "if(source = '', 'passed', 'failed') as status")
+    propose = lambda df: df.selectExpr("unit", "substring(source, 2) as proposed")
+    done = compile.repair_loop(units, verify, propose, lambda df: df.where("unit % 7 > 0"))
+    assert "Broadcast" not in done._jdf.queryExecution().executedPlan().toString()
+    want = {k: ("passed" if k % 5 == 0 or k % 7 and k % 5 <= 3 else "failed") for k in range(1000)}
+    assert {r.unit: r.status for r in done.collect()} == want
+
+
+def test_files_are_handed_on_together():
+    files = syntax.pd.DataFrame({"rel_path": [f"{k}.py" for k in range(50)], "content": ["f()\n"] * 49 + ["("]})
+    got = list(syntax.frames(iter([files])))
+    assert len(got) == 1 and got[0]["rel_path"].nunique() == 49
