@@ -1,10 +1,35 @@
 """What graph queries move, and that the keys which rows are made of give the ids of the graph."""
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from loomgraph import catalog
 from loomgraph.functions import ids
+from loomgraph.operators import activation, merge, reads, semantic
 from loomgraph.sources import tables
+from loomgraph.sources.tables import Graph
+
+
+@contextmanager
+def unbroadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        yield
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def untyped(g):
+    return Graph(g.nodes, g.edges.select("*"), g.weights, g.activation)
+
+
+def rows(df):
+    return sorted(map(repr, df.collect()))
 
 
 def test_orders_have_the_ids_of_their_symbols(spark, sf):
@@ -13,3 +38,12 @@ def test_orders_have_the_ids_of_their_symbols(spark, sf):
     assert made.join(tables.graph(spark, sf).nodes, "id", "left_anti").isEmpty() and not made.isEmpty()
     for name in ("edge_by_id", "enrich_claims"):  # named a column that orders no longer have
         assert catalog.QUERIES[name](spark, sf).columns
+
+
+def test_graphs_are_written_by_keys(spark, sf):
+    g = tables.graph(spark, sf)
+    for name, end in (("edges", "source_id"), ("edges", "target_id"), ("activation", "node_id")):
+        assert spark.read.parquet(f"{g.home}/{name}").schema[end].dataType.fieldNames() == ["type", "head", "number"]
+    assert "id" not in spark.read.parquet(f"{g.home}/nodes").columns
+    ends = g.typed.select(F.col("source_id").alias("id"), F.col("source_type").alias("type")).union(g.typed.select("target_id", "target_type")).distinct()
+    assert ends.join(g.nodes, ["id", "type"], "left_anti").isEmpty()
