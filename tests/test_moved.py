@@ -47,3 +47,17 @@ def test_graphs_are_written_by_keys(spark, sf):
     assert "id" not in spark.read.parquet(f"{g.home}/nodes").columns
     ends = g.typed.select(F.col("source_id").alias("id"), F.col("source_type").alias("type")).union(g.typed.select("target_id", "target_type")).distinct()
     assert ends.join(g.nodes, ["id", "type"], "left_anti").isEmpty()
+
+
+def test_typed_and_other_graphs_have_the_same_neighbours(spark, sf):
+    g = tables.graph(spark, sf)
+    with unbroadcast(spark):
+        assert "SortMergeJoin" not in plan(reads.imports(g)) and "SortMergeJoin" not in plan(reads.neighbours(g, None, source_type="namespace", node_type=["namespace"]))
+    for found in (reads.references, reads.implementors, reads.imports, lambda x: reads.dependencies(x, True)):
+        assert rows(found(g).select("anchor", "id", "rank")) == rows(found(untyped(g)).select("anchor", "id", "rank"))
+
+
+def test_a_few_missing_ends_leave_edges_where_they_are(spark, sf):
+    g = tables.graph(spark, sf)
+    with unbroadcast(spark):
+        assert "SortMergeJoin" not in plan(reads.unresolved_nodes(g.edges, g.nodes.where("type <> 'concept'")))
