@@ -225,7 +225,7 @@ def legacy_sweep(spark, sf):
     nodes = g.nodes.withColumns({"index_managed": F.col("type") != "namespace", "last_index_run_id": run((F.col("type") == "concept") | (F.col("type") == "namespace") | ((F.col("type") == "file") & (F.substring("id", 1, 1) < "8")))})
     edges = g.edges.withColumns({"index_managed": F.lit(True), "last_index_run_id": F.when(F.col("type") == "imports", "r1").otherwise("r2")})
     iir = g.nodes.where("type in ('symbol', 'concept')").select(F.col("id").alias("node_id"), F.lit("extracted").alias("kind"))
-    a, b, c = merge.swept(nodes, edges, iir, "r2")
+    a, b, c = merge.swept(nodes, edges, iir, "r2", g.derived)
     shown = lambda df, what, key: df.select(F.lit(what).alias("what"), F.col(key).alias("id"))
     return shown(a, "node", "id").unionByName(shown(b, "edge", "id")).unionByName(shown(c, "intent", "node_id"))
 

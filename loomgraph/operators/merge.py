@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import edge_id, node_id
-from .reads import missing_endpoints
-from .traverse import settle
+from ..sources.tables import settle
+from .reads import grown, missing_endpoints, shrunk
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], keep: tuple[str, ...] = ("created_at",)) -> DataFrame:
@@ -89,17 +89,25 @@ def cascade_records(dead: DataFrame, weights: DataFrame, edges: DataFrame, activ
     }
 
 
-def prune_file(nodes: DataFrame, edges: DataFrame, kept: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges without the nodes of files(source_file) that are not in kept(id); namespaces and concepts stay."""
+def prune_file(nodes: DataFrame, edges: DataFrame, kept: DataFrame, files: DataFrame, derived: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges without the nodes of files(source_file) that are not in kept(id); namespaces and concepts stay. For derived see cascade."""
     local = nodes.join(files.select("source_file").distinct(), "source_file", "left_semi").where("type not in ('namespace', 'concept')")
-    dead = local.join(kept.select("id"), "id", "left_anti").select("id")
-    return nodes.join(dead, "id", "left_anti"), cascade(edges, dead)
+    dead = settle(without(local.select("id"), kept.select("id"), "id"), "dead")
+    return without(nodes, dead, "id"), cascade(edges, dead, derived)
 
 
-def cascade(edges: DataFrame, dead: DataFrame) -> DataFrame:
-    """Edges neither end of which is in dead(id)."""
-    gone = dead.select("id").distinct()
-    return edges.join(gone.withColumnRenamed("id", "source_id"), "source_id", "left_anti").join(gone.withColumnRenamed("id", "target_id"), "target_id", "left_anti")
+def without(rows: DataFrame, gone: DataFrame, *on: str) -> DataFrame:
+    """rows whose ids are not in gone; ids are moved packed."""
+    return grown(shrunk(rows, *on).join(shrunk(gone.select(*on), *on), list(on), "left_anti"), *on).select(*rows.columns)
+
+
+def cascade(edges: DataFrame, dead: DataFrame, derived: bool = False) -> DataFrame:
+    """Edges neither end of which is in dead(id). derived: their ids follow from source, type and target, and are made again."""
+    source, target = (dead.select(F.col("id").alias(end)) for end in ("source_id", "target_id"))
+    moved = ["source_id", "target_id"] if derived else ["id", "source_id", "target_id"]
+    left = shrunk(edges.drop("id") if derived else edges, *moved).join(shrunk(source, "source_id"), "source_id", "left_anti").join(shrunk(target, "target_id"), "target_id", "left_anti")
+    left = grown(left, *moved)
+    return (left.withColumn("id", edge_id(F.col("source_id"), F.col("type"), F.col("target_id"))) if derived else left).select(*edges.columns)
 
 
 def remapped(nodes: DataFrame, edges: DataFrame, project: str, siblings: DataFrame | None = None, anchors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -126,16 +134,17 @@ def remapped(nodes: DataFrame, edges: DataFrame, project: str, siblings: DataFra
     return kept, edges.withColumn("id", edge_id(F.col("source_id"), F.col("type"), F.col("target_id")))
 
 
-def swept(nodes: DataFrame, edges: DataFrame, iir: DataFrame, run: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def swept(nodes: DataFrame, edges: DataFrame, iir: DataFrame, run: str, derived: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What is left after a full run: rows that indexing manages (index_managed) and this run has not written are gone.
 
-    A node takes its edges and extracted intents with it; rows that indexing does not manage stay.
+    A node takes its edges and extracted intents with it; rows that indexing does not manage stay. For derived see cascade.
     """
     stale = F.coalesce("index_managed", F.lit(False)) & ~F.col("last_index_run_id").eqNullSafe(F.lit(run))
     dead = settle(nodes.where(stale).select("id"), "swept")
     gone = dead.select(F.col("id").alias("node_id"))
-    intents = iir.join(gone.withColumn("kind", F.lit("extracted")), ["node_id", "kind"], "left_anti")
-    return nodes.where(~stale), cascade(edges.where(~stale), dead), intents.select(*iir.columns)
+    extracted = F.col("kind") == "extracted"
+    intents = without(iir.where(extracted), gone, "node_id").unionByName(iir.where(~F.coalesce(extracted, F.lit(False))))
+    return nodes.where(~stale), cascade(edges.where(~stale), dead, derived), intents.select(*iir.columns)
 
 
 @dataclass
@@ -152,13 +161,15 @@ class BrokenEdges(ValueError):
     """A staged edge has an end that is neither live nor staged."""
 
 
-def reconcile(live: State, staged: State, files: DataFrame, run: str, scope: str, check: bool = True) -> State:
+def reconcile(live: State, staged: State, files: DataFrame, run: str, scope: str, check: bool = True, derived: bool = False) -> State:
     """The state after publishing a run; files(rel_path, status: walked, indexed or deleted).
 
     full: whatever this run has not seen loses its owner. incremental: indexed files and files that are gone are in scope.
-    paths: indexed and deleted files are. An entity whose last owner goes, goes with its edges.
+    paths: indexed and deleted files are. An entity whose last owner goes, goes with its edges. For derived see cascade.
     """
-    nodes, edges = upsert(live.nodes, staged.nodes, ["id"]), upsert(live.edges, staged.edges, ["id"])
+    nodes = upsert(live.nodes, staged.nodes, ["id"])
+    # without staged edges there is nothing to put over the live ones
+    edges = live.edges if staged.edges.isEmpty() else upsert(live.edges, staged.edges, ["id"])
     if check and not missing_endpoints(staged.edges, live.nodes, staged.nodes).isEmpty():
         raise BrokenEdges(run)
     indexed = files.where("status = 'indexed'").select("rel_path")
@@ -172,8 +183,10 @@ def reconcile(live: State, staged: State, files: DataFrame, run: str, scope: str
         stale = stale.join(touched.distinct(), "rel_path", "left_semi")
     left = settle(owners.join(stale.select("rel_path", "id"), ["rel_path", "id"], "left_anti"), "left")
     dead = settle(stale.select("id").distinct().join(left.select("id"), "id", "left_anti"), "dead")
-    nodes = nodes.join(dead, "id", "left_anti")
-    edges = cascade(edges.join(dead, "id", "left_anti"), dead)
+    nodes = without(nodes, dead, "id")
+    # edges that are owned themselves are sought by their ids alone, so that where there are none no edge is moved for it
+    owned = settle(shrunk(edges.select("id"), "id").join(shrunk(dead, "id"), "id", "left_semi"), "owned-edges")
+    edges = cascade(edges if owned.isEmpty() else without(edges, dead, "id"), dead, derived)
     kept = {"full": None, "incremental": live.hashes.join(gone, "rel_path", "left_anti"), "paths": live.hashes.join(files.where("status = 'deleted'"), "rel_path", "left_anti")}[scope]
     hashes = staged.hashes if kept is None else upsert(kept, staged.hashes, ["rel_path"])
     return State(nodes, edges, left, hashes)

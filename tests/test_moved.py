@@ -61,3 +61,13 @@ def test_a_few_missing_ends_leave_edges_where_they_are(spark, sf):
     g = tables.graph(spark, sf)
     with unbroadcast(spark):
         assert "SortMergeJoin" not in plan(reads.unresolved_nodes(g.edges, g.nodes.where("type <> 'concept'")))
+
+
+def test_edges_are_told_without_their_ids(spark, sf):
+    g = tables.graph(spark, sf)
+    dead = g.nodes.where("kind = 'interface' or type = 'concept'").select("id")
+    with unbroadcast(spark):
+        left = merge.cascade(g.edges, dead, True)
+        shown = plan(left)
+    assert shown.index("sha2") < shown.index("SortMergeJoin")  # the root of a plan comes first
+    assert rows(left.select("id")) == rows(merge.cascade(g.edges, dead).select("id"))
