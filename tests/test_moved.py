@@ -71,3 +71,11 @@ def test_edges_are_told_without_their_ids(spark, sf):
         shown = plan(left)
     assert shown.index("sha2") < shown.index("SortMergeJoin")  # the root of a plan comes first
     assert rows(left.select("id")) == rows(merge.cascade(g.edges, dead).select("id"))
+
+
+def test_some_needles_are_found_without_lists(spark, sf):
+    tables.clean(spark)
+    g = tables.graph(spark, sf)
+    wanted = g.nodes.where("type = 'namespace'").select(F.col("canonical_id").alias("query"), "project_id")
+    few, many = (semantic.resolution_candidates(g, wanted, few=few) for few in (0, 10_000))
+    assert rows(few) == rows(many) and not any(name.startswith("canonical") for _, name in tables.KEPT)
