@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ids import activation_confidence, confidence_activation, packed, unpacked
-from ..sources.tables import Graph, bucketed, forget
+from ..functions.ids import activation_confidence, confidence_activation, edge_id, packed, unpacked
+from ..sources.tables import Graph, bucketed, forget, short
 from .grams import FEW, holding
-from .reads import ranked, weighted
+from .reads import grown, ranked, shrunk, weighted
 from .traverse import laid_out, settle
 
 #: Fixed values of the model.
@@ -26,25 +26,26 @@ def resolve_anchors(g: Graph, anchors: DataFrame, few: int = FEW) -> DataFrame:
     files by prefix.
     """
     a = anchors.withColumn("anchor", F.concat_ws(":", "kind", "ref"))
-    n = g.nodes.select("id", "project_id", F.col("type").alias("node_type"), "canonical_id", "label")
+    seen = ("type", "canonical_id", "label")
     # the exact branch is an equi-join; only what it leaves goes through the others, project by project
-    exact = a.where("kind = 'symbol'").join(n.where("node_type = 'symbol'").withColumn("ref", F.col("canonical_id")), ["project_id", "ref"])
+    symbols = g.nodes.where("type = 'symbol'").select("id", "project_id", F.col("canonical_id").alias("ref"))
+    exact = symbols.join(short(a.where("kind = 'symbol'")), ["project_id", "ref"])
     left = a.where("kind = 'symbol'").join(exact.select("anchor", "project_id").distinct(), ["anchor", "project_id"], "left_anti")
     names, both = F.lower("canonical_id"), F.lower(F.concat_ws("\n", "canonical_id", "label"))
 
     def meets(rows: DataFrame, name: str, hay: Column, condition: Column) -> DataFrame:
         """rows of anchors with the nodes of their project that hold the reference and meet the condition."""
         asked = rows.withColumn("needle", F.lower("ref"))
-        return holding(g, asked, name, hay, few).join(asked, ["project_id", "needle"]).join(n, ["id", "project_id"]).where(condition)
+        return holding(g, asked, name, hay, few, shown=seen).join(short(asked), ["project_id", "needle"]).where(condition)
 
     def cut(df: DataFrame, order: list, k: int) -> DataFrame:
         return ranked(df, ["project_id", "anchor"], order, k).drop("rank")
 
     starts = F.startswith(names, F.lower("ref"))
     within = F.contains(names, F.lower("ref")) | F.contains(F.lower("label"), F.lower("ref"))
-    fuzzy = cut(meets(left, "canonical", names, F.col("node_type") == "symbol"), [F.length("canonical_id"), F.col("id")], 5)
-    spaces = cut(meets(a.where("kind = 'namespace'"), "canonical", names, (F.col("node_type") == "namespace") & starts), [F.col("canonical_id"), F.col("id")], 20)
-    ideas = meets(a.where("kind = 'concept'"), "labels", both, (F.col("node_type") == "concept") & within)
+    fuzzy = cut(meets(left, "canonical", names, F.col("type") == "symbol"), [F.length("canonical_id"), F.col("id")], 5)
+    spaces = cut(meets(a.where("kind = 'namespace'"), "canonical", names, (F.col("type") == "namespace") & starts), [F.col("canonical_id"), F.col("id")], 20)
+    ideas = meets(a.where("kind = 'concept'"), "labels", both, (F.col("type") == "concept") & within)
     files = meets(a.where("kind = 'file'"), "canonical", names, starts)
     found = exact.select("project_id", "anchor", "id", "confidence")
     for part in (fuzzy, spaces, ideas, files):
@@ -80,13 +81,31 @@ def top(found: DataFrame, k: int = TOP) -> DataFrame:
     return ranked(found, ["set"], [F.desc("activation"), F.asc("id")], k).withColumn("confidence", activation_confidence(F.col("activation")))
 
 
+def _raised(weight: Column) -> Column:
+    return F.greatest(F.lit(FLOOR), F.least(F.lit(CEILING), weight + RATE * F.col("_s") * F.col("_t")))
+
+
+def _strengthened(g: Graph, a: DataFrame) -> DataFrame:
+    """hebbian() of a graph with weights on its edges: each edge meets what its ends have, once, and its id is made afterwards."""
+    s, t = (a.select(F.col("id").alias(end), F.col("activation").alias(name)) for end, name in (("source_id", "_s"), ("target_id", "_t")))
+    e = shrunk(g.edges.select("source_id", "target_id", "type", "source_class", "weight"), "source_id", "target_id")
+    hit = F.col("_s").isNotNull() & F.col("_t").isNotNull()
+    e = e.join(s, "source_id", "left").join(t, "target_id", "left").where(hit | F.col("weight").isNotNull())
+    new = F.when(hit, _raised(F.coalesce("weight", F.lit(1.0)))).otherwise(F.greatest(F.lit(FLOOR), F.col("weight") * FADE))
+    kind = F.when(hit & (F.col("source_class") == "speculative") & (new >= PROMOTE), "associative").otherwise(F.col("source_class"))
+    e = grown(e, "source_id", "target_id")
+    return e.select(edge_id(F.col("source_id"), F.col("type"), F.col("target_id")).alias("edge_id"), new.alias("weight"), kind.alias("source_class"), F.when(hit, 1).otherwise(0).alias("co_activations"))
+
+
 def hebbian(g: Graph, anchors: DataFrame) -> DataFrame:
     """The new weight table: edges with both ends among anchors(id, activation) are strengthened, other rows fade."""
     a = anchors.groupBy("id").agg(F.max("activation").alias("activation"))
+    if g.derived and "weight" in g.edges.columns:
+        return _strengthened(g, shrunk(a, "id"))
     s, t = a.select(F.col("id").alias("source_id"), F.col("activation").alias("_s")), a.select(F.col("id").alias("target_id"), F.col("activation").alias("_t"))
     old = g.weights.select(F.col("edge_id").alias("id"), "weight", F.col("source_class").alias("class"))
     hit = g.edges.drop("weight").join(s, "source_id").join(t, "target_id").join(old, "id", "left")
-    new = F.greatest(F.lit(FLOOR), F.least(F.lit(CEILING), F.coalesce("weight", F.lit(1.0)) + RATE * F.col("_s") * F.col("_t")))
+    new = _raised(F.coalesce("weight", F.lit(1.0)))
     kind = F.coalesce("class", "source_class")
     hit = hit.select(F.col("id").alias("edge_id"), new.alias("weight"), F.when((kind == "speculative") & (new >= PROMOTE), "associative").otherwise(kind).alias("source_class"), F.lit(1).alias("co_activations")).dropDuplicates(["edge_id"])
     rest = g.weights.join(hit.select("edge_id"), "edge_id", "left_anti").select("edge_id", F.greatest(F.lit(FLOOR), F.col("weight") * FADE).alias("weight"), "source_class", F.lit(0).alias("co_activations"))
@@ -151,9 +170,21 @@ def with_weights(g: Graph, weights: DataFrame) -> Graph:
 
 def enriched(g: Graph, found: DataFrame) -> DataFrame:
     """The nodes of found(id, activation) with their confidence and their edges of both directions; nodes that are gone are left out."""
-    e = weighted(g).select("id", "source_id", "target_id", "type", "weight")
-    out = found.select(F.col("id").alias("node_id")).distinct().join(e, F.col("node_id") == F.col("source_id")).select("node_id", F.struct("id", "source_id", "target_id", "type", "weight").alias("edge"))
-    back = found.select(F.col("id").alias("node_id")).distinct().join(e, F.col("node_id") == F.col("target_id")).select("node_id", F.struct("id", "source_id", "target_id", "type", "weight").alias("edge"))
-    edges = out.unionByName(back).groupBy(F.col("node_id").alias("id")).agg(F.array_sort(F.collect_set("edge")).alias("edges"))
-    none = F.array().cast(edges.schema["edges"].dataType)
-    return g.nodes.join(found.select("id", "activation"), "id").join(edges, "id", "left").select("id", "type", "canonical_id", "activation", activation_confidence(F.col("activation")).alias("confidence"), F.coalesce("edges", none).alias("edges"))
+    # an edge moves once for each end, with packed ids; what it is shown as is made after it has been gathered
+    e = weighted(g).select("type", "weight", packed(F.col("source_id")).alias("source_id"), packed(F.col("target_id")).alias("target_id"), *([] if g.derived else ["id"]))
+    parts = [c for c in e.columns if c not in ("source_id", "target_id")]
+    other = lambda near, far, out: F.struct(F.col(near).alias("node"), F.col(far).alias("other"), F.lit(out).alias("out"))
+    ends = F.when(F.col("source_id") == F.col("target_id"), F.array(other("source_id", "target_id", True))).otherwise(F.array(other("source_id", "target_id", True), other("target_id", "source_id", False)))
+    both = e.select(*parts, F.explode(ends).alias("e")).select("e.*", *parts)
+    wanted = shrunk(found.select(F.col("id").alias("node"), "activation"), "node")
+    near = both.join(wanted.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.collect_set(F.struct("other", "out", *parts)).alias("edges"))
+
+    def shown(x: Column) -> Column:
+        me, far = unpacked(F.col("node")), unpacked(x["other"])
+        source, target = F.when(x["out"], me).otherwise(far), F.when(x["out"], far).otherwise(me)
+        made = edge_id(source, x["type"], target) if g.derived else x["id"]
+        return F.struct(made.alias("id"), source.alias("source_id"), target.alias("target_id"), x["type"].alias("type"), x["weight"].alias("weight"))
+
+    n = g.nodes.select(packed(F.col("id")).alias("node"), "type", "canonical_id")
+    all_of = n.join(wanted, "node").join(near, "node", "left").withColumn("edges", F.array_sort(F.transform(F.coalesce("edges", F.array().cast(near.schema["edges"].dataType)), shown)))
+    return all_of.select(unpacked(F.col("node")).alias("id"), "type", "canonical_id", "activation", activation_confidence(F.col("activation")).alias("confidence"), "edges")

@@ -73,6 +73,16 @@ def test_edges_are_told_without_their_ids(spark, sf):
     assert rows(left.select("id")) == rows(merge.cascade(g.edges, dead).select("id"))
 
 
+def test_weights_and_ends_meet_edges_once(spark, sf):
+    g = tables.graph(spark, sf)
+    anchors = g.activation.withColumnRenamed("node_id", "id").unionByName(g.nodes.where("type = 'file'").select("id", F.lit(0.7).alias("activation")))
+    plain = Graph(g.nodes, g.edges.drop("weight"), g.weights, g.activation)
+    with unbroadcast(spark):
+        assert plan(activation.hebbian(g, anchors)).count("SortMergeJoin") == 2
+        assert plan(activation.enriched(g, anchors)).count("SortMergeJoin") == 3
+    assert rows(activation.hebbian(g, anchors).select("edge_id", "weight", "source_class", "co_activations")) == rows(activation.hebbian(plain, anchors).select("edge_id", "weight", "source_class", "co_activations"))
+
+
 def test_some_needles_are_found_without_lists(spark, sf):
     tables.clean(spark)
     g = tables.graph(spark, sf)
