@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomgraph import catalog
 from loomgraph.functions import ids
-from loomgraph.operators import activation, merge, reads, semantic
+from loomgraph.operators import activation, merge, reads, semantic, traverse
 from loomgraph.sources import tables
 from loomgraph.sources.tables import Graph
 
@@ -89,3 +89,14 @@ def test_some_needles_are_found_without_lists(spark, sf):
     wanted = g.nodes.where("type = 'namespace'").select(F.col("canonical_id").alias("query"), "project_id")
     few, many = (semantic.resolution_candidates(g, wanted, few=few) for few in (0, 10_000))
     assert rows(few) == rows(many) and not any(name.startswith("canonical") for _, name in tables.KEPT)
+
+
+def test_proposed_calls_look_up_weak_calls_only(spark):
+    edges = [("a", "b", 1.0), ("b", "c", 1.0), ("a", "c", 0.01), ("b", "d", 1.0), ("a", "e", None), ("d", "e", 1.0), ("d", "a", 1.0)]
+    e = spark.createDataFrame([(s + t, s, t, "calls", w) for s, t, w in edges], "id string, source_id string, target_id string, type string, weight double")
+    nodes, weights = spark.createDataFrame([(x,) for x in "abcde"], "id string"), e.where("weight is not null").select(F.col("id").alias("edge_id"), "weight")
+    seeds = nodes.where("id = 'a'")
+    for g in (Graph(nodes, e, weights, None), Graph(nodes, e.drop("weight"), weights, None)):
+        found = traverse.proposed_calls(g, seeds)
+        assert {r.target_id for r in found.collect()} == {"d", "a"}
+    assert "hops" in plan(traverse.proposed_calls(Graph(nodes, e, weights, None), seeds))
