@@ -100,3 +100,29 @@ def test_proposed_calls_look_up_weak_calls_only(spark):
         found = traverse.proposed_calls(g, seeds)
         assert {r.target_id for r in found.collect()} == {"d", "a"}
     assert "hops" in plan(traverse.proposed_calls(Graph(nodes, e, weights, None), seeds))
+
+
+def test_namespaces_are_read_without_nodes(spark, sf):
+    g = tables.graph(spark, sf)
+    whole = g.nodes.select("id", "type", "canonical_id", "label")
+    ends = g.typed.select(F.explode(F.array(*[F.struct(F.col(f"{e}_id").alias("id"), *[F.col(f"{e}_{c}").alias(c) for c in ("type", "canonical_id", "label")]) for e in ("source", "target")])).alias("e")).select("e.*")
+    assert ends.exceptAll(ends.join(whole, whole.columns, "left_semi")).isEmpty() and ends.join(whole, whole.columns, "left_anti").isEmpty()
+    with unbroadcast(spark):
+        for name in ("references_grouped", "namespace_dependents", "namespace_dependencies", "namespace_members", "namespace_summary"):
+            shown = plan(catalog.QUERIES[name](spark, sf))
+            assert "/nodes" not in shown, name
+
+
+def test_members_and_dependencies_of_other_graphs_are_the_same(spark, sf):
+    g = tables.graph(spark, sf)
+    for found in (lambda x: reads.members(x, "namespace"), lambda x: reads.dependencies(x, True), reads.dependencies):
+        assert sorted(found(g).columns) == sorted(found(untyped(g)).columns)
+        assert rows(found(g).select("anchor", "id", "type", "label", "canonical_id", "source_file", "rank")) == rows(found(untyped(g)).select("anchor", "id", "type", "label", "canonical_id", "source_file", "rank"))
+    for found in (lambda x: reads.members(x, "namespace", ["type", "label"]), lambda x: reads.dependencies(x, True, shown=["canonical_id"]), lambda x: reads.neighbours(x, None, True, source_type="namespace", shown=["canonical_id"])):
+        assert rows(found(g)) == rows(found(untyped(g)))
+
+
+def test_copies_of_a_node_are_listed_once(spark):
+    found = spark.createDataFrame([("a", c, f"n{k}", k) for k in range(40) for c in ("x", "y", "z")], "anchor string, edge_type string, id string, k int")
+    got = reads.listed(found, 7, [F.asc("k"), F.asc("id")]).collect()
+    assert sorted((r["rank"], r.k) for r in got) == [(k + 1, k) for k in range(7)]
