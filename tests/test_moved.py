@@ -112,6 +112,7 @@ def test_namespaces_are_read_without_nodes(spark, sf):
             shown = plan(catalog.QUERIES[name](spark, sf))
             assert "/nodes" not in shown, name
         assert "/nodes" not in plan(org.shared_dependencies(g))
+        assert "SortMergeJoin" not in plan(reads.top_activated(g, 3))
 
 
 def test_members_and_dependencies_of_other_graphs_are_the_same(spark, sf):
@@ -122,6 +123,7 @@ def test_members_and_dependencies_of_other_graphs_are_the_same(spark, sf):
     for found in (lambda x: reads.members(x, "namespace", ["type", "label"]), lambda x: reads.dependencies(x, True, shown=["canonical_id"]), lambda x: reads.neighbours(x, None, True, source_type="namespace", shown=["canonical_id"])):
         assert rows(found(g)) == rows(found(untyped(g)))
     assert rows(org.shared_dependencies(g)) == rows(org.shared_dependencies(untyped(g)))
+    assert rows(reads.top_activated(g, 5)) == rows(reads.top_activated(untyped(g), 5))
 
 
 def test_copies_of_a_node_are_listed_once(spark):
