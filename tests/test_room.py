@@ -27,6 +27,25 @@ def test_a_graph_keeps_neither_lines_nor_edge_ids(spark, sf):
     assert made.isEmpty() and g.edges.count() == g.edges.select("id").distinct().count() > 0
 
 
+def test_lines_move_once_and_what_graphs_are_made_of_goes(spark, sf, monkeypatch):
+    _, o = tables.orders(spark, sf)
+    o = tables.bucketed(o, ["o_orderkey"], "orders", order=["o_orderkey"])
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    rows = lambda df: sorted(map(repr, df.collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        once = tables.lines(spark, sf, o)
+        assert plan(once).count("Exchange hashpartitioning") == 1 and "path" not in once.columns
+        monkeypatch.setattr(tables, "PARTS", 10)
+        many = tables.lines(spark, sf, o)
+        assert "Broadcast" not in plan(many) and rows(once) == rows(many)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    tables.clean(spark)
+    g = tables.graph(spark, sf)
+    assert tables._WRITTEN == [g.home] and not tables._NAMED
+
+
 def test_spreading_leaves_one_table_and_no_shuffle_files(spark, sf):
     tables.clean(spark)
     g = tables.graph(spark, sf)
