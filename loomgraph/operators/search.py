@@ -60,32 +60,43 @@ def _hits(g: Graph, q: DataFrame, few: int) -> DataFrame:
     return g.nodes.join(pairs, "id").join(q, "query")
 
 
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.select("query", search_tokens(F.col("query")).alias("tokens")).where(F.size("tokens") > 0)
+
+
+def _scored(hits: DataFrame) -> DataFrame:
+    return hits.withColumn("score", score(F.col("tokens"), F.col("label"), F.col("canonical_id"), F.col("source_file"), F.col("type"), F.col("line_start")))
+
+
 def search(g: Graph, queries: DataFrame, limit: int = 10, few: int = FEW) -> DataFrame:
     """Per row of queries(query) and project: the best nodes. A first cut keeps the max(100, 12 limit) shortest canonical ids."""
-    q = queries.select("query", search_tokens(F.col("query")).alias("tokens")).where(F.size("tokens") > 0)
-    first = ranked(_hits(g, q, few), ["query", "project_id"], [F.length("canonical_id"), F.col("id")], max(100, 12 * limit)).drop("rank")
-    scored = first.withColumn("score", score(F.col("tokens"), F.col("label"), F.col("canonical_id"), F.col("source_file"), F.col("type"), F.col("line_start")))
-    return ranked(scored, ["query", "project_id"], [F.desc("score"), F.octet_length("canonical_id"), F.length("canonical_id"), F.col("id")], limit).withColumn("reason", reasons(F.col("tokens"), F.col("label"), F.col("canonical_id"), F.col("source_file"))).drop("tokens")
+    first = ranked(_hits(g, _asked(queries), few), ["query", "project_id"], [F.length("canonical_id"), F.col("id")], max(100, 12 * limit)).drop("rank")
+    return ranked(_scored(first), ["query", "project_id"], [F.desc("score"), F.octet_length("canonical_id"), F.length("canonical_id"), F.col("id")], limit).withColumn("reason", reasons(F.col("tokens"), F.col("label"), F.col("canonical_id"), F.col("source_file"))).drop("tokens")
 
 
 def related(g: Graph, patterns: list[str], query: str = "", anchors: DataFrame | None = None, limit: int = 10) -> DataFrame:
     """Per project the nodes that one of the patterns occurs in, with the first such pattern.
 
-    Candidates are, in this order, what the query finds, the anchors(id), and what each word of the query and each pattern finds
-    when searched for; a node counts where it comes first.
+    Candidates are, in this order, all that the query finds, the anchors(id), and all that each word of the query and each pattern finds
+    when searched for, each in the order of search(); a node counts where it comes first. Only the answer is cut, to `limit` nodes.
     """
     spark = g.nodes.sparkSession
     words = [r[0] for r in spark.range(1).select(F.explode(search_tokens(F.lit(query)))).collect()]
     terms = ([(0, query)] if query else []) + [(k + 2, t) for k, t in enumerate([*words, *patterns])]
     asked = spark.createDataFrame(terms, "place int, query string")
     first = asked.groupBy("query").agg(F.min("place").alias("place"))
-    found = search(g, first.select("query"), limit).join(short(first), "query").select("id", "project_id", "canonical_id", "label", "source_file", "place", "rank")
-    if anchors is not None:
-        found = found.unionByName(g.nodes.join(anchors.select("id").distinct(), "id", "left_semi").select("id", "project_id", "canonical_id", "label", "source_file", F.lit(1).alias("place"), F.lit(1).alias("rank")))
     hay = F.lower(F.concat_ws(" ", "canonical_id", "label", F.coalesce("source_file", F.lit(""))))
-    matched = found.withColumn("pattern", F.get(F.filter(F.lit(patterns), lambda p: hay.contains(p)), F.lit(0))).where("pattern is not null")
-    once = matched.groupBy("project_id", "id", "pattern").agg(F.min(F.struct("place", "rank")).alias("first"))
-    return ranked(once, ["project_id"], [F.col("first.place"), F.col("first.rank"), F.col("id")], limit).drop("first")
+    pattern = F.get(F.filter(F.lit(patterns), lambda p: hay.contains(p)), F.lit(0))
+    # what no pattern occurs in goes first, so that nothing need be ranked but what is left
+    marked = Graph(g.nodes.withColumn("pattern", pattern).where("pattern is not null"), g.edges, g.weights, g.activation)
+    best = F.struct((-F.col("score")).alias("score"), F.octet_length("canonical_id").alias("bytes"), F.length("canonical_id").alias("length"))
+    found = _scored(_hits(marked, _asked(first.select("query")), FEW).join(short(first), "query")).select("id", "project_id", "pattern", "place", best.alias("best"))
+    if anchors is not None:
+        held = marked.nodes.join(anchors.select("id").distinct(), "id", "left_semi")
+        even = F.struct(F.lit(0).alias("score"), F.lit(0).alias("bytes"), F.lit(0).alias("length"))
+        found = found.unionByName(held.select("id", "project_id", "pattern", F.lit(1).alias("place"), even.alias("best")))
+    once = found.groupBy("project_id", "id", "pattern").agg(F.min(F.struct("place", "best")).alias("first"))
+    return ranked(once, ["project_id"], [F.col("first.place"), F.col("first.best"), F.col("id")], limit).drop("first")
 
 
 def source_ranges(texts: DataFrame, start: Column, end: Column, context: int = 2, most: int = 81) -> DataFrame:

@@ -93,6 +93,17 @@ def test_many_queries_find_what_few_do(spark):
     assert shown(1000) == shown(0) and len(shown(0)) > 50
 
 
+def test_related_ranks_all_that_is_found(spark):
+    plain = [f"word{k:02}" for k in range(15)]
+    names = [f"route{k:03}" for k in range(130)] + ["a/much/longer/id/than/the/others:route", *plain, "at/a/route/some/word/beside"]
+    rows = [(n, "p", "file", n.split(":")[-1], n, "structural", None, None, None, None, None) for n in names]
+    g = tables.Graph(spark.createDataFrame(rows, NODES), None, None, None)
+    # an exact label comes first, however many shorter ids there are
+    assert [r.id for r in search.related(g, ["route"], limit=2).orderBy("rank").collect()] == [names[130], "route000"]
+    # what a word of the query finds comes before the patterns, however many others without a pattern it finds
+    assert [r.id for r in search.related(g, ["route"], "word", limit=2).orderBy("rank").collect()] == [names[-1], names[130]]
+
+
 def test_cycle_settles(spark):
     g = small(spark, [("A", "B", 0.9), ("B", "C", 0.9)])
     anchors = spark.createDataFrame([("p", "symbol", "A", "high")], "project_id string, kind string, ref string, confidence string")
