@@ -270,12 +270,12 @@ def language_concepts(spark, sf):
 def syntax_walks(spark, sf):
     text = F.concat(F.lit("def f"), "p_partkey", F.lit("():\n    g()\n    def h():\n        k()\n"))
     files = table(spark, sf, "part").select(F.concat(F.lit("m"), "p_partkey", F.lit(".py")).alias("rel_path"), F.lit("python").alias("language"), text.alias("content"))
-    nodes = merge.settle(syntax.syntax(files), "syntax")
+    nodes = syntax.laid_out(files)
     roots = nodes.where("type = 'FunctionDef' and parent = 0")
-    count = lambda df, name: df.groupBy("rel_path").agg(F.sum((F.col("type") == "Call").cast("int")).cast("int").alias(name))
+    count = lambda df, name: df.groupBy("rel_path").agg(F.sum((F.col("type") == "Call").cast("int")).cast("int").alias(name)).hint("merge")
     found = nodes.where("type not in ('arguments', 'Load')").groupBy("rel_path").agg(F.count("*").cast("int").alias("nodes"))
     own = count(syntax.below(nodes, roots, True), "own_calls")
-    return found.join(count(syntax.below(nodes, roots), "calls"), "rel_path").join(own, "rel_path").join(roots.select("rel_path", F.col("name").alias("first")), "rel_path")
+    return found.join(count(syntax.below(nodes, roots), "calls"), "rel_path").join(own, "rel_path").join(roots.select("rel_path", F.col("name").alias("first")).hint("merge"), "rel_path")
 
 
 @plain("""SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'missing language' WHEN 1 THEN 'unknown visibility' WHEN 2 THEN 'behavior needs when and then' END AS error, CASE o_orderkey % 5 WHEN 1 THEN 'x' ELSE 'public' END AS visibility, 'unknown' AS type, o_orderkey % 2 = 0 AS explicit FROM orders""")

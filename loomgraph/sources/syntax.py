@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import bucketed
+
 NODE = "rel_path string, id int, parent int, last int, place int, field string, type string, name string, line int, col int, end_line int, end_col int"
 #: Rows, of whole files, that are handed on together, or a few more.
 AT_ONCE = 20_000
@@ -64,17 +66,25 @@ def syntax(files: DataFrame) -> DataFrame:
     return files.where("language = 'python'").select("rel_path", "content").mapInPandas(frames, NODE)
 
 
+def laid_out(files: DataFrame) -> DataFrame:
+    """The nodes of files as syntax() gives them, written in buckets of rel_path: files are dealt before they are parsed, so walks move nothing."""
+    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return bucketed(syntax(files.repartition(n, "rel_path")), ["rel_path"], "syntax", dealt=True)
+
+
 def below(nodes: DataFrame, roots: DataFrame, own_scope: bool = False) -> DataFrame:
     """root, and each node of the subtrees of roots(rel_path, id, last), itself included, in order; with own_scope none inside inner scopes.
 
-    A node that begins an inner scope is still there itself.
+    A node that begins an inner scope is still there itself. Roots and scopes are as many as files, so they are joined by sorting, not
+    broadcast, however small they look where they are written.
     """
     r = roots.select("rel_path", F.col("id").alias("root"), F.col("last").alias("_end"))
-    found = nodes.join(r, "rel_path").where(F.col("id").between(F.col("root"), F.col("_end"))).drop("_end")
+    found = nodes.join(r.hint("merge"), "rel_path").where(F.col("id").between(F.col("root"), F.col("_end"))).drop("_end")
     if own_scope:
-        inner = nodes.where(F.col("type").isin(SCOPES)).select("rel_path", F.col("id").alias("_from"), F.col("last").alias("_to"))
-        hidden = found.join(inner, "rel_path").where((F.col("_from") > F.col("root")) & (F.col("id") > F.col("_from")) & (F.col("id") <= F.col("_to"))).select("rel_path", "root", "id").distinct()
-        found = found.join(hidden, ["rel_path", "root", "id"], "left_anti")
+        scope = F.struct(F.col("id").alias("first"), F.col("last").alias("last"))
+        inner = nodes.where(F.col("type").isin(SCOPES)).groupBy("rel_path").agg(F.collect_list(scope).alias("_inner"))
+        hidden = F.exists("_inner", lambda s: (s["first"] > F.col("root")) & (F.col("id") > s["first"]) & (F.col("id") <= s["last"]))
+        found = found.join(inner.hint("merge"), "rel_path", "left").where(~F.coalesce(hidden, F.lit(False))).drop("_inner")
     return found
 
 

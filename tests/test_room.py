@@ -4,6 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from loomgraph import catalog
 from loomgraph.functions import ids
 from loomgraph.operators import activation, compile, reads, traverse
 from loomgraph.sources import syntax, tables
@@ -91,3 +92,19 @@ def test_files_are_handed_on_together():
     files = syntax.pd.DataFrame({"rel_path": [f"{k}.py" for k in range(50)], "content": ["f()\n"] * 49 + ["("]})
     got = list(syntax.frames(iter([files])))
     assert len(got) == 1 and got[0]["rel_path"].nunique() == 49
+
+
+def test_walks_pass_nothing_through_the_driver_and_move_no_nodes(spark, sf):
+    walks = catalog.QUERIES["syntax_walks"](spark, sf)
+    plan = walks._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Exchange" not in plan
+
+
+def test_inner_scopes_are_hidden_from_each_root(spark):
+    text = "def f():\n    a()\n    def g():\n        b()\n        def h():\n            c()\n    d()\n"
+    nodes = syntax.syntax(spark.createDataFrame([("m.py", "python", text), ("n.py", "python", "x()\n")], "rel_path string, language string, content string")).cache()
+    called = lambda df: {(r.root, r.name) for r in df.where("type = 'Name'").collect()}
+    roots = nodes.where("type in ('FunctionDef', 'Module')")
+    name = {r.id: r.name or r.rel_path for r in roots.collect()}
+    found = {(name[k] if k else "module", v) for k, v in called(syntax.below(nodes, roots, True))}
+    assert found == {("f", "a"), ("f", "d"), ("g", "b"), ("h", "c"), ("module", "x")}
