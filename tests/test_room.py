@@ -108,3 +108,12 @@ def test_inner_scopes_are_hidden_from_each_root(spark):
     name = {r.id: r.name or r.rel_path for r in roots.collect()}
     found = {(name[k] if k else "module", v) for k, v in called(syntax.below(nodes, roots, True))}
     assert found == {("f", "a"), ("f", "d"), ("g", "b"), ("h", "c"), ("module", "x")}
+
+
+def test_edges_of_other_types_are_not_moved(spark, sf):
+    g = tables.graph(spark, sf)
+    wanted = g.edges.where("type = 'annotates'").select("id").limit(20)
+    found, every = reads.edges_by_id(g, wanted, "annotates"), reads.edges_by_id(g, wanted)
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, every.collect())) and found.count() == 20
+    plan = catalog.QUERIES["edge_by_id"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(type,annotates)" in plan and "HashAggregate" not in plan
