@@ -183,10 +183,13 @@ def reconcile(live: State, staged: State, files: DataFrame, run: str, scope: str
         stale = stale.join(touched.distinct(), "rel_path", "left_semi")
     left = settle(owners.join(stale.select("rel_path", "id"), ["rel_path", "id"], "left_anti"), "left")
     dead = settle(stale.select("id").distinct().join(left.select("id"), "id", "left_anti"), "dead")
+    known = live.nodes.select("id").unionByName(staged.nodes.select("id"))
     nodes = without(nodes, dead, "id")
-    # edges that are owned themselves are sought by their ids alone, so that where there are none no edge is moved for it
-    owned = settle(shrunk(edges.select("id"), "id").join(shrunk(dead, "id"), "id", "left_semi"), "owned-edges")
-    edges = cascade(edges if owned.isEmpty() else without(edges, dead, "id"), dead, derived)
+    # no derived id of an edge is a node's, so where all that is dead are nodes no edge is owned itself and none is made or moved to tell
+    sought = settle(without(dead, known, "id"), "sought") if derived else dead
+    if not sought.isEmpty() and not settle(shrunk(edges.select("id"), "id").join(shrunk(sought, "id"), "id", "left_semi"), "owned-edges").isEmpty():
+        edges = without(edges, sought, "id")
+    edges = cascade(edges, dead, derived)
     kept = {"full": None, "incremental": live.hashes.join(gone, "rel_path", "left_anti"), "paths": live.hashes.join(files.where("status = 'deleted'"), "rel_path", "left_anti")}[scope]
     hashes = staged.hashes if kept is None else upsert(kept, staged.hashes, ["rel_path"])
     return State(nodes, edges, left, hashes)

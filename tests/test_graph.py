@@ -133,6 +133,27 @@ def test_reconcile_scopes(spark, scope, left):
         merge.reconcile(live, broken, files, "r1", scope)
 
 
+def test_derived_edges_are_sought_only_for_what_is_dead_and_no_node(spark):
+    e = spark.createDataFrame([("a", "b"), ("a", "c"), ("c", "a")], "source_id string, target_id string").withColumn("type", F.lit("calls"))
+    edges = e.select(ids.edge_id(F.col("source_id"), F.col("type"), F.col("target_id")).alias("id"), "*")
+    name = {(r.source_id, r.target_id): r.id for r in edges.collect()}
+    files = spark.createDataFrame([("f1", "indexed")], "rel_path string, status string")
+
+    def left(owned):
+        live = state(spark, [("a", "A"), ("b", "B"), ("c", "C")], [("x", "a", "b")], [("f1", "a", "r0"), ("f1", "b", "r0"), ("f1", "c", "r0"), *owned], [("f1", "h")])
+        live.edges = edges
+        staged = state(spark, [("a", "A"), ("c", "C")], [("x", "a", "b")], [("f1", "a", "r1"), ("f1", "c", "r1")], [("f1", "h")])
+        staged.edges = edges.limit(0)
+        before = len(tables._WRITTEN)
+        out = merge.reconcile(live, staged, files, "r1", "full", check=False, derived=True)
+        return {r.id for r in out.edges.collect()}, [x for x in tables._WRITTEN[before:] if "/owned-edges" in x]
+
+    assert left([]) == ({name["a", "c"], name["c", "a"]}, [])
+    found, sought = left([("f1", name["a", "c"], "r0")])
+    assert found == {name["c", "a"]} and len(sought) == 1
+
+
+
 def test_versions_show_whole_publications(spark, tmp_path):
     v = merge.Versions(spark, f"file://{tmp_path}/v")
     assert v.current() == 0
